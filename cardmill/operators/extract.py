@@ -7,20 +7,27 @@ this is narrow: one page row in, one page row out, no shuffle.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import add, and_
 from urllib.parse import urljoin
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import TRANSFORM
+from . import markup, rules
 from .markup import Markup, Selector
 from .rules import PageRules, PagerRules
 
+# Executors need no copy of this package: the stage travels with its plan.
+for module in (markup, rules, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(module)
+
 OUTPUT_ROWS = 256
 
 LIST_OF_TEXT = T.ArrayType(T.StringType(), False)

@@ -6,13 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.clean import clean_records, distinct_records, new_records
 
 # The encoding that asks for a byte order mark.
 MARKED_ENCODING = "utf-8-sig"
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def csv_options(encoding: str) -> dict[str, str]:
@@ -59,9 +58,3 @@ def write_records(
         rows = distinct_records(rows, fields)
     writer: DataFrameWriter = with_bom(rows, encoding).write.mode("append" if append else "overwrite")
     writer.options(**csv_options(encoding)).csv(path)
-
-
-def preview(parsed_rows: DataFrame, start_url: str, fields: Sequence[str], limit: int = 5) -> DataFrame:
-    """The first kept cards of the start page; nothing is written."""
-    first = parsed_rows.filter(F.col("url") == start_url).orderBy("card_no").limit(limit)
-    return first.select("url", "card_no", *fields)
