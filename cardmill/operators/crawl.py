@@ -102,7 +102,7 @@ def _next(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
             F.struct("n", "url"), F.struct((F.col("n") + step).alias("n"), F.col("far").alias("url"))
         )
         within = F.filter(hop, lambda v: v["url"].isNotNull() & (v["n"] <= F.col("max_pages")))
-        longer = lookup(visits, jump, "url", rows=rows, small=joins.SMALL_ROWS)
+        longer = lookup(visits, jump, "url", rows=rows)
         longer = longer.select("crawl_id", "max_pages", F.explode(within).alias("visit")).select(
             "crawl_id", "max_pages", "visit.*"
         )
@@ -115,7 +115,7 @@ def _next(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
         if step < depth:
             legs = jump.select(F.col("url").alias("source"), F.col("far").alias("url"))
             # One successor per page: a composed table is never longer.
-            jump = lookup(legs, jump, "url", how="inner", rows=edges, small=joins.SMALL_ROWS)
+            jump = lookup(legs, jump, "url", how="inner", rows=edges)
             jump = materialise(jump.select(F.col("source").alias("url"), "far"), "jump")
     return visits
 
@@ -135,7 +135,7 @@ def _links(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
     while level < depth and (rows := state.count()) > 0:
         small = rows <= joins.SMALL_ROWS
         for _ in range(LEVELS_AT_ONCE if small else 1):
-            state = _advance(lookup(state, edges, "url", rows=rows, small=joins.SMALL_ROWS))
+            state = _advance(lookup(state, edges, "url", rows=rows))
             level += 1
         state.write.partitionBy("done").parquet(f"{folder}/batch={batch}")
         state = _states(spark, schema, f"{folder}/batch={batch}", "false")
@@ -184,28 +184,32 @@ def _template(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
     )
     plan = materialise(plan, "template")
     facts = facts.select("url", "ok", "found", "kept")
-    seen = lookup(plan, facts, "url", small=joins.SMALL_ROWS)
+    seen = lookup(plan, facts, "url")
     ok = F.coalesce("ok", F.lit(False))
     ends = F.when(ok, (F.col("found") == 0) | (F.col("kept") == 0)).otherwise(F.col("stop_on_error"))
     limits = seen.groupBy("crawl_id").agg(
         F.least(F.min(F.when(F.col("again"), F.col("n") - 1)), F.min(F.when(ends, F.col("n")))).alias("limit")
     )
-    joined = lookup(plan, limits, "crawl_id", small=joins.SMALL_ROWS)
+    joined = lookup(plan, limits, "crawl_id")
     return joined.filter(F.col("limit").isNull() | (F.col("n") <= F.col("limit")))
 
 
 def visited_pages(
     crawls: DataFrame, visits: DataFrame, facts: DataFrame, policy: DataFrame | None = None
 ) -> DataFrame:
-    """Visits with what their page held; a URL nobody stored is a failed visit."""
-    joined = lookup(visits, facts.withColumn("stored", F.lit(True)), "url")
+    """Visits with what their page held; a URL nobody stored is a failed visit.
+
+    ``visits`` should be a written table: it is counted before the joins.
+    """
+    rows = visits.count()
+    joined = lookup(visits, facts.withColumn("stored", F.lit(True)), "url", rows=rows)
     missing = F.concat("url", F.lit(": not in the snapshot"))
     error = F.when(F.col("stored"), F.col("error")).otherwise(missing)
     requests = F.coalesce("requests", F.lit(1).cast("long"))
     if policy is not None:
-        joined = joined.withColumn("__origin", origin(F.col("url")))
+        site = origin(F.col("url")).alias("__origin")
         rules = policy.select(F.col("origin").alias("__origin"), "closed", "rules")
-        joined = lookup(joined, rules, "__origin")
+        joined = lookup(joined.select("*", site), rules, "__origin", rows=rows, counted=visits.select(site))
         denied = ~is_allowed(F.col("url"))
         error = F.when(denied, _robots_error()).otherwise(error)
         requests = F.when(denied, F.lit(0).cast("long")).otherwise(requests)
@@ -214,7 +218,7 @@ def visited_pages(
         "crawl_id", "n", "url", F.coalesce("ok", F.lit(False)).alias("ok"), error.alias("error"),
         requests.alias("requests"), *counters, "kept_cards",
     )
-    return lookup(joined, crawls.select(*CRAWL_COLUMNS), "crawl_id", how="inner")
+    return lookup(joined, crawls.select(*CRAWL_COLUMNS), "crawl_id", how="inner", rows=rows, counted=visits)
 
 
 def crawl(crawls: DataFrame, facts: DataFrame, policy: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 SMALL_ROWS = 1_000_000
@@ -19,24 +21,34 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 
 def drop_keys(df: DataFrame, keys: DataFrame, key: str | list[str]) -> DataFrame:
-    """Rows of ``df`` whose key is not among ``keys``; few keys are broadcast."""
+    """Rows of ``df`` whose key is not among ``keys``; few keys are broadcast.
+
+    The keys are written down first: they are read twice, to be measured and joined.
+    """
+    keys = materialise(keys, "keys")
     return df.join(F.broadcast(keys) if fits_broadcast(keys) else keys, key, "left_anti")
 
 
 def lookup(
-    df: DataFrame, table: DataFrame, key: str, how: str = "left", rows: int | None = None, small: int = SMALL_ROWS
+    df: DataFrame,
+    table: DataFrame,
+    key: str,
+    how: str = "left",
+    rows: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``df`` to ``table``, which holds each key once.
 
     A key with more than 1/64 of the rows of ``df`` would put them all into one
     task. There are fewer than 64 such keys, so their table rows are broadcast
-    and only the others are shuffled. ``df`` should be materialised: it is
-    counted first.
+    and only the others are shuffled. ``counted`` is a written table with the
+    same keys as ``df``, if ``df`` itself would have to be computed to be counted.
     """
-    rows = df.count() if rows is None else rows
-    if rows <= small:
+    counted = df if counted is None else counted
+    rows = counted.count() if rows is None else rows
+    if rows <= SMALL_ROWS:
         return df.join(table, key, how)
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
+    counts = counted.filter(F.col(key).isNotNull()).groupBy(key).count()
     hot = [r[0] for r in counts.filter(F.col("count") > rows * HOT_SHARE).select(key).collect()]
     if not hot:
         return df.join(table, key, how)

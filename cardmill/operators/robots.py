@@ -108,7 +108,8 @@ def robots_filter(urls: DataFrame, policy: DataFrame, enabled: bool = True) -> D
     """Adds ``allowed`` to a table of URLs; an origin may own most of the rows."""
     if not enabled:
         return urls.withColumn("allowed", F.lit(True))
-    joined = lookup(urls.withColumn("__origin", origin(F.col("url"))), _keyed(policy), "__origin")
+    site = origin(F.col("url")).alias("__origin")
+    joined = lookup(urls.select("*", site), _keyed(policy), "__origin")
     return joined.withColumn("allowed", is_allowed(F.col("url"))).select(*urls.columns, "allowed")
 
 
