@@ -51,9 +51,13 @@ def _decimal_point(c: Column) -> Column:
     )
 
 
+def only_number(priced: Column) -> Column:
+    return F.when(priced.rlike(NUMBER), priced).otherwise("")
+
+
 def number(c: Column) -> Column:
     """The price, if it reads as one number."""
-    return bind(price(c), lambda p: F.when(p.rlike(NUMBER), p).otherwise(""))
+    return bind(price(c), only_number)
 
 
 def whole(c: Column) -> Column:

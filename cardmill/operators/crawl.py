@@ -95,28 +95,25 @@ def _none(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
 
 def _next(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
     jump = facts.filter(_has_rows() & F.col("next_url").isNotNull()).select("url", F.col("next_url").alias("far"))
-    visits, edges = _start(crawls), jump.count()
-    rows, step = visits.count(), 1
-    while step < depth:
-        hop = F.array(
-            F.struct("n", "url"), F.struct((F.col("n") + step).alias("n"), F.col("far").alias("url"))
-        )
-        within = F.filter(hop, lambda v: v["url"].isNotNull() & (v["n"] <= F.col("max_pages")))
-        longer = lookup(visits, jump, "url", rows=rows)
-        longer = longer.select("crawl_id", "max_pages", F.explode(within).alias("visit")).select(
-            "crawl_id", "max_pages", "visit.*"
+    visits, rows = _start(crawls), crawls.count()
+    step, legs = 1, jump.count()
+    while step < depth and legs > 0:
+        hop = F.expr(
+            f"filter(array(struct(n, url), struct(n + {step} as n, far as url)), v -> v.url is not null and v.n <= max_pages)"
         )
+        longer = lookup(visits, jump, "url", rows=rows).select("crawl_id", "max_pages", F.explode(hop).alias("visit"))
         # A page seen before ends the walk: only the first visit stays.
-        visits = materialise(longer.groupBy("crawl_id", "max_pages", "url").agg(F.min("n").alias("n")), "visits")
-        reached = visits.count()
-        if reached == rows:
-            break
-        rows, step = reached, step * 2
+        longer = longer.groupBy("crawl_id", "max_pages", F.col("visit.url").alias("url"))
+        visits, rows, step = longer.agg(F.min("visit.n").alias("n")), rows * 2, step * 2
+        if rows > joins.SMALL_ROWS:
+            visits = materialise(visits, "visits")
+            rows = visits.count()
         if step < depth:
-            legs = jump.select(F.col("url").alias("source"), F.col("far").alias("url"))
+            first = jump.select(F.col("url").alias("source"), F.col("far").alias("url"))
             # One successor per page: a composed table is never longer.
-            jump = lookup(legs, jump, "url", how="inner", rows=edges)
+            jump = lookup(first, jump, "url", how="inner", rows=legs)
             jump = materialise(jump.select(F.col("source").alias("url"), "far"), "jump")
+            legs = jump.count()
     return visits
 
 
@@ -148,16 +145,18 @@ def _links(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
 
 
 def _advance(joined: DataFrame) -> DataFrame:
-    fresh = F.filter("pager_urls", lambda link: ~F.array_contains("seen", link))
-    more = ~F.col("done") & (F.size("seen") < F.col("max_pages"))
-    following = joined.withColumn("following", F.when(more, F.get(fresh, F.lit(0))))
-    moved = F.col("following").isNotNull()
-    return following.select(
+    """To the first link of the page that this walk has not seen."""
+    following = joined.selectExpr(
+        "crawl_id", "max_pages", "url", "seen",
+        """case when not done and size(seen) < max_pages
+           then get(filter(pager_urls, link -> not array_contains(seen, link)), 0) end as following""",
+    )
+    return following.selectExpr(
         "crawl_id",
         "max_pages",
-        F.coalesce("following", "url").alias("url"),
-        F.when(moved, F.concat("seen", F.array("following"))).otherwise(F.col("seen")).alias("seen"),
-        (~moved).alias("done"),
+        "coalesce(following, url) as url",
+        "if(following is null, seen, concat(seen, array(following))) as seen",
+        "following is null as done",
     )
 
 

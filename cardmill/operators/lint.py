@@ -1,16 +1,16 @@
 """Tables of JSON extraction specs: what is wrong with them, and their rules.
 
-Both run inside each spec's own row; nothing is grouped or shuffled.
+Both run inside each spec's own row; nothing is grouped or shuffled. The JSON
+type and the text of every place are looked up once, then the checks are SQL
+conditions on those columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import strip
+from ..functions.values import WS
 from .rules import DEFAULT_NEXT, MODES, TRANSFORMS
 
 VIOLATION = "struct<path:string,problem:string>"
@@ -18,297 +18,273 @@ VIOLATION = "struct<path:string,problem:string>"
 # How a JSON number may be written inside a string.
 FLOAT_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INT_TEXT = r"^[+-]?[0-9]+$"
+# Limits of numbers (least value, whether it is itself allowed, whole numbers only).
+LIMITS = {
+    "pagination.start_page": (1, True, True),
+    "pagination.max_pages": (1, True, True),
+    "timeout": (0, False, False),
+    "retries": (0, True, True),
+    "retry_backoff": (0, True, False),
+}
+BLOCKS = ("item", "pagination", "output")
+FLAGS = ("output.deduplicate", "output.append", "respect_robots_txt", "verify_ssl", "stop_on_error")
+PLACES = (
+    *BLOCKS, *LIMITS, *FLAGS, "start_url", "item.container", "item.fields", "pagination.mode", "pagination.next_selector",
+    "pagination.link_selector", "pagination.url_template", "output.path", "output.encoding", "user_agents", "delay",
+    "delay.min", "delay.max",
+)
+FIELD_KEYS = ("selector", "name", "transform", "attribute", "required", "all")
+
+
+class Place:
+    """SQL about one place of the document, given its type and its text."""
+
+    def __init__(self, path: str, prefix: str = "") -> None:
+        self.path = path
+        self.kind, self.string = (f"{prefix}`{letter}:{path}`" for letter in "ks")
+        self.missing = f"{self.kind} is null"
+        self.null = f"coalesce({self.kind} = 'VOID', true)"
+        self.is_text = f"coalesce({self.kind} = 'STRING', false)"
+        self.is_flag = f"coalesce({self.kind} = 'BOOLEAN', false)"
+        self.is_object = f"coalesce({self.kind} like 'OBJECT%', false)"
+        self.is_list = f"coalesce({self.kind} like 'ARRAY%', false)"
+        self.is_number = f"coalesce({self.kind} rlike '^(BIGINT|DECIMAL|DOUBLE)', false)"
+        self.text = sql_strip(self.string)
+        self.bad_text = f"(not {self.is_text} or {self.text} = '')"
+        self.bad_flag = f"(not {self.null} and not {self.is_flag})"
+        # Neither null, false, zero, nor empty.
+        self.truthy = f"(not {self.null} and not coalesce({self.string} in ('', 'false', '0', '0.0', '[]', '{{}}'), false))"
+
+    def number(self, pattern: str = FLOAT_TEXT) -> str:
+        """The number, also from a string or a flag; null if it is none."""
+        plain = f"when {self.is_text} and {self.text} rlike r'{pattern}' then try_cast({self.text} as double)"
+        flag = f"when {self.is_flag} then if({self.string} = 'true', 1d, 0d)"
+        return f"(case when {self.is_number} then try_cast({self.string} as double) {plain} {flag} end)"
 
+    def check(self, bad: str, problem: str) -> str:
+        return f"case when {bad} then named_struct('path', '{self.path}', 'problem', '{problem}') end"
 
-class Json:
-    """A place in the spec document, with the JSON type found there."""
-
-    def __init__(self, root: Column, path: str, name: str) -> None:
-        self.name = name
-        self.value = F.try_variant_get(root, path, "variant")
-        self.kind = F.schema_of_variant(self.value)
-        self.string = F.try_variant_get(root, path, "string")
-
-    @property
-    def missing(self) -> Column:
-        return self.value.isNull()
-
-    @property
-    def null(self) -> Column:
-        return self.missing | (self.kind == "VOID")
-
-    def is_kind(self, *prefixes: str) -> Column:
-        result = F.lit(False)
-        for prefix in prefixes:
-            result = result | F.startswith(self.kind, F.lit(prefix))
-        return F.coalesce(result, F.lit(False))
-
-    @property
-    def is_text(self) -> Column:
-        return self.is_kind("STRING")
-
-    @property
-    def is_number(self) -> Column:
-        return self.is_kind("BIGINT", "DECIMAL", "DOUBLE")
 
-    @property
-    def truthy(self) -> Column:
-        """Neither null, false, zero, nor empty."""
-        empty = self.string.isin("", "false", "0", "0.0", "[]", "{}")
-        return ~self.null & ~F.coalesce(empty, F.lit(False))
+def sql_strip(text: str) -> str:
+    return rf"regexp_replace({text}, r'\A[{WS}]+|[{WS}]+\z', '')"
 
-    @property
-    def text(self) -> Column:
-        return strip(self.string)
 
-    @property
-    def bad_text(self) -> Column:
-        return ~self.is_text | (self.text == "")
+def looked_up(document: str, path: str, name: str | None = None) -> list[str]:
+    """SQL for the type and the text of a place."""
+    name = path if name is None else name
+    return [
+        f"schema_of_variant(try_variant_get({document}, '$.{path}', 'variant')) as `k:{name}`",
+        f"try_variant_get({document}, '$.{path}', 'string') as `s:{name}`",
+    ]
 
-    @property
-    def bad_flag(self) -> Column:
-        return ~self.null & ~self.is_kind("BOOLEAN")
 
-    def number(self, pattern: str) -> Column:
-        """The number, also from a string or a flag; null if it is none."""
-        plain = F.when(self.is_number, self.string).when(self.is_text & self.text.rlike(pattern), self.text)
-        return F.when(self.is_kind("BOOLEAN"), (self.string == "true").cast("double")).otherwise(
-            plain.try_cast("double")
-        )
-
-    def problem(self, bad: Column, text: str) -> Column:
-        return F.when(bad, F.struct(F.lit(self.name).alias("path"), F.lit(text).alias("problem")))
+def derived_name(selector: str) -> str:
+    """SQL: a column name from the last two words of a selector; null if it has none."""
+    words = rf"filter(split(regexp_replace({selector}, r'[^\p{{L}}\p{{N}} _-]', ' '), ' +'), word -> word <> '')"
+    last = "transform(slice(words, greatest(size(words) - 1, 1), 2), word -> regexp_replace(word, '^-+|-+$', ''))"
+    joined = f"array_join({last}, '_')"
+    name = f"case when size(words) > 0 then if({joined} <> '', {joined}, element_at(words, -1)) end"
+    return f"transform(array({words}), words -> {name})[0]"
 
 
-def _number_problem(place: Json, least: float, strict: bool, whole: bool = False, default: bool = True) -> Column:
-    value = place.number(INT_TEXT if whole else FLOAT_TEXT)
-    value = F.signum(value) * F.floor(F.abs(value)) if whole else value
-    low = (value <= least) if strict else (value < least)
-    problem = place.problem(value.isNull(), "expected a whole number" if whole else "expected a number")
-    limit = f"must be {'>' if strict else '>='} {least:g}"
-    problem = F.coalesce(problem, place.problem(low, limit))
-    return F.when(~place.missing, problem) if default else problem
+def field_name(selector: Place, name: Place) -> str:
+    given = f"when {name.truthy} then if({name.bad_text}, null, {name.text})"
+    return f"case {given} when not {selector.bad_text} then {derived_name(selector.text)} end"
 
 
-def _text_problem(place: Json, required: bool) -> Column:
-    return place.problem(place.bad_text if required else ~place.missing & place.bad_text, "expected a text")
+def _fields(specs: DataFrame) -> DataFrame:
+    """``spec`` as a variant and ``fields``: type and text of each rule's keys, with its name."""
+    parsed = specs.selectExpr("spec_id", "try_parse_json(spec_json) as spec")
+    keys = ", ".join(f"{looked}" for key in FIELD_KEYS for looked in looked_up("f", key))
+    listed = f"transform(try_variant_get(spec, '$.item.fields', 'array<variant>'), f -> struct(f, schema_of_variant(f) as kind, {keys}))"
+    parsed = parsed.selectExpr("*", f"{listed} as listed")
+    name = field_name(Place("selector", "r."), Place("name", "r."))
+    return parsed.selectExpr("*", f"transform(listed, r -> {name}) as names")
 
 
 def spec_lint(specs: DataFrame) -> DataFrame:
     """``spec_id, spec_json`` → every ``(spec_id, path, problem)``."""
-    rows = specs.select("spec_id", F.try_parse_json("spec_json").alias("spec"))
-    rows = rows.withColumn("fields", F.try_variant_get("spec", "$.item.fields", "array<variant>"))
-    spec = F.col("spec")
-    checks = [
-        *_root_checks(spec), *_item_checks(spec), *_pager_checks(spec), *_output_checks(spec), *_fetch_checks(spec),
-    ]
-    not_object = F.struct(F.lit("").alias("path"), F.lit("the document is not an object").alias("problem"))
-    whole = F.coalesce(F.startswith(F.schema_of_variant("spec"), F.lit("OBJECT")), F.lit(False))
-    numbered = F.transform("fields", lambda field, i: F.struct(field.alias("field"), i.alias("i")))
-    in_fields = F.flatten(F.transform(numbered, lambda e: F.array(*_field_checks(e["field"], e["i"]))))
-    names = F.filter(F.transform("fields", field_name), lambda name: name.isNotNull())
-    repeated = F.filter(
-        F.array_distinct(names), lambda name: F.size(F.filter(names, lambda other: other == name)) > 1
+    rows = _fields(specs).selectExpr(
+        "*",
+        "try_variant_get(spec, '$.user_agents', 'array<variant>') as agents",
+        *(looked for path in PLACES for looked in looked_up("spec", path)),
     )
-    duplicates = F.transform(
-        repeated, lambda name: F.struct(F.lit("item.fields").alias("path"), F.concat(F.lit("repeated name: "), name).alias("problem"))
-    )
-    none = F.array().cast(f"array<{VIOLATION}>")
-    found = F.concat(F.array(*checks), F.coalesce(in_fields, none), F.coalesce(duplicates, none))
-    found = F.when(whole, F.filter(found, lambda v: v.isNotNull())).otherwise(F.array(not_object))
-    return rows.select("spec_id", F.explode(found).alias("v")).select("spec_id", "v.path", "v.problem")
+    checks = [*_root_checks(), *_item_checks(), *_pager_checks(), *_output_checks(), *_fetch_checks()]
+    in_fields = f"flatten(transform(listed, (r, i) -> array({', '.join(_field_checks())})))"
+    repeated = """transform(
+        filter(array_distinct(names), name -> name is not null and size(filter(names, other -> other = name)) > 1),
+        name -> named_struct('path', 'item.fields', 'problem', concat('repeated name: ', name)))"""
+    none = f"cast(array() as array<{VIOLATION}>)"
+    found = f"filter(concat(array({', '.join(checks)}), coalesce({in_fields}, {none}), coalesce({repeated}, {none})), v -> v is not null)"
+    not_object = "array(named_struct('path', '', 'problem', 'the document is not an object'))"
+    whole = "coalesce(schema_of_variant(spec) like 'OBJECT%', false)"
+    problems = rows.select("spec_id", F.explode(F.expr(f"if({whole}, {found}, {not_object})")).alias("v"))
+    return problems.select("spec_id", "v.path", "v.problem")
 
 
-def _root_checks(spec: Column) -> list[Column]:
-    url = Json(spec, "$.start_url", "start_url")
-    return [
-        F.coalesce(
-            url.problem(url.missing, "missing"),
-            url.problem(url.bad_text, "expected a text"),
-            url.problem(~url.text.rlike("^https?://"), "must start with http:// or https://"),
-        )
-    ]
+def _first(*checks: str) -> str:
+    return f"coalesce({', '.join(checks)})"
 
 
-def _item_checks(spec: Column) -> list[Column]:
-    item, container = Json(spec, "$.item", "item"), Json(spec, "$.item.container", "item.container")
-    fields = Json(spec, "$.item.fields", "item.fields")
-    block = F.coalesce(
-        item.problem(item.null, "missing"), item.problem(~item.is_kind("OBJECT"), "expected an object")
-    )
-    is_list = fields.is_kind("ARRAY") & (F.size(F.try_variant_get(spec, "$.item.fields", "array<variant>")) > 0)
-    inside = item.is_kind("OBJECT")
-    return [
-        block,
-        F.when(inside, _text_problem(container, required=True)),
-        F.when(inside, fields.problem(~F.coalesce(is_list, F.lit(False)), "expected a list of rules")),
-    ]
+def _inside(condition: str, checks: list[str]) -> list[str]:
+    return [f"if({condition}, {check}, null)" for check in checks]
 
 
-def _field_checks(field: Column, place: Column) -> list[Column]:
-    def at(key: str) -> Json:
-        return Json(field, f"$.{key}", key)
+def _number_check(path: str, least: float, may_equal: bool, whole: bool) -> str:
+    place = Place(path)
+    value = place.number(INT_TEXT if whole else FLOAT_TEXT)
+    rounded = f"(sign({value}) * floor(abs({value})))" if whole else value
+    low = f"{rounded} {'<' if may_equal else '<='} {least}"
+    return _first(
+        place.check(f"not {place.missing} and {value} is null", f"expected a {'whole ' if whole else ''}number"),
+        place.check(low, f"must be {'>=' if may_equal else '>'} {least}"),
+    )
 
-    selector, name, transform = at("selector"), at("name"), at("transform")
-    attribute = at("attribute")
-    derived = F.when(~selector.bad_text, derived_name(selector.text))
-    rule = F.startswith(F.schema_of_variant(field), F.lit("OBJECT"))
-    checks: list[tuple[str, Column, str]] = [
-        ("selector", selector.missing, "missing"),
-        ("selector", ~selector.missing & selector.bad_text, "expected a text"),
-        ("name", name.truthy & name.bad_text, "expected a text"),
-        ("name", ~name.truthy & ~selector.bad_text & derived.isNull(), "no name in the selector"),
-        ("transform", ~transform.missing & ~F.coalesce(transform.is_text & transform.string.isin(*TRANSFORMS), F.lit(False)),
-         "unknown transform"),
-        ("attribute", ~attribute.null & attribute.bad_text, "expected a text"),
-        ("required", at("required").bad_flag, "expected true or false"),
-        ("all", at("all").bad_flag, "expected true or false"),
-    ]
 
-    def problem(key: str, bad: Column, text: str) -> Column:
-        path = F.concat(F.lit("item.fields["), place.cast("string"), F.lit(f"].{key}"))
-        return F.when(rule & bad, F.struct(path.alias("path"), F.lit(text).alias("problem")))
+def _optional_text(path: str, null_allowed: bool) -> str:
+    place = Place(path)
+    absent = place.null if null_allowed else place.missing
+    return place.check(f"not {absent} and {place.bad_text}", "expected a text")
 
-    whole = F.concat(F.lit("item.fields["), place.cast("string"), F.lit("]"))
-    no_rule = F.when(~rule, F.struct(whole.alias("path"), F.lit("expected an object").alias("problem")))
-    return [no_rule, *(problem(*check) for check in checks)]
 
+def _block_check(path: str) -> str:
+    place = Place(path)
+    return place.check(f"not {place.null} and not {place.is_object}", "expected an object")
 
-def _pager_checks(spec: Column) -> list[Column]:
-    def at(key: str) -> Json:
-        return Json(spec, f"$.pagination.{key}", f"pagination.{key}")
 
-    block, mode, template = Json(spec, "$.pagination", "pagination"), at("mode"), at("url_template")
-    following, links = at("next_selector"), at("link_selector")
-    known = F.coalesce(mode.is_text & mode.string.isin(*MODES), F.lit(False))
-    active = F.when(mode.missing, "next").when(known, mode.string)
+def _flag_check(path: str) -> str:
+    return Place(path).check(Place(path).bad_flag, "expected true or false")
 
-    def optional(place: Json) -> Column:
-        return place.problem(~place.null & place.bad_text, "expected a text")
 
-    without_page = ~template.null & ~template.bad_text & ~F.contains(template.string, F.lit("{page}"))
-    # Braces other than {page} have no meaning in a template.
-    braces = F.regexp_replace(template.string, r"\{page\}", "").rlike(r"[{}]")
-    checks = [
-        mode.problem(~mode.missing & ~known, "unknown mode"),
-        optional(following),
-        optional(links),
-        optional(template),
-        template.problem(without_page, "lacks {page}"),
-        template.problem(~template.null & ~template.bad_text & ~without_page & braces, "braces other than {page}"),
-        following.problem((active == "next") & ~following.missing & following.null, "needed for mode next"),
-        links.problem((active == "links") & links.null, "needed for mode links"),
-        template.problem((active == "template") & template.null, "needed for mode template"),
-        _number_problem(at("start_page"), 1, strict=False, whole=True),
-        _number_problem(at("max_pages"), 1, strict=False, whole=True),
+def _root_checks() -> list[str]:
+    url = Place("start_url")
+    return [
+        _first(
+            url.check(url.missing, "missing"),
+            url.check(url.bad_text, "expected a text"),
+            url.check(f"not {url.text} rlike '^https?://'", "must start with http:// or https://"),
+        )
     ]
-    bad_block = block.problem(~block.null & ~block.is_kind("OBJECT"), "expected an object")
-    return [bad_block, *(F.when(block.null | block.is_kind("OBJECT"), check) for check in checks)]
-
-
-def _output_checks(spec: Column) -> list[Column]:
-    block = Json(spec, "$.output", "output")
-
-    def at(key: str) -> Json:
-        return Json(spec, f"$.output.{key}", f"output.{key}")
 
-    checks = [_text_problem(at(key), required=False) for key in ("path", "encoding")]
-    checks += [at(key).problem(at(key).bad_flag, "expected true or false") for key in ("deduplicate", "append")]
-    return [block.problem(~block.null & ~block.is_kind("OBJECT"), "expected an object"), *checks]
 
+def _item_checks() -> list[str]:
+    item, container, fields = Place("item"), Place("item.container"), Place("item.fields")
+    inner = [
+        container.check(container.bad_text, "expected a text"),
+        fields.check(f"not {fields.is_list} or coalesce(size(listed) = 0, true)", "expected a list of rules"),
+    ]
+    return [item.check(item.null, "missing"), _block_check("item"), *_inside(item.is_object, inner)]
 
-def _fetch_checks(spec: Column) -> list[Column]:
-    def at(key: str) -> Json:
-        return Json(spec, f"$.{key}", key)
 
-    agents, delay = at("user_agents"), at("delay")
-    listed = F.try_variant_get(spec, "$.user_agents", "array<variant>")
-    blank_agent = F.exists(
-        listed,
-        lambda a: (F.schema_of_variant(a) != "STRING") | (strip(F.try_variant_get(a, "$", "string")) == ""),
-    )
-    low, high = Json(spec, "$.delay.min", "delay.min"), Json(spec, "$.delay.max", "delay.max")
-    least = F.when(low.missing, F.lit(1.0)).otherwise(low.number(FLOAT_TEXT))
-    most = F.when(high.missing, F.lit(3.0)).otherwise(high.number(FLOAT_TEXT))
-    plain = delay.is_number | delay.is_kind("BOOLEAN")
-    block = delay.is_kind("OBJECT")
+def _field_checks() -> list[str]:
+    """Checks of rule ``r``, the ``i``-th of its spec."""
+    selector, name, transform, attribute, required, every = (Place(key, "r.") for key in FIELD_KEYS)
+    known = ", ".join(f"'{t}'" for t in TRANSFORMS)
     checks = [
-        agents.problem(
-            ~agents.null
-            & ~(agents.is_text & (agents.text != ""))
-            & ~F.coalesce(agents.is_kind("ARRAY") & (F.size(listed) > 0) & ~blank_agent, F.lit(False)),
-            "expected a list of texts",
-        ),
-        delay.problem(delay.truthy & ~plain & ~block, "expected a number or an object"),
-        F.when(plain, Json(spec, "$.delay", "delay.min").problem(delay.number(FLOAT_TEXT) < 0, "must be >= 0")),
-        F.when(block, _number_problem(low, 0, strict=False)),
-        F.when(block, _number_problem(high, 0, strict=False)),
-        F.when(block, low.problem(least > most, "is above delay.max")),
-        _number_problem(at("timeout"), 0, strict=True),
-        _number_problem(at("retries"), 0, strict=False, whole=True),
-        _number_problem(at("retry_backoff"), 0, strict=False),
+        ("selector", selector.missing, "missing"),
+        ("selector", f"not {selector.missing} and {selector.bad_text}", "expected a text"),
+        ("name", f"{name.truthy} and {name.bad_text}", "expected a text"),
+        ("name", f"not {name.truthy} and not {selector.bad_text} and names[i] is null", "no name in the selector"),
+        ("transform", f"not {transform.missing} and not coalesce({transform.string} in ({known}), false)", "unknown transform"),
+        ("attribute", f"not {attribute.null} and {attribute.bad_text}", "expected a text"),
+        ("required", required.bad_flag, "expected true or false"),
+        ("all", every.bad_flag, "expected true or false"),
+    ]
+    is_rule = "coalesce(r.kind like 'OBJECT%', false)"
+    wrong = [
+        f"case when {is_rule} and {bad} then named_struct('path', concat('item.fields[', i, '].{key}'), 'problem', '{problem}') end"
+        for key, bad, problem in checks
+    ]
+    no_rule = f"case when not {is_rule} then named_struct('path', concat('item.fields[', i, ']'), 'problem', 'expected an object') end"
+    return [no_rule, *wrong]
+
+
+def _pager_checks() -> list[str]:
+    block, mode, template = Place("pagination"), Place("pagination.mode"), Place("pagination.url_template")
+    following, links = Place("pagination.next_selector"), Place("pagination.link_selector")
+    names = ", ".join(f"'{m}'" for m in MODES)
+    known = f"({mode.is_text} and {mode.string} in ({names}))"
+    active = f"(case when {mode.missing} then 'next' when {known} then {mode.string} end)"
+    usable = f"(not {template.null} and not {template.bad_text})"
+    placed = f"contains({template.string}, '{{page}}')"
+    # Braces other than {page} have no meaning in a template.
+    braces = rf"regexp_replace({template.string}, r'\{{page\}}', '') rlike '[{{}}]'"
+    checks = [
+        mode.check(f"not {mode.missing} and not {known}", "unknown mode"),
+        *(_optional_text(place.path, null_allowed=True) for place in (following, links, template)),
+        template.check(f"{usable} and not {placed}", "lacks {page}"),
+        template.check(f"{usable} and {placed} and {braces}", "braces other than {page}"),
+        following.check(f"{active} = 'next' and not {following.missing} and {following.null}", "needed for mode next"),
+        links.check(f"{active} = 'links' and {links.null}", "needed for mode links"),
+        template.check(f"{active} = 'template' and {template.null}", "needed for mode template"),
+        *(_number_check(path, *limits) for path, limits in LIMITS.items() if path.startswith("pagination.")),
+    ]
+    return [_block_check("pagination"), *_inside(f"{block.null} or {block.is_object}", checks)]
+
+
+def _output_checks() -> list[str]:
+    checks = [_optional_text(path, null_allowed=False) for path in ("output.path", "output.encoding")]
+    return [_block_check("output"), *checks, *(_flag_check(path) for path in FLAGS if path.startswith("output."))]
+
+
+def _fetch_checks() -> list[str]:
+    agents, delay, low, high = (Place(path) for path in ("user_agents", "delay", "delay.min", "delay.max"))
+    blank = f"""exists(agents, a -> schema_of_variant(a) <> 'STRING'
+        or {sql_strip("try_variant_get(a, '$', 'string')")} = '')"""
+    usable = f"({agents.is_text} and {agents.text} <> '') or ({agents.is_list} and size(agents) > 0 and not {blank})"
+    # Bounds used where a spec gives none.
+    least, most = f"if({low.missing}, 1d, {low.number()})", f"if({high.missing}, 3d, {high.number()})"
+    plain = f"({delay.is_number} or {delay.is_flag})"
+    parts = [
+        _number_check("delay.min", 0, True, False),
+        _number_check("delay.max", 0, True, False),
+        low.check(f"{least} > {most}", "is above delay.max"),
+    ]
+    return [
+        agents.check(f"not {agents.null} and not coalesce({usable}, false)", "expected a list of texts"),
+        delay.check(f"{delay.truthy} and not {plain} and not {delay.is_object}", "expected a number or an object"),
+        low.check(f"{plain} and {delay.number()} < 0", "must be >= 0"),
+        *_inside(delay.is_object, parts),
+        *(_number_check(path, *limits) for path, limits in LIMITS.items() if not path.startswith("pagination.")),
+        *(_flag_check(path) for path in FLAGS if not path.startswith("output.")),
     ]
-    flags = ("respect_robots_txt", "verify_ssl", "stop_on_error")
-    return [*checks, *(at(flag).problem(at(flag).bad_flag, "expected true or false") for flag in flags)]
-
-
-def derived_name(selector: Column) -> Column:
-    """A column name from the last two words of a selector; null if it has none."""
-    words = F.split(strip(F.regexp_replace(selector, r"[^\p{L}\p{N} _-]", " ")), " +")
-    words = F.filter(words, lambda word: word != "")
-    joined = F.array_join(F.transform(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), _bare), "_")
-    return F.when(F.size(words) > 0, F.when(joined != "", joined).otherwise(F.element_at(words, -1)))
-
-
-def _bare(word: Column) -> Column:
-    return F.regexp_replace(word, "^-+|-+$", "")
-
-
-def field_name(field: Column) -> Column:
-    name, selector = Json(field, "$.name", "name"), Json(field, "$.selector", "selector")
-    return F.when(name.truthy, F.when(~name.bad_text, name.text)).when(~selector.bad_text, derived_name(selector.text))
 
 
 def spec_fields(specs: DataFrame) -> DataFrame:
     """One row per field rule with its defaults filled in."""
-    parsed = specs.select("spec_id", F.try_parse_json("spec_json").alias("spec"))
-    fields = F.try_variant_get("spec", "$.item.fields", "array<variant>")
-    rows = parsed.select("spec_id", F.posexplode(fields).alias("field_no", "field"))
-
-    def value(key: str, kind: str = "string") -> Column:
-        return F.try_variant_get("field", f"$.{key}", kind)
-
-    defaults: dict[str, Callable[[], Column]] = {
-        "attribute": lambda: strip(value("attribute")),
-        "transform": lambda: F.coalesce(value("transform"), F.lit("text")),
-        "required": lambda: F.coalesce(value("required", "boolean"), F.lit(False)),
-        "collect_all": lambda: F.coalesce(value("all", "boolean"), F.lit(False)),
-        "join_with": lambda: F.coalesce(value("join_with"), F.lit(" ")),
-    }
-    return rows.select(
+    zipped = F.arrays_zip(F.col("listed.f").alias("field"), F.col("names").alias("name"))
+    rows = _fields(specs).select("spec_id", F.posexplode(zipped).alias("field_no", "rule"))
+
+    def value(key: str, kind: str = "string") -> str:
+        return f"try_variant_get(rule.field, '$.{key}', '{kind}')"
+
+    return rows.selectExpr(
         "spec_id",
-        F.col("field_no").cast("int").alias("field_no"),
-        field_name(F.col("field")).alias("name"),
-        strip(value("selector")).alias("selector"),
-        *(make().alias(key) for key, make in defaults.items()),
+        "field_no",
+        "rule.name",
+        f"{sql_strip(value('selector'))} as selector",
+        f"{sql_strip(value('attribute'))} as attribute",
+        f"coalesce({value('transform')}, 'text') as transform",
+        f"coalesce({value('required', 'boolean')}, false) as required",
+        f"coalesce({value('all', 'boolean')}, false) as collect_all",
+        f"coalesce({value('join_with')}, ' ') as join_with",
     )
 
 
 def spec_crawls(specs: DataFrame) -> DataFrame:
     """The crawl of each spec with its defaults filled in."""
-    parsed = specs.select("spec_id", F.try_parse_json("spec_json").alias("spec"))
-
-    def value(path: str, kind: str = "string") -> Column:
-        return F.try_variant_get("spec", f"$.{path}", kind)
-
-    return parsed.select(
-        F.col("spec_id").alias("crawl_id"),
-        strip(value("start_url")).alias("start_url"),
-        F.coalesce(value("pagination.mode"), F.lit("next")).alias("mode"),
-        F.coalesce(value("pagination.next_selector"), F.lit(DEFAULT_NEXT)).alias("next_selector"),
-        value("pagination.link_selector").alias("link_selector"),
-        value("pagination.url_template").alias("url_template"),
-        F.coalesce(value("pagination.start_page", "long"), F.lit(1)).alias("start_page"),
-        F.coalesce(value("pagination.max_pages", "long"), F.lit(10)).alias("max_pages"),
-        F.coalesce(value("stop_on_error", "boolean"), F.lit(True)).alias("stop_on_error"),
+
+    def value(path: str, kind: str = "string") -> str:
+        return f"try_variant_get(spec, '$.{path}', '{kind}')"
+
+    return specs.selectExpr("spec_id", "try_parse_json(spec_json) as spec").selectExpr(
+        "spec_id as crawl_id",
+        f"{sql_strip(value('start_url'))} as start_url",
+        f"coalesce({value('pagination.mode')}, 'next') as mode",
+        f"coalesce({value('pagination.next_selector')}, '{DEFAULT_NEXT}') as next_selector",
+        f"{value('pagination.link_selector')} as link_selector",
+        f"{value('pagination.url_template')} as url_template",
+        f"coalesce({value('pagination.start_page', 'long')}, 1) as start_page",
+        f"coalesce({value('pagination.max_pages', 'long')}, 10) as max_pages",
+        f"coalesce({value('stop_on_error', 'boolean')}, true) as stop_on_error",
     )

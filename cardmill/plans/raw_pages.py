@@ -12,7 +12,7 @@ from ..operators.extract import page_facts, parse_pages, records
 from ..operators.rules import FieldRule, PageRules
 from ..session import new_dir
 from ..sources.csv_output import read_output, write_records
-from ..sources.pages import latest_pages, read_pages
+from ..sources.pages import latest_pages, read_pages, spread
 from ..streaming import records as streams
 from .catalogue import price_text, read
 from .registry import query
@@ -229,6 +229,9 @@ def bumped_pages(spark, sf_dir):
     return stored.unionByName(orders.withColumn("bumped", bump_page(url, -1)))
 
 
+LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+
+
 @query(
     """SELECT l_orderkey, l_linenumber, l_partkey, price, CASE WHEN odd THEN '' ELSE price END AS "float",
       CASE WHEN odd THEN '' ELSE split_part(price, '.', 1) END AS "int" FROM (
@@ -249,7 +252,7 @@ def price_transforms(spark, sf_dir):
         .when(key % 23 == 0, F.concat(F.lit("-"), units, F.lit(","), part, F.lit(" руб.")))
         .otherwise(price_text(key, cents))
     )
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw"))
+    rows = spread(read(spark, sf_dir, "lineitem").select(*LINE)).select("l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw"))
     raw = F.col("raw")
     return rows.select(
         "l_orderkey", "l_linenumber", "l_partkey",
@@ -268,5 +271,6 @@ SQL_SPACE = (
 )
 def text_transforms(spark, sf_dir):
     padded = F.concat(F.lit(" \n"), F.col("text"), F.lit("  \x1f"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", padded.alias("raw"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", padded.alias("raw"))
     return docs.select("doc_id", text(F.col("raw")).alias("collapsed"), strip(F.col("raw")).alias("stripped"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lint import spec_crawls, spec_fields, spec_lint
+from ..sources.pages import spread
 from .catalogue import read
 from .registry import query
 
@@ -71,7 +72,7 @@ FIELDS: dict[int, list[tuple[str, str, str | None, str, bool, bool, str]]] = {
 def specs(spark, sf_dir: str) -> DataFrame:
     documents = F.array(*(F.lit(json.dumps(document)) for document, _ in CASES))
     document = F.element_at(documents, (F.col("c_custkey") % len(CASES) + 1).cast("int"))
-    return read(spark, sf_dir, "customer").select(
+    return spread(read(spark, sf_dir, "customer").select("c_custkey")).select(
         F.col("c_custkey").alias("spec_id"),
         F.replace(document, F.lit("#ID#"), F.col("c_custkey").cast("string")).alias("spec_json"),
     )

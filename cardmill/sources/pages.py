@@ -21,16 +21,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spread(spark.read.schema(PAGES).parquet(path))
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """Give the parse stage enough tasks.
+def spread(scan: DataFrame) -> DataFrame:
+    """Give the work on a freshly scanned table enough tasks.
 
-    A large table already scans in many splits and is left alone, so its HTML is
+    A large table already scans in many splits and is left alone, so HTML is
     never shuffled; only a table of few row groups is dealt out to the cores.
     """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.isStreaming or pages.rdd.getNumPartitions() >= cores:
-        return pages
-    return pages.repartition(cores)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def latest_pages(pages: DataFrame) -> DataFrame:
