@@ -24,6 +24,7 @@ from .robots import is_allowed
 
 CHUNK = 1000
 LEVELS_AT_ONCE = 8
+EDGES_PER_TASK = 1_000_000
 CRAWL_COLUMNS = ("crawl_id", "mode", "max_pages", "stop_on_error")
 FACT_COLUMNS = (
     "ok", "error", "found", "kept", "skipped", "empty_fields", "requests", "next_url", "pager_urls", "kept_cards",
@@ -119,10 +120,7 @@ def _next(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
 
 def _links(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
     spark = crawls.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = facts.filter(_has_rows() & (F.size("pager_urls") > 0)).select("url", "pager_urls")
-    # Placed by URL once: every level then moves the frontier only.
-    edges = edges.repartition(tasks, "url").persist()
+    edges = place_by_url(facts.filter(_has_rows() & (F.size("pager_urls") > 0)).select("url", "pager_urls"))
     folder = new_dir(spark, "links")
     state = _start(crawls).select(
         "crawl_id", "max_pages", "url", F.array("url").alias("seen"), F.lit(False).alias("done")
@@ -144,6 +142,17 @@ def _links(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
     )
 
 
+def place_by_url(edges: DataFrame) -> DataFrame:
+    """Dealt out and sorted by URL once: each level then moves the frontier only.
+
+    The copy on executors is a cache of a written table, so losing one of them
+    costs reading its part again.
+    """
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, edges.count() // EDGES_PER_TASK)
+    return edges.repartition(tasks, "url").sortWithinPartitions("url").persist()
+
+
 def _advance(joined: DataFrame) -> DataFrame:
     """To the first link of the page that this walk has not seen."""
     following = joined.selectExpr(

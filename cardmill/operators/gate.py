@@ -62,13 +62,13 @@ def resolve_attempts(log: DataFrame, retries: int = 3, allowed: Sequence[str] =
     )
 
 
-def fetched_pages(log: DataFrame, retries: int = 3, allowed: Sequence[str] = HTML_TYPES) -> DataFrame:
-    """``url, html`` of every URL whose outcome is a page.
+def fetched_pages(log: DataFrame, outcomes: DataFrame, allowed: Sequence[str] = HTML_TYPES) -> DataFrame:
+    """``url, html`` of every URL whose outcome (``resolve_attempts``) is a page.
 
     Usable responses that are not the outcome are few; they are taken out by
     key, so the bodies themselves are not shuffled.
     """
     usable = classify(log, allowed).filter("ok")
-    taken = resolve_attempts(log, retries, allowed).filter("ok").select("url", "attempt")
+    taken = outcomes.filter("ok").select("url", "attempt")
     unused = usable.select("url", "attempt").join(taken, ["url", "attempt"], "left_anti")
     return drop_keys(usable, unused, ["url", "attempt"]).select("url", F.col("body").alias("html"))

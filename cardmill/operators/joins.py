@@ -13,11 +13,12 @@ SMALL_ROWS = 1_000_000
 HOT_SHARE = 1 / 64
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Measured, on at most one row more than the limit: rows and text bytes."""
-    size = sum((F.length(F.to_json(F.struct(name))) for name in df.columns), F.lit(0))
-    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+def fits_broadcast(table: DataFrame) -> bool:
+    """Measured rows and text bytes of a written table."""
+    if table.count() > BROADCAST_ROWS:
+        return False
+    size = sum((F.length(F.to_json(F.struct(name))) for name in table.columns), F.lit(0))
+    return table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BROADCAST_BYTES
 
 
 def drop_keys(df: DataFrame, keys: DataFrame, key: str | list[str]) -> DataFrame:

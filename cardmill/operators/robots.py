@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import after_origin, origin, unquote
 from ..functions.values import strip
+from ..session import materialise
 from .joins import drop_keys, fits_broadcast, lookup
 
 # Line breaks, directives that complete a group, first user agent.
@@ -79,7 +80,8 @@ def robots_policy(bodies: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
 
     The first group naming the agent counts, else the first ``*`` group. A body
     refused with 401/403 or a server error closes the origin; other client
-    errors and connection errors (null status) leave it open.
+    errors and connection errors (null status) leave it open. The result is a
+    written table: it is measured and joined several times.
     """
     token = user_agent.split("/")[0].lower()
     is_default = F.array_contains("agents", "*")
@@ -93,7 +95,7 @@ def robots_policy(bodies: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
     )
     status = F.col("robots_status")
     closed = F.coalesce(status.isin(401, 403) | (status >= 500), F.lit(False))
-    return bodies.select("origin", closed.alias("closed")).join(chosen, "origin", "left")
+    return materialise(bodies.select("origin", closed.alias("closed")).join(chosen, "origin", "left"), "policy")
 
 
 def is_allowed(url: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.extract import page_facts, parse_pages
 from ..operators.rules import FieldRule, PageRules, PagerRules
 from ..session import materialise
+from ..sources.pages import spread
 
 PER_PAGE = 20
 SITE = "https://shop.example"
@@ -117,8 +118,7 @@ def render(part: DataFrame, faults: bool = False, loops: bool = False) -> DataFr
         F.struct("rn", _card().alias("html")).alias("card"),
     )
     # A group is one page: 20 cards.
-    dealt = cards.repartition(part.sparkSession.sparkContext.defaultParallelism, "brand", "page_no")
-    pages = dealt.groupBy("brand", "page_no", "pages").agg(F.array_sort(F.collect_list("card")).alias("cards"))
+    pages = cards.groupBy("brand", "page_no", "pages").agg(F.array_sort(F.collect_list("card")).alias("cards"))
     brand, page, last = F.col("brand"), F.col("page_no"), F.col("pages")
     body = F.array_join(F.transform("cards", lambda c: c["html"]), "\n")
     if faults:
@@ -155,7 +155,7 @@ def render(part: DataFrame, faults: bool = False, loops: bool = False) -> DataFr
 
 def catalogue_parsed(spark: SparkSession, sf_dir: str, rules: PageRules = CARD_RULES, **options: bool) -> DataFrame:
     pages = catalogue_pages(spark, sf_dir, **options)
-    return parse_pages(pages, rules, PAGER_RULES, keep=("brand", "page_no", "page_id", "url"))
+    return parse_pages(spread(pages), rules, PAGER_RULES, keep=("brand", "page_no", "page_id", "url"))
 
 
 def catalogue_facts(spark: SparkSession, sf_dir: str, **options: bool) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators.gate import fetched_pages, resolve_attempts
 from ..operators.robots import allowed_pages, robots_policy
 from ..operators.rules import FieldRule, PageRules
 from ..operators.stats import crawl_errors, crawl_stats
+from ..session import materialise
 from .catalogue import (
     CARD_RULES,
     PAGER_RULES,
@@ -271,9 +272,10 @@ def gated_crawl(spark, sf_dir):
     """
     log = catalogue_log(catalogue_pages(spark, sf_dir))
     policy = robots_policy(catalogue_robots(spark, sf_dir))
-    pages = allowed_pages(fetched_pages(log), policy)
+    outcomes = materialise(resolve_attempts(log), "outcomes")
+    pages = allowed_pages(fetched_pages(log, outcomes), policy)
     read = page_facts(parse_pages(pages, CARD_RULES, PAGER_RULES, keep=["url"]), CARD_RULES, keep=["url"])
-    stored = site_facts(read, resolve_attempts(log))
+    stored = site_facts(read, outcomes)
     visited = crawl(brand_crawls(spark, sf_dir, "next", DEPTH), stored, policy)
     stats = readable(crawl_stats(visited, CARD_RULES.names))
     return stats.select("crawl_id", "pages", "requests", "errors", "first_errors", "finish_reason")

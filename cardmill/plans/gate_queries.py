@@ -75,7 +75,8 @@ def attempt_outcomes(spark, sf_dir):
 
 @query("SELECT url, html FROM pages WHERE page_id % 8 IN (0, 1, 7)")
 def fetched_bodies(spark, sf_dir):
-    return fetched_pages(fetch_log(read(spark, sf_dir, "pages")), RETRIES)
+    log = fetch_log(read(spark, sf_dir, "pages"))
+    return fetched_pages(log, resolve_attempts(log, RETRIES))
 
 
 def robots_bodies(pages: DataFrame) -> DataFrame:

@@ -141,9 +141,10 @@ def test_fetch_log_and_robots(spark):
     policy = robots_policy(
         spark.createDataFrame([(BASE, 200, "User-agent: *\nDisallow: /private\n")], "origin string, robots_status int, body string")
     )
-    pages = allowed_pages(fetched_pages(log, 1), policy)
+    outcomes = resolve_attempts(log, 1)
+    pages = allowed_pages(fetched_pages(log, outcomes), policy)
     read = page_facts(parse_pages(pages, RULES, PAGER, keep=["url"]), RULES, keep=["url"])
-    facts = site_facts(read, resolve_attempts(log, 1))
+    facts = site_facts(read, outcomes)
     _, stats = run(spark, facts, policy)
     assert (stats.pages, stats.rows, stats.requests, stats.errors) == (3, 9, 4, 0)
     _, stats = run(spark, facts, policy, start_url=f"{BASE}/private/x")
@@ -249,3 +250,19 @@ def test_hot_keys_meet_the_broadcast_rows_only(spark, monkeypatch):
         got = joins.lookup(df, lookup_table, "k", how)
         assert "Union" in got._jdf.queryExecution().optimizedPlan().toString()
         assert sorted(map(str, got.select("id", "k", "v").collect())) == sorted(map(str, want.select("id", "k", "v").collect()))
+
+
+def test_placed_edges_are_not_moved_again(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = walks.place_by_url(graph(spark)[0].select("url", "pager_urls"))
+        state = spark.sql("select 1 as crawl_id, 9 as max_pages, 'n0' as url, array('n0') as seen, false as done")
+        for _ in range(2):
+            state = walks._advance(state.join(edges, "url", "left"))
+        plan = state._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2
+        # Two for the frontier, and the one inside the cached table shown under each of its uses.
+        assert plan.count("ENSURE_REQUIREMENTS") == 2
+        edges.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

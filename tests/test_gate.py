@@ -67,9 +67,10 @@ def test_only_bodies_of_outcomes_are_pages(spark, monkeypatch):
         ("b", 1, 404, HTML, "none", None), ("b", 2, 200, HTML, "too late", None), ("c", 1, 200, HTML, "page c", None),
     ]
     want = {("a", "page a"), ("c", "page c")}
-    assert {tuple(r) for r in fetched_pages(log(spark, *rows)).collect()} == want
+    table = log(spark, *rows)
+    assert {tuple(r) for r in fetched_pages(table, resolve_attempts(table)).collect()} == want
     monkeypatch.setattr("cardmill.operators.joins.BROADCAST_ROWS", 0)
-    assert {tuple(r) for r in fetched_pages(log(spark, *rows)).collect()} == want
+    assert {tuple(r) for r in fetched_pages(table, resolve_attempts(table)).collect()} == want
 
 
 def test_attempt_limit_is_applied_before_the_shuffle(spark):
