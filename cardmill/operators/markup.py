@@ -14,19 +14,22 @@ from collections.abc import Callable
 from html import unescape
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
+    r"<!--(?:-?>|.*?(?:(-->)|\Z))|<[!?][^>]*+>"
     r"|</([a-zA-Z][^\s/>]*+)[^>]*+>"
     r"|<([a-zA-Z][^\s/>]*+)"
     r"""((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+)>""",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
-UNFINISHED_TAG = re.compile(r"</?[a-zA-Z]")
-SPACES = re.compile(r"\s+")
+OPEN_COMMENT = re.compile(r"<!--(?!-?>)")
+UNFINISHED_TAG = re.compile(r"</?[a-zA-Z]|<!--")
+# In an attribute "&section=" is no reference to "&sect;".
+REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
 
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = frozenset(("script", "style", "textarea", "title"))
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW_TEXT}
 ENTITY_TEXT = frozenset(("textarea", "title"))
 OWN_TEXT = frozenset(("script", "style", "template", "rt", "rp"))
 BLOCK = frozenset(
@@ -75,79 +78,91 @@ class Markup:
         self.texts: list[str] = []
         self.text_owner: list[str] = []
         self.by_tag: dict[str, list[int]] = {}
-        self._raw: list[str] = []
+        self.raw: list[str] = []
         self._attrs: dict[int, dict[str, str]] = {}
         self._siblings: tuple[list[int], list[int]] | None = None
         self._scan(html)
 
     def _scan(self, html: str) -> None:
+        tag, parent, end, raw = self.tag, self.parent, self.end, self.raw
+        texts, text_from, text_to, by_tag = self.texts, self.text_from, self.text_to, self.by_tag
         stack: list[int] = []
         owners: list[str] = []
-        position = 0
-        token = TOKEN.search(html)
-        while token is not None:
-            if token.start() > position:
-                self._add_text(html[position : token.start()], owners)
+        # How many elements of a name are open: most searches of the stack need not start.
+        opened: dict[str, int] = {}
+        # Up to the last ">" every tag is complete, so no search runs to the end in vain.
+        limit = html.rfind(">") + 1
+        position, tokens = 0, TOKEN.finditer(html, 0, limit)
+        while (token := next(tokens, None)) is not None:
+            start = token.start()
+            if start > position:
+                self._add_text(html[position:start], owners)
             position = token.end()
-            closing, opening, attributes = token.groups()
+            closing, opening, attributes = token.group(2, 3, 4)
             if opening is not None:
                 name = opening.lower()
                 if name in CLOSES:
-                    self._close_open(stack, owners, *CLOSES[name])
-                node = self._open(name, attributes, stack)
-                if name in VOID:
-                    self._finish(node)
-                elif name in RAW_TEXT:
-                    stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, position)
-                    body = html[position : stop.start()] if stop else html[position:]
-                    if body:
-                        self.texts.append(unescape(body) if name in ENTITY_TEXT else body)
-                        self.text_owner.append(name if name in OWN_TEXT else owners[-1] if owners else "")
-                    position = stop.end() if stop else len(html)
-                    self._finish(node)
+                    closed, scope = CLOSES[name]
+                    if any(map(opened.get, closed)):
+                        self._close_open(stack, owners, opened, closed, scope)
+                node = len(tag)
+                tag.append(name)
+                parent.append(stack[-1] if stack else -1)
+                raw.append(attributes)
+                end.append(node + 1)
+                text_from.append(len(texts))
+                text_to.append(len(texts))
+                if name in by_tag:
+                    by_tag[name].append(node)
                 else:
+                    by_tag[name] = [node]
+                if name in RAW_TEXT:
+                    position = self._add_raw_text(html, position, limit, name, owners)
+                    text_to[node] = len(texts)
+                    tokens = TOKEN.finditer(html, position, limit)
+                elif name not in VOID:
                     stack.append(node)
+                    opened[name] = opened.get(name, 0) + 1
                     if name in OWN_TEXT:
                         owners.append(name)
             elif closing is not None:
                 name = closing.lower()
-                for depth in range(len(stack) - 1, -1, -1):
-                    if self.tag[stack[depth]] == name:
-                        self._pop_to(stack, owners, depth)
-                        break
-            token = TOKEN.search(html, position)
+                if opened.get(name):
+                    depth = len(stack) - 1
+                    while tag[stack[depth]] != name:
+                        depth -= 1
+                    self._pop_to(stack, owners, opened, depth)
+            elif position == limit and token.group(1) is None and OPEN_COMMENT.match(html, start):
+                position = len(html)
         rest = html[position:]
         unfinished = UNFINISHED_TAG.search(rest)
         self._add_text(rest[: unfinished.start()] if unfinished else rest, owners)
-        self._pop_to(stack, owners, 0)
-
-    def _open(self, name: str, attributes: str, stack: list[int]) -> int:
-        node = len(self.tag)
-        self.tag.append(name)
-        self.parent.append(stack[-1] if stack else -1)
-        self.end.append(node + 1)
-        self.text_from.append(len(self.texts))
-        self.text_to.append(len(self.texts))
-        self._raw.append(attributes)
-        self.by_tag.setdefault(name, []).append(node)
-        return node
-
-    def _finish(self, node: int) -> None:
-        self.end[node] = len(self.tag)
-        self.text_to[node] = len(self.texts)
-
-    def _pop_to(self, stack: list[int], owners: list[str], depth: int) -> None:
+        self._pop_to(stack, owners, opened, 0)
+
+    def _add_raw_text(self, html: str, position: int, limit: int, name: str, owners: list[str]) -> int:
+        """The text up to the element's own end tag; returns where to go on."""
+        stop = RAW_END[name].search(html, position, limit)
+        body = html[position : stop.start()] if stop else html[position:]
+        if body:
+            self.texts.append(unescape(body) if name in ENTITY_TEXT else body)
+            self.text_owner.append(name if name in OWN_TEXT else owners[-1] if owners else "")
+        return stop.end() if stop else len(html)
+
+    def _pop_to(self, stack: list[int], owners: list[str], opened: dict[str, int], depth: int) -> None:
         while len(stack) > depth:
             node = stack.pop()
-            self._finish(node)
-            if self.tag[node] in OWN_TEXT:
+            name = self.tag[node]
+            self.end[node] = len(self.tag)
+            self.text_to[node] = len(self.texts)
+            opened[name] -= 1
+            if name in OWN_TEXT:
                 owners.pop()
 
-    def _close_open(self, stack, owners, closed: frozenset, scope: frozenset) -> None:
+    def _close_open(self, stack, owners, opened, closed: frozenset, scope: frozenset) -> None:
         for depth in range(len(stack) - 1, -1, -1):
             name = self.tag[stack[depth]]
             if name in closed:
-                self._pop_to(stack, owners, depth)
+                self._pop_to(stack, owners, opened, depth)
                 return
             if name in scope:
                 return
@@ -161,15 +176,22 @@ class Markup:
         found = self._attrs.get(node)
         if found is None:
             found = {}
-            for name, double, single, bare in ATTRIBUTE.findall(self._raw[node]):
+            for name, double, single, bare in ATTRIBUTE.findall(self.raw[node]):
                 value = double or single or bare
-                found.setdefault(name.lower(), unescape(value) if "&" in value else value)
+                if "&" in value:
+                    value = REFERENCE.sub(lambda m: unescape(m.group()), value)
+                found.setdefault(name.lower(), value)
             self._attrs[node] = found
         return found
 
     def classes(self, node: int) -> list[str]:
         return self.attrs(node).get("class", "").split()
 
+    def may_have(self, node: int, text: str) -> bool:
+        """Whether the unparsed attributes hold ``text``, perhaps as references."""
+        raw = self.raw[node]
+        return text in raw or "&" in raw
+
     def siblings(self) -> tuple[list[int], list[int]]:
         """Previous element sibling (-1: none) and 1-based place among siblings."""
         if self._siblings is None:
@@ -307,7 +329,8 @@ def _check(part: re.Match) -> Check:
     if part["id"]:
         return lambda page, node, want=part["id"]: page.attrs(node).get("id") == want
     if part["cls"]:
-        return lambda page, node, want=part["cls"]: want in page.classes(node)
+        want = part["cls"]
+        return lambda page, node: page.may_have(node, want) and want in page.classes(node)
     if part["attr"]:
         name = part["attr"].lower()
         if part["op"] is None:

@@ -76,8 +76,8 @@ def nav_joined(spark, sf_dir):
 
 
 @query(
-    r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'),
-    '&amp;', '&'), '\s+', ' ', 'g')) AS heading FROM pages"""
+    r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'),
+    '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS heading FROM pages"""
 )
 def article_heading(spark, sf_dir):
     rules = PageRules("article", (FieldRule("heading", "h1"),))

@@ -1,5 +1,7 @@
 """Element table and selectors, without Spark."""
 
+import time
+
 import pytest
 
 from cardmill.operators.markup import Markup, Selector
@@ -59,6 +61,12 @@ def test_attributes():
     assert page.value(0, "missing") == ""
 
 
+def test_references():
+    page = Markup('<a href="/c?a=1&section=2&amp;copy=3&#47;x&#x2f;y&unknown;">&lt;&copy;&section;&amp</a>')
+    assert page.value(0, "href") == "/c?a=1&section=2&copy=3/x/y&unknown;"
+    assert page.text(0) == "<©§ion;&"
+
+
 def test_quote_without_end_loses_its_tag_only():
     assert texts('<p title="x>one</p><p>two</p>', "p") == ["one", "two"]
 
@@ -66,6 +74,9 @@ def test_quote_without_end_loses_its_tag_only():
 def test_cut_off_page():
     assert texts("<p>one</p><p>two <a hre", "p") == ["one", "two"]
     assert texts("<p>one<!-- <p>two", "p") == ["one"]
+    assert texts("<p>one<!-- two", "p") == ["one"]
+    assert texts("<p>one<!-->two<!--->three<!-- > -->four<!---->five", "p") == ["one two three four five"]
+    assert texts("<p>one<!doctype x>two", "p") == ["one two"]
     assert texts("<p>1 < 2 & 3", "p") == ["1 < 2 & 3"]
 
 
@@ -120,3 +131,15 @@ def test_deep_nesting():
     page = Markup("<div>" * 5000 + "x")
     assert len(Selector("div div").select(page)) == 4999
     assert page.text(0) == "x"
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<div>", "<li>x", "</b>", "<a b='", "<a ", "<a href=", '<a x="', "<a b='>'", "<!--", "<!-- >", "<script>", "</script ",
+     "<script></script ", "<", "<table><tr><td>", "<p><button>", "&", "<a\t\t\t"],
+)
+@pytest.mark.parametrize("tail", ["", ">", "-->x"])
+def test_hostile_pages_take_linear_time(piece, tail):
+    started = time.process_time()
+    Markup(piece * 20_000 + tail)
+    assert time.process_time() - started < 1
