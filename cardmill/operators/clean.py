@@ -48,7 +48,18 @@ def new_records(df: DataFrame, existing: DataFrame, fields: Sequence[str]) -> Da
     return fresh.unionByName(known).groupBy(*fields).agg(F.min("fresh").alias("fresh")).filter("fresh").select(*fields)
 
 
-def duplicate_counts(df: DataFrame, fields: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """How many rows a distinct would drop, per ``by``."""
+def duplicate_counts(
+    df: DataFrame, fields: Sequence[str], by: Sequence[str] = (), existing: DataFrame | None = None
+) -> DataFrame:
+    """How many rows writing would drop, per ``by``.
+
+    That is all but one of equal rows; all of them if ``existing``, the target
+    of an append, already has the row.
+    """
     rows = df.groupBy(*by, *fields).agg(F.count("*").alias("copies"))
-    return rows.groupBy(*by).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"))
+    written = F.lit(1)
+    if existing is not None:
+        known = distinct_records(existing, fields).withColumn("known", F.lit(True))
+        rows = rows.join(known, list(fields), "left")
+        written = F.when(F.col("known"), 0).otherwise(1)
+    return rows.groupBy(*by).agg(F.coalesce(F.sum(F.col("copies") - written), F.lit(0)).alias("duplicates"))

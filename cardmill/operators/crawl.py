@@ -24,7 +24,8 @@ from .robots import is_allowed
 
 CHUNK = 1000
 LEVELS_AT_ONCE = 8
-EDGES_PER_TASK = 1_000_000
+# Edges worth a task of their own, and what one task may hold.
+FEW_EDGES, MANY_EDGES = 10_000, 1_000_000
 CRAWL_COLUMNS = ("crawl_id", "mode", "max_pages", "stop_on_error")
 FACT_COLUMNS = (
     "ok", "error", "found", "kept", "skipped", "empty_fields", "requests", "next_url", "pager_urls", "kept_cards",
@@ -148,8 +149,8 @@ def place_by_url(edges: DataFrame) -> DataFrame:
     The copy on executors is a cache of a written table, so losing one of them
     costs reading its part again.
     """
-    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(tasks, edges.count() // EDGES_PER_TASK)
+    rows, tasks = edges.count(), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(min(tasks, rows // FEW_EDGES), rows // MANY_EDGES, 1)
     return edges.repartition(tasks, "url").sortWithinPartitions("url").persist()
 
 

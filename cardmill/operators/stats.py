@@ -41,8 +41,13 @@ def first_errors(visited: DataFrame, limit: int = REPORTED_ERRORS) -> DataFrame:
     return top.groupBy("crawl_id").agg(F.transform(listed, lambda e: e["error"]).alias("first_errors"))
 
 
-def crawl_stats(visited: DataFrame, fields: Sequence[str], deduplicate: bool = True) -> DataFrame:
-    """One row per crawl: counters, error messages and the finish reason."""
+def crawl_stats(
+    visited: DataFrame, fields: Sequence[str], deduplicate: bool = True, existing: DataFrame | None = None
+) -> DataFrame:
+    """One row per crawl: counters, error messages and the finish reason.
+
+    ``existing`` is what the target of an append holds before the run.
+    """
     last = F.max_by(F.struct("n", "ok", "found", "kept", "max_pages", "stop_on_error"), "n")
     totals = visited.groupBy("crawl_id").agg(
         F.count("*").alias("pages"),
@@ -57,7 +62,7 @@ def crawl_stats(visited: DataFrame, fields: Sequence[str], deduplicate: bool = T
     stats = stats.join(first_errors(visited), "crawl_id", "left")
     if deduplicate:
         rows = clean_records(crawl_records(visited, fields), fields, keep=["crawl_id"])
-        stats = stats.join(duplicate_counts(rows, fields, by=["crawl_id"]), "crawl_id", "left")
+        stats = stats.join(duplicate_counts(rows, fields, ["crawl_id"], existing), "crawl_id", "left")
     else:
         stats = stats.withColumn("duplicates", F.lit(0).cast("long"))
     return stats.select(

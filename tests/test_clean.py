@@ -63,6 +63,8 @@ def test_repeats(spark, tmp_path):
     assert len(stored(spark, tmp_path / "all")) == 4
     assert duplicate_counts(rows, FIELDS).first().duplicates == 2
     assert duplicate_counts(rows.limit(0), FIELDS).first().duplicates == 0
+    earlier = table(spark, ROWS[1], THIRD, THIRD)
+    assert duplicate_counts(rows, FIELDS, existing=earlier).first().duplicates == 3
 
 
 def test_append(spark, tmp_path):

@@ -252,7 +252,8 @@ def test_hot_keys_meet_the_broadcast_rows_only(spark, monkeypatch):
         assert sorted(map(str, got.select("id", "k", "v").collect())) == sorted(map(str, want.select("id", "k", "v").collect()))
 
 
-def test_placed_edges_are_not_moved_again(spark):
+def test_placed_edges_are_not_moved_again(spark, monkeypatch):
+    monkeypatch.setattr(walks, "FEW_EDGES", 1)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         edges = walks.place_by_url(graph(spark)[0].select("url", "pager_urls"))
