@@ -151,7 +151,9 @@ def place_by_url(edges: DataFrame) -> DataFrame:
     """
     rows, tasks = edges.count(), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(min(tasks, rows // FEW_EDGES), rows // MANY_EDGES, 1)
-    return edges.repartition(tasks, "url").sortWithinPartitions("url").persist()
+    placed = edges.repartition(tasks, "url").sortWithinPartitions("url").persist()
+    placed.count()  # only a filled cache tells the planner how it is laid out
+    return placed
 
 
 def _advance(joined: DataFrame) -> DataFrame:

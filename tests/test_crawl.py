@@ -257,7 +257,8 @@ def test_placed_edges_are_not_moved_again(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         edges = walks.place_by_url(graph(spark)[0].select("url", "pager_urls"))
-        state = spark.sql("select 1 as crawl_id, 9 as max_pages, 'n0' as url, array('n0') as seen, false as done")
+        state = spark.range(9).selectExpr("id as crawl_id", "9 as max_pages", "concat('n', id) as url")
+        state = state.selectExpr("*", "array(url) as seen", "false as done")
         for _ in range(2):
             state = walks._advance(state.join(edges, "url", "left"))
         plan = state._jdf.queryExecution().executedPlan().toString()
