@@ -194,7 +194,8 @@ def crawled_records(spark, sf_dir):
     FROM (SELECT brand, count(*) AS pages, sum(found)::BIGINT AS containers, sum(kept)::BIGINT AS "rows",
             max_by(kept, page_no) AS last_kept FROM ({WALK}) GROUP BY brand)
     JOIN (SELECT brand, count(DISTINCT {{'t': title, 'r': rating}}) AS distinct_rows FROM ({CARDS})
-          WHERE title <> '' AND page_no <= {DEPTH} GROUP BY brand) USING (brand)"""
+          WHERE title <> '' AND page_no <= {DEPTH} GROUP BY brand) USING (brand)""",
+    name="crawl_stats",
 )
 def crawl_summary(spark, sf_dir):
     """Statistics of an output of title and rating, which repeat a lot."""
@@ -207,7 +208,8 @@ def readable(stats: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""SELECT brand AS crawl_id, n, url, error FROM ({template_visits(20, False, STORED)}) WHERE error IS NOT NULL"""
+    f"""SELECT brand AS crawl_id, n, url, error FROM ({template_visits(20, False, STORED)}) WHERE error IS NOT NULL""",
+    name="crawl_errors",
 )
 def failed_visits(spark, sf_dir):
     crawls = brand_crawls(spark, sf_dir, "template", 20, stop_on_error=False)
@@ -248,7 +250,8 @@ def crawl_stops(spark, sf_dir):
     f"""SELECT brand AS crawl_id, found, card_no, title, price FROM (
       SELECT brand, card_no, title, price, count(*) OVER (PARTITION BY brand) AS found,
         row_number() OVER (PARTITION BY brand ORDER BY title = '', card_no) AS place FROM ({CARDS}) WHERE page_no = 1)
-    WHERE place <= 5 AND title <> ''"""
+    WHERE place <= 5 AND title <> ''""",
+    name="preview",
 )
 def first_rows(spark, sf_dir):
     """The preview: five rows of each start page."""

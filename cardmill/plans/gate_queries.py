@@ -68,7 +68,7 @@ def gate_responses(spark, sf_dir):
 OUTCOME = f"SELECT * FROM ({LOG}) WHERE attempt = [1, 3, 3, 1, 1, 1, 3, 2][page_id % 8 + 1]"
 
 
-@query(f"SELECT url, attempt, problem IS NULL AS ok, status, problem, attempt::BIGINT AS requests FROM ({OUTCOME})")
+@query(f"SELECT url, attempt, problem IS NULL AS ok, status, problem, attempt::BIGINT AS requests FROM ({OUTCOME})", name="resolve_attempts")
 def attempt_outcomes(spark, sf_dir):
     return resolve_attempts(fetch_log(read(spark, sf_dir, "pages")), RETRIES)
 
@@ -113,14 +113,15 @@ VERDICT = f"""
     f"""SELECT origin, group_no, agents, rule_no, allow, path FROM ({SITES}) CROSS JOIN LATERAL (VALUES
       (1, 'BadBot,other/1', 1, false, '/'), (3, '*', 1, false, '/' || last || '/'),
       (4, 'MOZILLA', 1, true, '/' || first || '/5'), (4, 'MOZILLA', 2, false, '/' || first), (4, 'MOZILLA', 3, true, '')
-    ) r(group_no, agents, rule_no, allow, path)"""
+    ) r(group_no, agents, rule_no, allow, path)""",
+    name="robots_rules",
 )
 def robots_table(spark, sf_dir):
     rules = robots_rules(robots_groups(robots_bodies(read(spark, sf_dir, "pages"))))
     return rules.withColumn("agents", F.array_join("agents", ","))
 
 
-@query(VERDICT)
+@query(VERDICT, name="robots_filter")
 def robots_verdicts(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     return robots_filter(pages.select("page_id", "url"), robots_policy(robots_bodies(pages)))

@@ -135,7 +135,8 @@ def page_errors(spark, sf_dir):
 
 @query(
     """SELECT url, max(page_id) AS page_id FROM (SELECT page_id, url FROM pages UNION ALL
-    SELECT page_id + 10000000, url FROM pages WHERE page_id % 3 = 0) GROUP BY url"""
+    SELECT page_id + 10000000, url FROM pages WHERE page_id % 3 = 0) GROUP BY url""",
+    name="latest_pages",
 )
 def latest_snapshot(spark, sf_dir):
     """Every third page was fetched a second time later on."""
@@ -159,7 +160,7 @@ def dirty_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.explode(copies).alias("row"), "card_no").select("row.*", F.col("card_no").alias("extra"))
 
 
-@query(f"SELECT text, link, '' AS note FROM ({DIRTY})")
+@query(f"SELECT text, link, '' AS note FROM ({DIRTY})", name="clean_records")
 def clean_rows(spark, sf_dir):
     return clean_records(dirty_links(spark, sf_dir), ["text", "link", "note"])
 
@@ -216,7 +217,8 @@ def stream_observer(spark, sf_dir):
       regexp_extract(url, '^(.*[?&]page=)[0-9]+', 1) || (regexp_extract(url, '[?&]page=([0-9]+)', 1)::BIGINT + 1)
       || regexp_extract(url, '[?&]page=[0-9]+(.*)$', 1) END AS bumped FROM pages
     UNION ALL SELECT 'order', 'https://shop.example/o?sort=price&Page=00' || o_custkey || '&offset=' || o_orderkey || 'x&page=#p=1',
-      'https://shop.example/o?sort=price&Page=' || (o_custkey - 1) || '&offset=' || (o_orderkey - 1) || 'x&page=#p=1' FROM orders"""
+      'https://shop.example/o?sort=price&Page=' || (o_custkey - 1) || '&offset=' || (o_orderkey - 1) || 'x&page=#p=1' FROM orders""",
+    name="bump_page",
 )
 def bumped_pages(spark, sf_dir):
     url = F.col("url")
@@ -240,7 +242,8 @@ LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
         WHEN k % 4 = 3 THEN units ELSE units || '.' || part END AS price
       FROM (SELECT *, (cents // 100)::VARCHAR AS units, lpad((cents % 100)::VARCHAR, 2, '0') AS part FROM (
         SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey + l_partkey + l_linenumber AS k,
-               round(l_extendedprice * 100)::BIGINT AS cents FROM lineitem)))"""
+               round(l_extendedprice * 100)::BIGINT AS cents FROM lineitem)))""",
+    name="transforms",
 )
 def price_transforms(spark, sf_dir):
     """Line prices in several notations, some with a sign or as a range."""
@@ -267,7 +270,8 @@ SQL_SPACE = (
 
 @query(
     rf"""SELECT doc_id, trim(regexp_replace(text, '[{SQL_SPACE}]+', ' ', 'g')) AS collapsed,
-    regexp_replace(regexp_replace(text, '^[{SQL_SPACE}]+', ''), '[{SQL_SPACE}]+$', '') AS stripped FROM documents"""
+    regexp_replace(regexp_replace(text, '^[{SQL_SPACE}]+', ''), '[{SQL_SPACE}]+$', '') AS stripped FROM documents""",
+    name="transforms_text",
 )
 def text_transforms(spark, sf_dir):
     padded = F.concat(F.lit(" \n"), F.col("text"), F.lit("  \x1f"))

@@ -12,11 +12,14 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
+def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register under ``name``, by default the function's own."""
+
     def register(function: Query) -> Query:
-        QUERIES[function.__name__] = function
+        key = name or function.__name__
+        QUERIES[key] = function
         if oracle is not None:
-            ORACLES[function.__name__] = oracle
+            ORACLES[key] = oracle
         return function
 
     return register

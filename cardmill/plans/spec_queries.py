@@ -94,7 +94,8 @@ VALID = [k for k, (document, found) in enumerate(CASES) if not found]
 
 @query(
     f"""SELECT c_custkey AS spec_id, path, problem FROM customer
-    JOIN {PROBLEMS} v(k, path, problem) ON c_custkey % {len(CASES)} = k"""
+    JOIN {PROBLEMS} v(k, path, problem) ON c_custkey % {len(CASES)} = k""",
+    name="spec_lint",
 )
 def spec_problems(spark, sf_dir):
     return spec_lint(specs(spark, sf_dir))
@@ -111,7 +112,8 @@ def spec_problems(spark, sf_dir):
             ]
         )
     }
-    v(k, field_no, name, selector, attribute, transform, required, collect_all, join_with) ON c_custkey % {len(CASES)} = k"""
+    v(k, field_no, name, selector, attribute, transform, required, collect_all, join_with) ON c_custkey % {len(CASES)} = k""",
+    name="spec_fields",
 )
 def spec_rules(spark, sf_dir):
     """The field rules of specs without problems."""
@@ -125,7 +127,8 @@ def spec_rules(spark, sf_dir):
       CASE WHEN k = 23 THEN 'template' ELSE 'next' END AS mode,
       CASE WHEN k = 23 THEN 'https://shop' || c_custkey || '.example/c?page={{page}}' END AS url_template,
       CASE WHEN k = 23 THEN 30 ELSE 10 END::BIGINT AS max_pages
-    FROM (SELECT *, c_custkey % {len(CASES)} AS k FROM customer) WHERE k IN ({", ".join(map(str, VALID))})"""
+    FROM (SELECT *, c_custkey % {len(CASES)} AS k FROM customer) WHERE k IN ({", ".join(map(str, VALID))})""",
+    name="spec_crawls",
 )
 def spec_seeds(spark, sf_dir):
     """The crawls of specs without problems."""
