@@ -1,0 +1,122 @@
+"""Token ids of whole texts out of a pool of pieces that were encoded before.
+
+A text is cut at every single space with a non-space on both sides. The pattern of
+byte-level BPE has a match boundary before each such space, so cutting there first
+changes nothing. The parts are looked up in a pool. A new part is a pre-token if it
+has letters only, else the pattern cuts it; the pre-tokens that a batch of texts
+brings anew are encoded together. A text with a space beside other white space is cut
+by the pattern from its start. Ids of the texts are then one gather out of the pool,
+which is emptied when it is full.
+"""
+
+from __future__ import annotations
+
+from array import array
+from collections.abc import Callable
+
+import numpy as np
+import regex
+
+from .arrow import ragged
+
+#: White space of the pattern as the Unicode property has it, whatever the engine's own class holds.
+WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+#: Flat ids and the number of ids of each string.
+Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+def splitter(pattern: str) -> regex.Pattern:
+    """The pattern with its white-space classes spelled out."""
+    spelled = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{WHITE}\p{{L}}\p{{N}}]")
+    spelled = spelled.replace(r"(?!\S)", rf"(?![^{WHITE}])").replace(r"\s+", f"[{WHITE}]+")
+    return regex.compile(spelled)
+
+
+class Pieces:
+    """Pool slots of parts and pre-tokens.
+
+    A part after a space has itself, without the space, as its key; any other piece
+    has a tuple with itself.
+    """
+
+    def __init__(self, split: regex.Pattern, encode: Encode, limit: int = 600_000):
+        self.cut, self.encode, self.limit = split.findall, encode, limit
+        self.white = frozenset(char for char in map(chr, range(0x3001)) if regex.match(f"[{WHITE}]", char))
+        self._empty()
+
+    def _empty(self) -> None:
+        self.slots: dict[str | tuple[str], int] = {}
+        self.tokens: dict[str, int] = {}
+        self.ids, self.starts, self.lengths = array("I"), array("q"), array("q")
+
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+        slot, start = len(self.starts), len(self.ids)
+        self.starts.frombytes((start + np.cumsum(lengths) - lengths).astype(np.int64).tobytes())
+        self.lengths.frombytes(lengths.astype(np.int64).tobytes())
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
+        return range(slot, len(self.starts))
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.frombuffer(self.lengths, np.int64)[at]
+        return np.frombuffer(self.ids, np.uint32)[ragged(np.frombuffer(self.starts, np.int64)[at], lengths)], lengths
+
+    def _learn(self, keys: list[str | tuple[str]]) -> None:
+        cut, tokens = self.cut, self.tokens
+        single: list[tuple[str | tuple[str], str]] = []
+        several: list[tuple[str | tuple[str], list[str]]] = []
+        for key in keys:
+            if isinstance(key, str):
+                if key.isalpha():
+                    single.append((key, " " + key))
+                    continue
+                parts = cut(" " + key)
+            else:
+                parts = cut(key[0])
+            if len(parts) == 1:
+                single.append((key, parts[0]))
+            else:
+                several.append((key, parts))
+        new = {token: None for _, token in single if token not in tokens}
+        new.update((token, None) for _, parts in several for token in parts if token not in tokens)
+        if new:
+            tokens.update(zip(new, self._add(*self.encode(list(new))), strict=True))
+        self.slots.update((key, tokens[token]) for key, token in single)
+        if several:
+            at = np.array([tokens[token] for _, parts in several for token in parts], np.int64)
+            ids, lengths = self._gather(at)
+            edges = np.cumsum([0, *(len(parts) for _, parts in several)])
+            ends = np.concatenate([[0], np.cumsum(lengths)])[edges]
+            self.slots.update(zip((key for key, _ in several), self._add(ids, np.diff(ends)), strict=True))
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the offsets of the texts."""
+        if len(self.slots) > self.limit:
+            self._empty()
+        get, white = self.slots.get, self.white
+        slots: list[int | None] = []
+        missing: list[str | tuple[str]] = []
+        edges = [0]
+        for text in texts:
+            if text:
+                first, *rest = text.split(" ")
+                found = [get((first,)), *map(get, rest)]
+                if None in found:
+                    fresh = [part for part, slot in zip(rest, found[1:], strict=True) if slot is None]
+                    # A part with white space at an edge is never stored, so it is met here each time.
+                    if "" in fresh or any(part[0] in white or part[-1] in white for part in (first or " ", *fresh)):
+                        pieces = [(token,) for token in self.cut(text)]
+                        found = list(map(get, pieces))
+                        missing += [piece for piece, slot in zip(pieces, found, strict=True) if slot is None]
+                    else:
+                        missing += [(first,), *fresh] if found[0] is None else fresh
+                slots += found
+            edges.append(len(slots))
+        if missing:
+            self._learn(list(dict.fromkeys(missing)))
+            late = map(self.slots.__getitem__, missing)
+            slots = [next(late) if slot is None else slot for slot in slots]
+        if not slots:
+            return np.zeros(0, np.uint32), np.zeros(len(edges), np.int64)
+        ids, lengths = self._gather(np.array(slots, np.int64))
+        return ids, np.concatenate([[0], np.cumsum(lengths)])[np.array(edges)]
