@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .arrow import table
 from .bitmap_bpe import decode_bpe, encode_bpe
+from .minmax_dedup import near_duplicates
 from .mixing import label_weight, mix
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +70,11 @@ FROM running
 """
 
 
+@query()
+def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query(MIX_SQL)
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, weight = label_weight(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
