@@ -11,6 +11,8 @@ from .arrow import table
 from .bitmap_bpe import decode_bpe, encode_bpe
 from .minmax_dedup import near_duplicates
 from .mixing import label_weight, mix
+from .rotated_codes import nearest
+from .tiled_cosine import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,3 +93,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op3_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.filter("vec_id % 50 = 0"))
+
+
+@query()
+def op4_tiled_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
