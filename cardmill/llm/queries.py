@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_dir
 from .arrow import table
 from .bitmap_bpe import decode_bpe, encode_bpe
 from .minmax_dedup import near_duplicates
+from .huffman_ids import library_ids, read_ids, write_ids
 from .mixing import label_weight, mix
 from .rotated_codes import nearest
 from .tiled_cosine import near_vectors
@@ -104,3 +106,10 @@ def op3_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_tiled_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_dir(spark, "huffman")
+    write_ids(library_ids(table(spark, sf_dir, "documents")), path)
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
