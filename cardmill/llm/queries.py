@@ -15,6 +15,7 @@ from .huffman_ids import library_ids, read_ids, write_ids
 from .mixing import label_weight, mix
 from .rotated_codes import nearest
 from .tiled_cosine import near_vectors
+from .toxicity import fit_toxicity, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,3 +114,11 @@ def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "huffman")
     write_ids(library_ids(table(spark, sf_dir, "documents")), path)
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = fit_toxicity(docs, table(spark, sf_dir, "labels")).score(docs)
+    held_out = (fold(F.col("doc_id")) == 0).alias("held_out")
+    return scored.select("doc_id", held_out, F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
