@@ -11,6 +11,7 @@ from ..session import new_dir
 from .arrow import table
 from .bitmap_bpe import decode_bpe, encode_bpe
 from .minmax_dedup import near_duplicates
+from .brown_lm import score_texts
 from .huffman_ids import library_ids, read_ids, write_ids
 from .mixing import label_weight, mix
 from .rotated_codes import nearest
@@ -122,3 +123,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = fit_toxicity(docs, table(spark, sf_dir, "labels")).score(docs)
     held_out = (fold(F.col("doc_id")) == 0).alias("held_out")
     return scored.select("doc_id", held_out, F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
