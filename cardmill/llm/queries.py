@@ -17,6 +17,7 @@ from .mixing import label_weight, mix
 from .rotated_codes import nearest
 from .tiled_cosine import near_vectors
 from .toxicity import fit_toxicity, fold
+from .wrappers import extract_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -128,3 +129,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
