@@ -15,6 +15,7 @@ from .brown_lm import score_texts
 from .huffman_ids import library_ids, read_ids, write_ids
 from .mixing import label_weight, mix
 from .rotated_codes import nearest
+from .separator_scan import scan_separators, token_blocks, write_flat
 from .tiled_cosine import near_vectors
 from .toxicity import fit_toxicity, fold
 from .wrappers import extract_text
@@ -135,3 +136,10 @@ def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_text(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_dir(spark, "flat-tokens")
+    write_flat(table(spark, sf_dir, "documents"), path)
+    return scan_separators(token_blocks(spark, path))
