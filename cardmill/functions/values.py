@@ -13,7 +13,9 @@ WS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 DIGIT = r"\p{Nd}"
-NUMBER = rf"^[{WS}]*-?({DIGIT}+\.?{DIGIT}*|\.{DIGIT}+)[{WS}]*\z"
+# What Python's float strips; the separators U+001C-U+001F are white space, yet not to it.
+NUMBER_WS = WS.replace(r"\x1c-\x1f", "")
+NUMBER = rf"^[{NUMBER_WS}]*-?({DIGIT}+\.?{DIGIT}*|\.{DIGIT}+)[{NUMBER_WS}]*\z"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import strip
 
 
+def quoted(names: Sequence[str]) -> list[str]:
+    return [f"`{name}`" for name in names]
+
+
 def _filled(fields: Sequence[str]) -> Column:
-    return F.concat(*(F.col(f"`{name}`") for name in fields)) != ""
+    return F.concat(*map(F.col, quoted(fields))) != ""
 
 
 def clean_records(df: DataFrame, fields: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -22,7 +26,7 @@ def clean_records(df: DataFrame, fields: Sequence[str], keep: Sequence[str] = ()
             return F.lit("").alias(name)
         return strip(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))).alias(name)
 
-    return df.select(*keep, *map(value, fields)).filter(_filled(fields))
+    return df.select(*quoted(keep), *map(value, fields)).filter(_filled(fields))
 
 
 def distinct_records(df: DataFrame, fields: Sequence[str], first: Sequence[str] = ()) -> DataFrame:
@@ -31,10 +35,11 @@ def distinct_records(df: DataFrame, fields: Sequence[str], first: Sequence[str]
     Repeats are merged before the shuffle, however many there are. ``first``
     names columns telling where a row came from: the smallest is kept.
     """
+    names = quoted(fields)
     if not first:
-        return df.select(*fields).dropDuplicates()
-    origin = F.min(F.struct(*first)).alias("first")
-    return df.groupBy(*fields).agg(origin).select("first.*", *fields)
+        return df.select(*names).dropDuplicates()
+    origin = F.min(F.struct(*quoted(first))).alias("__first")
+    return df.groupBy(*names).agg(origin).select("__first.*", *names)
 
 
 def new_records(df: DataFrame, existing: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -43,9 +48,11 @@ def new_records(df: DataFrame, existing: DataFrame, fields: Sequence[str]) -> Da
     Both sides are reduced to distinct rows before the one shuffle, so a row
     repeated a billion times costs one row per task.
     """
-    fresh = df.select(*fields, F.lit(True).alias("fresh"))
-    known = existing.select(*fields, F.lit(False).alias("fresh"))
-    return fresh.unionByName(known).groupBy(*fields).agg(F.min("fresh").alias("fresh")).filter("fresh").select(*fields)
+    names = quoted(fields)
+    fresh = df.select(*names, F.lit(True).alias("__fresh"))
+    known = existing.select(*names, F.lit(False).alias("__fresh"))
+    both = fresh.unionByName(known).groupBy(*names).agg(F.min("__fresh").alias("__fresh"))
+    return both.filter("__fresh").select(*names)
 
 
 def duplicate_counts(
@@ -54,12 +61,22 @@ def duplicate_counts(
     """How many rows writing would drop, per ``by``.
 
     That is all but one of equal rows; all of them if ``existing``, the target
-    of an append, already has the row.
+    of an append, already has the row. Known rows are added to the others and merged
+    before the shuffle like them, so a row in every crawl is a row per crawl and task.
     """
-    rows = df.groupBy(*by, *fields).agg(F.count("*").alias("copies"))
-    written = F.lit(1)
+    names, groups = quoted(fields), quoted(by)
+    marked = df.select(*(F.col(name).alias(f"__by{k}") for k, name in enumerate(groups)), *names, F.lit(1).alias("__copies"))
+    keys = [f"__by{k}" for k in range(len(groups))]
+    counts = marked.groupBy(*keys, *names).agg(F.sum("__copies").alias("__copies"))
     if existing is not None:
-        known = distinct_records(existing, fields).withColumn("known", F.lit(True))
-        rows = rows.join(known, list(fields), "left")
-        written = F.when(F.col("known"), 0).otherwise(1)
-    return rows.groupBy(*by).agg(F.coalesce(F.sum(F.col("copies") - written), F.lit(0)).alias("duplicates"))
+        row = F.struct(*names).alias("__row")
+        pairs = counts.select(F.struct(*keys, F.lit(0).alias("__none")).alias("__group"), "__copies", row)
+        group_type = pairs.schema["__group"].dataType
+        known = distinct_records(existing, fields).select(
+            F.lit(None).cast(group_type).alias("__group"), F.lit(None).cast("long").alias("__copies"), row
+        )
+        seen = F.max(F.col("__group").isNull()).over(Window.partitionBy("__row"))
+        pairs = pairs.unionByName(known).withColumn("__known", seen).filter("__group is not null")
+        counts = pairs.select("__group.*", F.when(F.col("__known"), F.col("__copies") + 1).otherwise(F.col("__copies")).alias("__copies"))
+    sums = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("duplicates"))
+    return sums.select(*(F.col(key).alias(name) for key, name in zip(keys, by, strict=True)), "duplicates")

@@ -19,14 +19,18 @@ from pyspark.sql import functions as F
 from ..functions.urls import origin, page_url
 from ..session import materialise, new_dir
 from . import joins
-from .joins import lookup
-from .robots import is_allowed
+from .extract import EMPTY, PLACE, origins
+from .joins import drop_keys, lookup
+from .robots import is_allowed, robots_filter
+from .rules import MODES
 
 CHUNK = 1000
 LEVELS_AT_ONCE = 8
 # Edges worth a task of their own, and what one task may hold.
 FEW_EDGES, MANY_EDGES = 10_000, 1_000_000
 CRAWL_COLUMNS = ("crawl_id", "mode", "max_pages", "stop_on_error")
+COUNTERS = ("found", "kept", "skipped", "empty_fields")
+MISSING = "not in the snapshot"
 FACT_COLUMNS = (
     "ok", "error", "found", "kept", "skipped", "empty_fields", "requests", "next_url", "pager_urls", "kept_cards",
 )
@@ -36,30 +40,42 @@ def site_facts(facts: DataFrame, outcomes: DataFrame | None = None) -> DataFrame
     """``page_facts`` of usable pages plus the URLs whose fetch failed.
 
     ``outcomes`` is ``resolve_attempts``; without a fetch log every page took
-    one request. The result is a written table, read once per walk.
+    one request. A blank page is a failed visit either way, and so is a fetched URL
+    that the facts lack. The result is a written table, read once per walk.
     """
-    pages = facts.withColumn("ok", F.lit(True))
+    blank = F.coalesce(F.col("error") == EMPTY, F.lit(False))
+    pages = facts.withColumn("ok", ~blank)
+    pages = pages.withColumn("error", F.when(blank, F.concat("url", F.lit(f": {EMPTY}"))).otherwise(F.col("error")))
     if outcomes is None:
         return materialise(pages.select("url", F.lit(1).cast("long").alias("requests"), *_without(("requests",))), "facts")
     joined = outcomes.select("url", "requests", F.col("ok").alias("fetched"), "problem").join(pages, "url", "left")
-    failed = F.concat("url", F.lit(": "), F.col("problem"))
-    zero = F.lit(0).cast("long")
-    counters = [F.coalesce(name, zero).alias(name) for name in ("found", "kept", "skipped", "empty_fields")]
-    # A fetched page without facts was kept back by robots rules.
-    denied = F.col("fetched") & F.col("ok").isNull()
+    counters = [F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in COUNTERS]
+    failed = F.concat("url", F.lit(": "), F.coalesce("problem", F.lit(MISSING)))
     table = joined.select(
-        "url",
-        F.when(denied, zero).otherwise(F.col("requests")).alias("requests"),
-        F.coalesce("ok", F.lit(False)).alias("ok"),
-        F.when(denied, _robots_error()).when(F.col("ok"), F.col("error")).otherwise(failed).alias("error"),
-        *counters,
-        "next_url",
-        "pager_urls",
-        "kept_cards",
-    )
+        "url", "requests", F.coalesce("ok", F.lit(False)).alias("ok"),
+        F.when(F.col("ok").isNotNull(), F.col("error")).otherwise(failed).alias("error"),
+        *counters, "next_url", "pager_urls", "kept_cards",
+    )
     return materialise(table, "facts")
 
 
+def denied_facts(facts: DataFrame, policy: DataFrame) -> DataFrame:
+    """``facts`` in which a page that robots rules deny is a failed visit: no cards, no links, no request."""
+    denied = materialise(robots_filter(facts.select("url"), policy).filter("not allowed").select("url").distinct(), "denied")
+    rest = drop_keys(facts, denied, "url")
+    zero = F.lit(0).cast("long")
+    kinds = {field.name: field.dataType for field in facts.schema}
+    failed = denied.select(
+        *(
+            F.col("url") if name == "url" else F.lit(False).alias(name) if name == "ok" else _robots_error().alias(name)
+            if name == "error" else zero.alias(name) if name in (*COUNTERS, "requests")
+            else F.lit(None).cast(kinds[name]).alias(name)
+            for name in facts.columns
+        )
+    )
+    return materialise(rest.unionByName(failed), "facts")
+
+
 def _without(names: Sequence[str]) -> list[str]:
     return [name for name in FACT_COLUMNS if name not in names]
 
@@ -73,9 +89,19 @@ def _has_rows() -> Column:
 
 
 def walk(crawls: DataFrame, facts: DataFrame) -> DataFrame:
-    """``crawl_id, n, url``: the n-th visit of every crawl."""
+    """``crawl_id, n, url``: the n-th visit of every crawl.
+
+    A crawl of no pages has no visits; a mode that is none of the four is an error, so
+    check seeds by ``read_crawls`` and ``seed_problems`` first.
+    """
+    others = crawls.filter(~F.coalesce(F.col("mode").isin(*MODES), F.lit(False))).select("crawl_id", "mode").first()
+    if others is not None:
+        raise ValueError(f"crawl {others['crawl_id']!r} has the unknown mode {others['mode']!r}")
+    crawls = crawls.filter("max_pages >= 1")
     modes = crawls.groupBy("mode").agg(F.max("max_pages")).collect()  # four modes at most
     depth = {mode: int(pages) for mode, pages in modes}
+    if not depth:
+        return _start(crawls).select("crawl_id", "n", "url")
     parts = [
         walker(crawls.filter(F.col("mode") == mode), facts, depth[mode]).select("crawl_id", "n", "url")
         for mode, walker in (("next", _next), ("links", _links), ("template", _template), ("none", _none))
@@ -214,7 +240,7 @@ def visited_pages(
     """
     rows = visits.count()
     joined = lookup(visits, facts.withColumn("stored", F.lit(True)), "url", rows=rows)
-    missing = F.concat("url", F.lit(": not in the snapshot"))
+    missing = F.concat("url", F.lit(f": {MISSING}"))
     error = F.when(F.col("stored"), F.col("error")).otherwise(missing)
     requests = F.coalesce("requests", F.lit(1).cast("long"))
     if policy is not None:
@@ -224,29 +250,42 @@ def visited_pages(
         denied = ~is_allowed(F.col("url"))
         error = F.when(denied, _robots_error()).otherwise(error)
         requests = F.when(denied, F.lit(0).cast("long")).otherwise(requests)
-    counters = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("found", "kept", "skipped", "empty_fields")]
+    open_page = F.lit(True) if policy is None else ~denied
+    counters = [F.when(open_page, F.coalesce(c, F.lit(0).cast("long"))).otherwise(0).alias(c) for c in COUNTERS]
     joined = joined.select(
-        "crawl_id", "n", "url", F.coalesce("ok", F.lit(False)).alias("ok"), error.alias("error"),
-        requests.alias("requests"), *counters, "kept_cards",
+        "crawl_id", "n", "url", (F.coalesce("ok", F.lit(False)) & open_page).alias("ok"), error.alias("error"),
+        requests.alias("requests"), *counters, F.when(open_page, F.col("kept_cards")).alias("kept_cards"),
     )
     return lookup(joined, crawls.select(*CRAWL_COLUMNS), "crawl_id", how="inner", rows=rows, counted=visits)
 
 
 def crawl(crawls: DataFrame, facts: DataFrame, policy: DataFrame | None = None) -> DataFrame:
-    """Walk and look up: one row per visit (see ``visited_pages``)."""
+    """Walk and look up: one row per visit (see ``visited_pages``).
+
+    With a ``policy`` the walk stops at pages it denies, or goes past them, as at any
+    failed visit.
+    """
+    if policy is not None:
+        facts = denied_facts(facts, policy)
     visits = materialise(walk(crawls, facts), "walk")
     return visited_pages(crawls, visits, facts, policy)
 
 
 def crawl_records(visited: DataFrame, fields: Sequence[str]) -> DataFrame:
     """The kept cards of every visit, in visit and document order columns."""
-    cards = visited.select("crawl_id", "n", "url", F.explode("kept_cards").alias("card"))
-    return cards.select("crawl_id", "n", "url", "card.card_no", *(f"card.`{name}`" for name in fields))
+    cards = visited.select("crawl_id", "n", "url", F.explode("kept_cards").alias("__card"))
+    where = {name: F.col(name) for name in ("crawl_id", "n", "url")}
+    return cards.select(*origins({**where, "card_no": F.col("__card")[PLACE]}, fields), *_fields(fields))
+
+
+def _fields(names: Sequence[str]) -> list[Column]:
+    return [F.col("__card")[name].alias(name) for name in names]
 
 
 def preview(crawls: DataFrame, facts: DataFrame, fields: Sequence[str], limit: int = 5) -> DataFrame:
     """First kept cards of each start page and how many cards it has."""
     starts = crawls.select("crawl_id", F.col("start_url").alias("url"))
     pages = lookup(starts, facts.select("url", "found", "kept_cards"), "url", how="inner")
-    cards = pages.select("crawl_id", "found", F.explode(F.slice("kept_cards", 1, limit)).alias("card"))
-    return cards.select("crawl_id", "found", "card.card_no", *(f"card.`{name}`" for name in fields))
+    cards = pages.select("crawl_id", "found", F.explode(F.slice("kept_cards", 1, limit)).alias("__card"))
+    where = {"crawl_id": F.col("crawl_id"), "found": F.col("found"), "card_no": F.col("__card")[PLACE]}
+    return cards.select(*origins(where, fields), *_fields(fields))

@@ -29,6 +29,10 @@ for module in (markup, rules, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(module)
 
 OUTPUT_ROWS = 256
+# Place of a card on its page, within the struct of its fields.
+PLACE = "__card_no"
+# What is wrong with a page without text; walks take it for a failed visit.
+EMPTY = "empty response"
 
 LIST_OF_TEXT = T.ArrayType(T.StringType(), False)
 
@@ -58,7 +62,7 @@ def parse_pages(
 
 
 def _raw_type(rules: PageRules) -> T.ArrayType:
-    fields = [T.StructField("card_no", T.IntegerType(), False)]
+    fields = [T.StructField(PLACE, T.IntegerType(), False)]
     fields += [T.StructField(name, T.StringType(), False) for name in rules.names]
     return T.ArrayType(T.StructType(fields), False)
 
@@ -94,7 +98,7 @@ class PageReader:
             page, url = Markup(html or ""), url or ""
             try:
                 cards = self.cards(page, url)
-                errors.append(None)
+                errors.append(None if html and not html.isspace() else EMPTY)
             except ValueError as problem:
                 cards = []
                 errors.append(str(problem))
@@ -106,7 +110,7 @@ class PageReader:
             nexts.append(self.next_url(page, url))
             pagers.append(self.pager_urls(page, url))
         columns = [pa.array(numbers, pa.int32()), *(pa.array(v, pa.string()) for v in values)]
-        cards = pa.StructArray.from_arrays(columns, ["card_no", *self.names])
+        cards = pa.StructArray.from_arrays(columns, [PLACE, *self.names])
         return pa.RecordBatch.from_arrays(
             [
                 *(batch.column(name) for name in keep),
@@ -162,14 +166,22 @@ def _is_complete(rules: PageRules, card: Column) -> Column:
     return reduce(and_, (card[name] != "" for name in rules.required), F.lit(True))
 
 
+def origins(columns: dict[str, Column], fields: Sequence[str]) -> list[Column]:
+    """Columns that say where a row comes from; one named like a field goes by ``source_`` and its name."""
+    return [column.alias(f"source_{name}" if name in fields else name) for name, column in columns.items()]
+
+
 def records(parsed: DataFrame, rules: PageRules, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """One row per card: ``keep``, ``card_no`` and the declared fields.
 
-    Cards with a required field empty after its transform are left out.
+    Cards with a required field empty after its transform are left out. A field may
+    have any name; see ``origins`` for one that is also the name of another column.
     """
-    cards = parsed.select(*keep, F.explode("cards").alias("card"))
-    rows = cards.select(*keep, "card.card_no", *_values(rules, F.col("card")))
-    return rows.filter(reduce(and_, (F.col(f"`{name}`") != "" for name in rules.required), F.lit(True)))
+    cards = parsed.select(F.struct(*keep).alias("page"), F.explode("cards").alias("raw"))
+    cards = cards.select("page", F.col("raw")[PLACE].alias("place"), F.struct(*_values(rules, F.col("raw"))).alias("card"))
+    whole = cards.filter(_is_complete(rules, F.col("card")))
+    page = {name: F.col("page")[name] for name in keep}
+    return whole.select(*origins({**page, "card_no": F.col("place")}, rules.names), *(F.col("card")[name].alias(name) for name in rules.names))
 
 
 def page_facts(
@@ -182,7 +194,7 @@ def page_facts(
     """
 
     def cleaned(card: Column) -> Column:
-        return F.struct(card["card_no"].alias("card_no"), *_values(rules, card))
+        return F.struct(card[PLACE].alias(PLACE), *_values(rules, card))
 
     def blanks(card: Column) -> Column:
         return reduce(add, (F.when(card[name] == "", 1).otherwise(0) for name in rules.names))

@@ -15,10 +15,12 @@ HOT_SHARE = 1 / 64
 
 def fits_broadcast(table: DataFrame) -> bool:
     """Measured rows and text bytes of a written table."""
-    if table.count() > BROADCAST_ROWS:
-        return False
-    size = sum((F.length(F.to_json(F.struct(name))) for name in table.columns), F.lit(0))
-    return table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    return table.count() <= BROADCAST_ROWS and _bytes(table) <= BROADCAST_BYTES
+
+
+def _bytes(table: DataFrame) -> int:
+    size = sum((F.length(F.to_json(F.struct(f"`{name}`"))) for name in table.columns), F.lit(0))
+    return table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
 
 
 def drop_keys(df: DataFrame, keys: DataFrame, key: str | list[str]) -> DataFrame:
@@ -44,9 +46,15 @@ def lookup(
     task. There are fewer than 64 such keys, so their table rows are broadcast
     and only the others are shuffled. ``counted`` is a written table with the
     same keys as ``df``, if ``df`` itself would have to be computed to be counted.
+    A ``df`` of few rows never moves the table: its keys, of measured size, go to
+    the table's scan, and only the rows they hit are joined.
     """
     counted = df if counted is None else counted
     rows = counted.count() if rows is None else rows
+    if rows <= BROADCAST_ROWS:
+        keys = counted.select(key).distinct()
+        if _bytes(keys) <= BROADCAST_BYTES:
+            return df.join(table.join(F.broadcast(keys), key, "left_semi"), key, how)
     if rows <= SMALL_ROWS:
         return df.join(table, key, how)
     counts = counted.filter(F.col(key).isNotNull()).groupBy(key).count()

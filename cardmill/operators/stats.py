@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .clean import clean_records, duplicate_counts
 from .crawl import crawl_records
 
@@ -42,12 +43,15 @@ def first_errors(visited: DataFrame, limit: int = REPORTED_ERRORS) -> DataFrame:
 
 
 def crawl_stats(
-    visited: DataFrame, fields: Sequence[str], deduplicate: bool = True, existing: DataFrame | None = None
+    visited: DataFrame, fields: Sequence[str], deduplicate: bool = True, existing: DataFrame | None = None,
+    reported: int = REPORTED_ERRORS,
 ) -> DataFrame:
     """One row per crawl: counters, error messages and the finish reason.
 
-    ``existing`` is what the target of an append holds before the run.
+    ``existing`` is what the target of an append holds before the run; ``reported`` is
+    how many messages a report shows. The visits are written once and read three times.
     """
+    visited = materialise(visited, "visits")
     last = F.max_by(F.struct("n", "ok", "found", "kept", "max_pages", "stop_on_error"), "n")
     totals = visited.groupBy("crawl_id").agg(
         F.count("*").alias("pages"),
@@ -59,10 +63,12 @@ def crawl_stats(
         last.alias("last"),
     )
     stats = totals.withColumn("finish_reason", finish_reason(F.col("last"))).drop("last")
-    stats = stats.join(first_errors(visited), "crawl_id", "left")
+    stats = stats.join(first_errors(visited, reported), "crawl_id", "left")
     if deduplicate:
-        rows = clean_records(crawl_records(visited, fields), fields, keep=["crawl_id"])
-        stats = stats.join(duplicate_counts(rows, fields, ["crawl_id"], existing), "crawl_id", "left")
+        crawl_id = "source_crawl_id" if "crawl_id" in fields else "crawl_id"
+        rows = clean_records(crawl_records(visited, fields), fields, keep=[crawl_id])
+        repeats = duplicate_counts(rows, fields, [crawl_id], existing).withColumnRenamed(crawl_id, "crawl_id")
+        stats = stats.join(repeats, "crawl_id", "left")
     else:
         stats = stats.withColumn("duplicates", F.lit(0).cast("long"))
     return stats.select(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.joins import drop_keys
+from ..functions.values import strip
+from ..operators.joins import drop_keys, fits_broadcast
+from ..operators.rules import MODES
+from ..session import materialise
 
 PAGES = T.StructType(
     [
@@ -32,31 +35,62 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def latest_pages(pages: DataFrame) -> DataFrame:
-    """The newest copy (highest ``page_id``) of every URL.
+    """The newest copy (highest ``page_id``) of every URL, exactly one.
 
-    Works on the two key columns and drops the outdated copies by key, so HTML
-    is not shuffled unless there are very many of them.
+    Works on the two key columns and drops the outdated copies by key, so HTML is not
+    shuffled. Only URLs whose newest ``page_id`` occurs twice or has no number are set
+    aside: of their copies the first one in order of the HTML's hash stays. Pages without
+    a URL are nobody's copies and all stay.
     """
-    newest = pages.groupBy("url").agg(F.max("page_id").alias("newest"), F.count("*").alias("copies"))
-    repeated = newest.filter("copies > 1").select("url", "newest")
-    keys = pages.select("url", "page_id").join(repeated, "url")
-    return drop_keys(pages, keys.filter("page_id < newest").select("page_id"), "page_id")
+    newest = pages.filter("url is not null").groupBy("url").agg(
+        F.max("page_id").alias("newest"), F.count("*").alias("copies"), F.count("page_id").alias("numbered")
+    )
+    repeated = materialise(newest.filter("copies > 1"), "repeated")
+    keys = pages.select("url", "page_id").join(repeated.select("url", "newest", "numbered", "copies"), "url")
+    tops = keys.groupBy("url").agg(F.sum(F.when(F.col("page_id") == F.col("newest"), 1).otherwise(0)).alias("tops"))
+    tied = materialise(tops.filter("tops <> 1").select("url"), "tied")
+    rest = drop_keys(pages, tied, "url")
+    unnumbered = keys.filter("numbered < copies").select("url").distinct()
+    outdated = keys.filter("page_id < newest").select("url", "page_id")
+    rest = drop_keys(rest, outdated, ["url", "page_id"])
+    # A copy without a number is older than any with one.
+    blank = rest.filter("page_id is null")
+    rest = rest.filter("page_id is not null").unionByName(drop_keys(blank, unnumbered, "url"))
+    order = Window.partitionBy("url").orderBy(F.col("page_id").desc_nulls_last(), F.xxhash64("html"))
+    some = pages.join(F.broadcast(tied) if fits_broadcast(tied) else tied, "url", "left_semi")
+    first = some.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
+    return rest.unionByName(first.select(*rest.columns))
+
+
+# Walk defaults.
+DEFAULTS = {"mode": "next", "url_template": None, "start_page": 1, "max_pages": 10, "stop_on_error": True}
+
+
+def _seeds(crawls: DataFrame) -> DataFrame:
+    """Seeds with defaults filled in and ``problem``, null for one that can be walked."""
+    kinds = {"mode": "string", "url_template": "string", "start_page": "long", "max_pages": "long", "stop_on_error": "boolean"}
+
+    def value(name: str) -> Column:
+        given = [F.col(name)] if name in crawls.columns else []
+        return F.coalesce(*given, F.lit(DEFAULTS[name])).cast(kinds[name]).alias(name)
+
+    seeds = crawls.select("crawl_id", strip(F.col("start_url")).alias("start_url"), *map(value, DEFAULTS))
+    template = F.coalesce(F.col("url_template"), F.lit(""))
+    problem = (
+        F.when(F.coalesce("start_url", F.lit("")) == "", "start_url is missing")
+        .when(~F.col("start_url").rlike("(?i)^https?://[^/?#]"), "start_url is not an http(s) address")
+        .when(~F.col("mode").isin(*MODES), F.concat(F.lit("unknown mode: "), F.col("mode")))
+        .when(F.col("max_pages") < 1, "max_pages must be at least 1")
+        .when((F.col("mode") == "template") & ~F.contains(template, F.lit("{page}")), "url_template lacks {page}")
+    )
+    return seeds.withColumn("problem", problem)
 
 
 def read_crawls(crawls: DataFrame) -> DataFrame:
-    """Seeds with their defaults; a start URL must be http(s)."""
-    # Walk defaults.
-    defaults = {
-        "mode": F.lit("next"),
-        "url_template": F.lit(None).cast("string"),
-        "start_page": F.lit(1),
-        "max_pages": F.lit(10),
-        "stop_on_error": F.lit(True),
-    }
-    have = {name: F.coalesce(F.col(name), value) for name, value in defaults.items() if name in crawls.columns}
-    columns = {name: have.get(name, value).alias(name) for name, value in defaults.items()}
-    return crawls.select(
-        "crawl_id",
-        F.trim("start_url").alias("start_url"),
-        *(c.cast("long").alias(n) if n in ("start_page", "max_pages") else c for n, c in columns.items()),
-    ).filter(F.col("start_url").rlike("^https?://"))
+    """Seeds that can be walked, with their defaults; ``seed_problems`` lists the others."""
+    return _seeds(crawls).filter("problem is null").drop("problem")
+
+
+def seed_problems(crawls: DataFrame) -> DataFrame:
+    """``crawl_id, start_url, problem`` of every seed that cannot be walked."""
+    return _seeds(crawls).filter("problem is not null").select("crawl_id", "start_url", "problem")
