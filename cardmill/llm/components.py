@@ -12,15 +12,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``id, component`` of every id in ``links`` (columns ``a, b``, longs, not null).
 
     The component is its smallest id. Each round hangs the neighbours of every id on
-    the smallest of them, first the larger ones, then the smaller ones, until all hang
-    on their smallest id; rounds grow with the logarithm of the longest path. Minima
+    the smallest of them, first the larger ones, then the smaller ones, until each hangs on
+    one that hangs on none; rounds grow with the logarithm of the longest path. Minima
     are partial aggregates, joins carry rows on both sides of an exchange, so that
     AQE can split the ones of a hub, and every round is a written table.
     """
     pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
     edges = materialise(pairs, "links")
-    seen = _mark(edges)
-    while seen[0]:
+    while not _hung(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: every larger neighbour of an id goes to the smallest of its neighbours and itself.
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
@@ -33,15 +32,16 @@ def connected_components(links: DataFrame) -> DataFrame:
         )
         edges = near.select(F.col("edge.a").alias("a"), F.col("edge.least").alias("b")).filter("a != b")
         edges = materialise(edges.distinct(), "small")
-        mark = _mark(edges)
-        if mark == seen:
-            break
-        seen = mark
     hung = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return hung.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    """Number and hash of the edges: equal for equal tables."""
-    folded = F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 31) - 1)))
-    return tuple(edges.agg(F.count("*"), F.coalesce(folded, F.lit(0))).first())
+def _hung(edges: DataFrame) -> bool:
+    """Whether every id hangs on one other, or has others hanging on it, and never both."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("a").alias("id"), F.col("b").alias("on")), F.struct(F.col("b").alias("id"), F.lit(None).cast("long").alias("on"))
+    )).alias("end"))
+    sides = ends.select("end.*").groupBy("id").agg(
+        F.min("on").alias("low"), F.max("on").alias("high"), F.max(F.col("on").isNull()).alias("holds")
+    )
+    return sides.filter("low < high or (holds and low is not null)").isEmpty()

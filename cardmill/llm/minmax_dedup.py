@@ -11,7 +11,11 @@ from the whole texts:
 * a few rounds in which each class is compared with the most connected class of its
   buckets, which joins a large group of copies by a number of pairs in proportion to
   its size; after each round the components so far are known;
-* then all pairs that share a bucket and lie in different components, none left out.
+* then all pairs that share a bucket and lie in different components, none left out. If
+  these are many (a large group whose members are alike, yet not alike enough), a pair
+  is first asked to share one of its rarest shingles: two sets that are linked have
+  ``common`` shingles in common at least, by their sizes, so the ``size - common + 1``
+  rarest of the one and of the other share one, in whatever order shingles are rare.
 
 A bucket is only ever counted and joined, never gathered, and a comparison runs
 through its rows in a stream, in chunks of one class's partners.
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import drop_keys, fits_broadcast
@@ -36,10 +40,10 @@ PERCENT = 75
 BANDS = 64
 ROWS = 6
 #: Pairs for each class that may still be unjoined when all of them are compared, and rounds before that.
-PAIRS_EACH = 4
-ROUNDS = 4
-#: Partners of a class that one stream compares with it.
-CHUNK = 64
+PAIRS_EACH = 8
+ROUNDS = 2
+#: Streams that the partners of one class are dealt out to.
+CHUNKS = 1024
 BATCH = 512
 
 _CHANCE = np.random.Generator(np.random.PCG64(7))
@@ -105,11 +109,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     partners of a hub are dealt out in chunks; each chunk is a sorted stream that starts
     with the hub's text.
     """
-    pairs = materialise(pairs, "pairs")
-    counts = pairs.groupBy("hub").agg(F.count("*").alias("n"))
-    dealt = pairs.join(materialise(counts, "hubs"), "hub")
-    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)).alias("chunk")
-    dealt = materialise(dealt.select("hub", chunk, "id"), "dealt")
+    chunk = F.pmod(F.xxhash64("id"), F.lit(CHUNKS)).alias("chunk")
+    dealt = materialise(pairs.select("hub", chunk, "id"), "pairs")
     hubs = dealt.select("hub", "chunk", F.col("hub").alias("id")).distinct().withColumn("partner", F.lit(0))
     rows = hubs.unionByName(dealt.withColumn("partner", F.lit(1))).join(texts, "id")
     rows = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "partner")
@@ -135,30 +136,72 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return rows.select("hub", "id", "partner", "text").mapInArrow(compare, "a long, b long")
 
 
-def _round(buckets: DataFrame, number: int) -> DataFrame:
-    """Pairs of each class with the leading class of its buckets, four at most, in other components."""
+def _rare_pairs(live: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components that share one of their rarest shingles: all that can be linked are among them."""
+    members = materialise(live.select("id", "component").distinct(), "open")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, BATCH):
+            sets = shingle_sets(raw_texts(batch.column(2)))
+            sizes = np.array([len(own) for own in sets], np.int64)
+            at = np.repeat(np.arange(len(sets)), sizes)
+            # An id may have several sets: each has a mark of its own.
+            marks = np.array([int(own.sum(dtype=np.uint64).astype(np.int64)) for own in sets], np.int64)
+            flat = np.concatenate(sets).view(np.int64) if len(at) else np.zeros(0, np.int64)
+            columns = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), *map(pa.array, (marks[at], sizes[at], flat))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "component", "mark", "size", "shingle"])
+
+    rows = texts.join(members, "id").select("id", "component", "text")
+    rows = materialise(rows.mapInArrow(explode, "id long, component long, mark long, size long, shingle long"), "open-shingles")
+    rarity = materialise(rows.groupBy("shingle").agg(F.count("*").alias("holders")), "rarity")
+    # A shingle of one holder takes a place among the rarest, yet pairs nobody.
+    place = F.row_number().over(Window.partitionBy("id", "mark").orderBy("holders", "shingle"))
+    wanted = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    # Enough for the smaller set of a pair.
+    short = F.col("size") - F.ceil(2 * F.col("size") * percent / (100 + percent)) + 1
+    rarest = rows.join(rarity, "shingle").withColumn("place", place).filter(F.col("place") <= wanted)
+    rarest = materialise(rarest.filter("holders > 1").select("id", "component", "size", "shingle", "place", short.alias("short")), "rarest")
+    one, two = rarest.filter("place <= short").alias("one"), rarest.alias("two")
+    small, large = F.col("one.size"), F.col("two.size")
+    common = F.ceil((small + large) * percent / (100 + percent))
+    ordered = (small < large) | ((small == large) & (F.col("one.id") < F.col("two.id")))
+    fits = ordered & (100 * small >= percent * large) & (F.col("one.component") != F.col("two.component"))
+    fits = fits & (F.col("one.place") <= small - common + 1) & (F.col("two.place") <= large - common + 1)
+    both = one.join(two, (F.col("one.shingle") == F.col("two.shingle")) & fits)
+    return both.select(F.col("two.id").alias("hub"), F.col("one.id").alias("id")).distinct()
+
+
+def _live(buckets: DataFrame, components: DataFrame, number: int) -> DataFrame:
+    """Rows of the buckets that still hold several components, with the bucket's size and leading class.
+
+    First the most connected class leads, in later rounds another one, by a hash.
+    """
     weight = F.col("degree") if number == 0 else F.xxhash64("id", F.lit(number))
-    leads = buckets.groupBy("key").agg(F.max(F.struct(weight.alias("weight"), "id", "component")).alias("lead"))
-    led = buckets.join(materialise(leads, "leads"), "key").filter(F.col("component") != F.col("lead.component"))
-    best = led.groupBy("id", F.pmod("key", F.lit(4)).alias("part")).agg(F.max("lead").alias("lead"))
-    return best.select(F.col("lead.id").alias("hub"), "id").distinct()
+    labelled = buckets.select("key", "id", weight.alias("weight"))
+    if number:
+        labelled = labelled.join(components, "id", "left")
+    else:
+        labelled = labelled.withColumn("component", F.lit(None).cast("long"))
+    labelled = materialise(labelled.withColumn("component", F.coalesce("component", "id")), "labelled")
+    sides = labelled.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.max(F.struct("weight", "id", "component")).alias("lead"),
+    )
+    sides = materialise(sides.filter("low < high").select("key", "size", "lead"), "sides")
+    return materialise(labelled.join(sides, "key"), "live")
 
 
-def _live(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """Rows of the buckets that still hold several components."""
-    labelled = buckets.select("key", "id", "degree").join(components, "id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "id"))
-    labelled = materialise(labelled, "labelled")
-    sides = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    sides = materialise(sides.filter("low < high").select("key"), "live")
-    return materialise(labelled.join(sides, "key"), "buckets")
+def _led(live: DataFrame) -> DataFrame:
+    """Pairs of each class with the leading classes of its buckets, four at most, in other components."""
+    led = live.filter(F.col("component") != F.col("lead.component"))
+    best = led.groupBy("id", F.pmod("key", F.lit(4)).alias("part")).agg(F.max("lead").alias("lead"))
+    return best.select(F.col("lead.id").alias("hub"), "id").distinct()
 
 
-def _open_pairs(buckets: DataFrame) -> int:
-    """How many pairs of different components share a bucket, counted per bucket."""
-    sizes = buckets.groupBy("key", "component").agg(F.count("*").cast("double").alias("n"))
-    sizes = sizes.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-    return int(sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0])
+def _open_pairs(live: DataFrame) -> int:
+    """Bound of the pairs of different components that share a bucket."""
+    outside = F.when(F.col("component") != F.col("lead.component"), F.col("size").cast("double"))
+    return int(live.agg(F.coalesce(F.sum(outside), F.lit(0.0))).first()[0])
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -212,16 +255,19 @@ def _links(docs: DataFrame, signed: DataFrame, classes: DataFrame, alike: list[s
     every, found = degrees.count(), none
     components = spark.createDataFrame([], "id long, component long")
     for number in range(ROUNDS + 1):
-        live = _live(buckets, components)
+        live = _live(buckets, components, number)
         open_pairs = _open_pairs(live)
         if not open_pairs:
             break
-        last = open_pairs <= PAIRS_EACH * every or number == ROUNDS
-        if last:
+        few = open_pairs <= PAIRS_EACH * every
+        last = few or number == ROUNDS
+        if last and not few:
+            pairs = _rare_pairs(live, texts, percent)
+        elif last:
             other = live.select("key", F.col("id").alias("hub"), F.col("component").alias("of"))
             pairs = live.join(other, "key").filter("component < of").select("hub", "id").distinct()
         else:
-            pairs = _round(live, number)
+            pairs = _led(live)
         found = found.unionByName(materialise(confirmed(pairs, texts, percent), "confirmed"))
         if last:
             break

@@ -99,3 +99,10 @@ def test_hashes_follow_words():
         assert len(set(hashes.tolist())) == len(set(own))
     one, two = shingle_sets([b"A b c", b"q a B c"])
     assert len(one) == len(two) == 1 and not np.intersect1d(one, two).size
+
+
+def test_large_group_that_is_not_alike_enough(spark, monkeypatch):
+    monkeypatch.setattr("cardmill.llm.minmax_dedup.PAIRS_EACH", 0)
+    chance = random.Random(12)
+    base = " ".join(f"b{chance.randrange(10**6)}" for _ in range(140))
+    check(spark, [edited(chance, base, chance.randint(0, 30)) for _ in range(250)] + [base] * 5)
