@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import fits_broadcast
 from ..session import materialise
 
 WEIGHTS = (1, 2, 3)
@@ -103,8 +104,19 @@ def mix_plan(
 
 def _sized(docs: DataFrame, weight: Column | None, seed: int) -> list[Column]:
     key = exponential_key(docs["doc_id"], F.lit(1.0) if weight is None else weight, seed)
-    place = F.struct(key.alias("key"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("hash"))
-    return [docs["source"].alias("source"), place.alias("place"), word_count(docs["text"]).alias("size")]
+    size, mark = (docs["__measure"]["size"], docs["__measure"]["hash"]) if "__measure" in docs.columns else _measure(docs)
+    place = F.struct(key.alias("key"), docs["doc_id"].alias("id"), mark.alias("hash"))
+    return [docs["source"].alias("source"), place.alias("place"), size.alias("size")]
+
+
+def _measure(docs: DataFrame) -> tuple[Column, Column]:
+    return word_count(docs["text"]), F.xxhash64(docs["text"])
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """``doc_id, source`` and what ``mix`` needs of the texts, so that it can do without them."""
+    size, mark = _measure(docs)
+    return docs.select(docs["doc_id"], docs["source"], F.struct(size.alias("size"), mark.alias("hash")).alias("__measure"))
 
 
 def mix(
@@ -147,9 +159,14 @@ def copies_of(mixed: DataFrame) -> DataFrame:
 
 
 def label_weight(docs: DataFrame, labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> tuple[DataFrame, str]:
-    """``docs`` with a weight by the quality label; 1 where there is none. Also the new column's name."""
+    """``docs`` with a weight by the quality label; 1 where there is none. Also the new column's name.
+
+    Labels of a measured small size go to the documents; else both are shuffled, so give
+    ``measured`` rows where texts are not needed.
+    """
     marks = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("__quality"))
-    marks = marks.withColumnRenamed("doc_id", "__labelled")
+    marks = materialise(marks.withColumnRenamed("doc_id", "__labelled"), "marks")
+    marks = F.broadcast(marks) if fits_broadcast(marks) else marks
     joined = docs.join(marks, docs["doc_id"] == marks["__labelled"], "left")
     weight = F.when(F.col("__quality") == 1, good).when(F.col("__quality") == 0, poor).otherwise(1.0)
     return joined.withColumn("__weight", weight).drop("__labelled", "__quality"), "__weight"

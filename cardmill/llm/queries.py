@@ -13,7 +13,7 @@ from .bitmap_bpe import decode_bpe, encode_bpe
 from .minmax_dedup import near_duplicates
 from .brown_lm import score_texts
 from .huffman_ids import library_ids, read_ids, write_ids
-from .mixing import label_weight, mix
+from .mixing import label_weight, measured, mix
 from .rotated_codes import nearest
 from .separator_scan import scan_separators, token_blocks, write_flat
 from .tiled_cosine import near_vectors
@@ -85,7 +85,7 @@ def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(MIX_SQL)
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, weight = label_weight(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs, weight = label_weight(measured(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
     mixed = mix(docs, F.col(weight))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.copies")
 
