@@ -146,11 +146,17 @@ def _pool(path: str, pattern: str) -> Pieces:
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
         names = [chr(byte) if byte in seen else chr(next(other)) for byte in range(256)]
+        blank = names[32]
 
         def encode(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [
-                [token.id for token in model.tokenize(text.encode().decode("latin-1").translate(names))] for text in tokens
-            ]
+            found = []
+            for text in tokens:
+                # Most new pre-tokens are a space and ASCII letters: only the space has another name.
+                if text[0] == " " and text.isascii() and text[1:].isalpha():
+                    named = blank + text[1:]
+                else:
+                    named = text.encode().decode("latin-1").translate(names)
+                found.append([token.id for token in model.tokenize(named)])
             lengths = np.array([len(ids) for ids in found], np.int64)
             return np.array([token for ids in found for token in ids], np.uint32), lengths
 

@@ -22,6 +22,9 @@ from .arrow import ragged
 #: White space of the pattern as the Unicode property has it, whatever the engine's own class holds.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
+#: Marks that are no letters, digits or white space, nor the start of a contraction.
+MARKS = frozenset(".,;:!?)")
+
 #: Flat ids and the number of ids of each string.
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -70,6 +73,10 @@ class Pieces:
                 if key.isalpha():
                     single.append((key, " " + key))
                     continue
+                # Letters and one mark after them: what the pattern would cut, without asking it.
+                if key[-1] in MARKS and key[:-1].isalpha():
+                    several.append((key, [" " + key[:-1], key[-1]]))
+                    continue
                 parts = cut(" " + key)
             else:
                 parts = cut(key[0])
