@@ -14,18 +14,18 @@ from ..session import materialise
 from ..sources.pages import spread
 
 PER_PAGE = 20
-SITE = "https://shop.example"
+SITE = "https://lots.example"
 
 CARD_RULES = PageRules(
-    "article.product-card",
+    "tr.lot",
     (
-        FieldRule("title", "h2.product-card__title", required=True),
-        FieldRule("price", "span.product-card__price", transform="price"),
-        FieldRule("link", "h2.product-card__title a", "href", "url"),
-        FieldRule("rating", "meta.product-card__rating", "content", "float"),
+        FieldRule("title", "a.what", required=True),
+        FieldRule("price", "td.sum", transform="price"),
+        FieldRule("link", "a.what", "href", "url"),
+        FieldRule("rating", "meta.mark", "content", "float"),
     ),
 )
-PAGER_RULES = PagerRules("a.pager__next", "a.pager__num")
+PAGER_RULES = PagerRules("a.onward", "a.leaf")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,9 +58,9 @@ def price_text(key: Column, cents: Column) -> Column:
     split = r"(?<=\d)(?=(\d{3})+$)"
     notation = key % 4
     return (
-        F.when(key % 17 == 0, F.lit("Цена по запросу"))
-        .when(notation == 0, F.concat(F.regexp_replace(units, split, " "), F.lit(","), part, F.lit(" ₽")))
-        .when(notation == 1, F.concat(F.regexp_replace(units, split, "."), F.lit(","), part, F.lit(" руб.")))
+        F.when(key % 17 == 0, F.lit("ask the seller"))
+        .when(notation == 0, F.concat(F.regexp_replace(units, split, " "), F.lit(","), part, F.lit(" Kč")))
+        .when(notation == 1, F.concat(F.regexp_replace(units, split, "."), F.lit(","), part, F.lit(" €")))
         .when(notation == 2, F.concat(F.lit("$"), F.regexp_replace(units, split, ","), F.lit("."), part))
         .otherwise(F.regexp_replace(units, split, ","))
     )
@@ -70,16 +70,15 @@ def _card() -> Column:
     key = F.col("p_partkey")
     cents = F.round(F.col("p_retailprice") * 1300).cast("long")
     title = F.format_string(
-        '<h2 class="product-card__title"> <a href="/product/%s">\n %s </a></h2>',
-        key.cast("string"), F.replace(F.col("p_name"), F.lit(" "), F.lit("  ")),
-    )
+        '<a class="what" href="/lot/%s">\n  %s </a>', key.cast("string"), F.replace(F.col("p_name"), F.lit(" "), F.lit("  "))
+    )
     return F.concat(
-        F.lit('<article class="card product-card">'),
-        F.when(key % 13 == 0, F.lit("<h3>no title</h3>")).otherwise(title),
-        F.lit('<span class="product-card__price">'), price_text(key, cents), F.lit("</span>"),
-        F.lit('<meta class="product-card__rating" content="'), (F.col("p_size") % 3 + 3).cast("string"), F.lit('.5">'),
+        F.lit('<tr class="wide lot"><th scope="row">'),
+        F.when(key % 13 == 0, F.lit("<i>unnamed lot</i>")).otherwise(title),
+        F.lit('<td class="sum">'), price_text(key, cents), F.lit("</td>"),
+        F.lit('<td><meta class="mark" content="'), (F.col("p_size") % 3 + 3).cast("string"), F.lit('.5">'),
         F.lit('<img src="/img/'), key.cast("string"), F.lit('.png" alt="part">'),
-        F.lit('<ul class="card__tags"><li>'), F.col("p_type"), F.lit("<li>"), F.col("p_brand"), F.lit("</ul></article>"),
+        F.lit('<ol class="kinds"><li>'), F.col("p_type"), F.lit("<li>"), F.col("p_brand"), F.lit("</ol></tr>"),
     )
 
 
@@ -123,13 +122,13 @@ def render(part: DataFrame, faults: bool = False, loops: bool = False) -> DataFr
     body = F.array_join(F.transform("cards", lambda c: c["html"]), "\n")
     if faults:
         kind = F.when(page == 3, brand_no(brand) % 4)
-        broken = F.lit('<article class="product-card"><span class="product-card__price">100 ₽</span></article>')
+        broken = F.lit('<tr class="lot"><td class="sum">17 €</td></tr>')
         pages = pages.filter(F.coalesce(kind != 2, F.lit(True)))
-        body = F.when(kind == 0, F.lit("<p>nothing here</p>")).when(kind == 1, broken).otherwise(body)
+        body = F.when(kind == 0, F.lit("<caption>sold out</caption>")).when(kind == 1, broken).otherwise(body)
 
     def link(number: Column) -> Column:
         return F.concat(
-            F.lit('<a class="pager__num" href="'), page_link(brand, number), F.lit('">'), number.cast("string"),
+            F.lit('<a class="leaf" href="'), page_link(brand, number), F.lit('">'), number.cast("string"),
             F.lit("</a>"),
         )
 
@@ -139,13 +138,12 @@ def render(part: DataFrame, faults: bool = False, loops: bool = False) -> DataFr
     if loops:
         onward = F.coalesce(onward, F.least(F.lit(2).cast("long"), last))
     arrow = F.coalesce(
-        F.concat(F.lit('<a class="pager__next" href="'), page_link(brand, onward), F.lit('">Вперёд</a>')),
-        F.lit('<span class="pager__next disabled">Вперёд</span>'),
+        F.concat(F.lit('<a class="onward" href="'), page_link(brand, onward), F.lit('">more lots</a>')),
+        F.lit('<a class="onward disabled" href="?">more lots</a>'),
     )
     html = F.concat(
-        F.lit('<!DOCTYPE html>\n<html lang="ru"><head><meta charset="utf-8"><title>'), brand,
-        F.lit('</title></head><body><main class="catalog">'), body,
-        F.lit('</main><nav class="pager">'), pager, arrow, F.lit("</nav></body></html>"),
+        F.lit('<!DOCTYPE html>\n<meta charset="utf-8"><title>Lots of '), brand, F.lit("</title><h1>"), brand,
+        F.lit('</h1><table class="stock">'), body, F.lit('</table><p class="leaves">'), pager, F.lit(" "), arrow,
     )
     return pages.select(
         "brand", "page_no", (brand_no(brand) * 1_000_000_000 + page).alias("page_id"),
@@ -162,9 +160,19 @@ def catalogue_facts(spark: SparkSession, sf_dir: str, **options: bool) -> DataFr
     return page_facts(catalogue_parsed(spark, sf_dir, **options), CARD_RULES)
 
 
-def brand_crawls(spark: SparkSession, sf_dir: str, mode: str, max_pages: int, stop_on_error: bool = True) -> DataFrame:
-    """One crawl per brand of the part table, starting at its first page."""
-    brands = read(spark, sf_dir, "part").select("p_brand").distinct()
+def brand_crawls(
+    spark: SparkSession, sf_dir: str, mode: str, max_pages: int | None = None, stop_on_error: bool = True
+) -> DataFrame:
+    """One crawl per brand of the part table, starting at its first page.
+
+    The limit is taken from the data, two pages more than the longest brand has, unless
+    one is given.
+    """
+    parts = read(spark, sf_dir, "part")
+    if max_pages is None:
+        longest = parts.groupBy("p_brand").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+        max_pages = -(-longest // PER_PAGE) + 2
+    brands = parts.select("p_brand").distinct()
     brand = F.col("p_brand")
     base = F.concat(F.lit(f"{SITE}/b"), brand_no(brand).cast("string"), F.lit("?page="))
     return brands.select(

@@ -22,8 +22,6 @@ from .catalogue import (
 )
 from .registry import query
 
-DEPTH = 60
-
 # DuckDB: every card of the catalogue with its place and expected values.
 CARDS = """
   SELECT p_brand AS brand, (rn - 1) // 20 + 1 AS page_no, ((rn - 1) % 20 + 1)::INT AS card_no, p_partkey AS k,
@@ -31,7 +29,7 @@ CARDS = """
     CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_name END AS title,
     CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 4 = 3 THEN (cents // 100)::VARCHAR
       ELSE (cents // 100) || '.' || lpad((cents % 100)::VARCHAR, 2, '0') END AS price,
-    CASE WHEN p_partkey % 13 = 0 THEN '' ELSE 'https://shop.example/product/' || p_partkey END AS link,
+    CASE WHEN p_partkey % 13 = 0 THEN '' ELSE 'https://lots.example/lot/' || p_partkey END AS link,
     (p_size % 3 + 3) || '.5' AS rating
   FROM (SELECT *, round(p_retailprice * 1300)::BIGINT AS cents, count(*) OVER (PARTITION BY p_brand) AS size,
           row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part)
@@ -39,11 +37,13 @@ CARDS = """
 PAGES = f"""
   SELECT brand, b, page_no, any_value(pages) AS pages, count(*) AS found, count_if(title <> '') AS kept,
     count_if(title <> '' AND price = '') AS empty_fields,
-    'https://shop.example/b' || b || '?page=' || page_no AS url
+    'https://lots.example/b' || b || '?page=' || page_no AS url
   FROM ({CARDS}) GROUP BY brand, b, page_no
 """
 # DuckDB: visits of the walk along the pages, without and with the faults on page 3.
-WALK = f"SELECT * FROM ({PAGES}) WHERE page_no <= {DEPTH}"
+WALK = PAGES
+# Pages that a walk may visit: two more than the longest brand has.
+LIMIT = f"SELECT max(pages) + 2 AS most FROM ({PAGES})"
 STORED = f"""
   SELECT brand, b, page_no, pages, url, b % 4 AS fault,
     CASE WHEN page_no = 3 AND b % 4 = 0 THEN 0 WHEN page_no = 3 AND b % 4 = 1 THEN 1 ELSE found END AS found,
@@ -53,19 +53,19 @@ STORED = f"""
 
 
 TEMPLATE_PLAN = f"""
-  SELECT c.brand, n, 'https://shop.example/b' || c.b || '?page=' || n AS url, s.url IS NOT NULL AS ok,
+  SELECT c.brand, n, 'https://lots.example/b' || c.b || '?page=' || n AS url, s.url IS NOT NULL AS ok,
     coalesce(s.found, 0) AS found, coalesce(s.kept, 0) AS kept,
-    CASE WHEN s.url IS NULL THEN 'https://shop.example/b' || c.b || '?page=' || n || ': not in the snapshot'
-         WHEN s.found = 0 THEN 'no element matches article.product-card' END AS error
+    CASE WHEN s.url IS NULL THEN 'https://lots.example/b' || c.b || '?page=' || n || ': not in the snapshot'
+         WHEN s.found = 0 THEN 'no element matches tr.lot' END AS error
   FROM (SELECT DISTINCT brand, b FROM ({PAGES})) c
-  CROSS JOIN (SELECT unnest(range(1, {{depth}} + 1)) AS n) r
+  CROSS JOIN (SELECT unnest(range(1, most + 1)) AS n FROM ({LIMIT})) r
   LEFT JOIN ({{pages}}) s ON s.brand = c.brand AND s.page_no = n
 """
 
 
-def template_visits(depth: int, stop_on_error: bool, pages: str) -> str:
+def template_visits(stop_on_error: bool, pages: str) -> str:
     """DuckDB: template visits up to the first stop."""
-    plan = TEMPLATE_PLAN.replace("{depth}", str(depth)).replace("{pages}", pages)
+    plan = TEMPLATE_PLAN.replace("{pages}", pages)
     stop = "ok AND (found = 0 OR kept = 0)" + (" OR NOT ok" if stop_on_error else "")
     return f"""
       SELECT p.* FROM ({plan}) p LEFT JOIN
@@ -85,17 +85,17 @@ def catalog_cards(spark, sf_dir):
 
 
 @query(
-    f"""SELECT brand, page_no, card_no, rating, 'https://shop.example/img/' || k || '.png' AS image,
+    f"""SELECT brand, page_no, card_no, rating, 'https://lots.example/img/' || k || '.png' AS image,
     p_type || ' | ' || brand AS tags FROM ({CARDS})"""
 )
 def catalog_void(spark, sf_dir):
     """Values of empty elements and of a list with unclosed items."""
     rules = PageRules(
-        "article.card",
+        "tr.lot",
         (
-            FieldRule("rating", "meta.product-card__rating", transform="strip"),
+            FieldRule("rating", "meta.mark", transform="strip"),
             FieldRule("image", "img", transform="url"),
-            FieldRule("tags", "ul.card__tags > li", collect_all=True, join_with=" | "),
+            FieldRule("tags", "ol.kinds > li", collect_all=True, join_with=" | "),
         ),
     )
     return records(catalogue_parsed(spark, sf_dir, rules), rules, keep=["brand", "page_no"])
@@ -107,11 +107,11 @@ def catalog_void(spark, sf_dir):
 )
 def catalog_required(spark, sf_dir):
     """A price that is no number counts as missing: required is checked after the transform."""
-    amount = "span.product-card__price"
+    amount = "td.sum"
     rules = PageRules(
-        "article.product-card",
+        "tr.lot",
         (
-            FieldRule("title", "h2.product-card__title a", required=True),
+            FieldRule("title", "th a", required=True),
             FieldRule("price", amount, transform="float", required=True),
             FieldRule("whole", amount, transform="int"),
         ),
@@ -127,17 +127,17 @@ def page_counters(spark, sf_dir):
 
 
 @query(
-    f"""SELECT brand, page_no, CASE WHEN page_no < pages THEN 'https://shop.example/b' || b || '?page=' || (page_no + 1) END
+    f"""SELECT brand, page_no, CASE WHEN page_no < pages THEN 'https://lots.example/b' || b || '?page=' || (page_no + 1) END
       AS next_url, array_to_string(list_transform(list_sort(list_distinct(list_concat([1],
         range(greatest(page_no - 2, 1), least(page_no + 2, pages) + 1)))),
-        lambda n: 'https://shop.example/b' || b || '?page=' || n), ' ') AS pager FROM ({PAGES})"""
+        lambda n: 'https://lots.example/b' || b || '?page=' || n), ' ') AS pager FROM ({PAGES})"""
 )
 def page_links(spark, sf_dir):
     parsed = catalogue_parsed(spark, sf_dir)
     return parsed.select("brand", "page_no", "next_url", F.array_join("pager_urls", " ").alias("pager"))
 
 
-def visits(spark: SparkSession, sf_dir: str, mode: str, depth: int = DEPTH, **options: bool) -> DataFrame:
+def visits(spark: SparkSession, sf_dir: str, mode: str, depth: int | None = None, **options: bool) -> DataFrame:
     return walk(brand_crawls(spark, sf_dir, mode, depth), facts(spark, sf_dir, **options))
 
 
@@ -151,7 +151,7 @@ def crawl_links(spark, sf_dir):
     return visits(spark, sf_dir, "links")
 
 
-@query(f"SELECT brand AS crawl_id, n, url FROM ({template_visits(DEPTH, True, PAGES)})")
+@query(f"SELECT brand AS crawl_id, n, url FROM ({template_visits(True, PAGES)})")
 def crawl_template(spark, sf_dir):
     return visits(spark, sf_dir, "template")
 
@@ -174,32 +174,32 @@ def crawl_limit(spark, sf_dir):
 
 @query(f"SELECT brand AS crawl_id, page_no AS n, url, found, kept FROM ({WALK})")
 def crawl_pages(spark, sf_dir):
-    visited = crawl(brand_crawls(spark, sf_dir, "next", DEPTH), facts(spark, sf_dir))
+    visited = crawl(brand_crawls(spark, sf_dir, "next"), facts(spark, sf_dir))
     return visited.select("crawl_id", "n", "url", "found", "kept")
 
 
 @query(
     f"""SELECT brand AS crawl_id, page_no AS n, card_no, title, price, link, rating FROM ({CARDS})
-    WHERE title <> '' AND page_no <= 3"""
+    WHERE title <> ''"""
 )
 def crawled_records(spark, sf_dir):
-    visited = crawl(brand_crawls(spark, sf_dir, "next", 3), facts(spark, sf_dir))
+    visited = crawl(brand_crawls(spark, sf_dir, "next"), facts(spark, sf_dir))
     return crawl_records(visited, CARD_RULES.names).drop("url")
 
 
 @query(
     f"""SELECT brand AS crawl_id, pages, containers, "rows", containers - "rows" AS skipped,
       "rows" - distinct_rows AS duplicates, pages AS requests, 0::BIGINT AS errors, '' AS first_errors,
-      CASE WHEN last_kept = 0 THEN 'empty_rows' WHEN pages >= {DEPTH} THEN 'max_pages' ELSE 'no_next' END AS finish_reason
+      CASE WHEN last_kept = 0 THEN 'empty_rows' ELSE 'no_next' END AS finish_reason
     FROM (SELECT brand, count(*) AS pages, sum(found)::BIGINT AS containers, sum(kept)::BIGINT AS "rows",
             max_by(kept, page_no) AS last_kept FROM ({WALK}) GROUP BY brand)
     JOIN (SELECT brand, count(DISTINCT {{'t': title, 'r': rating}}) AS distinct_rows FROM ({CARDS})
-          WHERE title <> '' AND page_no <= {DEPTH} GROUP BY brand) USING (brand)""",
+          WHERE title <> '' GROUP BY brand) USING (brand)""",
     name="crawl_stats",
 )
 def crawl_summary(spark, sf_dir):
     """Statistics of an output of title and rating, which repeat a lot."""
-    visited = crawl(brand_crawls(spark, sf_dir, "next", DEPTH), facts(spark, sf_dir))
+    visited = crawl(brand_crawls(spark, sf_dir, "next"), facts(spark, sf_dir))
     return readable(crawl_stats(visited, ["title", "rating"]))
 
 
@@ -208,11 +208,11 @@ def readable(stats: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""SELECT brand AS crawl_id, n, url, error FROM ({template_visits(20, False, STORED)}) WHERE error IS NOT NULL""",
+    f"""SELECT brand AS crawl_id, n, url, error FROM ({template_visits(False, STORED)}) WHERE error IS NOT NULL""",
     name="crawl_errors",
 )
 def failed_visits(spark, sf_dir):
-    crawls = brand_crawls(spark, sf_dir, "template", 20, stop_on_error=False)
+    crawls = brand_crawls(spark, sf_dir, "template", stop_on_error=False)
     return crawl_errors(crawl(crawls, facts(spark, sf_dir, faults=True)))
 
 
@@ -221,27 +221,27 @@ def failed_visits(spark, sf_dir):
       coalesce(array_to_string(list_slice(list(error ORDER BY n) FILTER (error IS NOT NULL), 1, 10), ' | '), '') AS first_errors,
       CASE WHEN bool_or(ok AND found = 0) THEN 'no_items' WHEN bool_or(ok AND kept = 0) THEN 'empty_rows'
            ELSE 'max_pages' END AS finish_reason
-    FROM ({template_visits(20, False, STORED)}) GROUP BY brand"""
+    FROM ({template_visits(False, STORED)}) GROUP BY brand"""
 )
 def crawl_template_errors(spark, sf_dir):
-    """Twenty pages asked for, errors passed over; the report shows ten of them."""
-    crawls = brand_crawls(spark, sf_dir, "template", 20, stop_on_error=False)
+    """More pages asked for than there are, errors passed over; the report shows ten of them."""
+    crawls = brand_crawls(spark, sf_dir, "template", stop_on_error=False)
     stats = crawl_stats(crawl(crawls, facts(spark, sf_dir, faults=True)), CARD_RULES.names)
     return readable(stats).select("crawl_id", "pages", "errors", "first_errors", "finish_reason")
 
 
 @query(
-    f"""SELECT brand AS crawl_id, CASE WHEN last >= 3 THEN CASE fault WHEN 3 THEN least(last, {DEPTH}) ELSE 3 END ELSE last END AS pages,
+    f"""SELECT brand AS crawl_id, CASE WHEN last >= 3 THEN CASE fault WHEN 3 THEN last ELSE 3 END ELSE last END AS pages,
       CASE WHEN last >= 3 AND fault IN (0, 2) THEN 1 ELSE 0 END::BIGINT AS errors,
       CASE WHEN last >= 3 AND fault = 0 THEN 'no_items' WHEN last >= 3 AND fault = 1 THEN 'empty_rows'
-           WHEN last >= 3 AND fault = 2 THEN 'error' WHEN last >= {DEPTH} THEN 'max_pages'
+           WHEN last >= 3 AND fault = 2 THEN 'error'
            WHEN last_kept = 0 THEN 'empty_rows' ELSE 'no_next' END AS finish_reason
     FROM (SELECT brand, any_value(b % 4) AS fault, any_value(pages) AS last, max_by(kept, page_no) AS last_kept
           FROM ({PAGES}) GROUP BY brand)"""
 )
 def crawl_stops(spark, sf_dir):
     """Walks that end at a page without cards, without rows, or not stored."""
-    crawls = brand_crawls(spark, sf_dir, "next", DEPTH)
+    crawls = brand_crawls(spark, sf_dir, "next")
     stats = crawl_stats(crawl(crawls, facts(spark, sf_dir, faults=True)), CARD_RULES.names)
     return stats.select("crawl_id", "pages", "errors", "finish_reason")
 
@@ -255,15 +255,15 @@ def crawl_stops(spark, sf_dir):
 )
 def first_rows(spark, sf_dir):
     """The preview: five rows of each start page."""
-    return preview(brand_crawls(spark, sf_dir, "next", DEPTH), facts(spark, sf_dir), ["title", "price"])
+    return preview(brand_crawls(spark, sf_dir, "next"), facts(spark, sf_dir), ["title", "price"])
 
 
 @query(
-    f"""SELECT brand AS crawl_id, CASE WHEN blocked THEN 1 ELSE least(pages, {DEPTH}) END AS pages,
-      CASE WHEN blocked THEN 0 ELSE least(pages, {DEPTH}) + 2 END AS requests,
+    f"""SELECT brand AS crawl_id, CASE WHEN blocked THEN 1 ELSE pages END AS pages,
+      CASE WHEN blocked THEN 0 ELSE pages + 2 END AS requests,
       CASE WHEN blocked THEN 1 ELSE 0 END::BIGINT AS errors,
-      CASE WHEN blocked THEN 'https://shop.example/b' || b || '?page=1: denied by robots.txt' ELSE '' END AS first_errors,
-      CASE WHEN blocked THEN 'error' WHEN last_kept = 0 THEN 'empty_rows' WHEN pages >= {DEPTH} THEN 'max_pages'
+      CASE WHEN blocked THEN 'https://lots.example/b' || b || '?page=1: denied by robots.txt' ELSE '' END AS first_errors,
+      CASE WHEN blocked THEN 'error' WHEN last_kept = 0 THEN 'empty_rows'
            ELSE 'no_next' END AS finish_reason
     FROM (SELECT brand, b, any_value(pages) AS pages, max_by(kept, page_no) AS last_kept, b % 6 = 5 AS blocked
           FROM ({PAGES}) GROUP BY brand, b)"""
@@ -279,7 +279,7 @@ def gated_crawl(spark, sf_dir):
     pages = allowed_pages(fetched_pages(log, outcomes), policy)
     read = page_facts(parse_pages(pages, CARD_RULES, PAGER_RULES, keep=["url"]), CARD_RULES, keep=["url"])
     stored = site_facts(read, outcomes)
-    visited = crawl(brand_crawls(spark, sf_dir, "next", DEPTH), stored, policy)
+    visited = crawl(brand_crawls(spark, sf_dir, "next"), stored, policy)
     stats = readable(crawl_stats(visited, CARD_RULES.names))
     return stats.select("crawl_id", "pages", "requests", "errors", "first_errors", "finish_reason")
 
@@ -305,7 +305,7 @@ def catalogue_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands = brand_crawls(spark, sf_dir, "none", 1)
     number = F.regexp_extract("crawl_id", r"(\d+)$", 1).cast("long")
     closed = F.collect_list(F.when(number % 6 == 5, F.concat(F.lit("Disallow: /b"), number.cast("string"), F.lit("?page="))))
-    return brands.groupBy(F.lit("https://shop.example").alias("origin")).agg(
+    return brands.groupBy(F.lit("https://lots.example").alias("origin")).agg(
         F.lit(200).alias("robots_status"),
         F.concat(F.lit("User-agent: *\n"), F.array_join(F.array_sort(closed), "\n")).alias("body"),
     )
