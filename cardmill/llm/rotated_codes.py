@@ -5,9 +5,10 @@ its coordinates, packed into 64-bit words, with one correction scalar: the produ
 the turned vector with the direction of its own code. Against a query, turned alike
 and rounded at random to four-bit numbers, the product of code and query is a handful
 of bit counts; divided by the scalar it estimates the cosine without bias, with an error
-whose size is known. A task scans a block of codes for a block of queries and passes on
-the vectors whose upper bound reaches the fifth best lower bound; the best lower bounds
-of all blocks prune once more, and what is left is reranked by exact cosines.
+whose size is known. A task scans a block of codes for a block of queries, twice: first
+it passes on the best lower bounds, of which the k-th best over all blocks is a query's
+floor, then the vectors whose upper bound reaches that floor. These are reranked by
+exact cosines.
 
 Codes are an eighth of the vectors at the default length, so it is codes that meet
 every block of queries, while vectors move only to be reranked.
@@ -133,13 +134,15 @@ def nearest(
     asked = asked.filter(usable(F.col("asked")) & F.col("query_id").isNotNull())
     asked = asked.groupBy("query_id").agg(F.min(F.transform("asked", lambda x: x.cast("double") + 0.0)).alias("asked"))
     asked = materialise(asked, "queries")
-    candidates = materialise(_candidates(index, asked, k, seed, bits_each), "candidates")
-    # The best lower bounds over all blocks prune once more.
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("lower").desc()))
-    floors = candidates.select("query_id", "lower", best.alias("place")).filter(F.col("place") == k)
-    floors = materialise(floors.select("query_id", F.col("lower").alias("floor")), "floors")
-    left = candidates.join(floors, "query_id", "left").filter(F.col("floor").isNull() | (F.col("upper") >= F.col("floor")))
-    left = left.select("query_id", "key").join(index.select("key", "vector"), "key").join(asked, "query_id")
+    bounds = _scanned(index, asked.withColumn("floor", F.lit(None).cast("double")), k, seed, bits_each)
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc()))
+    floors = bounds.select("query_id", F.col("bound").alias("floor"), best.alias("place")).filter(F.col("place") == k)
+    floors = materialise(floors.select("query_id", "floor"), "floors")
+    # Fewer than k candidates leave a query without a floor: all of them go on.
+    lowest = F.coalesce("floor", F.lit(float("-inf")))
+    asked = materialise(asked.join(floors, "query_id", "left").withColumn("floor", lowest), "floored")
+    left = materialise(_scanned(index, asked, k, seed, bits_each), "candidates")
+    left = left.select("query_id", "key").join(index.select("key", "vector"), "key").join(asked.drop("floor"), "query_id")
     ranked = _scored(left)
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return ranked.withColumn("rank", order).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -159,8 +162,12 @@ def _scored(pairs: DataFrame) -> DataFrame:
     return pairs.select("query_id", "key", "vector", "asked").mapInArrow(score, "query_id long, vec_id long, score double")
 
 
-def _candidates(index: DataFrame, asked: DataFrame, k: int, seed: int, bits_each: int) -> DataFrame:
-    """``query_id, key, lower, upper`` of what may be among the ``k`` nearest, block by block."""
+def _scanned(index: DataFrame, asked: DataFrame, k: int, seed: int, bits_each: int) -> DataFrame:
+    """``query_id, key, bound``, block by block.
+
+    For a query without a floor its ``k`` best lower bounds in each block, else all whose
+    upper bound reaches the floor.
+    """
     spark = index.sparkSession
     counts = {row["length"]: row["n"] for row in index.groupBy("length").agg(F.count("*").alias("n")).collect()}
     sizes = {row["length"]: row["n"] for row in asked.groupBy(F.size("asked").alias("length")).agg(F.count("*").alias("n")).collect()}
@@ -169,24 +176,26 @@ def _candidates(index: DataFrame, asked: DataFrame, k: int, seed: int, bits_each
     ]
     plan = spark.createDataFrame(blocks, "length int, row_blocks long, query_blocks long")
     if not blocks:
-        return spark.createDataFrame([], "query_id long, key long, lower double, upper double")
+        return spark.createDataFrame([], "query_id long, key long, bound double")
     plan = F.broadcast(plan)
     rows = index.select("key", "length", "words", "scalar").join(plan, "length")
     rows = rows.select(
         "length", F.pmod(F.xxhash64("key"), "row_blocks").alias("block"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)).alias("query_block"),
         F.lit(False).alias("asks"), "key", "words", "scalar", F.lit(None).cast("array<double>").alias("asked"),
+        F.lit(None).cast("double").alias("floor"),
     )
     asks = asked.withColumn("length", F.size("asked")).join(plan, "length")
     asks = asks.select(
         "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_blocks") - 1)).alias("block"),
         F.pmod(F.xxhash64("query_id"), "query_blocks").alias("query_block"),
         F.lit(True).alias("asks"), F.col("query_id").alias("key"), F.lit(None).cast("binary").alias("words"),
-        F.lit(None).cast("double").alias("scalar"), "asked",
+        F.lit(None).cast("double").alias("scalar"), "asked", "floor",
     )
 
     def scan(group: pa.Table) -> pa.Table:
-        empty = pa.table({name: pa.array([], kind) for name, kind in (("query_id", pa.int64()), ("key", pa.int64()), ("lower", pa.float64()), ("upper", pa.float64()))})
+        names = ("query_id", "key", "bound")
+        empty = pa.table([pa.array([], kind) for kind in (pa.int64(), pa.int64(), pa.float64())], names=names)
         asks = np.array(group.column("asks"))
         if asks.all() or not asks.any():
             return empty
@@ -198,15 +207,20 @@ def _candidates(index: DataFrame, asked: DataFrame, k: int, seed: int, bits_each
         turned = units(matrix(wanted.column("asked").combine_chunks()))
         turned = turned @ rotation(turned.shape[1], seed, bits_each)
         found = []
-        for query, row in zip(wanted.column("key").to_pylist(), turned, strict=True):
+        floors = wanted.column("floor").to_pylist()
+        for query, row, floor in zip(wanted.column("key").to_pylist(), turned, floors, strict=True):
             # The rounding is random, yet the same on every run.
             estimate, width = codes.cosines(row, np.random.Generator(np.random.PCG64([seed, query % (1 << 63)])))
             own = keys == query
-            lower, upper = np.where(own, -np.inf, estimate - width), np.where(own, -np.inf, estimate + width)
-            floor = np.partition(lower, -k)[-k] if len(lower) > k else -np.inf
-            at = np.flatnonzero((upper >= floor) & ~own)
-            found.append((np.full(len(at), query), keys[at], lower[at], upper[at]))
-        return pa.table(dict(zip(("query_id", "key", "lower", "upper"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+            if floor is None:
+                bound = np.where(own, -np.inf, estimate - width)
+                at = np.argpartition(bound, -k)[-k:] if len(bound) > k else np.arange(len(bound))
+                at = at[~own[at]]
+            else:
+                bound = estimate + width
+                at = np.flatnonzero((bound >= floor) & ~own)
+            found.append((np.full(len(at), query), keys[at], bound[at]))
+        return pa.table(dict(zip(names, map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     both = rows.unionByName(asks).groupBy("length", "block", "query_block")
-    return both.applyInArrow(scan, "query_id long, key long, lower double, upper double")
+    return both.applyInArrow(scan, "query_id long, key long, bound double")
