@@ -16,6 +16,7 @@ from .catalogue import (
     CARD_RULES,
     PAGER_RULES,
     brand_crawls,
+    brand_no,
     catalogue_facts,
     catalogue_pages,
     catalogue_parsed,
@@ -284,6 +285,35 @@ def gated_crawl(spark, sf_dir):
     return stats.select("crawl_id", "pages", "requests", "errors", "first_errors", "finish_reason")
 
 
+@query(
+    f"""SELECT brand AS crawl_id, page_no AS n, url, b % 6 <> 5 AS ok, CASE WHEN b % 6 = 5 THEN 0 ELSE found END AS found,
+      CASE WHEN b % 6 = 5 THEN url || ': denied by robots.txt' END AS error
+    FROM ({PAGES}) WHERE b % 6 <> 5 OR page_no = 1"""
+)
+def denied_crawl(spark, sf_dir):
+    """Robots rules on facts of all pages: a denied page is a failed visit and ends the walk."""
+    policy = robots_policy(catalogue_robots(spark, sf_dir))
+    visited = crawl(brand_crawls(spark, sf_dir, "next"), facts(spark, sf_dir), policy)
+    return visited.select("crawl_id", "n", "url", "ok", "found", "error")
+
+
+@query(
+    f"""SELECT brand AS crawl_id, CASE WHEN b % 2 = 1 AND pages >= 2 THEN 2 ELSE pages END AS pages,
+      CASE WHEN b % 2 = 1 AND pages >= 2 THEN 1 ELSE 0 END::BIGINT AS errors,
+      CASE WHEN b % 2 = 1 AND pages >= 2 THEN url || '2: empty response' ELSE '' END AS first_errors,
+      CASE WHEN b % 2 = 1 AND pages >= 2 THEN 'error' WHEN last_kept = 0 THEN 'empty_rows' ELSE 'no_next' END AS finish_reason
+    FROM (SELECT brand, b, any_value(pages) AS pages, max_by(kept, page_no) AS last_kept,
+            'https://lots.example/b' || b || '?page=' AS url FROM ({PAGES}) GROUP BY brand, b)"""
+)
+def blank_pages(spark, sf_dir):
+    """The second page of every other brand is blank: a fetch error without a fetch log."""
+    blank = (F.col("page_no") == 2) & (brand_no(F.col("brand")) % 2 == 1)
+    pages = catalogue_pages(spark, sf_dir).withColumn("html", F.when(blank, F.lit(" \n")).otherwise(F.col("html")))
+    read = page_facts(parse_pages(pages, CARD_RULES, PAGER_RULES, keep=["url"]), CARD_RULES, keep=["url"])
+    stats = crawl_stats(crawl(brand_crawls(spark, sf_dir, "next"), site_facts(read)), CARD_RULES.names)
+    return readable(stats).select("crawl_id", "pages", "errors", "first_errors", "finish_reason")
+
+
 def catalogue_log(pages: DataFrame) -> DataFrame:
     """A fetch log: the first page of a brand is busy twice."""
     busy = F.struct(F.lit(503).alias("status"), F.lit("busy").alias("body"))

@@ -145,6 +145,29 @@ def latest_snapshot(spark, sf_dir):
     return latest_pages(pages.unionByName(later)).select("url", "page_id")
 
 
+@query(
+    """SELECT url, CASE WHEN page_id % 3 = 0 THEN page_id % 7 + 100 ELSE page_id % 7 END AS page_id,
+      md5(html || CASE WHEN page_id % 3 = 0 THEN '<!-- again -->' ELSE '' END) AS body FROM pages"""
+)
+def latest_bodies(spark, sf_dir):
+    """Ids are shared by many URLs, every third page was fetched again, every fifth is stored twice."""
+    pages = raw_pages(spark, sf_dir)
+    first = pages.withColumn("page_id", F.col("page_id") % 7)
+    again = pages.filter("page_id % 3 = 0").select(
+        (F.col("page_id") % 7 + 100).alias("page_id"), "url", F.concat("html", F.lit("<!-- again -->")).alias("html")
+    )
+    twice = pages.filter("page_id % 5 = 0").withColumn("page_id", F.col("page_id") % 7)
+    newest = latest_pages(first.unionByName(again).unionByName(twice))
+    return newest.select("url", "page_id", F.md5("html").alias("body"))
+
+
+@query(f"SELECT page_id, url AS source_url, card_no AS source_card_no, link AS url, text AS card_no FROM ({LINKS})")
+def field_names(spark, sf_dir):
+    """Fields that go by the names of provenance columns."""
+    rules = PageRules("nav li", (FieldRule("card_no", "a", required=True), FieldRule("url", "a", "href", "url")))
+    return records(parse_pages(raw_pages(spark, sf_dir), rules), rules)
+
+
 # Rows as a careless earlier step leaves them: padded copies, blanks, nulls, a column too many.
 DIRTY = f"""
   SELECT text, link FROM ({LINKS})

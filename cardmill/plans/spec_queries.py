@@ -8,63 +8,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lint import spec_crawls, spec_fields, spec_lint
-from ..sources.pages import spread
+from ..sources.pages import read_crawls, seed_problems, spread
 from .catalogue import read
 from .registry import query
 
-CARD = {"container": ".card", "fields": [{"name": "title", "selector": "h2", "required": True}]}
-SPEC = {"start_url": "https://shop#ID#.example/catalog?page=1", "item": CARD}
+ROW = {"container": "li.row", "fields": [{"name": "label", "selector": "b", "required": True}]}
+SPEC = {"start_url": "https://site#ID#.test/list", "item": ROW}
 
 
-def _item(*fields: dict) -> dict:
-    return {**SPEC, "item": {"container": ".card", "fields": list(fields)}}
+def _with(**more) -> dict:
+    return {**SPEC, **more}
 
 
-# Documents and what is wrong with each; a customer gets the one of its number.
+def _fields(*fields) -> dict:
+    return _with(item={"container": "li.row", "fields": list(fields)})
+
+
+WALK = {"mode": "template", "url_template": "https://site#ID#.test/list/{page}", "max_pages": 44}
+# Documents and what is wrong with each, one check of the lint after the other; a customer gets the one of its number.
 CASES: list[tuple[dict | list | str, list[tuple[str, str]]]] = [
-    (SPEC, []),
-    ({}, [("start_url", "missing"), ("item", "missing")]),
-    ({**SPEC, "start_url": "shop#ID#.example"}, [("start_url", "must start with http:// or https://")]),
-    ({**SPEC, "start_url": "ftp://shop.example"}, [("start_url", "must start with http:// or https://")]),
-    ({**SPEC, "item": None}, [("item", "missing")]),
-    (_item(), [("item.fields", "expected a list of rules")]),
-    ({**SPEC, "item": {"container": " "}}, [
+    # The document and its address.
+    ("a text", [("", "the document is not an object")]),
+    (_with(start_url="site#ID#.test/list"), [("start_url", "must start with http:// or https://")]),
+    ({"item": ROW, "start_url": ""}, [("start_url", "expected a text")]),
+    ({"pagination": {}}, [("start_url", "missing"), ("item", "missing")]),
+    # Settings of the run.
+    (_with(output={"path": " ", "append": 1}), [("output.path", "expected a text"), ("output.append", "expected true or false")]),
+    (_with(verify_ssl="on"), [("verify_ssl", "expected true or false")]),
+    (_with(timeout=-0.5, retries=-7), [("timeout", "must be > 0"), ("retries", "must be >= 0")]),
+    (_with(user_agents=[]), [("user_agents", "expected a list of texts")]),
+    (_with(delay={"min": -3}), [("delay.min", "must be >= 0")]),
+    (_with(delay={"max": 6, "min": 6.5}), [("delay.min", "is above delay.max")]),
+    # Where the walk goes.
+    (_with(pagination={"mode": "template", "url_template": "/list/2"}), [("pagination.url_template", "lacks {page}")]),
+    (_with(pagination={"mode": "template"}), [("pagination.url_template", "needed for mode template")]),
+    (_with(pagination={"mode": "links"}), [("pagination.link_selector", "needed for mode links")]),
+    (_with(pagination={"next_selector": None}), [("pagination.next_selector", "needed for mode next")]),
+    (_with(pagination={"mode": "spiral"}), [("pagination.mode", "unknown mode")]),
+    (_with(pagination={"start_page": -2, "max_pages": "0"}), [
+        ("pagination.start_page", "must be >= 1"), ("pagination.max_pages", "must be >= 1")]),
+    # What is taken.
+    (_with(item=None), [("item", "missing")]),
+    (_with(item={"container": "\t", "fields": "b"}), [
         ("item.container", "expected a text"), ("item.fields", "expected a list of rules")]),
-    (_item({"name": "t"}), [("item.fields[0].selector", "missing")]),
-    (_item({"selector": "h2", "transform": "magic"}), [("item.fields[0].transform", "unknown transform")]),
-    (_item({"name": "t", "selector": "h2"}, {"name": "t", "selector": "h3"}), [("item.fields", "repeated name: t")]),
-    ({**SPEC, "pagination": {"mode": "infinite-scroll"}}, [("pagination.mode", "unknown mode")]),
-    ({**SPEC, "pagination": {"mode": "next", "next_selector": None}}, [
-        ("pagination.next_selector", "needed for mode next")]),
-    ({**SPEC, "pagination": {"mode": "links"}}, [("pagination.link_selector", "needed for mode links")]),
-    ({**SPEC, "pagination": {"mode": "template"}}, [("pagination.url_template", "needed for mode template")]),
-    ({**SPEC, "pagination": {"mode": "template", "url_template": "/p?page=1"}}, [
-        ("pagination.url_template", "lacks {page}")]),
-    ({**SPEC, "pagination": {"max_pages": 0, "start_page": "0"}}, [
-        ("pagination.max_pages", "must be >= 1"), ("pagination.start_page", "must be >= 1")]),
-    ({**SPEC, "delay": {"min": 5, "max": 1}}, [("delay.min", "is above delay.max")]),
-    ({**SPEC, "delay": {"min": -1, "max": 1}}, [("delay.min", "must be >= 0")]),
-    ({**SPEC, "timeout": 0}, [("timeout", "must be > 0")]),
-    ({**SPEC, "retries": -2}, [("retries", "must be >= 0")]),
-    ({**SPEC, "user_agents": []}, [("user_agents", "expected a list of texts")]),
-    ({**SPEC, "output": {"path": ""}}, [("output.path", "expected a text")]),
-    ({**SPEC, "output": {"append": "yes"}, "verify_ssl": 1}, [
-        ("output.append", "expected true or false"), ("verify_ssl", "expected true or false")]),
-    ({**SPEC, "delay": 2, "timeout": "12", "retries": "4", "user_agents": "one", "pagination": {
-        "mode": "template", "url_template": "https://shop#ID#.example/c?page={page}", "max_pages": 30}}, []),
-    (_item({"selector": "h2.product__title a"}, {"selector": " .price > b ", "transform": "price", "required": True},
-           {"name": " tags ", "selector": "ul li", "all": True, "join_with": "|", "attribute": "title"}), []),
-    (_item({"selector": "h2.product__title a", "required": "no"}, {"selector": ">"}, 7), [
-        ("item.fields[0].required", "expected true or false"), ("item.fields[1].name", "no name in the selector"),
-        ("item.fields[2]", "expected an object")]),
-    ([1, 2], [("", "the document is not an object")]),
+    (_fields(), [("item.fields", "expected a list of rules")]),
+    (_fields({"selector": "i"}, {"name": "i", "selector": "u"}), [("item.fields", "repeated name: i")]),
+    (_fields({"selector": "i", "transform": "upper"}), [("item.fields[0].transform", "unknown transform")]),
+    (_fields(["i"], {"name": "x"}, {"selector": "~"}), [
+        ("item.fields[0]", "expected an object"), ("item.fields[1].selector", "missing"),
+        ("item.fields[2].name", "no name in the selector")]),
+    (_fields({"selector": "i", "required": "yes"}), [("item.fields[0].required", "expected true or false")]),
+    # Nothing wrong.
+    (SPEC, []),
+    (_with(pagination=WALK, timeout="8.5", retries=0, delay=0.1, user_agents="a reader"), []),
+    (_fields({"selector": "td.sum em"}, {"selector": " b > .when ", "transform": "int", "required": True},
+             {"name": "\tnotes ", "selector": "q", "all": True, "join_with": "; ", "attribute": "cite"}), []),
 ]
 
+VALID = [k for k, (_, found) in enumerate(CASES) if not found]
+PLAIN, TEMPLATE, THREE = VALID
 FIELDS: dict[int, list[tuple[str, str, str | None, str, bool, bool, str]]] = {
-    24: [
-        ("product__title_a", "h2.product__title a", None, "text", False, False, " "),
-        ("price_b", ".price > b", None, "price", True, False, " "),
-        ("tags", "ul li", "title", "text", False, True, "|"),
+    THREE: [
+        ("sum_em", "td.sum em", None, "text", False, False, " "),
+        ("b_when", "b > .when", None, "int", True, False, " "),
+        ("notes", "q", "cite", "text", False, True, "; "),
     ],
 }
 
@@ -89,7 +96,6 @@ def _values(rows: list[tuple]) -> str:
 
 
 PROBLEMS = _values([(k, path, problem) for k, (_, found) in enumerate(CASES) for path, problem in found])
-VALID = [k for k, (document, found) in enumerate(CASES) if not found]
 
 
 @query(
@@ -108,7 +114,7 @@ def spec_problems(spark, sf_dir):
             [
                 (k, i, *field)
                 for k in VALID
-                for i, field in enumerate(FIELDS.get(k, [("title", "h2", None, "text", True, False, " ")]))
+                for i, field in enumerate(FIELDS.get(k, [("label", "b", None, "text", True, False, " ")]))
             ]
         )
     }
@@ -123,10 +129,10 @@ def spec_rules(spark, sf_dir):
 
 
 @query(
-    f"""SELECT c_custkey AS crawl_id, 'https://shop' || c_custkey || '.example/catalog?page=1' AS start_url,
-      CASE WHEN k = 23 THEN 'template' ELSE 'next' END AS mode,
-      CASE WHEN k = 23 THEN 'https://shop' || c_custkey || '.example/c?page={{page}}' END AS url_template,
-      CASE WHEN k = 23 THEN 30 ELSE 10 END::BIGINT AS max_pages
+    f"""SELECT c_custkey AS crawl_id, 'https://site' || c_custkey || '.test/list' AS start_url,
+      CASE WHEN k = {TEMPLATE} THEN 'template' ELSE 'next' END AS mode,
+      CASE WHEN k = {TEMPLATE} THEN 'https://site' || c_custkey || '.test/list/{{page}}' END AS url_template,
+      CASE WHEN k = {TEMPLATE} THEN 44 ELSE 10 END::BIGINT AS max_pages
     FROM (SELECT *, c_custkey % {len(CASES)} AS k FROM customer) WHERE k IN ({", ".join(map(str, VALID))})""",
     name="spec_crawls",
 )
@@ -136,3 +142,23 @@ def spec_seeds(spark, sf_dir):
     broken = spec_lint(table).select("spec_id").distinct()
     crawls = spec_crawls(table.join(broken, "spec_id", "left_anti"))
     return crawls.select("crawl_id", "start_url", "mode", "url_template", "max_pages")
+
+
+@query(
+    """SELECT c_custkey AS crawl_id, CASE c_custkey % 5 WHEN 0 THEN 'unknown mode: Links' WHEN 1 THEN 'start_url is not an http(s) address'
+      WHEN 2 THEN 'start_url is missing' WHEN 3 THEN 'max_pages must be at least 1' END AS problem
+    FROM customer WHERE c_custkey % 5 <> 4
+    UNION ALL SELECT c_custkey, 'walked from https://site' || c_custkey || '.test' FROM customer WHERE c_custkey % 5 = 4"""
+)
+def seed_report(spark, sf_dir):
+    """Seeds of customers: four kinds that cannot be walked, with the reason, and the good ones."""
+    kind, number = F.col("c_custkey") % 5, F.col("c_custkey").cast("string")
+    url = F.concat(F.lit("\t https://site"), number, F.lit(".test "))
+    seeds = read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("crawl_id"),
+        F.when(kind == 1, F.concat(F.lit("site"), number)).when(kind == 2, F.lit(" \t")).otherwise(url).alias("start_url"),
+        F.when(kind == 0, F.lit("Links")).alias("mode"),
+        F.when(kind == 3, F.lit(0)).alias("max_pages"),
+    )
+    good = read_crawls(seeds).select("crawl_id", F.concat(F.lit("walked from "), "start_url").alias("problem"))
+    return seed_problems(seeds).select("crawl_id", "problem").unionByName(good)

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from cardmill.operators.lint import spec_crawls, spec_fields, spec_lint
-from cardmill.plans.spec_queries import CASES, FIELDS
+from cardmill.plans.spec_queries import CASES, FIELDS, PLAIN, THREE
 
 
 def specs(spark, *documents):
@@ -19,12 +19,10 @@ def problems(spark, *documents):
     return list(found.values())
 
 
-def minimal(**more):
-    return {
-        "start_url": "https://shop.example/catalog?page=1",
-        "item": {"container": ".card", "fields": [{"name": "title", "selector": "h2", "required": True}]},
-        **more,
-    }
+def document(**more):
+    """The least a spec needs, and what a test adds."""
+    fields = [{"selector": "dd.worth", "name": "worth"}]
+    return {"item": {"fields": fields, "container": "dl"}, "start_url": "http://coins.test/bids", **more}
 
 
 def test_listed_cases(spark):
@@ -32,44 +30,44 @@ def test_listed_cases(spark):
 
 
 GOOD = [
-    minimal(delay=0), minimal(delay=True), minimal(delay=None), minimal(delay={"max": 1}), minimal(delay=""),
-    minimal(timeout="1e1"), minimal(retries="0"), minimal(retries=2.9), minimal(retries=True), minimal(user_agents=None),
-    minimal(user_agents=["a", "b"]), minimal(pagination=None), minimal(pagination={"mode": "none", "next_selector": None}),
-    minimal(output=None), minimal(output={"append": None, "encoding": "utf-8"}), minimal(allowed_content_types=[]),
-    minimal(start_url="  http://x "), minimal(unknown=[1]),
+    document(delay=0), document(delay=True), document(delay=None), document(delay={"max": 1}), document(delay=""),
+    document(timeout="1e1"), document(retries="0"), document(retries=2.9), document(retries=True), document(user_agents=None),
+    document(user_agents=["a", "b"]), document(pagination=None), document(pagination={"mode": "none", "next_selector": None}),
+    document(output=None), document(output={"append": None, "encoding": "utf-8"}), document(allowed_content_types=[]),
+    document(start_url="  http://x "), document(unknown=[1]),
 ]
 BAD = [
-    (minimal(delay="x"), "delay"),
-    (minimal(delay=[1]), "delay"),
-    (minimal(delay=-1), "delay.min"),
-    (minimal(delay={"min": None}), "delay.min"),
-    (minimal(delay={"max": "soon"}), "delay.max"),
-    (minimal(delay={"max": 0.5}), "delay.min"),
-    (minimal(timeout=None), "timeout"),
-    (minimal(timeout="soon"), "timeout"),
-    (minimal(retries="1.5"), "retries"),
-    (minimal(retry_backoff=-0.1), "retry_backoff"),
-    (minimal(user_agents=""), "user_agents"),
-    (minimal(user_agents=["a", " "]), "user_agents"),
-    (minimal(user_agents=["a", 1]), "user_agents"),
-    (minimal(user_agents={"a": 1}), "user_agents"),
-    (minimal(pagination=[1]), "pagination"),
-    (minimal(pagination={"mode": None}), "pagination.mode"),
-    (minimal(pagination={"mode": 5}), "pagination.mode"),
-    (minimal(pagination={"next_selector": " "}), "pagination.next_selector"),
-    (minimal(pagination={"max_pages": 0.5}), "pagination.max_pages"),
-    (minimal(pagination={"max_pages": None}), "pagination.max_pages"),
-    (minimal(pagination={"url_template": "/{page}/{0}"}), "pagination.url_template"),
-    (minimal(output=7), "output"),
-    (minimal(output={"encoding": None}), "output.encoding"),
-    (minimal(output={"deduplicate": 0}), "output.deduplicate"),
-    (minimal(respect_robots_txt="true"), "respect_robots_txt"),
-    (minimal(stop_on_error=1), "stop_on_error"),
-    (minimal(start_url=None), "start_url"),
-    (minimal(start_url=5), "start_url"),
-    (minimal(item=[]), "item"),
-    (minimal(item={"container": 3, "fields": [{"selector": "b"}]}), "item.container"),
-    (minimal(item={"container": "a", "fields": {"selector": "b"}}), "item.fields"),
+    (document(delay="x"), "delay"),
+    (document(delay=[1]), "delay"),
+    (document(delay=-1), "delay.min"),
+    (document(delay={"min": None}), "delay.min"),
+    (document(delay={"max": "soon"}), "delay.max"),
+    (document(delay={"max": 0.5}), "delay.min"),
+    (document(timeout=None), "timeout"),
+    (document(timeout="soon"), "timeout"),
+    (document(retries="1.5"), "retries"),
+    (document(retry_backoff=-0.1), "retry_backoff"),
+    (document(user_agents=""), "user_agents"),
+    (document(user_agents=["a", " "]), "user_agents"),
+    (document(user_agents=["a", 1]), "user_agents"),
+    (document(user_agents={"a": 1}), "user_agents"),
+    (document(pagination=[1]), "pagination"),
+    (document(pagination={"mode": None}), "pagination.mode"),
+    (document(pagination={"mode": 5}), "pagination.mode"),
+    (document(pagination={"next_selector": " "}), "pagination.next_selector"),
+    (document(pagination={"max_pages": 0.5}), "pagination.max_pages"),
+    (document(pagination={"max_pages": None}), "pagination.max_pages"),
+    (document(pagination={"url_template": "/{page}/{0}"}), "pagination.url_template"),
+    (document(output=7), "output"),
+    (document(output={"encoding": None}), "output.encoding"),
+    (document(output={"deduplicate": 0}), "output.deduplicate"),
+    (document(respect_robots_txt="true"), "respect_robots_txt"),
+    (document(stop_on_error=1), "stop_on_error"),
+    (document(start_url=None), "start_url"),
+    (document(start_url=5), "start_url"),
+    (document(item=[]), "item"),
+    (document(item={"container": 3, "fields": [{"selector": "b"}]}), "item.container"),
+    (document(item={"container": "a", "fields": {"selector": "b"}}), "item.fields"),
     ("{", ""),
     ("null", ""),
     ('"text"', ""),
@@ -86,15 +84,15 @@ def test_refused(spark):
 
 
 FIELD_CASES = [
-    ({"selector": "h2.product__title a"}, set(), "product__title_a"),
-    ({"selector": ".card h2 a"}, set(), "h2_a"),
+    ({"selector": "dd.worth__net em"}, set(), "worth__net_em"),
+    ({"selector": ".lot dt em"}, set(), "dt_em"),
     ({"selector": "b", "name": ""}, set(), "b"),
     ({"selector": "b", "name": 0}, set(), "b"),
     ({"selector": "b", "name": 7}, {"name"}, None),
     ({"selector": "b", "name": "  "}, {"name"}, None),
     ({"selector": "ul > -"}, set(), "ul_"),
     ({"selector": "-"}, set(), "-"),
-    ({"selector": "#цена-2"}, set(), "цена-2"),
+    ({"selector": "#preț-2"}, set(), "preț-2"),
     ({"selector": "", "name": "x"}, {"selector"}, "x"),
     ({"selector": None, "name": "x"}, {"selector"}, "x"),
     ({"selector": "b", "transform": None}, {"transform"}, "b"),
@@ -106,7 +104,7 @@ FIELD_CASES = [
 
 
 def test_field_rules(spark):
-    documents = [minimal(item={"container": "a", "fields": [field]}) for field, _, _ in FIELD_CASES]
+    documents = [document(item={"container": "a", "fields": [field]}) for field, _, _ in FIELD_CASES]
     found = problems(spark, *documents)
     assert [{path for path, _ in f} for f in found] == [{f"item.fields[0].{k}" for k in keys} for _, keys, _ in FIELD_CASES]
     rows = spec_fields(specs(spark, *documents)).orderBy("spec_id").collect()
@@ -115,22 +113,22 @@ def test_field_rules(spark):
 
 def test_defaults(spark):
     table = specs(spark, *(d for d, _ in CASES))
-    rows = spec_fields(table).filter("spec_id = 24").orderBy("field_no").collect()
-    assert [tuple(r)[2:] for r in rows] == FIELDS[24]
-    crawl = spec_crawls(table).filter("crawl_id = 0").first()
+    rows = spec_fields(table).filter(f"spec_id = {THREE}").orderBy("field_no").collect()
+    assert [tuple(r)[2:] for r in rows] == FIELDS[THREE]
+    crawl = spec_crawls(table).filter(f"crawl_id = {PLAIN}").first()
     assert (crawl.mode, crawl.next_selector, crawl.start_page, crawl.max_pages, crawl.stop_on_error) == (
         "next", "a.next, .pagination a[rel=next]", 1, 10, True,
     )
 
 
 def test_nothing_is_shuffled(spark):
-    plan = spec_lint(specs(spark, minimal()))._jdf.queryExecution().executedPlan().toString()
+    plan = spec_lint(specs(spark, document()))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
 
 @pytest.mark.parametrize("count", [3])
 def test_repeated_names_are_listed_once(spark, count):
     fields = [{"name": "t", "selector": "b"}] * count + [{"selector": "i"}, {"selector": "i"}]
-    assert problems(spark, minimal(item={"container": "a", "fields": fields})) == [
+    assert problems(spark, document(item={"container": "a", "fields": fields})) == [
         {("item.fields", "repeated name: t"), ("item.fields", "repeated name: i")}
     ]
