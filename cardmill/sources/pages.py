@@ -78,7 +78,7 @@ def _seeds(crawls: DataFrame) -> DataFrame:
     template = F.coalesce(F.col("url_template"), F.lit(""))
     problem = (
         F.when(F.coalesce("start_url", F.lit("")) == "", "start_url is missing")
-        .when(~F.col("start_url").rlike("(?i)^https?://[^/?#]"), "start_url is not an http(s) address")
+        .when(~F.col("start_url").rlike("^https?://"), "start_url is not an http(s) address")
         .when(~F.col("mode").isin(*MODES), F.concat(F.lit("unknown mode: "), F.col("mode")))
         .when(F.col("max_pages") < 1, "max_pages must be at least 1")
         .when((F.col("mode") == "template") & ~F.contains(template, F.lit("{page}")), "url_template lacks {page}")

@@ -135,11 +135,12 @@ def test_seeds_are_checked(spark):
     table = spark.createDataFrame(rows, SEEDS)
     kept = read_crawls(table).orderBy("crawl_id").collect()
     assert [(r.crawl_id, r.start_url, r.mode, r.max_pages, r.stop_on_error) for r in kept] == [
-        ("good", "https://reeds.test", "next", 10, True), ("upper", "HTTP://reeds.test", "none", 3, True),
-    ]
+        ("good", "https://reeds.test", "next", 10, True),
+    ]
     problems = {r.crawl_id: r.problem for r in seed_problems(table).collect()}
     assert problems == {
         "bare": "start_url is not an http(s) address", "ftp": "start_url is not an http(s) address",
+        "upper": "start_url is not an http(s) address",
         "none": "start_url is missing", "blank": "start_url is missing", "mode": "unknown mode: Next",
         "limit": "max_pages must be at least 1", "template": "url_template lacks {page}",
     }
