@@ -5,8 +5,8 @@ from cardmill.sources.csv_output import BOM, read_output, write_records
 
 FIELDS = ["title", "price", "link"]
 SCHEMA = "title string, price string, link string, extra string"
-ROWS = [("Ώμος", "0.75", "ftp://a.test/o", "left out"), ("quoted, \"so\"", "-12", "", None)]
-THIRD = ("three", "3e3", "https://c.test/?x=1;2", None)
+ROWS = [("quoted, \"so\"", "-12", "ftp://a.test/o", "left out"), ("τρία", "0.75", "b;c", None)]
+THIRD = ("Ώμος", "3e3", "https://c.test/?x=1;2", None)
 
 
 def table(spark, *rows):
@@ -72,7 +72,7 @@ def test_append(spark, tmp_path):
     write_records(table(spark, *ROWS), out, FIELDS, append=True)
     write_records(table(spark, *ROWS, *ROWS), out, FIELDS, append=True)
     assert len(stored(spark, out)) == 2
-    write_records(table(spark, *ROWS, THIRD, (" three", "3e3 ", THIRD[2], None)), out, FIELDS, append=True)
+    write_records(table(spark, *ROWS, THIRD, (" Ώμος", "3e3 ", THIRD[2], None)), out, FIELDS, append=True)
     assert stored(spark, out) == sorted(r[:3] for r in (*ROWS, THIRD))
     write_records(table(spark, THIRD), out, FIELDS, append=True, deduplicate=False)
     assert len(stored(spark, out)) == 4
