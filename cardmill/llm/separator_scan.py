@@ -28,6 +28,8 @@ KIND = ">u2"
 #: An id that the vocabulary leaves free. Its two bytes are one UTF-8 character, which Spark's writer puts between documents.
 END = 0xC480
 BLOCK_BYTES = 1 << 20
+#: Documents of a written file: Spark reads such a file whole before it is cut into blocks.
+FILE_DOCS = 4000
 
 
 def write_flat(
@@ -49,7 +51,7 @@ def write_flat(
 
     separator = np.array([end], KIND).tobytes().decode()
     rows = docs.select("text").mapInArrow(encode, "ids binary").select(F.col("ids").cast("string").alias("value"))
-    rows.write.option("lineSep", separator).text(path)
+    rows.write.option("lineSep", separator).option("maxRecordsPerFile", FILE_DOCS).text(path)
 
 
 def token_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
