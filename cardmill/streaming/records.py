@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.clean import clean_records
+from ..operators.clean import clean_records, distinct_records, quoted
 from ..operators.extract import page_facts, parse_pages, records
 from ..operators.rules import PageRules
 from ..sources.csv_output import MARKED_ENCODING, csv_options, with_bom
@@ -31,6 +32,18 @@ def stream_records(pages: DataFrame, rules: PageRules, deduplicate: bool = True)
     return rows.dropDuplicates(rules.names) if deduplicate else rows
 
 
+def unwritten_records(rows: DataFrame, existing: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Rows of a record stream that ``existing``, the target of an append, lacks.
+
+    ``existing`` is read once, when the stream starts; what the stream itself writes
+    later is in the state of ``stream_records``. Each batch meets the distinct rows of
+    the target in an anti-join.
+    """
+    known = distinct_records(existing, fields).select(F.struct(*quoted(fields)).alias("__row"))
+    own = rows.select(F.struct(*quoted(fields)).alias("__row"))
+    return own.join(known, "__row", "left_anti").select("__row.*")
+
+
 def recent_records(pages: DataFrame, rules: PageRules, time: str, delay: str) -> DataFrame:
     """Weaker, with bounded state: repeats are dropped within ``delay`` of each other."""
     keep = ("page_id", "url", time)

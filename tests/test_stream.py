@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from cardmill import FieldRule, PageRules
 from cardmill.operators.clean import clean_records, distinct_records
 from cardmill.operators.extract import parse_pages, records
-from cardmill.sources.csv_output import read_output
+from cardmill.sources.csv_output import read_output, write_records
 from cardmill.streaming import records as streams
 
 RULES = PageRules("li", (FieldRule("text", "a", required=True), FieldRule("link", "a", "href", "url")))
@@ -36,6 +36,23 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     assert got.count() == 30 + 80
 
 
+def test_append_to_a_filled_folder(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    pages(spark, 0, 40).write.parquet(folder)
+    old = records(parse_pages(pages(spark, 0, 25), RULES), RULES).select(*RULES.names)
+    write_records(old, out, RULES.names)
+    before = read_output(spark, out, RULES.names).count()
+    rows = streams.stream_records(streams.page_stream(spark, folder), RULES)
+    target = read_output(spark, out, RULES.names)
+    rest = streams.unwritten_records(rows, target, RULES.names)
+    added = str(tmp_path / "added")
+    streams.write_stream(rest, added, state).awaitTermination()
+    new = read_output(spark, added, RULES.names)
+    assert new.join(target, RULES.names).count() == 0
+    want = distinct_records(records(parse_pages(spark.read.parquet(folder), RULES), RULES), RULES.names)
+    assert before + new.count() == want.count()
+
+
 def test_repeats_may_stay(spark, tmp_path):
     folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     pages(spark, 0, 60).write.parquet(folder)
