@@ -221,7 +221,7 @@ def _template(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
     )
     plan = materialise(plan, "template")
     facts = facts.select("url", "ok", "found", "kept")
-    seen = lookup(plan, facts, "url")
+    seen = lookup(plan, facts, "url", written=True)
     ok = F.coalesce("ok", F.lit(False))
     ends = F.when(ok, (F.col("found") == 0) | (F.col("kept") == 0)).otherwise(F.col("stop_on_error"))
     limits = seen.groupBy("crawl_id").agg(
@@ -239,7 +239,7 @@ def visited_pages(
     ``visits`` should be a written table: it is counted before the joins.
     """
     rows = visits.count()
-    joined = lookup(visits, facts.withColumn("stored", F.lit(True)), "url", rows=rows)
+    joined = lookup(visits, facts.withColumn("stored", F.lit(True)), "url", rows=rows, written=True)
     missing = F.concat("url", F.lit(f": {MISSING}"))
     error = F.when(F.col("stored"), F.col("error")).otherwise(missing)
     requests = F.coalesce("requests", F.lit(1).cast("long"))
@@ -285,7 +285,7 @@ def _fields(names: Sequence[str]) -> list[Column]:
 def preview(crawls: DataFrame, facts: DataFrame, fields: Sequence[str], limit: int = 5) -> DataFrame:
     """First kept cards of each start page and how many cards it has."""
     starts = crawls.select("crawl_id", F.col("start_url").alias("url"))
-    pages = lookup(starts, facts.select("url", "found", "kept_cards"), "url", how="inner")
+    pages = lookup(starts, facts.select("url", "found", "kept_cards"), "url", how="inner", written=True)
     cards = pages.select("crawl_id", "found", F.explode(F.slice("kept_cards", 1, limit)).alias("__card"))
     where = {"crawl_id": F.col("crawl_id"), "found": F.col("found"), "card_no": F.col("__card")[PLACE]}
     return cards.select(*origins(where, fields), *_fields(fields))

@@ -39,6 +39,7 @@ def lookup(
     how: str = "left",
     rows: int | None = None,
     counted: DataFrame | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """Join ``df`` to ``table``, which holds each key once.
 
@@ -46,12 +47,13 @@ def lookup(
     task. There are fewer than 64 such keys, so their table rows are broadcast
     and only the others are shuffled. ``counted`` is a written table with the
     same keys as ``df``, if ``df`` itself would have to be computed to be counted.
-    A ``df`` of few rows never moves the table: its keys, of measured size, go to
-    the table's scan, and only the rows they hit are joined.
+    If ``df`` is ``written`` (or ``counted`` is given) and has few rows, the table does
+    not move: the keys, of measured size, go to its scan, and only the rows they hit
+    are joined.
     """
     counted = df if counted is None else counted
     rows = counted.count() if rows is None else rows
-    if rows <= BROADCAST_ROWS:
+    if (written or counted is not df) and rows <= BROADCAST_ROWS:
         keys = counted.select(key).distinct()
         if _bytes(keys) <= BROADCAST_BYTES:
             return df.join(table.join(F.broadcast(keys), key, "left_semi"), key, how)

@@ -233,7 +233,7 @@ def test_few_visits_do_not_move_the_table(spark):
     """The table's payload is scanned for the visits' keys, never exchanged."""
     facts = spark.range(60_000).selectExpr("concat('u', id) as url", "repeat('x', 30) as payload")
     visits = spark.createDataFrame([(f"u{i}",) for i in range(25)], "url string")
-    joined = joins.lookup(visits, facts, "url")
+    joined = joins.lookup(visits, facts, "url", written=True)
     assert joined.filter("payload is not null").count() == 25
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
