@@ -7,14 +7,15 @@ becomes optional. Merging wrappers works like merging pages, so tasks infer wrap
 the pages they hold, and wrappers of a host are merged in rounds of a bounded fan-in: a
 host with a third of all pages is spread like any other, and pages never move.
 
-A wrapper says which texts belong to the template (the same wherever they occur) and
-which element holds the variable text. A page's text is what its article holds, found by
+A wrapper says which texts belong to the template (the same wherever they occur, and on
+several distinct pages) and which element holds the variable text. A page's text is what its article holds, found by
 its own markup or, failing that, by the wrapper, without template texts and without
 elements that are known by name as menus, adverts, forms, notices or comments.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -147,18 +148,29 @@ def page_tree(html: str) -> Element:
 
 
 # A wrapper node is [key, optional, repeated, kids] for an element or a group (key "()"),
-# and ["#", optional, repeated, value or SLOT, characters] for a text. Kids are None for any markup.
+# and ["#", optional, repeated, value or SLOT, characters, marks] for a text: the marks of pages
+# that hold this value there, AGREE of them at most. Kids are None for any markup.
 
 
-def expression(element: Element) -> list:
+def page_mark(html: str) -> int:
+    """The same for copies of a page, whichever task reads them."""
+    return int.from_bytes(hashlib.blake2b(html.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+
+
+def _united(one: list[int], two: list[int]) -> list[int]:
+    """The least marks of both: AGREE of them just if so many distinct pages are behind them."""
+    return one if one == two else sorted({*one, *two})[:AGREE]
+
+
+def expression(element: Element, mark: int = 0) -> list:
     kids = []
     for kid in element.kids:
         if isinstance(kid, str):
             value = " ".join(kid.split())
             if value:
-                kids.append(["#", False, False, value, len(value)])
+                kids.append(["#", False, False, value, len(value), [mark]])
         elif not kid.noise:
-            kids.append(expression(kid))
+            kids.append(expression(kid, mark))
         else:
             kids.append([kid.key, False, False, []])
     return [element.key, False, False, folded(kids)]
@@ -197,7 +209,9 @@ def merged(one: list, two: list) -> list:
     """The expression of what either of two with the same key stands for."""
     optional, repeated = one[1] or two[1], one[2] or two[2]
     if one[0] == "#":
-        return ["#", optional, repeated, one[3] if one[3] == two[3] else SLOT, one[4] + two[4]]
+        if one[3] is SLOT or one[3] != two[3]:
+            return ["#", optional, repeated, SLOT, one[4] + two[4], []]
+        return ["#", optional, repeated, one[3], one[4] + two[4], _united(one[5], two[5])]
     return [one[0], optional, repeated, aligned(one[3], two[3])]
 
 
@@ -233,20 +247,21 @@ def aligned(one: list | None, two: list | None) -> list | None:
 
 
 class Wrapper:
-    """A wrapper and the number of distinct pages behind it."""
+    """A wrapper, the number of pages behind it, and marks of AGREE distinct ones at most."""
 
-    def __init__(self, root: list, pages: int):
-        self.root, self.pages = root, pages
+    def __init__(self, root: list, pages: int, marks: list[int]):
+        self.root, self.pages, self.marks = root, pages, marks
 
     @classmethod
     def of(cls, html: str) -> Wrapper:
-        return cls(expression(page_tree(html)), 1)
+        mark = page_mark(html)
+        return cls(expression(page_tree(html), mark), 1, [mark])
 
     def merge(self, other: Wrapper) -> Wrapper:
-        return Wrapper(merged(self.root, other.root), self.pages + other.pages)
+        return Wrapper(merged(self.root, other.root), self.pages + other.pages, _united(self.marks, other.marks))
 
     def dump(self) -> str:
-        return json.dumps([self.root, self.pages], ensure_ascii=False, separators=(",", ":"))
+        return json.dumps([self.root, self.pages, self.marks], ensure_ascii=False, separators=(",", ":"))
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
@@ -256,7 +271,7 @@ class Wrapper:
         """Template texts with their paths, and the path of the element that holds the variable text."""
         fixed: set[tuple[tuple[str, ...], str]] = set()
         mass: dict[tuple[str, ...], int] = {}
-        if self.pages < AGREE:
+        if len(self.marks) < AGREE:
             return fixed, None
 
         def walk(kids: list | None, path: tuple[str, ...]) -> None:
@@ -265,7 +280,7 @@ class Wrapper:
                     if kid[3] is SLOT:
                         for size in range(1, len(path) + 1):
                             mass[path[:size]] = mass.get(path[:size], 0) + kid[4]
-                    else:
+                    elif len(kid[5]) >= AGREE:
                         fixed.add((path, kid[3]))
                 elif kid[0] == "()":
                     walk(kid[3], path)
@@ -361,7 +376,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         for batch in slices(batches, 128):
             for host, html in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 # Copies of a page agree on everything and say nothing.
-                mark = (host, hash(html))
+                mark = (host, page_mark(html))
                 if html and mark not in seen:
                     seen.add(mark)
                     own = Wrapper.of(html)

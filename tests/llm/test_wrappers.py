@@ -64,6 +64,30 @@ def test_template_texts_go():
     assert main_text(pages[3], *whole.facts()) == "Story 3 Body 3"
 
 
+def whole_of(pages):
+    whole = Wrapper.of(pages[0])
+    for html in pages[1:]:
+        whole = whole.merge(Wrapper.of(html))
+    return Wrapper.load(whole.dump())
+
+
+def test_texts_of_few_pages_stay():
+    extras = ["<blockquote>Quote</blockquote>", "<h2>Part</h2>", "<pre>code</pre>", "<table><tr><td>cell</table>", "<ul><li>one</ul>", "<p>a <b>bold</b></p>"]
+    texts = ["Quote", "Part", "code", "cell", "one", "a bold"]
+    for extra, text in zip(extras, texts, strict=True):
+        pages = [f"<article><h1>T {k}</h1>{extra if k == 4 else ''}<div>Body {k}</div></article>" for k in range(8)]
+        assert main_text(pages[4], *whole_of(pages).facts()) == f"T 4 {text} Body 4"
+
+
+def test_copies_of_a_page_do_not_agree_with_each_other():
+    pages = [f"<article><h1>T {k}</h1>{'<pre>code</pre>' if k == 4 else ''}<p>Body {k}</p></article>" for k in range(8)]
+    copies = whole_of([pages[4]] * 6)
+    assert copies.facts() == (set(), None)
+    assert main_text(pages[4], *whole_of(pages).merge(copies).facts()) == "T 4 code Body 4"
+    often = [f"<article><h1>T {k}</h1>{'<pre>Advice</pre>' if k < 5 else ''}<p>Body {k}</p></article>" for k in range(8)]
+    assert main_text(often[4], *whole_of(often).facts()) == "T 4 Body 4"
+
+
 def test_order_of_merging_does_not_matter_for_facts():
     pages = [Wrapper.of(page(k, "<h3>extra</h3>" if k % 2 else "", k)) for k in range(1, 9)]
     left, right = pages[0], pages[4]
