@@ -18,9 +18,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +38,10 @@ FAN = 64
 AGREE = 5
 #: Nested elements that are kept as such; deeper ones lie in the last of them.
 DEEPEST = 150
-#: Siblings of a wrapper; a longer list stands for any markup.
-WIDEST = 80
+#: Bits of alignment held at once; longer lists of siblings are split first.
+CELLS = 1 << 28
+#: Longer texts are kept in wrappers by a digest.
+LONG = 64
 #: Hosts that a task holds before it passes their wrappers on.
 HOSTS = 4000
 
@@ -149,7 +153,7 @@ def page_tree(html: str) -> Element:
 
 # A wrapper node is [key, optional, repeated, kids] for an element or a group (key "()"),
 # and ["#", optional, repeated, value or SLOT, characters, marks] for a text: the marks of pages
-# that hold this value there, AGREE of them at most. Kids are None for any markup.
+# that hold this value there, AGREE of them at most.
 
 
 def page_mark(html: str) -> int:
@@ -157,6 +161,13 @@ def page_mark(html: str) -> int:
     return int.from_bytes(hashlib.blake2b(html.encode("utf-8", "surrogatepass"), digest_size=8).digest())
 
 
+def _sign(value: str) -> str:
+    """A text as wrappers keep it; no text with its white space collapsed looks like a digest."""
+    if len(value) <= LONG:
+        return value
+    return "\n" + hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def _united(one: list[int], two: list[int]) -> list[int]:
     """The least marks of both: AGREE of them just if so many distinct pages are behind them."""
     return one if one == two else sorted({*one, *two})[:AGREE]
@@ -168,7 +179,7 @@ def expression(element: Element, mark: int = 0) -> list:
         if isinstance(kid, str):
             value = " ".join(kid.split())
             if value:
-                kids.append(["#", False, False, value, len(value), [mark]])
+                kids.append(["#", False, False, _sign(value), len(value), [mark]])
         elif not kid.noise:
             kids.append(expression(kid, mark))
         else:
@@ -176,13 +187,13 @@ def expression(element: Element, mark: int = 0) -> list:
     return [element.key, False, False, folded(kids)]
 
 
-def folded(kids: list) -> list | None:
+def folded(kids: list) -> list:
     """Neighbours that repeat, one by one or in twos and threes, become a repeated group."""
     out: list = []
     for kid in kids:
         out.append(kid)
         for size in (1, 2, 3):
-            if len(out) > size and out[-1 - size][0] == "()" and out[-1 - size][3] is not None:
+            if len(out) > size and out[-1 - size][0] == "()":
                 group = out[-1 - size]
                 if _keys(group[3]) == _keys(out[-size:]):
                     group[3] = [merged(a, b) for a, b in zip(group[3], out[-size:], strict=True)]
@@ -192,7 +203,7 @@ def folded(kids: list) -> list | None:
                 both = [merged(a, b) for a, b in zip(out[-2 * size : -size], out[-size:], strict=True)]
                 out[-2 * size :] = [_repeated(both)]
                 break
-    return out if len(out) <= WIDEST else None
+    return out
 
 
 def _repeated(kids: list) -> list:
@@ -219,28 +230,64 @@ def _optional(kid: list) -> list:
     return [kid[0], True, *kid[2:]]
 
 
-def aligned(one: list | None, two: list | None) -> list | None:
+def _lines(one: list, two: list) -> Iterator[int]:
+    """A row of the table of common lengths for each of ``one``: bit j is 0 where the length grows with ``two[j]``."""
+    places: dict = {}
+    for j, key in enumerate(two):
+        places[key] = places.get(key, 0) | 1 << j
+    line = full = (1 << len(two)) - 1
+    for key in one:
+        met = line & places.get(key, 0)
+        line = ((line + met) | (line - met)) & full
+        yield line
+
+
+def _lengths(one: list, two: list) -> np.ndarray:
+    """Length of the longest common subsequence of ``one`` and every start of ``two``."""
+    line = deque(_lines(one, two), 1).pop()
+    grows = np.frombuffer(format(line, f"0{len(two)}b").encode(), np.uint8)[::-1] == ord("0")
+    return np.concatenate([[0], np.cumsum(grows)])
+
+
+def common(one: list, two: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of lists of any length."""
+    stop = min(len(one), len(two))
+    start = next((k for k in range(stop) if one[k] != two[k]), stop)
+    tail = next((k for k in range(stop - start) if one[-1 - k] != two[-1 - k]), stop - start)
+    found = [(k, k) for k in range(start)]
+    end = [(len(one) - k, len(two) - k) for k in range(tail, 0, -1)]
+    one, two = one[start : len(one) - tail], two[start : len(two) - tail]
+    if not one or not two:
+        return found + end
+    if len(one) > 1 and len(one) * len(two) > CELLS:
+        half = len(one) // 2
+        cut = int(np.argmax(_lengths(one[:half], two) + _lengths(one[half:][::-1], two[::-1])[::-1]))
+        found += [(start + i, start + j) for i, j in common(one[:half], two[:cut])]
+        found += [(start + half + i, start + cut + j) for i, j in common(one[half:], two[cut:])]
+        return found + end
+    lines, between = list(_lines(one, two)), []
+    i, j = len(one) - 1, len(two) - 1
+    while i >= 0 and j >= 0:
+        if one[i] == two[j]:
+            between.append((start + i, start + j))
+            i, j = i - 1, j - 1
+        elif lines[i] >> j & 1:
+            j -= 1
+        else:
+            i -= 1
+    return found + between[::-1] + end
+
+
+def aligned(one: list, two: list) -> list:
     """Siblings aligned by their longest common subsequence; the others are optional."""
-    if one is None or two is None:
-        return None
     first, second = _keys(one), _keys(two)
     if first == second:
         return [merged(a, b) for a, b in zip(one, two, strict=True)]
-    best = [[0] * (len(two) + 1) for _ in range(len(one) + 1)]
-    for i in range(len(one) - 1, -1, -1):
-        for j in range(len(two) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if first[i] == second[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < len(one) and j < len(two):
-        if first[i] == second[j]:
-            out.append(merged(one[i], two[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(_optional(one[i]))
-            i += 1
-        else:
-            out.append(_optional(two[j]))
-            j += 1
+    for left, right in common(first, second):
+        out += map(_optional, one[i:left] + two[j:right])
+        out.append(merged(one[left], two[right]))
+        i, j = left + 1, right + 1
     out += map(_optional, one[i:] + two[j:])
     # What is now side by side may repeat.
     return folded(out)
@@ -274,8 +321,8 @@ class Wrapper:
         if len(self.marks) < AGREE:
             return fixed, None
 
-        def walk(kids: list | None, path: tuple[str, ...]) -> None:
-            for kid in kids or ():
+        def walk(kids: list, path: tuple[str, ...]) -> None:
+            for kid in kids:
                 if kid[0] == "#":
                     if kid[3] is SLOT:
                         for size in range(1, len(path) + 1):
@@ -345,7 +392,7 @@ def _blocks(region: Element, path: tuple[str, ...], fixed: set, kind: str) -> st
         for kid in element.kids:
             if isinstance(kid, str):
                 value = " ".join(kid.split()) if fixed else ""
-                if not value or (path, value) not in fixed:
+                if not value or (path, _sign(value)) not in fixed:
                     line.append(kid)
                 continue
             if kid.noise or (kid.tag == "header" and kind == "body"):
@@ -414,6 +461,19 @@ def _rows(held: dict[str, Wrapper]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["host", "wrapper", "pages"])
 
 
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Facts of each host: wrappers hold every optional node, pages need only what is settled."""
+    for batch in slices(batches, 1):
+        fixed, inner = Wrapper.load(batch.column(1)[0].as_py()).facts()
+        facts = json.dumps([sorted(fixed), inner], ensure_ascii=False, separators=(",", ":"))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([facts], pa.string())], ["__host", "facts"])
+
+
+def _load_facts(text: str) -> tuple[set[tuple[tuple[str, ...], str]], tuple[str, ...] | None]:
+    fixed, inner = json.loads(text)
+    return {(tuple(path), value) for path, value in fixed}, None if inner is None else tuple(inner)
+
+
 def extract_text(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     """``page_id, url, text``: the main text of every row of ``pages`` (``page_id, url, html``).
 
@@ -424,7 +484,7 @@ def extract_text(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFra
     ignored, whatever their names.
     """
     wrappers = infer_wrappers(pages) if wrappers is None else wrappers
-    wrappers = wrappers.select(F.col("host").alias("__host"), "wrapper")
+    wrappers = materialise(wrappers.select("host", "wrapper").mapInArrow(_facts, "__host string, facts string"), "facts")
     own = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"))
     own = own.withColumn("host", host_of(F.col("url")))
     rows = own.join(F.broadcast(wrappers) if fits_broadcast(wrappers) else wrappers, F.col("host") == F.col("__host"), "left")
@@ -434,12 +494,12 @@ def extract_text(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFra
         known: dict[str, tuple] = {}
         for batch in slices(batches, 128):
             found = []
-            for host, wrapper, html in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), texts(batch.column(4)), strict=True):
+            for host, facts, html in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), texts(batch.column(4)), strict=True):
                 if host not in known:
                     if len(known) > HOSTS:
                         known.clear()
-                    known[host] = (set(), None) if wrapper is None else Wrapper.load(wrapper).facts()
+                    known[host] = (set(), None) if facts is None else _load_facts(facts)
                 found.append(main_text(html, *known[host]) if html else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["page_id", "url", "text"])
 
-    return rows.select("page_id", "url", "host", "wrapper", "html").mapInArrow(extract, schema)
+    return rows.select("page_id", "url", "host", "facts", "html").mapInArrow(extract, schema)

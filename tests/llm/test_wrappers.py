@@ -1,6 +1,7 @@
 """Main text of pages: markup of many kinds, wrappers, and the generator's pages against a plain reading."""
 
 import html as entities
+import random
 import re
 
 import duckdb
@@ -88,6 +89,40 @@ def test_copies_of_a_page_do_not_agree_with_each_other():
     assert main_text(often[4], *whole_of(often).facts()) == "T 4 Body 4"
 
 
+def wide(k, parts):
+    return f"<html><body><div class='top'>Our shop</div>{parts}<div class='m'><h2>Title {k}</h2><p>Text {k} runs on.</p></div><div class='low'>Call us</div></body></html>"
+
+
+def test_wide_lists_keep_the_wrapper_of_a_host():
+    names = "abcdefghij"
+    # One page with a long list, and pages that each bring an element of a class of their own.
+    pages = [wide(k, f"<section class='tag-{names[k // 10]}{names[k % 10]}'>Own {k}</section>") for k in range(100)]
+    pages.append(wide(100, "".join(f"<section class='x{a}{b}{c}'>New</section>" for a in names for b in names for c in names[:5])))
+    fixed, inner = whole_of(pages).facts()
+    assert inner[-1] == "div.m" and {text for _, text in fixed} >= {"Our shop", "Call us"}
+    assert "Call us" not in main_text(pages[7], fixed, ("html", "body")) and "Own 7" in main_text(pages[7], fixed, ("html", "body"))
+
+
+def test_long_template_texts_go():
+    pages = [f"<article><h1>Story {k}</h1><div>{'Read our rules ' * 20}</div><p>Body {k}</p></article>" for k in range(9)]
+    assert main_text(pages[3], *whole_of(pages).facts()) == "Story 3 Body 3"
+
+
+@pytest.mark.parametrize("cells", [1, 30, 1 << 28])
+def test_common_is_a_longest_subsequence(cells, monkeypatch):
+    monkeypatch.setattr(wrappers, "CELLS", cells)
+    chance = random.Random(cells)
+    for _ in range(200):
+        one, two = (chance.choices("abcd", k=chance.randint(0, 25)) for _ in range(2))
+        best = [[0] * (len(two) + 1) for _ in range(len(one) + 1)]
+        for i, a in enumerate(one):
+            for j, b in enumerate(two):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        found = wrappers.common(one, two)
+        assert len(found) == best[-1][-1] and all(one[i] == two[j] for i, j in found)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(found, found[1:]))
+
+
 def test_order_of_merging_does_not_matter_for_facts():
     pages = [Wrapper.of(page(k, "<h3>extra</h3>" if k % 2 else "", k)) for k in range(1, 9)]
     left, right = pages[0], pages[4]
