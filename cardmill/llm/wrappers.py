@@ -8,9 +8,11 @@ the pages they hold, and wrappers of a host are merged in rounds of a bounded fa
 host with a third of all pages is spread like any other, and pages never move.
 
 A wrapper says which texts belong to the template (the same wherever they occur, and on
-several distinct pages) and which element holds the variable text. A page's text is what its article holds, found by
-its own markup or, failing that, by the wrapper, without template texts and without
-elements that are known by name as menus, adverts, forms, notices or comments.
+several distinct pages) and which element holds the variable text. A page's text is what that element holds; if it
+lies in an article or main element, all of that; if articles or main elements in it have
+most of its text, these. Only hosts with too few pages for a wrapper, and pages without
+the element, go by their own tags: the longest article, main element or body. Template
+texts are left out, and elements known by name as menus, adverts, forms, notices or comments.
 """
 
 from __future__ import annotations
@@ -45,6 +47,11 @@ LONG = 64
 #: Hosts that a task holds before it passes their wrappers on.
 HOSTS = 4000
 
+#: Elements that are parts of a text and never the region that holds it.
+PARTS = frozenset(
+    "p h1 h2 h3 h4 h5 h6 hgroup header ul ol li dl dt dd pre blockquote table caption thead tbody tfoot tr td th figure figcaption "
+    "details summary address".split()
+)
 #: Inline elements do not end a block of text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rb ruby s samp small "
@@ -321,7 +328,10 @@ class Wrapper:
         if len(self.marks) < AGREE:
             return fixed, None
 
-        def walk(kids: list, path: tuple[str, ...]) -> None:
+        # Elements that a page has once, and that may hold a whole text.
+        regions: set[tuple[str, ...]] = set()
+
+        def walk(kids: list, path: tuple[str, ...], single: bool) -> None:
             for kid in kids:
                 if kid[0] == "#":
                     if kid[3] is SLOT:
@@ -330,24 +340,26 @@ class Wrapper:
                     elif len(kid[5]) >= AGREE:
                         fixed.add((path, kid[3]))
                 elif kid[0] == "()":
-                    walk(kid[3], path)
+                    walk(kid[3], path, False)
                 else:
-                    walk(kid[3], (*path, kid[0]))
-
-        walk(self.root[3], ())
-        if not mass:
-            return set(), None
-        most = max(mass.values())
+                    here, tag = (*path, kid[0]), kid[0].partition(".")[0]
+                    own = single and not kid[2] and tag not in PARTS and tag not in INLINE
+                    if own:
+                        regions.add(here)
+                    walk(kid[3], here, own)
+
+        walk(self.root[3], (), True)
+        most = max(mass.values(), default=0)
         # The innermost element that has most of it.
-        inner = max((path for path, chars in mass.items() if chars >= 0.8 * most), key=len)
+        inner = max((path for path in regions if mass.get(path, 0) >= 0.8 * most), key=len, default=None) if mass else None
         return fixed, inner
 
 
-def _length(element: Element) -> int:
-    return sum(len(kid) if isinstance(kid, str) else 0 if kid.noise else _length(kid) for kid in element.kids)
+Place = tuple[Element, tuple[str, ...]]
 
 
-def _regions(element: Element, path: tuple[str, ...], wanted, found: dict[str, list]) -> None:
+def _regions(element: Element, path: tuple[str, ...], found: dict[str, list[Place]], inside: bool = False) -> None:
+    """Outermost articles, and outermost main and body elements outside them."""
     for kid in element.kids:
         if isinstance(kid, str) or kid.noise:
             continue
@@ -355,21 +367,52 @@ def _regions(element: Element, path: tuple[str, ...], wanted, found: dict[str, l
         if kid.tag == "article":
             found["article"].append((kid, here))
             continue
-        if kid.main:
+        if kid.main and not inside:
             found["main"].append((kid, here))
-        if here == wanted:
-            found["wrapper"].append((kid, here))
         if kid.tag == "body":
             found["body"].append((kid, here))
-        _regions(kid, here, wanted, found)
+        _regions(kid, here, found, inside or kid.main)
+
+
+def _wanted(element: Element, path: tuple[str, ...], wanted: tuple[str, ...], article: Place | None, main: Place | None) -> Iterator[Place]:
+    """Elements at the wanted path, or the outermost article or innermost main element that each lies in."""
+    for kid in element.kids:
+        if isinstance(kid, str) or kid.noise or kid.key != wanted[len(path)]:
+            continue
+        here = (*path, kid.key)
+        own_article = article or ((kid, here) if kid.tag == "article" else None)
+        own_main = (kid, here) if kid.main else main
+        if len(here) == len(wanted):
+            yield own_article or own_main or (kid, here)
+        else:
+            yield from _wanted(kid, here, wanted, own_article, own_main)
+
+
+def _by_wrapper(root: Element, fixed: set, wanted: tuple[str, ...]) -> list[Place]:
+    """What holds the text by the wrapper: its region or, if they have most of that, the articles or main elements in it."""
+    regions = list({id(one[0]): one for one in _wanted(root, (), wanted, None, None)}.values())
+    found: dict[str, list[Place]] = {"article": [], "main": [], "body": []}
+    for region, path in regions:
+        if region.tag != "article":
+            _regions(region, path, found)
+    if found["article"] or found["main"]:
+        half = sum(len(_blocks(*one, fixed, "wrapper")) for one in regions) / 2
+        for kind in ("article", "main"):
+            if found[kind] and sum(len(_blocks(*one, fixed, kind)) for one in found[kind]) >= half:
+                return found[kind]
+    return regions
 
 
 def main_text(html: str, fixed: set, wanted: tuple[str, ...] | None) -> str:
-    """The text of a page by the facts of its host's wrapper (or none)."""
+    """The text of a page by the facts of its host's wrapper, by its own tags if there are none or nothing is there."""
     root = page_tree(html)
-    found: dict[str, list] = {"article": [], "main": [], "wrapper": [], "body": []}
-    _regions(root, (), wanted, found)
-    for kind in ("article", "main", "wrapper", "body"):
+    if wanted:
+        blocks = (_blocks(*one, fixed, "wrapper") for one in _by_wrapper(root, fixed, wanted))
+        if text := " ".join(block for block in blocks if block):
+            return text
+    found: dict[str, list[Place]] = {"article": [], "main": [], "body": []}
+    _regions(root, (), found)
+    for kind in ("article", "main", "body"):
         if found[kind]:
             region, path = max(found[kind], key=lambda one: _length(one[0]))
             text = _blocks(region, path, fixed, kind)
@@ -378,6 +421,10 @@ def main_text(html: str, fixed: set, wanted: tuple[str, ...] | None) -> str:
     return _blocks(root, (), fixed, "body")
 
 
+def _length(element: Element) -> int:
+    return sum(len(kid) if isinstance(kid, str) else 0 if kid.noise else _length(kid) for kid in element.kids)
+
+
 def _blocks(region: Element, path: tuple[str, ...], fixed: set, kind: str) -> str:
     blocks: list[str] = []
     line: list[str] = []

@@ -123,6 +123,26 @@ def test_common_is_a_longest_subsequence(cells, monkeypatch):
         assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(found, found[1:]))
 
 
+def test_wrapper_comes_before_tags():
+    teasers = [f"<body><div id='content'><h2>Story {k}</h2><p>Body {k} is told here at length.</p></div><article class='teaser'>Next {k}</article></body>" for k in range(8)]
+    assert main_text(teasers[3], *whole_of(teasers).facts()) == "Story 3 Body 3 is told here at length."
+    # Without a wrapper the tags decide.
+    assert alone(teasers[3]) == "Next 3"
+
+
+def test_story_in_several_articles_stays_whole():
+    pages = ["<body><h1>Site</h1>" + "".join(f"<article><h2>Part {i}</h2><p>Text {k} {i} {'long ' * i}</p></article>" for i in range(2 + k % 3)) + "</body>" for k in range(8)]
+    found = main_text(pages[3], *whole_of(pages).facts())
+    assert found == "Part 0 Text 3 0 Part 1 Text 3 1 long"
+
+
+def test_article_around_the_region_is_kept_whole():
+    pages = [f"<body><main><article><h1>Head {k}</h1><div class='b'><p>{k} {'word ' * 40}</p></div></article><ul><li>More {k}</li></ul></main></body>" for k in range(8)]
+    assert main_text(pages[3], *whole_of(pages).facts()) == "Head 3 3 " + ("word " * 40).strip()
+    mains = [page.replace("article>", "section>") for page in pages]
+    assert main_text(mains[3], *whole_of(mains).facts()) == "Head 3 3 " + ("word " * 40).strip() + " More 3"
+
+
 def test_order_of_merging_does_not_matter_for_facts():
     pages = [Wrapper.of(page(k, "<h3>extra</h3>" if k % 2 else "", k)) for k in range(1, 9)]
     left, right = pages[0], pages[4]
