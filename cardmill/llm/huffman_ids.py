@@ -164,21 +164,46 @@ def _pool(path: str, pattern: str) -> Pieces:
     return _POOLS[path, pattern]
 
 
+_LIBRARY: dict[str, tuple] = {}
+
+
+def _library(path: str) -> tuple:
+    """The library's tokenizer and the contents of its added tokens, one per Python worker."""
+    if path not in _LIBRARY:
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        _LIBRARY[path] = whole, [token.content for token in whole.get_added_tokens_decoder().values()]
+    return _LIBRARY[path]
+
+
 def library_ids(
-    docs: DataFrame, path: str = TOKENIZER, end: int = END, pattern: str = public_tokenizers.PATTERN
+    docs: DataFrame, path: str = TOKENIZER, end: int = END, pattern: str = public_tokenizers.PATTERN, added: bool = False
 ) -> DataFrame:
     """``doc_id, n_tokens, ids``: the ids of every whole text and the end id, 4 bytes each, little-endian.
 
     ``path`` is a byte-level BPE of the tokenizers library that cuts texts by ``pattern``
-    and has no normaliser; special tokens in texts are ordinary text.
+    and has no normaliser. With ``added``, its added tokens in texts have their own ids, as
+    in the library's default settings; else they are ordinary text (``encode_special_tokens``).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = _pool(path, pattern)
+        library, contents = _library(path) if added else (None, [])
         for batch in slices(batches, BATCH):
-            ids, offsets = pool.encode_all(texts(batch.column(1)))
-            # One more place for each text, with the end id.
+            own = texts(batch.column(1))
+            # Texts with an added token are left to the library as they are.
+            special = [k for k, text in enumerate(own) if any(content in text for content in contents)]
+            found = []
+            for k in special:
+                found.append(np.array(library.encode(own[k], add_special_tokens=False).ids, np.uint32))
+                own[k] = ""
+            ids, offsets = pool.encode_all(own)
             counts = np.diff(offsets)
+            if special:
+                counts[special] = [len(one) for one in found]
+                ids = np.insert(ids, np.repeat(offsets[special], counts[special]), np.concatenate(found))
+            # One more place for each text, with the end id.
             out = np.full(len(ids) + len(counts), end, "<u4")
             edges = np.concatenate([[0], np.cumsum(counts + 1)])
             out[ragged(edges[:-1], counts)] = ids

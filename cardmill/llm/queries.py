@@ -115,7 +115,7 @@ def op4_tiled_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "huffman")
-    write_ids(library_ids(table(spark, sf_dir, "documents")), path)
+    write_ids(library_ids(table(spark, sf_dir, "documents"), added=True), path)
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

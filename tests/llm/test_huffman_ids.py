@@ -2,13 +2,14 @@
 
 import heapq
 import itertools
+import random
 import zlib
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from cardmill.llm import huffman_ids
+from cardmill.llm import huffman_ids, queries
 from cardmill.llm.huffman_ids import STEP, Codec, code_lengths, library_ids, read_ids, write_ids
 from cardmill.session import new_dir
 
@@ -91,3 +92,23 @@ def test_one_and_no_documents(spark):
         write_ids(library_ids(spark.createDataFrame(rows, "doc_id long, text string")), path)
         found = [(r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) for r in read_ids(spark, path).collect()]
         assert found == [(5, 0, 1, b"\x02\0\0\0")] * len(rows)
+
+
+def test_added_tokens_as_in_the_library(spark, tmp_path):
+    token = "<|endoftext|>"
+    parts = [token, token, " ", "  ", "\n", "a", " b", "don't", "<|end", "of", "text|>", "é"]
+    chance = random.Random(9)
+    rows = list(enumerate([*TEXTS, f"a {token} b", token, token * 3, f"x  {token}  y", "plain", *("".join(chance.choices(parts, k=12)) for _ in range(300))]))
+    library = Tokenizer.from_file(huffman_ids.TOKENIZER)
+    wanted = {key: [*library.encode(text or "", add_special_tokens=False).ids, 2] for key, text in rows}
+    assert wanted[len(TEXTS)] == [64, 220, 50256, 275, 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = library_ids(docs, added=True).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in found} == wanted
+    assert all(r["n_tokens"] == len(wanted[r["doc_id"]]) for r in found)
+    start = np.cumsum([0] + [len(wanted[key]) for key, _ in rows]).tolist()
+    for r in queries.op9_huffman_ids(spark, str(tmp_path)).collect():
+        own = wanted[r["doc_id"]]
+        assert (r["start"], r["n_tokens"]) == (start[r["doc_id"]], len(own))
+        assert r["ids_crc32"] == zlib.crc32(np.array(own, "<u4").tobytes())
