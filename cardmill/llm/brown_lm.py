@@ -1,13 +1,20 @@
 """Language-model scores of whole texts by Brown class-based bigrams (operator 6).
 
 ``P(word | word before) = P(class | class before) P(word | class)``, mixed with the
-smoothed share of the word. Frequent words are clustered by themselves, all others by
-their endings, so that every word, seen or not, has a class. The exchange algorithm
-moves one of these types at a time to the class that raises the likelihood of the class
-bigrams most, until a pass over all types moves few of them.
+smoothed share of the word. Every word that occurs ``OFTEN`` times or more is clustered by
+itself, all others by their endings, so that every word, seen or not, has a class.
+
+The exchange algorithm moves a type at a time to the class that raises the likelihood of
+the class bigrams most. The driver does so for the most frequent words and the endings,
+until a pass over them moves few. The other clustered words, as many as the corpus has,
+start in their ending's class and move in rounds: a Spark table holds how often each stands
+before and after each class, and tasks find the best class of a share of them, against
+class bigrams that are counted anew for each round.
 
 Counts are of all training tokens: words in a table as long as the vocabulary, bigrams
-of types in a table bounded by the square of ``TYPES``, which the driver clusters. A
+of types in a table bounded by the square of ``TYPES``, which the driver clusters, and words
+by classes in a table that grows with the clustered words. Tasks know these by nine bytes
+each, a hash of 64 bits and the class. A
 score splits into a sum over classes, found where the text lies, and a sum over word
 counts. Counts of the ``HEAD`` most frequent words go to all tasks; the other words of
 a text meet the count table in a join, so the vocabulary may be of any size.
@@ -15,6 +22,7 @@ a text meet the count table in a join, so the vocabulary may be of any size.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +41,10 @@ WORDS, ENDINGS, ENDING = 512, 511, 3
 TYPES = WORDS + ENDINGS + 2
 CLASSES = 48
 PASSES = 8
+#: Occurrences from which a word is clustered by itself; rounds in which shares of these words move.
+OFTEN, ROUNDS = 100, 2
+#: Pairs that a task counts before it passes them on.
+PAIRS = 2_000_000
 #: Words whose counts every task holds.
 HEAD = 100_000
 ADDED = 0.1
@@ -43,10 +55,33 @@ KNOWN = 300_000
 END, OTHER = 0, 1
 
 
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), signed=True)
+
+
+class Words:
+    """Types of the clustered words: the most frequent by themselves, the others by sorted hashes."""
+
+    def __init__(self, head: dict[bytes, int], hashes: np.ndarray, first: int):
+        self.head, self.hashes, self.first = head, hashes, first
+
+    def __len__(self) -> int:
+        return len(self.head) + len(self.hashes)
+
+    def get(self, word: bytes) -> int | None:
+        own = self.head.get(word)
+        if own is None and len(self.hashes):
+            mark = word_hash(word)
+            at = int(self.hashes.searchsorted(mark))
+            if at < len(self.hashes) and self.hashes[at] == mark:
+                own = self.first + at
+        return own
+
+
 class Types(dict):
     """Type of each word (bytes), remembered for a while."""
 
-    def __init__(self, words: dict[bytes, int], endings: dict[bytes, int]):
+    def __init__(self, words: dict[bytes, int] | Words, endings: dict[bytes, int]):
         super().__init__()
         self.words, self.endings = words, endings
 
@@ -65,7 +100,7 @@ class Types(dict):
 class ClassModel:
     """What scoring needs beside the counts of words."""
 
-    words: dict[bytes, int]
+    words: Words
     endings: dict[bytes, int]
     classes: np.ndarray
     step: np.ndarray
@@ -127,22 +162,118 @@ def _types(counts: DataFrame) -> tuple[dict[bytes, int], dict[bytes, int]]:
     return words, {bytes(row["ending"]): place + 2 + WORDS for place, row in enumerate(common)}
 
 
+def _line(column: pa.Array, types: Types) -> np.ndarray:
+    """Types of all texts in a row, with an end before, between and after them."""
+    own: list[bytes] = []
+    lengths = []
+    for text in raw_texts(column):
+        found = words_of(text)
+        own += found
+        lengths.append(len(found))
+    line = np.full(len(own) + len(lengths) + 1, END)
+    spots = np.arange(len(own)) + np.repeat(np.arange(len(lengths)), lengths) + 1
+    line[spots] = types.of(own)
+    return line
+
+
+def _often(counts: DataFrame, head: dict[bytes, int], endings: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the other words to be clustered, and the types they would have by their endings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [word for word in batch.column(0).to_pylist() if word not in head]
+            kinds = [endings.get(word[-ENDING:], OTHER) for word in own]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(word_hash, own)), pa.int64()), pa.array(kinds, pa.int32())], ["hash", "type"])
+
+    rows = counts.filter(F.col("n") >= OFTEN).select("word").mapInArrow(run, "hash long, type int").toArrow()
+    hashes, first = np.unique(np.array(rows.column("hash"), np.int64), return_index=True)
+    return hashes, np.array(rows.column("type"), np.int64)[first]
+
+
+def _neighbours(training: DataFrame, words: Words, endings: dict[bytes, int], classes: np.ndarray, share: int | None) -> DataFrame:
+    """``type, slot, n``: how often types of a share stand before and after each class, and themselves.
+
+    Type -1 has the bigrams of classes, ``slot`` being both of them.
+    """
+    first, size, width, rounds, limit = words.first, CLASSES, 2 * CLASSES + 1, ROUNDS, PAIRS
+    table = size * size
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, total = Types(words, endings), np.zeros(table, np.int64)
+        held: list[np.ndarray] = []
+
+        def flushed() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys // width), pa.array(keys % width), pa.array(n)], ["type", "slot", "n"])
+
+        for batch in slices(batches, 256):
+            line = _line(batch.column(0), types)
+            left, right = line[:-1], line[1:]
+            before, after = classes[left].astype(np.int64), classes[right].astype(np.int64)
+            total += np.bincount(before * size + after, minlength=table)
+            if share is not None:
+                own = (left >= first) & (left % rounds == share)
+                held.append(left[own] * width + after[own])
+                loop = own & (left == right)
+                held.append(left[loop] * width + 2 * size)
+                own = (right >= first) & (right % rounds == share)
+                held.append(right[own] * width + size + before[own])
+                if sum(map(len, held)) > limit:
+                    yield flushed()
+        if held:
+            yield flushed()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1)), pa.array(at), pa.array(total[at])], ["type", "slot", "n"])
+
+    parts = training.select("text").mapInArrow(count, "type long, slot long, n long")
+    return parts.groupBy("type", "slot").agg(F.sum("n").alias("n"))
+
+
+def _class_table(sums: DataFrame) -> np.ndarray:
+    rows = sums.filter("type = -1").toArrow()
+    table = np.zeros(CLASSES * CLASSES)
+    table[np.array(rows.column("slot"), np.int64)] = np.array(rows.column("n"))
+    return table.reshape(CLASSES, CLASSES)
+
+
+def exchange_round(sums: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """The classes after every type of ``sums`` has moved to the best one for it, the others staying."""
+    table, size = _class_table(sums), CLASSES
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            kinds, best = batch.column(0).to_pylist(), []
+            for kind, slots in zip(kinds, batch.column(1).to_pylist(), strict=True):
+                row = np.zeros(2 * size + 1)
+                for one in slots:
+                    row[one["slot"]] = one["n"]
+                after, before, loop, now = row[:size], row[size:-1], row[-1], classes[kind]
+                after[now] -= loop
+                before[now] -= loop
+                rest = table.copy()
+                rest[now] -= after
+                rest[:, now] -= before
+                rest[now, now] -= loop
+                gain = gains(rest, after, before, loop)
+                place = int(np.argmax(gain))
+                best.append(place if gain[place] > gain[now] + 1e-9 else int(now))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(best, pa.int32())], ["type", "class"])
+
+    rows = sums.filter("type >= 0").groupBy("type").agg(F.collect_list(F.struct("slot", "n")).alias("slots"))
+    moved = rows.mapInArrow(move, "type long, class int").toArrow()
+    classes = classes.copy()
+    classes[np.array(moved.column("type"), np.int64)] = np.array(moved.column("class"), np.int64)
+    return classes
+
+
 def _bigrams(training: DataFrame, words: dict[bytes, int], endings: dict[bytes, int]) -> np.ndarray:
     """Counts of all neighbouring types, the end standing before a text as well."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types, total = Types(words, endings), np.zeros(TYPES * TYPES, np.int64)
         for batch in slices(batches, 256):
-            # All texts in a row, with an end before, between and after them.
-            own: list[bytes | None] = []
-            lengths = []
-            for text in raw_texts(batch.column(0)):
-                found = words_of(text)
-                own += found
-                lengths.append(len(found))
-            line = np.full(len(own) + len(lengths) + 1, END)
-            spots = np.arange(len(own)) + np.repeat(np.arange(len(lengths)), lengths) + 1
-            line[spots] = types.of(own)
+            line = _line(batch.column(0), types)
             total += np.bincount(line[:-1] * TYPES + line[1:], minlength=TYPES * TYPES)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
@@ -158,6 +289,21 @@ def _xlogx(values: np.ndarray) -> np.ndarray:
     return values * np.log(np.maximum(values, 1.0))
 
 
+def gains(table: np.ndarray, after: np.ndarray, before: np.ndarray, loop: float) -> np.ndarray:
+    """What each class would gain by a type that ``table`` is without; the end's class takes none."""
+    plain = _xlogx(table)
+    rows = (_xlogx(table + after[None, :]) - plain)
+    columns = (_xlogx(table + before[:, None]) - plain)
+    corner = np.diag(table)
+    gain = rows.sum(axis=1) - np.diag(rows) + columns.sum(axis=0) - np.diag(columns)
+    gain += _xlogx(corner + after + before + loop) - _xlogx(corner)
+    left, right = table.sum(axis=1), table.sum(axis=0)
+    gain -= _xlogx(left + after.sum() + loop) - _xlogx(left)
+    gain -= _xlogx(right + before.sum() + loop) - _xlogx(right)
+    gain[0] = -np.inf
+    return gain
+
+
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
     """A class for every type; the end (type 0) keeps class 0 to itself.
 
@@ -183,16 +329,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
             table[now] -= after
             table[:, now] -= before
             table[now, now] -= loop
-            plain = _xlogx(table)
-            rows = (_xlogx(table + after[None, :]) - plain)
-            columns = (_xlogx(table + before[:, None]) - plain)
-            corner = np.diag(table)
-            gain = rows.sum(axis=1) - np.diag(rows) + columns.sum(axis=0) - np.diag(columns)
-            gain += _xlogx(corner + after + before + loop) - _xlogx(corner)
-            left, right = table.sum(axis=1), table.sum(axis=0)
-            gain -= _xlogx(left + after.sum() + loop) - _xlogx(left)
-            gain -= _xlogx(right + before.sum() + loop) - _xlogx(right)
-            gain[0] = -np.inf
+            gain = gains(table, after, before, loop)
             best = int(np.argmax(gain))
             if gain[best] <= gain[now] + 1e-9:
                 best = now
@@ -210,29 +347,32 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
 
 def fit_classes(training: DataFrame, counts: DataFrame, texts: int) -> ClassModel:
     """The model of ``training`` (``text``); ``counts`` are its words, ``texts`` its number of rows."""
-    words, endings = _types(counts)
-    bigrams = _bigrams(training, words, endings)
-    classes = exchange(bigrams, CLASSES, PASSES)
+    head, endings = _types(counts)
+    classes = exchange(_bigrams(training, head, endings), CLASSES, PASSES)
+    hashes, starts = _often(counts, head, endings)
+    words = Words(head, hashes, TYPES)
+    classes = np.concatenate([classes, classes[starts]]).astype(np.min_scalar_type(CLASSES))
+    for share in range(ROUNDS if len(hashes) else 0):
+        classes = exchange_round(materialise(_neighbours(training, words, endings, classes, share), "neighbours"), classes)
+    table = _class_table(_neighbours(training, words, endings, classes, None))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, total = Types(words, endings), np.zeros((2, TYPES), np.int64)
+        types, total = Types(words, endings), np.zeros((2, CLASSES), np.int64)
         for batch in batches:
-            own = types.of(batch.column(0).to_pylist())
-            total[0] += np.bincount(own, weights=np.array(batch.column(1)), minlength=TYPES).astype(np.int64)
-            total[1] += np.bincount(own, minlength=TYPES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TYPES)), pa.array(total[0]), pa.array(total[1])], ["type", "n", "kinds"])
+            own = classes[types.of(batch.column(0).to_pylist())]
+            total[0] += np.bincount(own, weights=np.array(batch.column(1)), minlength=CLASSES).astype(np.int64)
+            total[1] += np.bincount(own, minlength=CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total[0]), pa.array(total[1])], ["class", "n", "kinds"])
 
-    sums = counts.mapInArrow(sizes, "type long, n long, kinds long").groupBy("type")
+    sums = counts.mapInArrow(sizes, "class long, n long, kinds long").groupBy("class")
     n, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for row in sums.agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
-        n[classes[row["type"]]] += row["n"]
-        kinds[classes[row["type"]]] += row["kinds"]
+        n[row["class"]] += row["n"]
+        kinds[row["class"]] += row["kinds"]
     tokens, vocabulary = int(n.sum()) + texts, int(kinds.sum()) + bool(texts)
     # Every class but the end's has one place for words never seen, in both parts of the mixture.
     mass = n + ADDED * (kinds + 1)
     mass[0] = texts + ADDED
-    member = np.eye(CLASSES)[classes]
-    table = member.T @ bigrams @ member
     if not tokens:
         step = np.full((CLASSES, CLASSES), -np.log10(ADDED))
     else:

@@ -98,3 +98,21 @@ def test_beats_the_base_on_held_out_texts(spark):
     assert {r["doc_id"]: r["n_known"] for r in scored.collect()} == {r[0]: r[3] for r in base_scores(rows)}
     found = {r["held_out"]: r for r in perplexity(scored).collect()}
     assert found[True]["perplexity"] < 0.8 * found[True]["base_perplexity"]
+
+
+def test_clustered_words_follow_the_vocabulary(spark, monkeypatch):
+    for name, value in {"WORDS": 6, "ENDINGS": 4, "TYPES": 12, "CLASSES": 5, "OFTEN": 10}.items():
+        monkeypatch.setattr(brown_lm, name, value)
+    chance = random.Random(4)
+    # Nouns and verbs in turn, all with the same ending.
+    names = [[f"{kind}{k}same" for k in range(40)] for kind in "nv"]
+    texts = [" ".join(chance.choice(names[k % 2]) for k in range(40)) for _ in range(100)] + ["seldomsame"]
+    training = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = word_counts(training)
+    model = fit_classes(training, counts, len(texts))
+    often = {bytes(r["word"]) for r in counts.collect() if r["n"] >= 10}
+    types = brown_lm.Types(model.words, model.endings)
+    assert len(often) == 80 and len(model.words) == len(often) and len({types[w] for w in often}) == len(often)
+    assert types[b"seldomsame"] < brown_lm.TYPES
+    found = [{int(model.classes[types[w.encode()]]) for w in own} for own in names]
+    assert not found[0] & found[1]
