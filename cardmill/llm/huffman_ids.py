@@ -19,13 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import fits_broadcast
 from ..session import materialise, new_dir
-from .arrow import lists, ragged, raw_texts, slices, texts
-from .pieces import Pieces, splitter
+from .arrow import flat_bytes, lists, ragged, raw_texts, slices, text_slices, texts
+from .chunks import byte_bpe
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
@@ -35,6 +35,8 @@ LIMIT = 18
 STEP = 128
 BLOCK_BYTES = 1 << 18
 BATCH = 512
+#: Tokens of a range of documents that one task sorts.
+RANGE = 1 << 20
 #: Bytes of codes that are decoded at once.
 DECODED = 1 << 21
 
@@ -133,37 +135,6 @@ class Codec:
         return out
 
 
-_POOLS: dict[tuple[str, str], Pieces] = {}
-
-
-def _pool(path: str, pattern: str) -> Pieces:
-    """The library's model behind the pool of pieces, one per Python worker."""
-    if (path, pattern) not in _POOLS:
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(path).model
-        # Byte-level models name bytes by characters: the visible ones by themselves, the others from 256 on.
-        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        other = iter(range(256, 512))
-        names = [chr(byte) if byte in seen else chr(next(other)) for byte in range(256)]
-        blank = names[32]
-
-        def encode(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = []
-            for text in tokens:
-                # Most new pre-tokens are a space and ASCII letters: only the space has another name.
-                if text[0] == " " and text.isascii() and text[1:].isalpha():
-                    named = blank + text[1:]
-                else:
-                    named = text.encode().decode("latin-1").translate(names)
-                found.append([token.id for token in model.tokenize(named)])
-            lengths = np.array([len(ids) for ids in found], np.int64)
-            return np.array([token for ids in found for token in ids], np.uint32), lengths
-
-        _POOLS[path, pattern] = Pieces(splitter(pattern), encode)
-    return _POOLS[path, pattern]
-
-
 _LIBRARY: dict[str, tuple] = {}
 
 
@@ -177,6 +148,19 @@ def _library(path: str) -> tuple:
     return _LIBRARY[path]
 
 
+def _rows_with(flat: np.ndarray, edges: np.ndarray, contents: list[str]) -> list[int]:
+    """The texts that hold one of some strings."""
+    data, rows = flat.tobytes(), set()
+    for content in map(str.encode, contents):
+        at = data.find(content)
+        while at >= 0:
+            row = int(np.searchsorted(edges, at, "right")) - 1
+            if at + len(content) <= edges[row + 1]:
+                rows.add(row)
+            at = data.find(content, at + 1)
+    return sorted(rows)
+
+
 def library_ids(
     docs: DataFrame, path: str = TOKENIZER, end: int = END, pattern: str = public_tokenizers.PATTERN, added: bool = False
 ) -> DataFrame:
@@ -188,17 +172,19 @@ def library_ids(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = _pool(path, pattern)
+        pool = byte_bpe(path, pattern)
         library, contents = _library(path) if added else (None, [])
-        for batch in slices(batches, BATCH):
-            own = texts(batch.column(1))
+        for batch in text_slices(batches, 1):
+            flat, edges = flat_bytes(batch.column(1))
             # Texts with an added token are left to the library as they are.
-            special = [k for k, text in enumerate(own) if any(content in text for content in contents)]
-            found = []
-            for k in special:
-                found.append(np.array(library.encode(own[k], add_special_tokens=False).ids, np.uint32))
-                own[k] = ""
-            ids, offsets = pool.encode_all(own)
+            special = _rows_with(flat, edges, contents)
+            found = [np.array(library.encode(text, add_special_tokens=False).ids, np.uint32) for text in texts(batch.column(1).take(special))]
+            if special:
+                blank = np.zeros(len(flat), bool)
+                blank[ragged(edges[special], np.diff(edges)[special])] = True
+                edges = edges - np.concatenate([[0], np.cumsum(blank)])[edges]
+                flat = flat[~blank]
+            ids, offsets = pool.encode_all(flat, edges)
             counts = np.diff(offsets)
             if special:
                 counts[special] = [len(one) for one in found]
@@ -236,6 +222,18 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     return counts
 
 
+def _ranges(tokens: DataFrame, parts: int) -> tuple[Column, int]:
+    """The range of ``doc_id`` that a row belongs to, and how many there are: one for ``RANGE`` tokens, if tasks allow."""
+    total = tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    parts = max(min(parts, total // RANGE), total // (RANGE << 6), 1)
+    shares = [(k + 1) / parts for k in range(parts - 1)]
+    bounds = tokens.agg(F.percentile_approx("doc_id", shares, 100 * parts)).first()[0] if shares else None
+    if not bounds:
+        return F.lit(0), 1
+    bounds = F.array(*map(F.lit, sorted(set(bounds))))
+    return F.coalesce(F.size(F.filter(bounds, lambda bound: bound < F.col("doc_id"))), F.lit(0)), parts
+
+
 def write_ids(tokens: DataFrame, path: str, limit: int = LIMIT) -> None:
     """Write ``doc_id, n_tokens, ids`` (as of ``library_ids``) to a folder, in ascending ``doc_id`` order.
 
@@ -264,7 +262,9 @@ def write_ids(tokens: DataFrame, path: str, limit: int = LIMIT) -> None:
 
     coded = tokens.mapInArrow(code, "doc_id long, n_tokens long, code binary, checks array<long>")
     order = ["doc_id", "n_tokens", "code"]
-    ranged = coded.repartitionByRange("doc_id").sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # Bounds come from the written ids: a range exchange would code everything once more to sample it.
+    part, parts = _ranges(tokens, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = coded.select("*", part.alias("part")).repartitionById(parts, "part").sortWithinPartitions("part", *order)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "block", "doc_ids", "tokens", "sizes", "code", "checks"]
@@ -282,6 +282,9 @@ def write_ids(tokens: DataFrame, path: str, limit: int = LIMIT) -> None:
 
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if held and held[-1][-1] != row[-1]:
+                    yield closed()
+                    number, held, size = number + 1, [], 0
                 held.append(row)
                 size += len(row[2])
                 if size >= BLOCK_BYTES:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_dir
 from .arrow import table
+from .bin_slack import cut_pieces, pack
 from .bitmap_bpe import decode_bpe, encode_bpe
 from .minmax_dedup import near_duplicates
 from .brown_lm import score_texts
@@ -143,3 +144,10 @@ def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "flat-tokens")
     write_flat(table(spark, sf_dir, "documents"), path)
     return scan_separators(token_blocks(spark, path))
+
+
+@query()
+def op11_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = cut_pieces(table(spark, sf_dir, "documents"))
+    own = pieces.select("row", "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"))
+    return own.join(pack(pieces), "row").drop("row")
