@@ -178,7 +178,7 @@ def library_ids(
             flat, edges = flat_bytes(batch.column(1))
             # Texts with an added token are left to the library as they are.
             special = _rows_with(flat, edges, contents)
-            found = [np.array(library.encode(text, add_special_tokens=False).ids, np.uint32) for text in texts(batch.column(1).take(special))]
+            found = [np.array(library.encode(text, add_special_tokens=False).ids, np.uint32) for text in texts(batch.column(1).take(pa.array(special, pa.int64())))]
             if special:
                 blank = np.zeros(len(flat), bool)
                 blank[ragged(edges[special], np.diff(edges)[special])] = True
