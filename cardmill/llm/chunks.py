@@ -250,3 +250,68 @@ def byte_tokens(path: str) -> list[bytes]:
         if all(char in values for char in name):
             tokens[token] = bytes(values[char] for char in name)
     return tokens
+
+
+#: An id that no tokenizer has: the pieces of a chunk do not give its bytes back.
+CHANGED = 0xFFFFFFFF
+
+
+def piece_tokens(path: str) -> list[bytes]:
+    """The bytes of each id of a SentencePiece model: U+2581 is a space, ``<0xHH>`` a byte, control ids have none."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    tokens = []
+    for token in range(model.get_piece_size()):
+        name = model.id_to_piece(token)
+        if model.is_byte(token):
+            tokens.append(bytes([int(name[3:5], 16)]))
+        elif model.is_control(token) or model.is_unknown(token):
+            tokens.append(b"")
+        else:
+            tokens.append(name.replace("▁", " ").encode())
+    return tokens
+
+
+def sentence_pieces(path: str) -> Chunks:
+    """A SentencePiece BPE that changes no text but for the space before it, one table per Python worker.
+
+    Texts come with that space. Merges only make pieces of the vocabulary, so two bytes that
+    no piece has side by side are never joined, and texts are cut between them.
+    """
+    if (path, "") not in _POOLS:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        tokens = piece_tokens(path)
+        joined = np.zeros((256, 256), bool)
+        # Bytes of one character stay together.
+        joined[:, 0x80:0xC0] = True
+        for token in tokens:
+            own = np.frombuffer(token, np.uint8)
+            joined[own[:-1], own[1:]] = True
+        # A character that is joined with nothing stands before a chunk, in place of its context.
+        alone = [byte for byte in range(1, 128) if not joined[byte, :0x80].any() and not joined[:, byte].any()]
+        if not alone:
+            raise ValueError(f"every character of {path} is part of longer pieces")
+        before = chr(alone[0])
+        skipped = len(model.encode(before))
+
+        def cut(flat: np.ndarray, edges: np.ndarray) -> np.ndarray:
+            mark = np.ones(len(flat), bool)
+            mark[1:] = ~joined[flat[:-1], flat[1:]]
+            return mark
+
+        def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            ids, lengths = [], np.empty(len(chunks), np.int64)
+            found = model.encode([before + chunk.decode("utf-8", "replace") for chunk in chunks], num_threads=1)
+            for k, (chunk, own) in enumerate(zip(chunks, found, strict=True)):
+                own = own[skipped:]
+                if b"".join(map(tokens.__getitem__, own)) != chunk:
+                    own = [CHANGED]
+                ids += own
+                lengths[k] = len(own)
+            return np.array(ids, np.uint32), lengths
+
+        _POOLS[path, ""] = Chunks(cut, encode)
+    return _POOLS[path, ""]

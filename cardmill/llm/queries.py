@@ -13,6 +13,7 @@ from .bin_slack import cut_pieces, pack
 from .bitmap_bpe import decode_bpe, encode_bpe
 from .minmax_dedup import near_duplicates
 from .brown_lm import score_texts
+from .coalesced_alignment import align_tokens, alignment_report, write_aligned
 from .huffman_ids import library_ids, read_ids, write_ids
 from .mixing import label_weight, measured, mix
 from .rotated_codes import nearest
@@ -151,3 +152,8 @@ def op11_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = cut_pieces(table(spark, sf_dir, "documents"))
     own = pieces.select("row", "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"))
     return own.join(pack(pieces), "row").drop("row")
+
+
+@query()
+def op12_coalesced_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_report(write_aligned(align_tokens(table(spark, sf_dir, "documents"))))
