@@ -14,6 +14,7 @@ from .bitmap_bpe import decode_bpe, encode_bpe
 from .minmax_dedup import near_duplicates
 from .brown_lm import score_texts
 from .coalesced_alignment import align_tokens, alignment_report, write_aligned
+from .frequency_trie import corpus_words, group_variants
 from .huffman_ids import library_ids, read_ids, write_ids
 from .mixing import label_weight, measured, mix
 from .rotated_codes import nearest
@@ -157,3 +158,8 @@ def op11_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_coalesced_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_report(write_aligned(align_tokens(table(spark, sf_dir, "documents"))))
+
+
+@query()
+def op13_frequency_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(corpus_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
