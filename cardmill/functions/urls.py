@@ -31,15 +31,17 @@ def page_url(template: Column, number: Column) -> Column:
     return F.replace(template, F.lit("{page}"), number.cast("string"))
 
 
-def add_whole(digits: Column, delta: int) -> Column:
+def add_whole(digits: Column, delta: int | Column) -> Column:
     """A whole number of any length, as text, plus ``delta``.
 
     A long number is added in groups of digits from the right, with a carry. It is
     larger than any ``delta``, so only a short one can become negative.
     """
     limit = 10**DIGITS
-    if abs(delta) >= limit:
-        raise ValueError(f"delta must have at most {DIGITS} digits")
+    if isinstance(delta, int):
+        if abs(delta) >= limit:
+            raise ValueError(f"delta must have at most {DIGITS} digits")
+        delta = F.lit(delta)
     plain = F.regexp_replace(digits, r"\A0+(?=.)", "")
     groups = F.ceil(F.length(plain) / DIGITS).cast("int")
     padded = F.lpad(plain, groups * DIGITS, "0")
@@ -49,14 +51,14 @@ def add_whole(digits: Column, delta: int) -> Column:
         text = F.concat(F.lpad(F.pmod(value, F.lit(limit)).cast("string"), DIGITS, "0"), state["text"])
         return F.struct(text.alias("text"), F.floor(value / limit).cast("long").alias("carry"))
 
-    start = F.struct(F.lit("").alias("text"), F.lit(delta).cast("long").alias("carry"))
+    start = F.struct(F.lit("").alias("text"), delta.cast("long").alias("carry"))
     total = F.aggregate(F.sequence(F.lit(0), groups - 1), start, step, lambda s: F.concat(s["carry"].cast("string"), s["text"]))
     # Cut before the cast: both branches may be worked out for any number.
-    short = (F.substring(plain, 1, DIGITS).cast("long") + F.lit(delta)).cast("string")
+    short = (F.substring(plain, 1, DIGITS).cast("long") + delta).cast("string")
     return F.when(F.length(plain) <= DIGITS, short).otherwise(F.regexp_replace(total, r"\A0+(?=.)", ""))
 
 
-def bump_page(url: Column, delta: int = 1) -> Column:
+def bump_page(url: Column, delta: int | Column = 1) -> Column:
     """Shift every page number of the query; null where the query has none.
 
     Numbers may have any length; they are written in ASCII digits. The scheme comes

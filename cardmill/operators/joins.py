@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .sieve import bit_map, marked
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 SMALL_ROWS = 1_000_000
 HOT_SHARE = 1 / 64
+SIEVE = "__may_be_key"
 
 
 def fits_broadcast(table: DataFrame) -> bool:
@@ -26,10 +28,31 @@ def _bytes(table: DataFrame) -> int:
 def drop_keys(df: DataFrame, keys: DataFrame, key: str | list[str]) -> DataFrame:
     """Rows of ``df`` whose key is not among ``keys``; few keys are broadcast.
 
-    The keys are written down first: they are read twice, to be measured and joined.
+    The keys are written down first: they are read twice, to be measured and joined. Of
+    more keys every task gets a bit map; rows that miss it stay where they are, and
+    only the others, which are hits but for a few, are shuffled to the keys.
     """
     keys = materialise(keys, "keys")
-    return df.join(F.broadcast(keys) if fits_broadcast(keys) else keys, key, "left_anti")
+    if fits_broadcast(keys):
+        return df.join(F.broadcast(keys), key, "left_anti")
+    flagged = _sifted(df, keys, key)
+    missed = flagged.filter(f"not {SIEVE}").drop(SIEVE)
+    return missed.unionByName(flagged.filter(SIEVE).drop(SIEVE).join(keys, key, "left_anti"))
+
+
+def keep_keys(df: DataFrame, keys: DataFrame, key: str | list[str]) -> DataFrame:
+    """Rows of ``df`` whose key is among ``keys``, a written table; other rows are not moved."""
+    if fits_broadcast(keys):
+        return df.join(F.broadcast(keys), key, "left_semi")
+    return _sifted(df, keys, key).filter(SIEVE).drop(SIEVE).join(keys, key, "left_semi")
+
+
+def _sifted(df: DataFrame, keys: DataFrame, key: str | list[str]) -> DataFrame:
+    names = [key] if isinstance(key, str) else list(key)
+    # Types as in the table, since other ones hash to other places.
+    typed = keys.select(*(F.col(f"`{name}`").cast(df.schema[name].dataType).alias(name) for name in names))
+    bitmap, bits = bit_map(typed, names, keys.count())
+    return marked(df, names, materialise(bitmap, "bits"), bits, SIEVE)
 
 
 def lookup(

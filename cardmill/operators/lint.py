@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import WS
+from .gate import HTML_TYPES
+from .robots import USER_AGENT
 from .rules import DEFAULT_NEXT, MODES, TRANSFORMS
 
 VIOLATION = "struct<path:string,problem:string>"
@@ -26,6 +28,8 @@ LIMITS = {
     "retries": (0, True, True),
     "retry_backoff": (0, True, False),
 }
+# Settings of a run where a spec gives none.
+RETRIES, OUTPUT, ENCODING = 3, "data/result.csv", "utf-8-sig"
 BLOCKS = ("item", "pagination", "output")
 FLAGS = ("output.deduplicate", "output.append", "respect_robots_txt", "verify_ssl", "stop_on_error")
 PLACES = (
@@ -272,11 +276,19 @@ def spec_fields(specs: DataFrame) -> DataFrame:
 
 
 def spec_crawls(specs: DataFrame) -> DataFrame:
-    """The crawl of each spec with its defaults filled in."""
+    """The crawl of each spec with its defaults filled in: walk, gate and output settings."""
 
     def value(path: str, kind: str = "string") -> str:
         return f"try_variant_get(spec, '$.{path}', '{kind}')"
 
+    def texts(path: str, default: tuple[str, ...]) -> str:
+        """A list of texts, or one text for a list of one; without any, the default."""
+        listed = f"filter(transform({value(path, 'array<string>')}, t -> {sql_strip('t')}), t -> t <> '')"
+        single = f"case when schema_of_variant({value(path, 'variant')}) = 'STRING' then array({sql_strip(value(path))}) end"
+        given = f"case when size({listed}) > 0 then {listed} end"
+        names = ", ".join(f"'{name}'" for name in default)
+        return f"coalesce({given}, {single}, array({names}))"
+
     return specs.selectExpr("spec_id", "try_parse_json(spec_json) as spec").selectExpr(
         "spec_id as crawl_id",
         f"{sql_strip(value('start_url'))} as start_url",
@@ -287,4 +299,13 @@ def spec_crawls(specs: DataFrame) -> DataFrame:
         f"coalesce({value('pagination.start_page', 'long')}, 1) as start_page",
         f"coalesce({value('pagination.max_pages', 'long')}, 10) as max_pages",
         f"coalesce({value('stop_on_error', 'boolean')}, true) as stop_on_error",
+        f"{sql_strip(value('item.container'))} as container",
+        f"coalesce({value('retries', 'long')}, {RETRIES}) as retries",
+        f"{texts('allowed_content_types', HTML_TYPES)} as content_types",
+        f"{texts('user_agents', (USER_AGENT,))}[0] as user_agent",
+        f"coalesce({value('respect_robots_txt', 'boolean')}, true) as respect_robots",
+        f"coalesce({sql_strip(value('output.path'))}, '{OUTPUT}') as output_path",
+        f"coalesce({value('output.encoding')}, '{ENCODING}') as output_encoding",
+        f"coalesce({value('output.deduplicate', 'boolean')}, true) as deduplicate",
+        f"coalesce({value('output.append', 'boolean')}, false) as append",
     )

@@ -98,6 +98,30 @@ def robots_policy(bodies: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
     return materialise(bodies.select("origin", closed.alias("closed")).join(chosen, "origin", "left"), "policy")
 
 
+def robots_sites(bodies: DataFrame) -> DataFrame:
+    """``origin, closed, groups``: what all agents must heed at every origin, for ``agent_rules``.
+
+    A written table; the groups of an origin are those of its one body.
+    """
+    readable = bodies.filter(F.col("robots_status").between(200, 399))
+    group = F.struct("group_no", "agents", "rules")
+    groups = robots_groups(readable).groupBy("origin").agg(F.array_sort(F.collect_list(group)).alias("groups"))
+    status = F.col("robots_status")
+    closed = F.coalesce(status.isin(401, 403) | (status >= 500), F.lit(False))
+    return materialise(bodies.select("origin", closed.alias("closed")).join(groups, "origin", "left"), "sites")
+
+
+def agent_rules(user_agent: Column) -> Column:
+    """The rules for an agent in a row that carries its origin's ``groups``: its first group, else the first ``*``."""
+    token = F.lower(F.substring_index(user_agent, "/", 1))
+    default = F.filter("groups", lambda g: F.array_contains(g["agents"], "*"))
+    named = F.filter(
+        "groups",
+        lambda g: ~F.array_contains(g["agents"], "*") & F.exists(g["agents"], lambda agent: F.contains(token, F.lower(agent))),
+    )
+    return F.coalesce(F.get(named, F.lit(0))["rules"], F.get(default, F.lit(0))["rules"])
+
+
 def is_allowed(url: Column) -> Column:
     """Verdict for a row that carries its origin's ``closed`` and ``rules``."""
     path = _tidy(after_origin(unquote(url)))

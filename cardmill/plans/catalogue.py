@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators.extract import page_facts, parse_pages
 from ..operators.rules import FieldRule, PageRules, PagerRules
-from ..session import materialise
+from ..session import materialise, new_dir
+from ..sources.page_store import PageStore, as_log, write_store
 from ..sources.pages import spread
 
 PER_PAGE = 20
@@ -151,6 +152,45 @@ def render(part: DataFrame, faults: bool = False, loops: bool = False) -> DataFr
     )
 
 
+def catalogue_log(pages: DataFrame) -> DataFrame:
+    """A fetch log: the first page of a brand is busy twice."""
+    busy = F.struct(F.lit(503).alias("status"), F.lit("busy").alias("body"))
+    page = F.struct(F.lit(200).alias("status"), F.col("html").alias("body"))
+    tries = F.when(F.col("page_no") == 1, F.array(busy, busy, page)).otherwise(F.array(page))
+    rows = pages.select("url", F.posexplode(tries).alias("attempt", "response"))
+    return rows.select(
+        "url",
+        (F.col("attempt") + 1).alias("attempt"),
+        "response.status",
+        F.lit("text/html; charset=utf-8").alias("content_type"),
+        "response.body",
+        F.lit(None).cast("string").alias("net_error"),
+    )
+
+
+def catalogue_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's robots body, one line per brand closed to robots."""
+    brands = brand_crawls(spark, sf_dir, "none", 1)
+    number = F.regexp_extract("crawl_id", r"(\d+)$", 1).cast("long")
+    closed = F.collect_list(F.when(number % 6 == 5, F.concat(F.lit("Disallow: /b"), number.cast("string"), F.lit("?page="))))
+    return brands.groupBy(F.lit("https://lots.example").alias("origin")).agg(
+        F.lit(200).alias("robots_status"),
+        F.concat(F.lit("User-agent: *\n"), F.array_join(F.array_sort(closed), "\n")).alias("body"),
+    )
+
+
+_STORES: dict[tuple, PageStore] = {}
+
+
+def catalogue_store(spark: SparkSession, sf_dir: str, logged: bool = True, **options: bool) -> PageStore:
+    """The catalogue's pages, or their fetch log, in a store that is built once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, logged, *sorted(options.items()))
+    if key not in _STORES:
+        pages = catalogue_pages(spark, sf_dir, **options)
+        _STORES[key] = write_store(catalogue_log(pages) if logged else as_log(pages), new_dir(spark, "store"))
+    return _STORES[key]
+
+
 def catalogue_parsed(spark: SparkSession, sf_dir: str, rules: PageRules = CARD_RULES, **options: bool) -> DataFrame:
     pages = catalogue_pages(spark, sf_dir, **options)
     return parse_pages(spread(pages), rules, PAGER_RULES, keep=("brand", "page_no", "page_id", "url"))

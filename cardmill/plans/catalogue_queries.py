@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from ..operators.crawl import crawl, crawl_records, preview, site_facts, walk
 from ..operators.extract import page_facts, parse_pages, records
 from ..operators.gate import fetched_pages, resolve_attempts
+from ..operators.joins import keep_keys
 from ..operators.robots import allowed_pages, robots_policy
 from ..operators.rules import FieldRule, PageRules
 from ..operators.stats import crawl_errors, crawl_stats
 from ..session import materialise
+from ..sources.pages import spread
 from .catalogue import (
     CARD_RULES,
     PAGER_RULES,
     brand_crawls,
     brand_no,
     catalogue_facts,
+    catalogue_log,
     catalogue_pages,
     catalogue_parsed,
+    catalogue_robots,
 )
 from .registry import query
 
@@ -159,7 +163,8 @@ def crawl_template(spark, sf_dir):
 
 @query(f"SELECT brand AS crawl_id, page_no AS n, url FROM ({PAGES}) WHERE page_no = 1")
 def crawl_none(spark, sf_dir):
-    return visits(spark, sf_dir, "none")
+    """Nothing is parsed for walks of one page: the facts are only a plan."""
+    return walk(brand_crawls(spark, sf_dir, "none"), catalogue_facts(spark, sf_dir))
 
 
 @query(f"SELECT brand AS crawl_id, page_no AS n, url FROM ({WALK})")
@@ -255,8 +260,12 @@ def crawl_stops(spark, sf_dir):
     name="preview",
 )
 def first_rows(spark, sf_dir):
-    """The preview: five rows of each start page."""
-    return preview(brand_crawls(spark, sf_dir, "next"), facts(spark, sf_dir), ["title", "price"])
+    """The preview: five rows of each start page; no other page is parsed."""
+    crawls = materialise(brand_crawls(spark, sf_dir, "next"), "crawls")
+    starts = materialise(crawls.select(F.col("start_url").alias("url")).distinct(), "starts")
+    pages = keep_keys(catalogue_pages(spark, sf_dir), starts, "url")
+    read = page_facts(parse_pages(spread(pages), CARD_RULES, PAGER_RULES, keep=["url"]), CARD_RULES, keep=["url"])
+    return preview(crawls, site_facts(read), ["title", "price"])
 
 
 @query(
@@ -312,30 +321,3 @@ def blank_pages(spark, sf_dir):
     read = page_facts(parse_pages(pages, CARD_RULES, PAGER_RULES, keep=["url"]), CARD_RULES, keep=["url"])
     stats = crawl_stats(crawl(brand_crawls(spark, sf_dir, "next"), site_facts(read)), CARD_RULES.names)
     return readable(stats).select("crawl_id", "pages", "errors", "first_errors", "finish_reason")
-
-
-def catalogue_log(pages: DataFrame) -> DataFrame:
-    """A fetch log: the first page of a brand is busy twice."""
-    busy = F.struct(F.lit(503).alias("status"), F.lit("busy").alias("body"))
-    page = F.struct(F.lit(200).alias("status"), F.col("html").alias("body"))
-    tries = F.when(F.col("page_no") == 1, F.array(busy, busy, page)).otherwise(F.array(page))
-    rows = pages.select("url", F.posexplode(tries).alias("attempt", "response"))
-    return rows.select(
-        "url",
-        (F.col("attempt") + 1).alias("attempt"),
-        "response.status",
-        F.lit("text/html; charset=utf-8").alias("content_type"),
-        "response.body",
-        F.lit(None).cast("string").alias("net_error"),
-    )
-
-
-def catalogue_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue's robots body, one line per brand closed to robots."""
-    brands = brand_crawls(spark, sf_dir, "none", 1)
-    number = F.regexp_extract("crawl_id", r"(\d+)$", 1).cast("long")
-    closed = F.collect_list(F.when(number % 6 == 5, F.concat(F.lit("Disallow: /b"), number.cast("string"), F.lit("?page="))))
-    return brands.groupBy(F.lit("https://lots.example").alias("origin")).agg(
-        F.lit(200).alias("robots_status"),
-        F.concat(F.lit("User-agent: *\n"), F.array_join(F.array_sort(closed), "\n")).alias("body"),
-    )

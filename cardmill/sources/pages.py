@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import strip
-from ..operators.joins import drop_keys, fits_broadcast
+from ..operators.joins import drop_keys, fits_broadcast, keep_keys
 from ..operators.rules import MODES
 from ..session import materialise
 
@@ -57,7 +57,7 @@ def latest_pages(pages: DataFrame) -> DataFrame:
     blank = rest.filter("page_id is null")
     rest = rest.filter("page_id is not null").unionByName(drop_keys(blank, unnumbered, "url"))
     order = Window.partitionBy("url").orderBy(F.col("page_id").desc_nulls_last(), F.xxhash64("html"))
-    some = pages.join(F.broadcast(tied) if fits_broadcast(tied) else tied, "url", "left_semi")
+    some = keep_keys(pages, tied, "url")
     first = some.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
     return rest.unionByName(first.select(*rest.columns))
 
@@ -76,18 +76,27 @@ def _seeds(crawls: DataFrame) -> DataFrame:
 
     seeds = crawls.select("crawl_id", strip(F.col("start_url")).alias("start_url"), *map(value, DEFAULTS))
     template = F.coalesce(F.col("url_template"), F.lit(""))
+    # Visits are told apart by the id of their crawl.
+    repeated = materialise(seeds.groupBy("crawl_id").count().filter("crawl_id is not null and count > 1"), "repeated")
+    repeated = repeated.select("crawl_id", F.lit(True).alias("repeated"))
+    seeds = seeds.join(F.broadcast(repeated) if fits_broadcast(repeated) else repeated, "crawl_id", "left")
     problem = (
-        F.when(F.coalesce("start_url", F.lit("")) == "", "start_url is missing")
+        F.when(F.col("crawl_id").isNull(), "crawl_id is missing")
+        .when(F.col("repeated"), "crawl_id is repeated")
+        .when(F.coalesce("start_url", F.lit("")) == "", "start_url is missing")
         .when(~F.col("start_url").rlike("^https?://"), "start_url is not an http(s) address")
         .when(~F.col("mode").isin(*MODES), F.concat(F.lit("unknown mode: "), F.col("mode")))
         .when(F.col("max_pages") < 1, "max_pages must be at least 1")
         .when((F.col("mode") == "template") & ~F.contains(template, F.lit("{page}")), "url_template lacks {page}")
     )
-    return seeds.withColumn("problem", problem)
+    return seeds.withColumn("problem", problem).drop("repeated")
 
 
 def read_crawls(crawls: DataFrame) -> DataFrame:
-    """Seeds that can be walked, with their defaults; ``seed_problems`` lists the others."""
+    """Seeds that can be walked, with their defaults; ``seed_problems`` lists the others.
+
+    Of seeds that share a ``crawl_id`` none can be walked, as nothing says which one is meant.
+    """
     return _seeds(crawls).filter("problem is null").drop("problem")
 
 
