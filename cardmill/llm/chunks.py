@@ -21,7 +21,7 @@ from .pieces import splitter
 #: Bytes of a chunk that the table can hold, and of one that is remembered at all.
 SHORT, LONG = 23, 256
 #: Places of the table (a power of two) and chunks after which it is emptied.
-PLACES, CHUNKS = 1 << 21, 1 << 20
+PLACES, CHUNKS = 1 << 20, 1 << 19
 
 #: True where a chunk starts, for all bytes of the texts that start at the given places.
 Cut = Callable[[np.ndarray, np.ndarray], np.ndarray]

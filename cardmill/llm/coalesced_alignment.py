@@ -5,7 +5,8 @@ start, a running maximum of their ends goes along, and a group breaks where a st
 reaches it; within a group, every interval meets those of the other side that it overlaps.
 All texts of a batch are one line of bytes, so this is a handful of array operations.
 
-An aligned document is its ids on both sides and ``steps``, one byte for each link in order:
+An aligned document is its ids on both sides, little-endian in as many bytes as the larger
+vocabulary takes (``id_kind``), and ``steps``, one byte for each link in order:
 1 if a token of A starts with the link, 2 if one of B does, 3 if both do, which starts a
 group. How often two ids are linked is counted per task, then by Spark. The most frequent
 links, at most ``HOT`` of them, go to all tasks with their counts; the others meet the table
@@ -30,7 +31,7 @@ from .chunks import CHANGED, byte_bpe, byte_tokens, piece_tokens, sentence_piece
 A = public_tokenizers.path("byte_bpe_50k.json")
 B = public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text, or of ids, that are worked on at once.
-TEXT, IDS = 2 << 20, 2 << 20
+TEXT, IDS = 2 << 20, 1 << 19
 #: Links whose counts every task gets, and links or kinds of links that a task counts at once.
 HOT, COUNTED = 1 << 20, 4 << 20
 #: Steps of the logarithm in which the frequent links are told from the others.
@@ -67,8 +68,13 @@ def coalesce(starts_a: np.ndarray, ends_a: np.ndarray, starts_b: np.ndarray, end
     return steps
 
 
+def id_kind(path_a: str = A, path_b: str = B) -> np.dtype:
+    """The type of the ids of two tokenizers in an aligned table."""
+    return np.dtype("<u2" if max(len(byte_tokens(path_a)), len(piece_tokens(path_b))) <= 1 << 16 else "<u4")
+
+
 def align_tokens(docs: DataFrame, path_a: str = A, path_b: str = B, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, a_ids, b_ids, steps`` (see above), one row per row of ``docs``; ids are 4 bytes each, little-endian.
+    """``key, a_ids, b_ids, steps`` (see above), one row per row of ``docs``.
 
     A is a byte-level BPE of the tokenizers library and reads a space and the text, B a
     SentencePiece model, which adds the space. Special tokens in texts are plain text. Texts that
@@ -76,6 +82,8 @@ def align_tokens(docs: DataFrame, path_a: str = A, path_b: str = B, key: str = "
     key and repeated rows stay as they are; other columns are ignored, whatever their names.
     """
 
+    wide = id_kind(path_a, path_b)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pools = byte_bpe(path_a), sentence_pieces(path_b)
         sizes = [np.array([len(token) for token in own(path)], np.int64) for own, path in ((byte_tokens, path_a), (piece_tokens, path_b))]
@@ -98,7 +106,7 @@ def align_tokens(docs: DataFrame, path_a: str = A, path_b: str = B, key: str = "
             # A document starts with the link of its first token of A.
             heads = np.append(np.flatnonzero(steps & 1), len(steps))[sides[0][1]]
             data = [
-                pa.array([own[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                pa.array([own[a:b].astype(wide).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 for own, at in sides
             ]
             data.append(pa.array([steps[a:b].tobytes() for a, b in zip(heads[:-1], heads[1:], strict=True)], pa.binary()))
@@ -107,12 +115,12 @@ def align_tokens(docs: DataFrame, path_a: str = A, path_b: str = B, key: str = "
     return docs.select(key, text).mapInArrow(run, f"`{key}` {type_of(docs, key)}, a_ids binary, b_ids binary, steps binary")
 
 
-def _sides(batch: pa.RecordBatch, column: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+def _sides(batch: pa.RecordBatch, column: int, kind: np.dtype) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
     """Ids of A and of B and the steps, each with the edges of the documents."""
     sides = []
     for k in range(3):
         flat, edges = flat_bytes(batch.column(column + k))
-        sides.append((np.frombuffer(flat.tobytes(), "<u4"), edges // 4) if k < 2 else (flat, edges))
+        sides.append((np.frombuffer(flat.tobytes(), kind), edges // kind.itemsize) if k < 2 else (flat, edges))
     return tuple(sides)
 
 
@@ -122,36 +130,37 @@ def _pairs(a: np.ndarray, b: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return left.astype(np.int64) << 32 | right
 
 
-def link_counts(aligned: DataFrame) -> DataFrame:
+def link_counts(aligned: DataFrame, kind: np.dtype | None = None) -> DataFrame:
     """``pair, a_id, b_id, n, best``: how often each two ids are linked, and if no id of A is linked to ``b_id`` more often.
 
     Links are counted in each task before any row moves. The result is a written table.
     """
+    kind = kind or id_kind()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held, size = [], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            new, number = np.unique(np.concatenate(held), return_counts=True) if held else (kinds[:0], counts[:0])
-            both, total = np.concatenate([kinds, new]), np.concatenate([counts, number])
+            new, number = np.unique(np.concatenate(held), return_counts=True) if held else (pairs[:0], counts[:0])
+            both, total = np.concatenate([pairs, new]), np.concatenate([counts, number])
             order = np.argsort(both, kind="stable")
             both, total = both[order], total[order]
             first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
             return both[first], np.add.reduceat(total, first) if len(first) else total
 
         for batch in text_slices(batches, 0, IDS):
-            (a, _), (b, _), (steps, _) = _sides(batch, 0)
+            (a, _), (b, _), (steps, _) = _sides(batch, 0, kind)
             held.append(_pairs(a, b, steps))
             size += len(steps)
             if size >= COUNTED:
-                kinds, counts = merged()
+                pairs, counts = merged()
                 held, size = [], 0
-                if len(kinds) >= COUNTED:
-                    yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(counts)], ["pair", "n"])
-                    kinds, counts = kinds[:0], counts[:0]
-        kinds, counts = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(counts)], ["pair", "n"])
+                if len(pairs) >= COUNTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
+                    pairs, counts = pairs[:0], counts[:0]
+        pairs, counts = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
 
     counted = aligned.select("a_ids", "b_ids", "steps").mapInArrow(run, "pair long, n long")
     counted = materialise(counted.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
@@ -233,14 +242,15 @@ def _digests(a: np.ndarray, a_edges: np.ndarray, b: np.ndarray, b_edges: np.ndar
     return [hashlib.sha256(data[x:y]).hexdigest() if y > x else "" for x, y in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def alignment_report(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
+def alignment_report(aligned: DataFrame, key: str = "doc_id", kind: np.dtype | None = None) -> DataFrame:
     """``key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` of each aligned document.
 
     ``aligned`` is a written table (see ``align_tokens``). ``n_best`` counts the links that no other of
     their id of B outnumbers in the corpus, ``count_sum`` sums the counts of all links. A document
     without tokens has zeros and an empty digest.
     """
-    links = link_counts(aligned)
+    kind = kind or id_kind()
+    links = link_counts(aligned, kind)
     level = F.floor(F.log2("n") * FINE)
     sizes = links.groupBy(level.alias("level")).count().collect()  # at most 64 levels for each bit of a count
     lowest, total = 64 * FINE, 0
@@ -257,7 +267,7 @@ def alignment_report(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
         lookup = _Lookup(keys)
         names = ["row", key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "rare"]
         for batch in text_slices(batches, 2, IDS):
-            (a, a_edges), (b, b_edges), (steps, edges) = _sides(batch, 2)
+            (a, a_edges), (b, b_edges), (steps, edges) = _sides(batch, 2, kind)
 
             def per_document(values: np.ndarray, at: np.ndarray) -> pa.Array:
                 return pa.array(np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[at]))
@@ -278,8 +288,8 @@ def alignment_report(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     numbered = aligned.select(F.monotonically_increasing_id().alias("row"), key, "a_ids", "b_ids", "steps")
-    kind = f"row long, `{key}` {type_of(aligned, key)}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, rare array<long>"
-    scored = materialise(numbered.mapInArrow(run, kind), "scored")
+    columns = f"row long, `{key}` {type_of(aligned, key)}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, rare array<long>"
+    scored = materialise(numbered.mapInArrow(run, columns), "scored")
     # Links that no task knew meet their counts: each of them is rare, so none is a hot key.
     open_links = scored.select("row", F.explode("rare").alias("pair"))
     missing = open_links.join(links.filter(level < lowest).select("pair", "n", "best"), "pair")

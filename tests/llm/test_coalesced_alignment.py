@@ -122,7 +122,7 @@ def test_link_counts(spark):
     found = {(r["a_id"], r["b_id"]): (r["n"], r["best"]) for r in link_counts(aligned).collect()}
     assert sorted(found.values()) == [(1, True), (3, True)]
     row = aligned.filter("doc_id = 1").first()
-    assert len(row["a_ids"]) == len(row["b_ids"]) == 12 and bytes(row["steps"]) == b"\3\3\3"
+    assert len(row["a_ids"]) == len(row["b_ids"]) == 6 and bytes(row["steps"]) == b"\3\3\3"
 
 
 def test_no_documents_and_no_texts(spark, tmp_path):
