@@ -26,11 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.urls import bump_page, origin, page_url
+from ..functions.urls import origin, page_url
 from ..functions.values import TRANSFORM, WS
 from ..session import materialise, new_dir
 from ..sources.page_store import PageStore
-from ..sources.pages import spread
 from . import extract, joins, markup, rules
 from .crawl import MISSING
 from .extract import EMPTY, PLACE, PageReader
@@ -46,6 +45,10 @@ for module in (markup, rules, extract, sys.modules[__name__]):
 
 #: Pages that a crawl asks for at once, at most.
 AHEAD = 32
+# Where an address has its page number.
+PAGE_NUMBER = r"(?i)\A([^#]*[?&](?:page|p|offset)=)([0-9]{1,15})(?![0-9])(.*)\z"
+#: Pages that are dealt out to all cores, as their scan may come in one split.
+FEW_PAGES = 10_000
 #: Rule sets that a task keeps compiled, and pages of an output batch.
 COMPILED, OUTPUT_ROWS = 1000, 256
 
@@ -209,7 +212,7 @@ def run_crawls(crawls: DataFrame, store: PageStore, robots: DataFrame | None = N
     sites = None if robots is None else robots_sites(robots)
     steps_dir, read_dir = new_dir(spark, "steps"), new_dir(spark, "read")
     state = crawls.filter("max_pages >= 1").select(
-        "crawl_id", F.col("start_url").alias("url"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("guess")
+        "crawl_id", F.col("start_url").alias("url"), F.lit(0).cast("long").alias("n"), F.lit(min(2, ahead)).alias("guess")
     )
     # One round at least, of no pages if there are no crawls, so that both tables exist.
     number, visits = 0, None
@@ -237,7 +240,10 @@ def _asked(state: DataFrame, crawls: DataFrame) -> DataFrame:
     ahead = F.least(F.col("guess").cast("long"), F.col("max_pages") - F.col("n"))
     rows = state.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), ahead - 1)))
     numbered = page_url(F.col("url_template"), F.col("start_page") + F.col("n") + F.col("k"))
-    guess = F.when(F.col("mode") == "template", numbered).when(F.col("mode").isin("next", "links"), bump_page(F.col("url"), F.col("k")))
+    # A wrong guess costs a page that is parsed for nothing, so short numbers do.
+    head, number, tail = (F.regexp_extract("url", PAGE_NUMBER, k) for k in (1, 2, 3))
+    bumped = F.concat(head, (number.try_cast("long") + F.col("k")).cast("string"), tail)
+    guess = F.when(F.col("mode") == "template", numbered).when(F.col("mode").isin("next", "links"), bumped)
     url = F.when(F.col("k") == 0, F.col("url")).otherwise(guess)
     asked = rows.withColumn("url", url).filter("url is not null").dropDuplicates(["crawl_id", "url"])
     return asked.select(
@@ -262,7 +268,8 @@ def _answers(asked: DataFrame, crawls: DataFrame, store: PageStore, sites: DataF
     asked = asked.drop("__origin", "closed", "groups", "user_agent", "respect_robots")
     asked = materialise(asked, "asked")
     wanted = asked.filter("not denied").select("url")
-    log = store.attempts(wanted)
+    log, few = store.attempts(wanted), wanted.count() <= FEW_PAGES
+    spark = asked.sparkSession
     tried = asked.filter("not denied").select("crawl_id", "url", "retries", "content_types").join(log, "url")
     kind = content_type(F.col("content_type"))
     fits = (kind == "") | F.exists("content_types", lambda prefix: F.startswith(kind, F.lower(prefix)))
@@ -283,14 +290,15 @@ def _answers(asked: DataFrame, crawls: DataFrame, store: PageStore, sites: DataF
     found = asked.join(ended, ["crawl_id", "url"], "left")
     error = F.when(F.col("denied"), "denied by robots.txt").when(F.col("end").isNull(), MISSING).otherwise(F.col("end.problem"))
     requests = F.when(F.col("denied"), 0).otherwise(F.coalesce("end.place", F.lit(1))).cast("long")
-    return found.withColumn("failed", F.concat("url", F.lit(": "), error)).withColumn("requests", requests).withColumn("html", F.col("end.html"))
+    found = found.select(*KEPT[:2], *KEPT[4:5], *KEPT[6:], "rules", F.concat("url", F.lit(": "), error).alias("failed"), requests.alias("requests"), F.col("end.html").alias("html"))
+    return found.repartition(spark.sparkContext.defaultParallelism) if few else found
 
 
 def _facts(answers: DataFrame) -> DataFrame:
     """What each page holds for the crawl that asked for it: counters, error, links and kept cards."""
     narrow = answers.withColumn("container", F.get_json_object("rules", "$.container")).select(*KEPT, "rules", "html")
     schema = T.StructType([*narrow.select(*KEPT).schema.fields, *PARSED.fields])
-    joined = spread(narrow).mapInArrow(_stage(KEPT), schema)
+    joined = narrow.mapInArrow(_stage(KEPT), schema)
 
     def card(raw: Column, k: Column) -> Column:
         values = F.transform(raw, lambda v, i: _value(v, F.get(F.col("transforms"), i)))
@@ -375,7 +383,8 @@ def _follow(state: DataFrame, block: DataFrame, crawls: DataFrame, ahead: int) -
     walked = joined.withColumn("walk", F.aggregate(steps, start, step))
     used = F.size("walk.path")
     # As long as every page asked for is visited, twice as many are asked for.
-    guess = F.when(used >= F.size("pages"), F.least(F.col("guess") * 2, F.lit(ahead))).otherwise(F.lit(1))
+    guess = F.when(used >= F.size("pages"), F.col("guess") * 2).otherwise(F.lit(1))
+    guess = F.least(guess, F.lit(ahead))
     return walked.select(
         "crawl_id", "walk.path", F.col("n").alias("before"), "walk.n", F.col("walk.url").alias("following"), "walk.done",
         guess.cast("int").alias("guess"),
