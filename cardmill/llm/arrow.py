@@ -40,12 +40,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``limit`` bytes of one column, or of a single row that has more.
+    """The same rows in batches of at most ``limit`` bytes of one column of texts or of lists of
+    numbers, or of a single row that has more.
 
     Rows alone bound nothing: a few long texts would decide a stage's memory.
     """
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        own = batch.column(column)
+        sizes = pc.multiply(pc.list_value_length(own), 4) if pa.types.is_list(own.type) else pc.binary_length(own)
+        sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         start = 0
         while start < batch.num_rows:

@@ -18,11 +18,10 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow import lists, ragged, slices, texts, type_of
-from .pieces import Pieces, splitter
+from .arrow import flat_bytes, lists, ragged, text_slices, type_of
+from .chunks import Chunks, cut_words, splitter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-BATCH = 1024
 
 
 class RankQueue:
@@ -163,13 +162,21 @@ class Merger:
         return at[(place - run) % 2 == 0]
 
 
-#: One per Python worker and rank file: the caches pay off over all batches of a task and the next ones.
-_POOLS: dict[tuple[str, str], Pieces] = {}
+#: One per Python worker and rank file: the table of chunks pays off over all batches of a task and the next ones.
+_POOLS: dict[tuple[str, str], Chunks] = {}
 
 
-def _pool(path: str, pattern: str) -> Pieces:
+def _pool(path: str, pattern: str) -> Chunks:
     if (path, pattern) not in _POOLS:
-        _POOLS[path, pattern] = Pieces(splitter(pattern), Merger(path).encode)
+        merger, split = Merger(path), splitter(pattern)
+
+        def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            matches = [split.findall(chunk.decode("utf-8", "replace")) for chunk in chunks]
+            ids, sizes = merger.encode([match for own in matches for match in own])
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, matches)])]
+            return ids.astype(np.uint32), np.diff(ends)
+
+        _POOLS[path, pattern] = Chunks(cut_words, encode)
     return _POOLS[path, pattern]
 
 
@@ -185,8 +192,8 @@ def encode_bpe(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = _pool(path, pattern)
-        for batch in slices(batches, BATCH):
-            ids, offsets = pool.encode_all(texts(batch.column(1)))
+        for batch in text_slices(batches, 1):
+            ids, offsets = pool.encode_all(*flat_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(ids.astype(np.int32), offsets)], [key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {type_of(docs, key)}, ids array<int>")
@@ -202,7 +209,7 @@ def decode_bpe(encoded: DataFrame, path: str = RANKS, key: str = "doc_id") -> Da
         lengths = np.array([len(token) for token in tokens], np.int64)
         starts = np.cumsum(lengths) - lengths
         flat = np.frombuffer(b"".join(tokens), np.uint8)
-        for batch in slices(batches, BATCH):
+        for batch in text_slices(batches, 1):
             ids = batch.column(1)
             sizes = np.array([size or 0 for size in ids.value_lengths().to_pylist()], np.int64)
             at = ids.flatten().to_numpy(zero_copy_only=False)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import drop_keys, fits_broadcast
+from ..operators.joins import drop_keys, fits_broadcast, keep_keys
 from ..session import materialise
 from .arrow import lists, raw_texts, slices
 from .components import connected_components
@@ -276,6 +276,27 @@ def _links(docs: DataFrame, signed: DataFrame, classes: DataFrame, alike: list[s
 
 
 def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents that ``near_duplicates`` does not keep; texts do not move."""
+    """``docs`` without the documents that ``near_duplicates`` does not keep, and without repeated rows; texts do not move.
+
+    One document of every group stays. Rows that share an id are one document to
+    ``near_duplicates``: of those with the same text one stays. A row without an id goes if another
+    row has its text; nothing can name it in a link, so it is not compared further.
+    """
     found = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()
-    return drop_keys(docs, found, "doc_id")
+    several = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select("doc_id")
+    several = materialise(several, "several")
+    rest = drop_keys(docs, found, "doc_id")
+    if several.isEmpty():
+        return rest
+    # Only rows that their id does not tell apart are numbered, and only numbers and digests of them move.
+    plain = drop_keys(rest.filter("doc_id is not null"), several, "doc_id")
+    odd = keep_keys(rest.filter("doc_id is not null"), materialise(several.filter("doc_id is not null"), "several"), "doc_id")
+    odd = odd.unionByName(rest.filter("doc_id is null")).withColumn("__row", F.monotonically_increasing_id())
+    odd = materialise(odd, "odd")
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("digest")
+    marks = odd.select("__row", "doc_id", digest)
+    first = marks.groupBy("doc_id", "digest").agg(F.min("__row").alias("__row"))
+    known = materialise(docs.filter("doc_id is not null").select(digest).distinct(), "digests")
+    unknown = drop_keys(first.filter("doc_id is null"), known, "digest")
+    stay = materialise(first.filter("doc_id is not null").unionByName(unknown).select("__row"), "stay")
+    return plain.unionByName(keep_keys(odd, stay, "__row").drop("__row"))

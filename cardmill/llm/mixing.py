@@ -125,18 +125,19 @@ def mix(
     weights: Sequence[int] = WEIGHTS,
     cap: int = CAP,
     seed: int = SEED,
+    name: str = "mix",
 ) -> DataFrame:
-    """``docs`` with ``mix`` added, a struct of ``size, source_size, target, copies, taken``.
+    """``docs`` with ``mix``, or another ``name``, added, a struct of ``size, source_size, target, copies, taken``.
 
     ``copies`` is how often the mix holds the document, 0 to ``cap`` times. Null or
     empty texts have size 0; a null source is a source of its own, a null id is hashed
     as an empty one. Repeated rows share a key and are taken together. An empty table
-    gives an empty result. A column called ``mix`` is replaced; others stay.
+    gives an empty result. A column of that name is replaced; others stay.
     """
     plan = mix_plan(docs, weight, weights, cap, seed).select(F.struct("*").alias("__plan"))
     source, place, size = _sized(docs, weight, seed)
     rows = docs.select(
-        *(docs[f"`{name}`"] for name in docs.columns if name != "mix"),
+        *(docs[f"`{column}`"] for column in docs.columns if column != name),
         F.struct(source.alias("source"), place.alias("place"), size.alias("size")).alias("__doc"),
     )
     joined = rows.join(plan, F.col("__doc.source").eqNullSafe(F.col("__plan.source")))
@@ -149,13 +150,14 @@ def mix(
         copies.cast("long").alias("copies"),
         (copies * F.col("__doc.size")).cast("long").alias("taken"),
     )
-    return joined.select(*(f"`{name}`" for name in docs.columns if name != "mix"), mixed.alias("mix"))
+    return joined.select(*(f"`{column}`" for column in docs.columns if column != name), mixed.alias(name))
 
 
-def copies_of(mixed: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it was taken, without ``mix``."""
-    rows = mixed.filter(F.col("mix.copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), "mix.copies")))
-    return rows.drop("mix", "__copy")
+def copies_of(mixed: DataFrame, name: str = "mix") -> DataFrame:
+    """The mix itself: every document as often as it was taken, without the column of ``mix``."""
+    copies = F.col(f"`{name}`")["copies"]
+    rows = mixed.filter(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    return rows.drop(name, "__copy")
 
 
 def label_weight(docs: DataFrame, labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> tuple[DataFrame, str]:

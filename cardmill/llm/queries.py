@@ -125,7 +125,7 @@ def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = fit_toxicity(docs, table(spark, sf_dir, "labels")).score(docs)
+    scored = fit_toxicity(docs, table(spark, sf_dir, "labels")).score(docs, ["doc_id"])
     held_out = (fold(F.col("doc_id")) == 0).alias("held_out")
     return scored.select("doc_id", held_out, F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 

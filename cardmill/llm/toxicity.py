@@ -13,22 +13,23 @@ joined by broadcast; scoring is one pass over all whole texts, without a shuffle
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialise
-from .arrow import raw_texts, slices, texts
+from .arrow import raw_texts, text_slices, texts, type_of
 from .shingles import shingle_sets
 
 #: Labelled rows that the fit takes, about.
@@ -43,6 +44,7 @@ NEAR = 3
 KNOWN = 300_000
 #: Share of the uncalibrated probability in a score: it orders documents of equal calibrated score.
 TIE = 0.001
+VALUES = "__values"
 
 FEATURES = (
     "hits", "density", "strongest", "strength", "different", "near_person", "persons", "capitals", "shouted",
@@ -140,24 +142,33 @@ class Marks(dict):
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 512):
-        sets = shingle_sets(raw_texts(batch.column(2)))
-        least = pa.array([int(own[0].astype(np.int64)) if len(own) else 0 for own in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, least], ["toxic", "fold", "text", "sketch"])
+    """A digest of the whole set of shingles: equal for copies, and for nothing else that will ever be met."""
+    for batch in text_slices(batches, 3):
+        sets = shingle_sets(raw_texts(batch.column(3)))
+        digest = pa.array([hashlib.sha256(own.tobytes()).hexdigest() for own in sets], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, digest], ["marked", "toxic", "fold", "text", "sketch"])
 
 
-def features(text: Column, lexicon: dict[str, float]) -> Column:
-    """The features of a text, in the order of ``FEATURES``; null is empty, an empty text has zeros."""
-    held: list[Marks] = []
+def with_features(rows: DataFrame, lexicon: dict[str, float], text: str, keep: list[str], name: str) -> DataFrame:
+    """The ``keep`` columns and ``name``, the features of a text in the order of ``FEATURES``.
 
-    @F.pandas_udf("array<double>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if not held:
-            held.append(Marks(lexicon))
-        for batch in batches:
-            yield batch.map(lambda value: held[0].features(value or ""))
+    A null text is empty, an empty text has zeros. Texts go to Python once, a few megabytes at a time.
+    """
+    names = list(dict.fromkeys([*keep, text]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, at = Marks(lexicon), names.index(text)
+        for batch in text_slices(batches, at):
+            values = [marks.features(value) for value in texts(batch.column(at))]
+            flat = pa.array([value for row in values for value in row], pa.float64())
+            ends = pa.array(np.arange(len(values) + 1) * len(FEATURES), pa.int32())
+            columns = [batch.column(names.index(column)) for column in keep]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, flat)], [*keep, name])
 
-    return of(F.coalesce(text, F.lit("")))
+    quoted = [F.col(f"`{column}`") for column in names]
+    narrow = rows.select(*quoted)
+    schema = T.StructType([*(narrow.schema[column] for column in keep), T.StructField(name, T.ArrayType(T.DoubleType()))])
+    return narrow.mapInArrow(run, schema)
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
@@ -165,7 +176,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = (Counter(), Counter())
-        for batch in slices(batches, 512):
+        for batch in text_slices(batches, 1):
             for toxic, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 sides[toxic].update({entry for word in set(plain_words(text)) for entry in entries(word)})
         found = list(sides[0].keys() | sides[1].keys())
@@ -198,20 +209,21 @@ class Toxicity:
     trees: GBTClassificationModel | None = None
     scale: IsotonicRegressionModel | None = None
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``toxicity`` added, 0 to 1; a column of that name is replaced."""
-        own = docs.select(*(docs[f"`{name}`"] for name in docs.columns if name != "toxicity"))
+    def score(self, docs: DataFrame, keep: list[str] | None = None, name: str = "toxicity") -> DataFrame:
+        """The ``keep`` columns of ``docs``, all by default, and the score ``name``, 0 to 1; a column of that name is replaced."""
+        keep = [column for column in (docs.columns if keep is None else keep) if column != name]
         if self.trees is None:
-            return own.withColumn("toxicity", F.lit(float(self.share)))
-        kept = F.struct(*(f"`{name}`" for name in own.columns)).alias("__row")
-        rows = own.select(kept, array_to_vector(features(own["text"], self.lexicon)).alias("features"))
+            return docs.select(*(f"`{column}`" for column in keep), F.lit(float(self.share)).alias(name))
+        rows = with_features(docs, self.lexicon, "text", keep, VALUES)
+        # The model's columns have fixed names, so those of the documents stand aside in a struct.
+        rows = rows.select(F.struct(*(f"`{column}`" for column in keep)).alias("__row"), array_to_vector(VALUES).alias("features"))
         rows = _probability(self.trees, rows)
         scored = F.col("raw")
         if self.scale is not None:
             rows = self.scale.transform(rows)
             scored = (1 - TIE) * F.col("calibrated") + TIE * F.col("raw")
         score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), scored))
-        return rows.select(*(F.col("__row")[name].alias(name) for name in own.columns), score.alias("toxicity"))
+        return rows.select(*(F.col("__row")[column].alias(column) for column in keep), score.alias(name))
 
 
 def _probability(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
@@ -227,7 +239,8 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
     """Learn from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, toxic``), never from fold 0.
 
-    Of several labels of an id the highest counts; null labels and ids are no labels.
+    Of several labels of an id the highest counts; null labels and ids are no labels. Labelled
+    documents of equal shingles count once. The fit is the same however rows are partitioned.
     Without documents of both kinds the model is constant.
     """
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id")
@@ -239,16 +252,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
         marks = marks.filter(F.pmod(F.xxhash64("marked"), F.lit(of_million)) < int(of_million * sample / every))
     own = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     # At most about ``sample`` small rows are broadcast.
-    rows = own.join(F.broadcast(marks), own["doc_id"] == marks["marked"]).select("toxic", "fold", "text")
+    rows = own.join(F.broadcast(marks), own["doc_id"] == marks["marked"]).select("marked", "toxic", "fold", "text")
     rows = materialise(rows, "toxic-train")
-    # Copies of one document are one witness: those that share their least shingle hash count once.
-    rows = materialise(rows.mapInArrow(_sketched, "toxic int, fold int, text string, sketch long"), "toxic-sketched")
-    rows = rows.dropDuplicates(["toxic", "sketch"]).drop("sketch")
-    rows = materialise(rows, "toxic-distinct")
+    # Copies of one document are one witness, the one of the least id; texts that differ in a single shingle are two.
+    sketched = rows.mapInArrow(_sketched, f"marked {type_of(rows, 'marked')}, toxic int, fold int, text string, sketch string")
+    sketched = materialise(sketched, "toxic-sketched")
+    first = sketched.groupBy("toxic", "sketch").agg(F.min(F.struct("marked", F.xxhash64("text").alias("hash"))).alias("first"))
+    rows = sketched.join(first, ["toxic", "sketch"]).filter((F.col("marked") == F.col("first.marked")) & (F.xxhash64("text") == F.col("first.hash")))
+    rows = materialise(rows.dropDuplicates(["toxic", "sketch"]).select("marked", "toxic", "fold", "text"), "toxic-distinct")
     share = rows.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
     lexicon = learn_lexicon(rows)
-    ready = rows.select("toxic", "fold", features(F.col("text"), lexicon).alias("values"))
-    ready = materialise(ready, "toxic-features")
+    # About ``sample`` rows of 14 numbers, in one order: sums of the fit, and so all scores, are the same on every run.
+    ready = materialise(with_features(rows, lexicon, "text", ["marked", "toxic", "fold"], "values"), "toxic-features")
+    ready = materialise(ready.repartition(1).sortWithinPartitions("marked", "toxic"), "toxic-ordered")
     counts = {(row["calibrates"], row["toxic"]): row["n"] for row in ready.groupBy((F.col("fold") == FOLDS - 1).alias("calibrates"), "toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get((False, 0)) or not counts.get((False, 1)):
         return Toxicity(lexicon, share)

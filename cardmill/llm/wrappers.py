@@ -11,8 +11,11 @@ A wrapper says which texts belong to the template (the same wherever they occur,
 several distinct pages) and which element holds the variable text. A page's text is what that element holds; if it
 lies in an article or main element, all of that; if articles or main elements in it have
 most of its text, these. Only hosts with too few pages for a wrapper, and pages without
-the element, go by their own tags: the longest article, main element or body. Template
-texts are left out, and elements known by name as menus, adverts, forms, notices or comments.
+the element, go by their own tags: the longest article, main element or body. Elements
+known by name as menus, adverts, forms, notices or comments are left out. Of an article or
+main element nothing else is: headings, bylines or quotes that many pages share stay. Where
+the wrapper alone says what the region is, boxes in it that hold template texts and no
+variable text on any page go.
 """
 
 from __future__ import annotations
@@ -70,11 +73,19 @@ NOISE = frozenset(
     "social comment comments commentlist disqus reply replies respond discussion related recommended recommendations "
     "widget widgets toolbar pagination pager outbrain taboola copyright".split()
 )
+#: Words that say nothing about what an element holds: with a word of ``NOISE`` they make a name of noise.
+BOXES = frozenset(
+    "box boxes block blocks list lists item items link links wrap wrapper container section area bar buttons button icon icons "
+    "post posts article articles story stories content unit slot form module panel inner outer group row col column top bottom left "
+    "right header main page site view el js".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 REMARK = frozenset("comment comments reply replies commentlist".split())
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 SLOT = None
+#: The place of the open article and main elements among the counts of open tags.
+WITHIN = "<"
 
 
 class Element:
@@ -84,7 +95,14 @@ class Element:
         self.tag, self.key, self.noise, self.main, self.kids = tag, key, noise, main, []
 
 
-def _element(tag: str, raw: str) -> Element:
+def _names_noise(label: str) -> bool:
+    """Whether a whole class or id names noise: ``ad-slot`` does, ``related-work`` does not."""
+    parts = {part.lower() for part in PART.findall(label)}
+    return bool(parts & NOISE) and parts <= NOISE | BOXES
+
+
+def _element(tag: str, raw: str, inside: bool = False) -> Element:
+    """An element; ``inside`` an article or main element a class or id counts as a whole, else by its parts."""
     key, noise, main = tag, tag in NEVER, tag == "main"
     if raw and not raw.isspace():
         found: dict[str, str] = {}
@@ -100,14 +118,15 @@ def _element(tag: str, raw: str) -> Element:
             noise = bool(words & REMARK) and not words & {"post", "entry", "hentry", "article", "story"}
         elif tag not in ("html", "body", "main") and not main:
             hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-            noise = noise or bool(words & NOISE) or role in ROLES or hidden
+            named = any(map(_names_noise, labels.split())) if inside else bool(words & NOISE)
+            noise = noise or named or role in ROLES or hidden
     return Element(tag, key, noise, main)
 
 
 def page_tree(html: str) -> Element:
     """A tolerant tree: elements and texts (white space kept), without comments, scripts and styles."""
     root = Element("", "", False)
-    stack, opened = [root], {}
+    stack, opened = [root], {WITHIN: 0}
     limit = html.rfind(">") + 1
     position, tokens = 0, TOKEN.finditer(html, 0, limit)
 
@@ -117,7 +136,9 @@ def page_tree(html: str) -> Element:
 
     def leave(depth: int) -> None:
         while len(stack) > depth:
-            opened[stack.pop().tag] -= 1
+            gone = stack.pop()
+            opened[gone.tag] -= 1
+            opened[WITHIN] -= gone.main or gone.tag == "article"
 
     while (token := next(tokens, None)) is not None:
         if token.start() > position:
@@ -135,7 +156,7 @@ def page_tree(html: str) -> Element:
                             break
                         if stack[depth].tag in scope:
                             break
-            element = _element(tag, raw)
+            element = _element(tag, raw, opened[WITHIN] > 0)
             if tag in RAW:
                 stop = RAW_ENDS[tag].search(html, position, limit)
                 position = stop.end() if stop else len(html)
@@ -145,6 +166,7 @@ def page_tree(html: str) -> Element:
                 if tag not in VOID and len(stack) < DEEPEST:
                     stack.append(element)
                     opened[tag] = opened.get(tag, 0) + 1
+                    opened[WITHIN] += element.main or tag == "article"
         elif closing is not None:
             tag = closing.lower()
             if opened.get(tag):
@@ -322,7 +344,7 @@ class Wrapper:
         return cls(*json.loads(text))
 
     def facts(self) -> tuple[set[tuple[tuple[str, ...], str]], tuple[str, ...] | None]:
-        """Template texts with their paths, and the path of the element that holds the variable text."""
+        """Template texts of boxes with their paths, and the path of the element that holds the variable text."""
         fixed: set[tuple[tuple[str, ...], str]] = set()
         mass: dict[tuple[str, ...], int] = {}
         if len(self.marks) < AGREE:
@@ -349,12 +371,20 @@ class Wrapper:
                     walk(kid[3], here, own)
 
         walk(self.root[3], (), True)
+        fixed = {(path, text) for path, text in fixed if _is_box(path, mass)}
         most = max(mass.values(), default=0)
         # The innermost element that has most of it.
         inner = max((path for path in regions if mass.get(path, 0) >= 0.8 * most), key=len, default=None) if mass else None
         return fixed, inner
 
 
+def _is_box(path: tuple[str, ...], mass: dict[tuple[str, ...], int]) -> bool:
+    """Whether the block around a text holds the same on all pages, is no part of a text, and lies outside article and main."""
+    tags = [key.partition(".")[0] for key in path]
+    size = next((k + 1 for k in range(len(tags) - 1, -1, -1) if tags[k] not in INLINE), 0)
+    return not {"article", "main"} & set(tags) and (not size or tags[size - 1] not in PARTS) and not mass.get(path[:size], 0)
+
+
 Place = tuple[Element, tuple[str, ...]]
 
 
@@ -428,6 +458,8 @@ def _length(element: Element) -> int:
 def _blocks(region: Element, path: tuple[str, ...], fixed: set, kind: str) -> str:
     blocks: list[str] = []
     line: list[str] = []
+    if region.main or region.tag == "article":
+        fixed = set()
 
     def flush() -> None:
         text = " ".join("".join(line).split())

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from cardmill.llm.components import connected_components
+from cardmill.operators import joins
 from cardmill.llm.minmax_dedup import near_duplicates, without_duplicates
 from cardmill.llm.shingles import shingle_sets, word_hashes
 
@@ -74,10 +75,19 @@ def test_null_and_repeated_ids(spark):
     ], key=str)
     kept = without_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([None, None, None, 4, 4, 5, 3], key=str)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([4, 5, 3], key=str)
     assert near_duplicates(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("rows_sent", [200_000, 0])
+def test_one_of_equal_rows_stays(spark, monkeypatch, rows_sent):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", rows_sent)
+    rows = [(None, "only here"), (None, "only here"), (None, "twice with an id"), (6, "twice with an id"), (None, None), (None, ""), (2, "a"), (2, "a"), (2, "b")]
+    docs = spark.createDataFrame([(*row, "", "", "") for row in rows], SCHEMA)
+    kept = sorted(((r["doc_id"], r["text"] or "") for r in without_duplicates(docs).collect()), key=str)
+    assert kept == sorted([(None, "only here"), (None, ""), (6, "twice with an id"), (2, "a"), (2, "b")], key=str)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     chance = random.Random(seed)

@@ -45,3 +45,12 @@ def test_no_documents(spark, tmp_path):
     spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{FOLDER}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_columns_of_the_documents_stay(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = docs.selectExpr("*", "1.5D as toxicity", "'m' as mix", "doc_id as features", "'w' as weight")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, more, "/root/testdata/sf0.001")
+        assert out.columns == more.columns
+        assert out.select("toxicity", "mix", "weight").distinct().collect() == [(1.5, "m", "w")]

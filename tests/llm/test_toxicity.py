@@ -1,8 +1,10 @@
 """Toxicity: held-out accuracy, and the cases that have no model."""
 
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,62 @@ def test_marks():
     assert kinds["2024"] == (0.0, 0) and kinds["idiot/fool"][0] == 3.0 and kinds["!!!"] == (0.0, 0)
     assert marks.features("") == [0.0] * len(FEATURES)
     assert marks.features("you a a idiot a a a a you")[5] == 1.0
+
+
+def small(spark):
+    chance = random.Random(8)
+    words = [f"{a}{b}" for a in ("mo", "ta", "ki", "du") for b in ("ren", "lus", "pid")]
+    rows = []
+    for i in range(900):
+        own = [chance.choice(words) for _ in range(chance.randint(8, 30))] + chance.choices(["grubby", "vilely"], k=int(i % 3 == 0))
+        rows.append((i, " ".join(own)))
+    rows += [(2000 + i, rows[i][1]) for i in range(0, 200, 2)]  # copies
+    labels = [(i, int("grubby" in text or "vilely" in text)) for i, text in rows]
+    return rows, labels
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows, labels = small(spark)
+    found = []
+    for parts in (1, 3, 9):
+        chance = random.Random(parts)
+        docs = spark.createDataFrame(chance.sample(rows, len(rows)), "doc_id long, text string").repartition(parts)
+        marks = spark.createDataFrame(chance.sample(labels, len(labels)), "doc_id long, toxic int").repartition(parts)
+        found.append({r["doc_id"]: r["toxicity"] for r in fit_toxicity(docs, marks).score(docs).collect()})
+    assert found[0] == found[1] == found[2]
+    # Equal texts have equal scores.
+    assert all(found[0][2000 + i] == found[0][i] for i in range(0, 200, 2))
+
+
+def test_scores_from_the_trees_by_hand(spark):
+    """Every score from its features by walking the fitted trees and the isotonic steps in plain Python."""
+    rows, labels = small(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    trees = [tree._call_java("rootNode") for tree in model.trees.trees]
+    bounds, steps = list(model.scale.boundaries), list(model.scale.predictions)
+
+    def leaf(node, values):
+        while hasattr(node, "split") and node.numDescendants() > 0:
+            split = node.split()
+            node = node.leftChild() if values[split.featureIndex()] <= split.threshold() else node.rightChild()
+        return node.prediction()
+
+    marks = Marks(model.lexicon)
+    scored = {r["doc_id"]: r["toxicity"] for r in model.score(docs).collect()}
+    for key, text in rows[::60]:
+        values = marks.features(text)
+        margin = sum(weight * leaf(node, values) for weight, node in zip(model.trees.treeWeights, trees, strict=True))
+        raw = 1 / (1 + math.exp(-2 * margin))
+        calibrated = float(np.interp(raw, bounds, steps))
+        assert scored[key] == pytest.approx(0.999 * calibrated + 0.001 * raw, abs=1e-9)
+
+
+def test_columns_of_the_documents_stay(spark):
+    rows, labels = small(spark)
+    docs = spark.createDataFrame([(*row, 7.0, "f") for row in rows], "doc_id long, text string, toxicity double, features string")
+    model = fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scored = model.score(docs, name="__toxicity")
+    assert scored.columns == [*docs.columns, "__toxicity"]
+    assert scored.select("toxicity", "features").distinct().collect() == [(7.0, "f")]
+    assert model.score(docs, ["doc_id"]).columns == ["doc_id", "toxicity"]

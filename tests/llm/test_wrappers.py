@@ -57,12 +57,33 @@ def test_wrapper_of_aligned_pages():
     assert text == "Title 20 Share this page Text 20 runs on and on, 20 times. item 20 0 item 20 1"
 
 
-def test_template_texts_go():
-    pages = [f"<article><h1>Story {k}</h1><div>Read our rules</div><p>Body {k}</p></article>" for k in range(9)]
-    whole = Wrapper.of(pages[0])
-    for html in pages[1:]:
-        whole = whole.merge(Wrapper.of(html))
-    assert main_text(pages[3], *whole.facts()) == "Story 3 Body 3"
+@pytest.mark.parametrize("count", [4, 5, 8, 50])
+@pytest.mark.parametrize("around", ["article", "main", "div role=main", "div id=content"])
+def test_parts_of_the_text_that_pages_share_stay(count, around):
+    """A heading, a byline, a quote and a table that all pages have are the article's, however many pages there are."""
+    parts = "<h2>Ingredients</h2><p class='by'>By Jane Roe</p><blockquote>Measure <b>twice</b></blockquote><ul><li>salt</ul><table><tr><td>1 cup</table>"
+    tag = around.split()[0]
+    pages = [f"<body><div class='top'>Our shop</div><{around}><h1>Recipe {k}</h1>{parts}<p>Take {k} eggs and more.</p></{tag}><div class='low'>Call us</div></body>" for k in range(count)]
+    found = main_text(pages[3], *whole_of(pages).facts())
+    wanted = "Recipe 3 Ingredients By Jane Roe Measure twice salt 1 cup Take 3 eggs and more."
+    assert found == (wanted if count >= 5 or tag != "div" or "role" in around else f"Our shop {wanted} Call us")
+
+
+def test_boxes_of_a_region_without_tags_go():
+    """Outside article and main, a box that says the same on all pages is the template's."""
+    pages = [f"<body><div class='m'><h1>Story {k}</h1><div class='x1'>Read our {'rules ' * 20}</div><p>Body {k} is long enough.</p></div></body>" for k in range(9)]
+    assert main_text(pages[3], *whole_of(pages).facts()) == "Story 3 Body 3 is long enough."
+    inside = [page.replace("<div class='m'>", "<article>").replace("</p></div>", "</p></article>") for page in pages]
+    assert "Read our rules" in main_text(inside[3], *whole_of(inside).facts())
+
+
+@pytest.mark.parametrize("name, stays", [
+    ("related-work", True), ("share-prices", True), ("social-science", True), ("notice-period", True), ("ad", False),
+    ("ad-slot", False), ("share-buttons", False), ("related posts", False), ("cookie-notice", False), ("comments-section", False),
+])
+def test_names_inside_an_article_count_as_a_whole(name, stays):
+    html = f"<body><article><h1>T</h1><section class='{name}'><p>Own text</p></section><p>End</p></article></body>"
+    assert alone(html) == ("T Own text End" if stays else "T End")
 
 
 def whole_of(pages):
@@ -86,7 +107,7 @@ def test_copies_of_a_page_do_not_agree_with_each_other():
     assert copies.facts() == (set(), None)
     assert main_text(pages[4], *whole_of(pages).merge(copies).facts()) == "T 4 code Body 4"
     often = [f"<article><h1>T {k}</h1>{'<pre>Advice</pre>' if k < 5 else ''}<p>Body {k}</p></article>" for k in range(8)]
-    assert main_text(often[4], *whole_of(often).facts()) == "T 4 Body 4"
+    assert main_text(often[4], *whole_of(often).facts()) == "T 4 Advice Body 4"
 
 
 def wide(k, parts):
@@ -103,11 +124,6 @@ def test_wide_lists_keep_the_wrapper_of_a_host():
     assert "Call us" not in main_text(pages[7], fixed, ("html", "body")) and "Own 7" in main_text(pages[7], fixed, ("html", "body"))
 
 
-def test_long_template_texts_go():
-    pages = [f"<article><h1>Story {k}</h1><div>{'Read our rules ' * 20}</div><p>Body {k}</p></article>" for k in range(9)]
-    assert main_text(pages[3], *whole_of(pages).facts()) == "Story 3 Body 3"
-
-
 @pytest.mark.parametrize("cells", [1, 30, 1 << 28])
 def test_common_is_a_longest_subsequence(cells, monkeypatch):
     monkeypatch.setattr(wrappers, "CELLS", cells)
