@@ -17,8 +17,8 @@ TOXIC = 0.5
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learned from ``labels``, does not find toxic."""
-    scored = fit_toxicity(docs, table(spark, sf_dir, "labels")).score(docs)
-    return scored.filter(F.col("toxicity") < TOXIC).drop("toxicity")
+    scored = fit_toxicity(docs, table(spark, sf_dir, "labels")).score(docs, name="__toxicity")
+    return scored.filter(F.col("__toxicity") < TOXIC).drop("__toxicity")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the target weights of the sources ask for; quality labels weigh the draw."""
     weighted, weight = label_weight(docs, table(spark, sf_dir, "labels"))
-    return copies_of(mix(weighted, F.col(weight))).drop(weight)
+    return copies_of(mix(weighted, F.col(weight), name="__mix"), "__mix").drop(weight)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
