@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .arrow import raw_texts, slices
+from .arrow import flat_bytes, slices, text_slices
+from .chunks import ASCII_WHITE, Chunks, Growing
 
 FOLDS = 10
 #: Frequent words clustered by themselves, and endings (bytes) of the others.
@@ -113,6 +114,40 @@ class ClassModel:
         return self.tokens + ADDED * (self.vocabulary + 1)
 
 
+def _cut(flat: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A chunk is a word, or the white space between two."""
+    white = ASCII_WHITE[flat]
+    mark = np.ones(len(flat), bool)
+    mark[1:] = white[1:] != white[:-1]
+    return mark
+
+
+class Numbered(Chunks):
+    """A number for each word of texts, without an object for any word that was met before.
+
+    ``number`` gives those of new words. A full table forgets its words, after ``forget``.
+    """
+
+    def __init__(self, number: Callable[[list[bytes]], np.ndarray], forget: Callable[[], None] = lambda: None):
+        self.number, self.forget = number, forget
+        super().__init__(_cut, self._numbers)
+
+    def _empty(self) -> None:
+        self.forget()
+        super()._empty()
+
+    def _numbers(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.array([not chunk[:1].isspace() for chunk in chunks], np.int64)
+        own = [chunk for chunk, length in zip(chunks, lengths.tolist(), strict=True) if length]
+        return np.asarray(self.number(own), np.uint32), lengths
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words of the texts, one after the other, and the offsets of the texts."""
+        flat, edges = flat_bytes(column)
+        lower = flat + ((flat >= 65) & (flat <= 90)) * np.uint8(32)
+        return self.encode_all(lower, edges)
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z as a-z: just what bytes split and lower by."""
     return text.lower().split()
@@ -124,19 +159,30 @@ def held_out(doc_id) -> F.Column:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-
-    def flushed() -> pa.RecordBatch:
-        found = [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(found, ["word", "n"])
-
-    for batch in slices(batches, 256):
-        for text in raw_texts(batch.column(0)):
-            counts.update(words_of(text))
-        if len(counts) > KNOWN:
-            yield flushed()
-            counts.clear()
-    yield flushed()
+    words: list[bytes] = []
+    counts = Growing(np.int64)
+    full: list[pa.RecordBatch] = []
+
+    def forget() -> None:
+        if words:
+            found = [pa.array(words, pa.binary()), pa.array(counts.data[: counts.size].copy())]
+            full.append(pa.RecordBatch.from_arrays(found, ["word", "n"]))
+        words.clear()
+        counts.size = 0
+
+    def number(new: list[bytes]) -> np.ndarray:
+        words.extend(new)
+        counts.extend(np.zeros(len(new), np.int64))
+        return np.arange(len(words) - len(new), len(words))
+
+    table = Numbered(number, forget)
+    for batch in text_slices(batches, 0):
+        found, _ = table.of(batch.column(0))
+        counts.data[: counts.size] += np.bincount(found, minlength=counts.size)
+        yield from full
+        full.clear()
+    forget()
+    yield from full
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -162,17 +208,11 @@ def _types(counts: DataFrame) -> tuple[dict[bytes, int], dict[bytes, int]]:
     return words, {bytes(row["ending"]): place + 2 + WORDS for place, row in enumerate(common)}
 
 
-def _line(column: pa.Array, types: Types) -> np.ndarray:
+def _line(column: pa.Array, table: Numbered) -> np.ndarray:
     """Types of all texts in a row, with an end before, between and after them."""
-    own: list[bytes] = []
-    lengths = []
-    for text in raw_texts(column):
-        found = words_of(text)
-        own += found
-        lengths.append(len(found))
-    line = np.full(len(own) + len(lengths) + 1, END)
-    spots = np.arange(len(own)) + np.repeat(np.arange(len(lengths)), lengths) + 1
-    line[spots] = types.of(own)
+    found, offsets = table.of(column)
+    line = np.full(len(found) + len(offsets), END)
+    line[np.arange(len(found)) + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) + 1] = found
     return line
 
 
@@ -199,7 +239,7 @@ def _neighbours(training: DataFrame, words: Words, endings: dict[bytes, int], cl
     table = size * size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, total = Types(words, endings), np.zeros(table, np.int64)
+        types, total = Numbered(Types(words, endings).of), np.zeros(table, np.int64)
         held: list[np.ndarray] = []
 
         def flushed() -> pa.RecordBatch:
@@ -207,7 +247,7 @@ def _neighbours(training: DataFrame, words: Words, endings: dict[bytes, int], cl
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys // width), pa.array(keys % width), pa.array(n)], ["type", "slot", "n"])
 
-        for batch in slices(batches, 256):
+        for batch in text_slices(batches, 0):
             line = _line(batch.column(0), types)
             left, right = line[:-1], line[1:]
             before, after = classes[left].astype(np.int64), classes[right].astype(np.int64)
@@ -271,8 +311,8 @@ def _bigrams(training: DataFrame, words: dict[bytes, int], endings: dict[bytes,
     """Counts of all neighbouring types, the end standing before a text as well."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, total = Types(words, endings), np.zeros(TYPES * TYPES, np.int64)
-        for batch in slices(batches, 256):
+        types, total = Numbered(Types(words, endings).of), np.zeros(TYPES * TYPES, np.int64)
+        for batch in text_slices(batches, 0):
             line = _line(batch.column(0), types)
             total += np.bincount(line[:-1] * TYPES + line[1:], minlength=TYPES * TYPES)
         at = np.flatnonzero(total)
@@ -402,23 +442,38 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = Types(model.words, model.endings)
-        for batch in slices(batches, 256):
-            steps, sums, known, lengths, rare, often = [], [], [], [], [], []
-            for text in raw_texts(batch.column(2)):
-                found = words_of(text)
-                line = np.zeros(len(found) + 2, np.int64)
-                line[1:-1] = model.classes[types.of(found)]
-                steps.append(float(model.step[line[:-1], line[1:]].sum()))
-                logs = list(map(head.get, found))
-                others = Counter(word for word, log in zip(found, logs, strict=True) if log is None)
-                sums.append(sum(log for log in logs if log is not None) + end)
-                known.append(len(found) - others.total() + bool(model.ends))
-                lengths.append(len(found) + 1)
-                rare.append(list(others))
-                often.append(list(others.values()))
+        words: list[bytes] = []
+        classes, logs = Growing(np.int64), Growing(np.float64)
+
+        def forget() -> None:
+            words.clear()
+            classes.size = logs.size = 0
+
+        def number(new: list[bytes]) -> np.ndarray:
+            words.extend(new)
+            classes.extend(model.classes[types.of(new)])
+            logs.extend(np.array([head.get(word, np.nan) for word in new]))
+            return np.arange(len(words) - len(new), len(words))
+
+        table = Numbered(number, forget)
+        for batch in text_slices(batches, 2):
+            found, offsets = table.of(batch.column(2))
+            count = len(offsets) - 1
+            document = np.repeat(np.arange(count), np.diff(offsets))
+            line = np.zeros(len(found) + len(offsets), np.int64)
+            line[np.arange(len(found)) + document + 1] = classes.data[found]
+            # A text has a step to each of its words and one to its end.
+            steps = np.add.reduceat(model.step[line[:-1], line[1:]], offsets[:-1] + np.arange(count))
+            own = logs.data[found]
+            other = np.isnan(own)
+            sums = np.bincount(document[~other], weights=own[~other], minlength=count) + end
+            known = np.bincount(document[~other], minlength=count) + bool(model.ends)
+            rare, often = np.unique(document[other] << 32 | found[other].astype(np.int64), return_counts=True)
+            ends = pa.array(np.searchsorted(rare >> 32, np.arange(count + 1)), pa.int32())
+            unknown = pa.array([words[k] for k in (rare & 0xFFFFFFFF).tolist()], pa.binary())
             columns = [
-                *batch.columns[:2], pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(steps), pa.array(sums, pa.float64()),
-                pa.array(rare, pa.list_(pa.binary())), pa.array(often, pa.list_(pa.int32())),
+                *batch.columns[:2], pa.array(np.diff(offsets) + 1), pa.array(known.astype(np.int64)), pa.array(steps), pa.array(sums),
+                pa.ListArray.from_arrays(ends, unknown), pa.ListArray.from_arrays(ends, pa.array(often, pa.int32())),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "steps", "sums", "rare", "often"])
 

@@ -160,8 +160,8 @@ class Chunks:
         return ids, np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, edges)]
 
 
-_ASCII_WHITE = np.zeros(256, bool)
-_ASCII_WHITE[[9, 10, 11, 12, 13, 32]] = True
+ASCII_WHITE = np.zeros(256, bool)
+ASCII_WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 #: Kinds of bytes that the pattern never puts into one match: letters, digits, marks.
 #: 0 is any other; the apostrophe is one, as it may start a match with letters.
@@ -200,7 +200,7 @@ def cut_words(flat: np.ndarray, edges: np.ndarray) -> np.ndarray:
     last = edges[1:] - 1
     ends = np.zeros(len(flat), bool)
     ends[last[last >= 0]] = True
-    white = _ASCII_WHITE[flat]
+    white = ASCII_WHITE[flat]
     at = np.flatnonzero(white[:-1] & ~white[1:] & ~ends[:-1])
     high = np.flatnonzero(flat[at + 1] >= 0xC2)
     if len(high):

@@ -116,3 +116,56 @@ def test_clustered_words_follow_the_vocabulary(spark, monkeypatch):
     assert types[b"seldomsame"] < brown_lm.TYPES
     found = [{int(model.classes[types[w.encode()]]) for w in own} for own in names]
     assert not found[0] & found[1]
+
+
+@pytest.mark.parametrize("often", [3, 10**9])
+def test_score_by_hand(spark, monkeypatch, often):
+    """Every score from the classes alone: bigrams, class sizes and word shares counted in plain Python."""
+    monkeypatch.setattr(brown_lm, "OFTEN", often)
+    monkeypatch.setattr(brown_lm, "WORDS", 8)
+    monkeypatch.setattr(brown_lm, "ENDINGS", 5)
+    monkeypatch.setattr(brown_lm, "TYPES", 15)
+    monkeypatch.setattr(brown_lm, "CLASSES", 6)
+    monkeypatch.setattr(brown_lm, "HEAD", 5)
+    chance = random.Random(11)
+    rows = [(i, " ".join(f"w{min(int(chance.expovariate(0.15)), 60)}{chance.choice('abé')}" for _ in range(chance.randrange(25)))) for i in range(90)]
+    rows += [(700, "never seen Words"), (701, None), (None, "W1a w2b")]
+    own = [text for key, text in rows if not held(key)]
+    training = spark.createDataFrame([(text,) for text in own], "text string").repartition(2)
+    counts = word_counts(training)
+    words = {bytes(r["word"]).decode(): r["n"] for r in counts.collect()}
+    assert words == Counter(word for text in own for word in plain.words(text))
+    model = fit_classes(training, counts, len(own))
+
+    def kind(word):
+        found = model.words.get(word.encode())
+        return int(model.classes[model.endings.get(word.encode()[-3:], brown_lm.OTHER) if found is None else found])
+
+    moves, size, kinds = Counter(), Counter(), Counter()
+    for text in own:
+        line = [0, *map(kind, plain.words(text)), 0]
+        moves.update(zip(line, line[1:], strict=False))
+    for word, n in words.items():
+        size[kind(word)] += n
+        kinds[kind(word)] += 1
+    total, tokens, vocabulary = sum(moves.values()), sum(words.values()) + len(own), len(words) + 1
+    into, out = Counter(), Counter()
+    for (a, b), n in moves.items():
+        out[a] += n
+        into[b] += n
+
+    def chance_of(before, word):
+        own_kind = 0 if word is None else kind(word)
+        n = len(own) if word is None else words.get(word, 0)
+        mass = len(own) + 0.1 if own_kind == 0 else size[own_kind] + 0.1 * (kinds[own_kind] + 1)
+        move = (moves[before, own_kind] + 5 * into[own_kind] / total) / (out[before] + 5)
+        return 0.95 * move * (n + 0.1) / mass + 0.05 * (n + 0.1) / (tokens + 0.1 * (vocabulary + 5)), own_kind
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for r in score_texts(docs).collect():
+        text = dict(rows)[r["doc_id"]]
+        before, score = 0, 0.0
+        for word in [*plain.words(text), None]:
+            p, before = chance_of(before, word)
+            score += math.log10(p)
+        assert math.isclose(r["score"], score, rel_tol=1e-9, abs_tol=1e-9)
