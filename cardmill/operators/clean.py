@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import strip
+from ..session import materialise
+from .joins import lookup
 
 
 def quoted(names: Sequence[str]) -> list[str]:
@@ -61,22 +63,21 @@ def duplicate_counts(
     """How many rows writing would drop, per ``by``.
 
     That is all but one of equal rows; all of them if ``existing``, the target
-    of an append, already has the row. Known rows are added to the others and merged
-    before the shuffle like them, so a row in every crawl is a row per crawl and task.
+    of an append, already has the row. Equal rows are merged before any shuffle, so a
+    row in every crawl is a row per crawl and task; known rows that are most frequent are
+    broadcast to them, the others are shuffled (``joins.lookup``).
     """
     names, groups = quoted(fields), quoted(by)
     marked = df.select(*(F.col(name).alias(f"__by{k}") for k, name in enumerate(groups)), *names, F.lit(1).alias("__copies"))
     keys = [f"__by{k}" for k in range(len(groups))]
     counts = marked.groupBy(*keys, *names).agg(F.sum("__copies").alias("__copies"))
     if existing is not None:
-        row = F.struct(*names).alias("__row")
-        pairs = counts.select(F.struct(*keys, F.lit(0).alias("__none")).alias("__group"), "__copies", row)
-        group_type = pairs.schema["__group"].dataType
-        known = distinct_records(existing, fields).select(
-            F.lit(None).cast(group_type).alias("__group"), F.lit(None).cast("long").alias("__copies"), row
-        )
-        seen = F.max(F.col("__group").isNull()).over(Window.partitionBy("__row"))
-        pairs = pairs.unionByName(known).withColumn("__known", seen).filter("__group is not null")
-        counts = pairs.select("__group.*", F.when(F.col("__known"), F.col("__copies") + 1).otherwise(F.col("__copies")).alias("__copies"))
+        # Which rows are known is found between distinct rows; a row in every crawl is then a hot key of the look-up.
+        row = F.to_json(F.struct(*(F.col(name).alias(f"f{k}") for k, name in enumerate(names)))).alias("__row")
+        counts = materialise(counts.select(*keys, "__copies", row), "counts")
+        known = counts.select("__row").distinct().join(existing.select(row).distinct(), "__row", "left_semi")
+        known = materialise(known.withColumn("__known", F.lit(1)), "known")
+        counts = lookup(counts, known, "__row", written=True)
+        counts = counts.withColumn("__copies", F.col("__copies") + F.coalesce("__known", F.lit(0)))
     sums = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("duplicates"))
     return sums.select(*(F.col(key).alias(name) for key, name in zip(keys, by, strict=True)), "duplicates")

@@ -20,17 +20,21 @@ from ..functions.urls import origin, page_url
 from ..session import materialise, new_dir
 from . import joins
 from .extract import EMPTY, PLACE, origins
-from .joins import drop_keys, lookup
+from .joins import lookup
 from .robots import is_allowed, robots_filter
 from .rules import MODES
 
 CHUNK = 1000
+#: Page numbers that a template walk tries first.
+FIRST_BLOCK = 16
 LEVELS_AT_ONCE = 8
 # Edges worth a task of their own, and what one task may hold.
 FEW_EDGES, MANY_EDGES = 10_000, 1_000_000
 CRAWL_COLUMNS = ("crawl_id", "mode", "max_pages", "stop_on_error")
 COUNTERS = ("found", "kept", "skipped", "empty_fields")
 MISSING = "not in the snapshot"
+#: What decides where a walk goes.
+WALK_COLUMNS = ("url", "ok", "found", "kept", "next_url", "pager_urls")
 FACT_COLUMNS = (
     "ok", "error", "found", "kept", "skipped", "empty_fields", "requests", "next_url", "pager_urls", "kept_cards",
 )
@@ -60,20 +64,16 @@ def site_facts(facts: DataFrame, outcomes: DataFrame | None = None) -> DataFrame
 
 
 def denied_facts(facts: DataFrame, policy: DataFrame) -> DataFrame:
-    """``facts`` in which a page that robots rules deny is a failed visit: no cards, no links, no request."""
-    denied = materialise(robots_filter(facts.select("url"), policy).filter("not allowed").select("url").distinct(), "denied")
-    rest = drop_keys(facts, denied, "url")
-    zero = F.lit(0).cast("long")
-    kinds = {field.name: field.dataType for field in facts.schema}
-    failed = denied.select(
-        *(
-            F.col("url") if name == "url" else F.lit(False).alias(name) if name == "ok" else _robots_error().alias(name)
-            if name == "error" else zero.alias(name) if name in (*COUNTERS, "requests")
-            else F.lit(None).cast(kinds[name]).alias(name)
-            for name in facts.columns
-        )
+    """What a walk looks at, with pages that robots rules deny as failed visits: no links to follow.
+
+    Cards stay where they are: ``visited_pages`` asks the rules once more, for visits only.
+    """
+    judged = robots_filter(facts.select(*WALK_COLUMNS), policy)
+    closed = judged.select(
+        "url", *(F.when(F.col("allowed"), F.col(name)).alias(name) for name in WALK_COLUMNS if name not in ("url", "ok")),
+        (F.col("ok") & F.col("allowed")).alias("ok"),
     )
-    return materialise(rest.unionByName(failed), "facts")
+    return materialise(closed.select(*WALK_COLUMNS), "walk-facts")
 
 
 def _without(names: Sequence[str]) -> list[str]:
@@ -123,6 +123,7 @@ def _none(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
 
 def _next(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
     jump = facts.filter(_has_rows() & F.col("next_url").isNotNull()).select("url", F.col("next_url").alias("far"))
+    jump = reachable(jump, crawls)
     visits, rows = _start(crawls), crawls.count()
     step, legs = 1, jump.count()
     while step < depth and legs > 0:
@@ -145,6 +146,28 @@ def _next(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
     return visits
 
 
+def reachable(edges: DataFrame, crawls: DataFrame, rounds: int = 8) -> DataFrame:
+    """Edges of the origins that walks can come to: those of the seeds, and of links that leave them.
+
+    Origins are found in rounds over links between origins, which are few; a snapshot of many
+    sites is read once and what is not crawled is not moved. ``edges`` has ``url, far``. After
+    ``rounds`` without an end, or with too many origins, all edges stay: the walk is the same.
+    """
+    known = materialise(crawls.select(origin(F.col("start_url")).alias("site")).distinct(), "origins")
+    sites = edges.select(origin(F.col("url")).alias("site"), origin(F.col("far")).alias("to"))
+    ways = materialise(sites.filter("site <> to").distinct(), "ways")
+    for _ in range(rounds):
+        if not joins.fits_broadcast(known):
+            return edges
+        far = ways.join(F.broadcast(known), "site", "left_semi").select(F.col("to").alias("site"))
+        more = materialise(far.distinct().join(F.broadcast(known), "site", "left_anti"), "origins")
+        if more.isEmpty():
+            own = edges.withColumn("site", origin(F.col("url"))).join(F.broadcast(known), "site", "left_semi")
+            return materialise(own.drop("site"), "edges")
+        known = materialise(known.unionByName(more), "origins")
+    return edges
+
+
 def _links(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
     spark = crawls.sparkSession
     edges = place_by_url(facts.filter(_has_rows() & (F.size("pager_urls") > 0)).select("url", "pager_urls"))
@@ -206,12 +229,39 @@ def _states(spark: SparkSession, schema, path: str, done: str) -> DataFrame:
 
 
 def _template(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
-    # Two steps, dealt out in between, so that one long crawl is many rows' work.
-    starts = crawls.withColumn("low", F.explode(F.sequence(F.lit(1), F.col("max_pages"), F.lit(CHUNK))))
-    if depth > CHUNK:
-        starts = starts.repartition("crawl_id", "low")
-    last = F.least(F.col("low") + (CHUNK - 1), F.col("max_pages"))
-    numbered = starts.withColumn("n", F.explode(F.sequence("low", last)))
+    """Page numbers in blocks, each twice as long as the one before, until every crawl has met its end.
+
+    So at most twice as many addresses are written as pages are visited, whatever ``max_pages`` is.
+    """
+    spark, low, size = crawls.sparkSession, 1, FIRST_BLOCK
+    folder = new_dir(spark, "template")
+    facts = facts.select("url", "ok", "found", "kept")
+    going, blocks, schema = materialise(crawls, "going"), 0, None
+    while low <= depth:
+        block = _block(going, facts, low, size)
+        schema = block.schema
+        block.write.parquet(f"{folder}/block={blocks}")
+        block = spark.read.schema(schema).parquet(f"{folder}/block={blocks}")
+        low, size, blocks = low + size, size * 2, blocks + 1
+        if low > depth:
+            break
+        ended = block.filter("last").select("crawl_id").distinct()
+        going = going.filter(F.col("max_pages") >= low).join(ended, "crawl_id", "left_anti")
+        going = materialise(going, "going")
+        if going.isEmpty():
+            break
+    return spark.read.schema(schema).parquet(f"{folder}/block=*")
+
+
+def _block(crawls: DataFrame, facts: DataFrame, low: int, size: int) -> DataFrame:
+    """Visits of the numbers ``low`` to ``low + size - 1``, and whether one is known to be the crawl's last."""
+    high = F.least(F.lit(low + size - 1).cast("long"), F.col("max_pages"))
+    # Two steps, dealt out in between, so that a long block of one crawl is many rows' work.
+    starts = crawls.filter(F.col("max_pages") >= low)
+    starts = starts.withColumn("from", F.explode(F.sequence(F.lit(low).cast("long"), high, F.lit(CHUNK).cast("long"))))
+    if size > CHUNK:
+        starts = starts.repartition("crawl_id", "from")
+    numbered = starts.withColumn("n", F.explode(F.sequence("from", F.least(F.col("from") + (CHUNK - 1), high))))
     number = F.col("start_page") + F.col("n") - 1
     url = F.when(F.col("n") == 1, F.col("start_url")).otherwise(page_url(F.col("url_template"), number))
     # The start page met again ends the walk before it.
@@ -219,8 +269,7 @@ def _template(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
     plan = numbered.select(
         "crawl_id", F.col("n").cast("long").alias("n"), url.alias("url"), "stop_on_error", again.alias("again")
     )
-    plan = materialise(plan, "template")
-    facts = facts.select("url", "ok", "found", "kept")
+    plan = materialise(plan, "block")
     seen = lookup(plan, facts, "url", written=True)
     ok = F.coalesce("ok", F.lit(False))
     ends = F.when(ok, (F.col("found") == 0) | (F.col("kept") == 0)).otherwise(F.col("stop_on_error"))
@@ -228,7 +277,8 @@ def _template(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
         F.least(F.min(F.when(F.col("again"), F.col("n") - 1)), F.min(F.when(ends, F.col("n")))).alias("limit")
     )
     joined = lookup(plan, limits, "crawl_id")
-    return joined.filter(F.col("limit").isNull() | (F.col("n") <= F.col("limit")))
+    visits = joined.filter(F.col("limit").isNull() | (F.col("n") <= F.col("limit")))
+    return visits.select("crawl_id", "n", "url", F.col("limit").isNotNull().alias("last"))
 
 
 def visited_pages(
@@ -265,9 +315,7 @@ def crawl(crawls: DataFrame, facts: DataFrame, policy: DataFrame | None = None)
     With a ``policy`` the walk stops at pages it denies, or goes past them, as at any
     failed visit.
     """
-    if policy is not None:
-        facts = denied_facts(facts, policy)
-    visits = materialise(walk(crawls, facts), "walk")
+    visits = materialise(walk(crawls, facts if policy is None else denied_facts(facts, policy)), "walk")
     return visited_pages(crawls, visits, facts, policy)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import WS, strip
+from ..session import materialise
 from .joins import drop_keys
 
 # Statuses worth another attempt, content types that hold HTML.
@@ -68,7 +69,12 @@ def fetched_pages(log: DataFrame, outcomes: DataFrame, allowed: Sequence[str] =
     Usable responses that are not the outcome are few; they are taken out by
     key, so the bodies themselves are not shuffled.
     """
-    usable = classify(log, allowed).filter("ok")
+    # Bodies are looked at once, for a narrow table of verdicts, and read once more to be handed on.
+    usable = materialise(classify(log, allowed).filter("ok").select("url", "attempt"), "usable")
     taken = outcomes.filter("ok").select("url", "attempt")
-    unused = usable.select("url", "attempt").join(taken, ["url", "attempt"], "left_anti")
-    return drop_keys(usable, unused, ["url", "attempt"]).select("url", F.col("body").alias("html"))
+    unused = usable.join(taken, ["url", "attempt"], "left_anti")
+    kind = content_type(F.col("content_type"))
+    answered = log.filter((F.col("status") == 200) & reduce(or_, (F.startswith(kind, F.lit(prefix)) for prefix in allowed), kind == ""))
+    blank = materialise(answered.select("url", "attempt").join(usable, ["url", "attempt"], "left_anti"), "blank")
+    kept = drop_keys(answered, unused.unionByName(blank), ["url", "attempt"])
+    return kept.select("url", F.col("body").alias("html"))

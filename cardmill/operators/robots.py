@@ -17,6 +17,8 @@ from .joins import drop_keys, fits_broadcast, lookup
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 RULES = ("allow", "disallow")
 GROUP_BODY = ("allow", "disallow", "crawl-delay", "request-rate")
+#: Rules of an origin that are looked through one by one.
+SCANNED = 64
 USER_AGENT = (
     "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/125.0.0.0 Safari/537.36"
 )
@@ -122,30 +124,72 @@ def agent_rules(user_agent: Column) -> Column:
     return F.coalesce(F.get(named, F.lit(0))["rules"], F.get(default, F.lit(0))["rules"])
 
 
+def rule_path(url: Column) -> Column:
+    """What rules look at: the decoded URL behind its origin."""
+    path = _tidy(after_origin(unquote(url)))
+    return F.when(path == "", F.lit("/")).otherwise(path)
+
+
 def is_allowed(url: Column) -> Column:
     """Verdict for a row that carries its origin's ``closed`` and ``rules``."""
-    path = _tidy(after_origin(unquote(url)))
-    path = F.when(path == "", F.lit("/")).otherwise(path)
+    path = rule_path(url)
     first = F.get(F.filter("rules", lambda rule: F.startswith(path, rule["path"])), F.lit(0))
     return ~F.coalesce("closed", F.lit(False)) & F.coalesce(first["allow"], F.lit(True))
 
 
 def robots_filter(urls: DataFrame, policy: DataFrame, enabled: bool = True) -> DataFrame:
-    """Adds ``allowed`` to a table of URLs; an origin may own most of the rows."""
+    """Adds ``allowed`` to a table of URLs; an origin may own most of the rows.
+
+    Up to ``SCANNED`` rules travel with their origin's row. Longer lists are met by hash: see
+    ``prefix_verdicts``.
+    """
     if not enabled:
         return urls.withColumn("allowed", F.lit(True))
     site = origin(F.col("url")).alias("__origin")
-    joined = lookup(urls.select("*", site), _keyed(policy), "__origin")
-    return joined.withColumn("allowed", is_allowed(F.col("url"))).select(*urls.columns, "allowed")
+    long = F.coalesce(F.size("rules") > SCANNED, F.lit(False))
+    short = policy.withColumn("rules", F.when(~long, F.col("rules"))).withColumn("__long", long)
+    short = short.select(F.col("origin").alias("__origin"), "closed", "rules", "__long")
+    joined = lookup(urls.select("*", site), short, "__origin")
+    listed = materialise(policy.filter(long & ~F.col("closed")), "long-rules")
+    if listed.isEmpty():
+        return joined.withColumn("allowed", is_allowed(F.col("url"))).select(*urls.columns, "allowed")
+    verdicts = prefix_verdicts(urls, listed).withColumnRenamed("url", "__url")
+    joined = joined.join(F.broadcast(verdicts) if fits_broadcast(verdicts) else verdicts, F.col("url") == F.col("__url"), "left")
+    allowed = F.when(F.col("__long") & ~F.col("closed"), F.coalesce("__allow", F.lit(True))).otherwise(is_allowed(F.col("url")))
+    return joined.withColumn("allowed", allowed).select(*urls.columns, "allowed")
+
+
+def prefix_verdicts(urls: DataFrame, policy: DataFrame) -> DataFrame:
+    """``url, __allow`` of the distinct URLs that one of their origin's rules names, by the first such rule.
+
+    A path is looked up by those of its own beginnings that are as long as some rule of its
+    origin, so the work for an URL is the number of different lengths, not of rules. Rules
+    of one path count as the first of them. The result is a written table.
+    """
+    rules = policy.select(F.col("origin").alias("__origin"), F.posexplode("rules").alias("rule_no", "rule"))
+    rules = rules.select("__origin", F.col("rule.path").alias("prefix"), "rule_no", F.col("rule.allow").alias("allow"))
+    rules = rules.groupBy("__origin", "prefix").agg(F.min(F.struct("rule_no", "allow")).alias("rule"))
+    rules = materialise(rules, "rules")
+    lengths = rules.groupBy("__origin").agg(F.collect_set(F.char_length("prefix")).alias("lengths"))
+    distinct = urls.select("url").distinct().select("url", origin(F.col("url")).alias("__origin"), rule_path(F.col("url")).alias("path"))
+    lengths = materialise(lengths, "lengths")
+    distinct = distinct.join(F.broadcast(lengths) if fits_broadcast(lengths) else lengths, "__origin")
+    size = F.char_length("path")
+    begins = F.transform(F.filter("lengths", lambda n: n <= size), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    asked = distinct.select("url", "__origin", F.explode(begins).alias("prefix"))
+    met = asked.join(F.broadcast(rules) if fits_broadcast(rules) else rules, ["__origin", "prefix"])
+    first = met.groupBy("url").agg(F.min("rule").alias("rule"))
+    return materialise(first.select("url", F.col("rule.allow").alias("__allow")), "verdicts")
 
 
 def allowed_pages(pages: DataFrame, policy: DataFrame) -> DataFrame:
     """Pages that may be read, decided before they are parsed.
 
-    A policy table of proven small size goes to every task. A larger one meets
-    only the URLs, and the denied ones are taken out by key.
+    A policy table of proven small size goes to every task. A larger one, or one with long
+    lists of rules, meets only the URLs, and the denied ones are taken out by key.
     """
-    if fits_broadcast(policy):
+    most = policy.agg(F.max(F.size("rules"))).first()[0] or 0
+    if most <= SCANNED and fits_broadcast(policy):
         keyed = pages.withColumn("__origin", origin(F.col("url")))
         joined = keyed.join(F.broadcast(_keyed(policy)), "__origin", "left")
         return joined.filter(is_allowed(F.col("url"))).select(*pages.columns)
