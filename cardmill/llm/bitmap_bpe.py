@@ -22,6 +22,8 @@ from .arrow import flat_bytes, lists, ragged, text_slices, type_of
 from .chunks import Chunks, cut_words, splitter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Bytes of texts or ids that are worked on at once.
+SLICE = 1 << 20
 
 
 class RankQueue:
@@ -180,43 +182,60 @@ def _pool(path: str, pattern: str) -> Chunks:
     return _POOLS[path, pattern]
 
 
+class Decoder:
+    """Bytes of ids by rank."""
+
+    def __init__(self, path: str = RANKS):
+        with open(path, "rb") as lines:
+            table = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
+        tokens = [table.get(rank, b"") for rank in range(max(table) + 1)]
+        self.lengths = np.array([len(token) for token in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The bytes of each run of ids."""
+        lengths = self.lengths[ids]
+        data = self.flat[ragged(self.starts[ids], lengths)].tobytes()
+        edges = np.concatenate([[0], np.cumsum(lengths)])[offsets].tolist()
+        return pa.array([data[a:b] for a, b in zip(edges, edges[1:])], pa.binary())  # noqa: B905
+
+
 def encode_bpe(
-    docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
+    docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id", text: str = "text",
+    decoded: bool = False,
+) -> DataFrame:
     """``key`` and ``ids array<int>``: the ids of every whole text, one row per row of ``docs``.
 
-    Nothing is shuffled. Null and empty texts have no ids; a null key and repeated rows
-    stay as they are; other columns are ignored, whatever their names. ``path`` must be
-    readable on all executors.
+    With ``decoded`` also the bytes that the ids decode to, as ``decode_bpe`` adds them, in the
+    same stage: ids need not go to Python once more. Nothing is shuffled. Null and empty texts
+    have no ids; a null key and repeated rows stay as they are; other columns are ignored,
+    whatever their names. ``path`` must be readable on all executors.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = _pool(path, pattern)
-        for batch in text_slices(batches, 1):
+        pool, decoder = _pool(path, pattern), Decoder(path) if decoded else None
+        for batch in text_slices(batches, 1, SLICE):
             ids, offsets = pool.encode_all(*flat_bytes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(ids.astype(np.int32), offsets)], [key, "ids"])
+            columns, names = [batch.column(0), lists(ids.astype(np.int32), offsets)], [key, "ids"]
+            if decoder:
+                columns, names = [*columns, decoder.decode(ids, offsets)], [*names, "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {type_of(docs, key)}, ids array<int>")
+    more = ", decoded binary" if decoded else ""
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {type_of(docs, key)}, ids array<int>{more}")
 
 
 def decode_bpe(encoded: DataFrame, path: str = RANKS, key: str = "doc_id") -> DataFrame:
     """``encoded`` with ``decoded binary``: the bytes of the ids. Null ids give no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(path, "rb") as lines:
-            table = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
-        tokens = [table.get(rank, b"") for rank in range(max(table) + 1)]
-        lengths = np.array([len(token) for token in tokens], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        flat = np.frombuffer(b"".join(tokens), np.uint8)
-        for batch in text_slices(batches, 1):
+        decoder = Decoder(path)
+        for batch in text_slices(batches, 1, SLICE):
             ids = batch.column(1)
             sizes = np.array([size or 0 for size in ids.value_lengths().to_pylist()], np.int64)
             at = ids.flatten().to_numpy(zero_copy_only=False)
-            data = flat[ragged(starts[at], lengths[at])].tobytes()
-            ends = np.concatenate([[0], np.cumsum(lengths[at])])[np.cumsum(sizes)]
-            edges = np.concatenate([[0], ends]).tolist()
-            decoded = pa.array([data[a:b] for a, b in zip(edges, edges[1:])], pa.binary())  # noqa: B905
+            decoded = decoder.decode(at, np.concatenate([[0], np.cumsum(sizes)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], [key, "ids", "decoded"])
 
     return encoded.select(key, "ids").mapInArrow(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import new_dir
 from .arrow import table
 from .bin_slack import cut_pieces, pack
-from .bitmap_bpe import decode_bpe, encode_bpe
+from .bitmap_bpe import encode_bpe
 from .minmax_dedup import near_duplicates
 from .brown_lm import score_texts
 from .coalesced_alignment import align_tokens, alignment_report, write_aligned
@@ -95,7 +95,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = decode_bpe(encode_bpe(table(spark, sf_dir, "documents")))
+    decoded = encode_bpe(table(spark, sf_dir, "documents"), decoded=True)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -31,6 +31,8 @@ def test_ids_and_bytes(spark, library):
     assert sorted((-1 if i is None else i, ids) for i, ids in encoded.collect()) == wanted
     decoded = decode_bpe(encoded).select(F.coalesce("doc_id", F.lit(-1)), "decoded").collect()
     assert sorted((i, bytes(data)) for i, data in decoded) == sorted((-1 if i is None else i, (text or "").encode()) for i, text, _ in rows)
+    both = encode_bpe(docs, decoded=True).select(F.coalesce("doc_id", F.lit(-1)), "ids", "decoded").collect()
+    assert sorted((i, ids) for i, ids, _ in both) == wanted and sorted((i, bytes(d)) for i, _, d in both) == sorted((i, bytes(d)) for i, d in decoded)
     assert encode_bpe(docs.limit(0)).collect() == [] == decode_bpe(encoded.limit(0)).collect()
 
 
