@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill.llm.arrow import table
-from cardmill.llm.bitmap_bpe import decode_bpe, encode_bpe
+from cardmill.llm.bitmap_bpe import encode_bpe
 from cardmill.llm.minmax_dedup import without_duplicates
 from cardmill.llm.mixing import copies_of, label_weight, mix
 from cardmill.llm.toxicity import fit_toxicity
@@ -34,7 +34,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, with the checksum of the bytes that they decode to."""
-    decoded = decode_bpe(encode_bpe(docs))
+    decoded = encode_bpe(docs, decoded=True)
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
