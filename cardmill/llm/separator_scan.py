@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .arrow import slices, texts
+from .arrow import flat_bytes, slices, text_slices
 from .bitmap_bpe import RANKS, _pool
 
 #: Ids of 16 bits, the high byte first.
@@ -28,8 +28,8 @@ KIND = ">u2"
 #: An id that the vocabulary leaves free. Its two bytes are one UTF-8 character, which Spark's writer puts between documents.
 END = 0xC480
 BLOCK_BYTES = 1 << 20
-#: Documents of a written file: Spark reads such a file whole before it is cut into blocks.
-FILE_DOCS = 4000
+#: Documents and bytes of a written file, at most: Spark reads such a file whole before it is cut into blocks.
+FILE_DOCS, FILE_BYTES = 4000, 1 << 30
 
 
 def write_flat(
@@ -43,19 +43,25 @@ def write_flat(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = _pool(ranks, pattern)
-        for batch in slices(batches, 1024):
-            ids, offsets = pool.encode_all(texts(batch.column(0)))
+        for batch in text_slices(batches, 0):
+            ids, offsets = pool.encode_all(*flat_bytes(batch.column(0)))
             flat = ids.astype(KIND)
             data = [flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], ["ids"])
 
     separator = np.array([end], KIND).tobytes().decode()
+    # A token has a byte of text at least, so a document takes twice its text's bytes at most.
+    longest = docs.agg(F.coalesce(F.max(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
+    each = max(min(FILE_DOCS, FILE_BYTES // (2 * longest + 2)), 1)
     rows = docs.select("text").mapInArrow(encode, "ids binary").select(F.col("ids").cast("string").alias("value"))
-    rows.write.option("lineSep", separator).option("maxRecordsPerFile", FILE_DOCS).text(path)
+    rows.write.option("lineSep", separator).option("maxRecordsPerFile", each).text(path)
 
 
 def token_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``file, block, data``: the files of a folder, cut into blocks. A file may have up to 2 GB, as Spark reads it."""
+    """``file, block, data``: the files of a folder, cut into blocks. A file may have up to 2 GB, as Spark reads it.
+
+    ``write_flat`` keeps files below ``FILE_BYTES``, but for a single document that has more.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     size = F.lit(block_bytes)
     last = F.greatest(F.ceil(F.col("length") / size) - 1, F.lit(0))

@@ -64,3 +64,13 @@ def test_table(spark):
     found = op2_separator_scan(spark, folder).collect()
     assert sorted(r["n_tokens"] for r in found) == sorted(r["n_tokens"] for r in op7_bpe(spark, folder).collect())
     assert sorted(r["doc_no"] for r in found) == list(range(len(found)))
+
+
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr("cardmill.llm.separator_scan.FILE_BYTES", 5000)
+    docs = spark.createDataFrame([("word " * 200,)] * 40, "text string").repartition(1)
+    path = new_dir(spark, "bounded")
+    write_flat(docs, path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("length").collect()
+    assert len(files) >= 20 and all(row["length"] <= 5000 for row in files)
+    assert scan_separators(token_blocks(spark, path)).count() == 40
