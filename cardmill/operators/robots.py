@@ -147,8 +147,9 @@ def robots_filter(urls: DataFrame, policy: DataFrame, enabled: bool = True) -> D
         return urls.withColumn("allowed", F.lit(True))
     site = origin(F.col("url")).alias("__origin")
     long = F.coalesce(F.size("rules") > SCANNED, F.lit(False))
-    short = policy.withColumn("rules", F.when(~long, F.col("rules"))).withColumn("__long", long)
-    short = short.select(F.col("origin").alias("__origin"), "closed", "rules", "__long")
+    short = policy.select(
+        F.col("origin").alias("__origin"), "closed", F.when(~long, F.col("rules")).alias("rules"), long.alias("__long")
+    )
     joined = lookup(urls.select("*", site), short, "__origin")
     listed = materialise(policy.filter(long & ~F.col("closed")), "long-rules")
     if listed.isEmpty():

@@ -221,7 +221,7 @@ def run_crawls(crawls: DataFrame, store: PageStore, robots: DataFrame | None = N
         schema = block.schema
         block.write.parquet(f"{read_dir}/round={number}")
         block = spark.read.schema(schema).parquet(f"{read_dir}/round={number}")
-        steps = _follow(state, block if visits is None else _without_visited(block, visits), crawls, ahead)
+        steps = follow(state, block if visits is None else without_visited(block, visits), crawls, ahead)
         step_schema = steps.schema
         steps.write.parquet(f"{steps_dir}/round={number}")
         steps = spark.read.schema(step_schema).parquet(f"{steps_dir}/round={number}")
@@ -235,8 +235,16 @@ def run_crawls(crawls: DataFrame, store: PageStore, robots: DataFrame | None = N
 
 
 def _asked(state: DataFrame, crawls: DataFrame) -> DataFrame:
-    """Every page that is asked for, the next one and those its number leads to, with the settings of its crawl."""
-    state = lookup(state, crawls, "crawl_id", how="inner", rows=0)
+    """``asked_pages`` with the settings of their crawls."""
+    asked = asked_pages(state, crawls).drop("mode")
+    settings = ["retries", "content_types", "user_agent", "respect_robots", "rules", "mode", "names", "transforms", "required"]
+    return lookup(asked, crawls.select("crawl_id", *settings), "crawl_id", how="inner", rows=0)
+
+
+def asked_pages(state: DataFrame, crawls: DataFrame) -> DataFrame:
+    """``crawl_id, mode, url`` of every page that is asked for: the next one and those its number leads to."""
+    walks = crawls.select("crawl_id", "mode", "url_template", "start_page", "max_pages")
+    state = lookup(state, walks, "crawl_id", how="inner", rows=0)
     ahead = F.least(F.col("guess").cast("long"), F.col("max_pages") - F.col("n"))
     rows = state.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), ahead - 1)))
     numbered = page_url(F.col("url_template"), F.col("start_page") + F.col("n") + F.col("k"))
@@ -245,10 +253,7 @@ def _asked(state: DataFrame, crawls: DataFrame) -> DataFrame:
     bumped = F.concat(head, (number.try_cast("long") + F.col("k")).cast("string"), tail)
     guess = F.when(F.col("mode") == "template", numbered).when(F.col("mode").isin("next", "links"), bumped)
     url = F.when(F.col("k") == 0, F.col("url")).otherwise(guess)
-    asked = rows.withColumn("url", url).filter("url is not null").dropDuplicates(["crawl_id", "url"])
-    return asked.select(
-        "crawl_id", "url", "retries", "content_types", "user_agent", "respect_robots", "rules", "mode", "names", "transforms", "required"
-    )
+    return rows.select("crawl_id", "mode", url.alias("url")).filter("url is not null").distinct()
 
 
 def _answers(asked: DataFrame, crawls: DataFrame, store: PageStore, sites: DataFrame | None) -> DataFrame:
@@ -328,7 +333,7 @@ def _facts(answers: DataFrame) -> DataFrame:
     )
 
 
-def _without_visited(block: DataFrame, visits: DataFrame) -> DataFrame:
+def without_visited(block: DataFrame, visits: DataFrame) -> DataFrame:
     """Links of the round without those that their crawl has visited; the links move, the visits do not."""
     links = block.select("crawl_id", "url", F.posexplode("links").alias("at", "link"))
     keys = links.select("crawl_id", F.col("link").alias("url")).distinct()
@@ -348,7 +353,7 @@ def _without_visited(block: DataFrame, visits: DataFrame) -> DataFrame:
     return joined.select("crawl_id", "url", "ok", "found", "kept", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
 
 
-def _follow(state: DataFrame, block: DataFrame, crawls: DataFrame, ahead: int) -> DataFrame:
+def follow(state: DataFrame, block: DataFrame, crawls: DataFrame, ahead: int) -> DataFrame:
     """``crawl_id, path, before, n, following, done, guess``: each crawl's way through the pages of the round.
 
     A group is what one crawl has asked for, ``ahead`` pages at most.
@@ -356,7 +361,8 @@ def _follow(state: DataFrame, block: DataFrame, crawls: DataFrame, ahead: int) -
     page = F.struct("url", "ok", (F.col("ok") & (F.col("found") > 0) & (F.col("kept") > 0)).alias("goes"), "links")
     pages = block.groupBy("crawl_id").agg(F.collect_list(page).alias("pages"))
     settings = crawls.select("crawl_id", "mode", "start_url", "url_template", "start_page", "max_pages", "stop_on_error")
-    joined = lookup(state.join(pages, "crawl_id"), settings, "crawl_id", how="inner", rows=0)
+    joined = lookup(state.join(pages, "crawl_id", "left"), settings, "crawl_id", how="inner", rows=0)
+    joined = joined.withColumn("pages", F.coalesce("pages", F.array().cast(pages.schema["pages"].dataType)))
 
     def step(walk: Column, _: Column) -> Column:
         here = F.get(F.filter("pages", lambda p: p["url"] == walk["url"]), F.lit(0))
@@ -383,7 +389,7 @@ def _follow(state: DataFrame, block: DataFrame, crawls: DataFrame, ahead: int) -
     walked = joined.withColumn("walk", F.aggregate(steps, start, step))
     used = F.size("walk.path")
     # As long as every page asked for is visited, twice as many are asked for.
-    guess = F.when(used >= F.size("pages"), F.col("guess") * 2).otherwise(F.lit(1))
+    guess = F.when((used > 0) & (used >= F.size("pages")), F.col("guess") * 2).otherwise(F.lit(1))
     guess = F.least(guess, F.lit(ahead))
     return walked.select(
         "crawl_id", "walk.path", F.col("n").alias("before"), "walk.n", F.col("walk.url").alias("following"), "walk.done",

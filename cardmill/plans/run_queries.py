@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators.run import Run, fixed_runs, run_crawls, run_output, run_records, spec_runs
 from ..operators.stats import crawl_stats
-from ..session import materialise
-from ..sources.pages import read_crawls
-from .catalogue import CARD_RULES, PAGER_RULES, SITE, brand_crawls, brand_no, catalogue_robots, catalogue_store, read
-from .catalogue_queries import CARDS, PAGES, WALK, readable, template_visits
+from ..session import materialise, new_dir
+from ..sources.pages import read_crawls, seed_problems
+from ..streaming.crawls import CrawlStream
+from ..streaming.records import page_stream
+from .catalogue import CARD_RULES, PAGER_RULES, SITE, brand_crawls, brand_no, catalogue_pages, catalogue_robots, catalogue_store, read
+from .catalogue_queries import CARDS, PAGES, STORED, WALK, readable, template_visits
 from .registry import query
 
 # Fields of a brand's spec, by its number modulo 3.
@@ -153,3 +155,41 @@ def run_pages_parsed(spark, sf_dir):
     visits = run.visits.groupBy("crawl_id").agg(F.count("*").alias("visits"))
     parsed = run.read.groupBy("crawl_id").agg(F.count_if("parsed").alias("parsed"))
     return visits.join(parsed, "crawl_id")
+
+
+@query(
+    f"""SELECT brand AS crawl_id, count(*) AS pages, sum(kept)::BIGINT AS "rows", count(error) AS errors
+    FROM ({template_visits(False, STORED)}) GROUP BY brand"""
+)
+def stream_crawls(spark, sf_dir):
+    """Template walks over pages that come in three files; each goes on as far as its pages are there."""
+    pages = catalogue_pages(spark, sf_dir, faults=True)
+    folder = new_dir(spark, "page-files")
+    for k in range(3):
+        part = pages.filter(F.pmod(F.xxhash64("url"), F.lit(3)) == k).select("page_id", "url", "html")
+        part.coalesce(1).write.parquet(f"{folder}/{k}")
+    crawls = read_crawls(brand_crawls(spark, sf_dir, "template", stop_on_error=False))
+    stream = CrawlStream(spark, crawls, CARD_RULES, PAGER_RULES, new_dir(spark, "stream"))
+    batches = []
+    source = page_stream(spark, f"{folder}/*", files_per_batch=1)
+    stream.start(source, new_dir(spark, "checkpoint"), on_batch=batches.append).awaitTermination()
+    visited = stream.finished(len(set(batches)))
+    return visited.groupBy("crawl_id").agg(
+        F.count("*").alias("pages"), F.sum("kept").alias("rows"), F.count("error").alias("errors")
+    )
+
+
+@query(
+    """SELECT c_custkey AS crawl_id, CASE WHEN c_custkey % 10 < 3 THEN 'crawl_id is repeated' ELSE 'walked' END AS problem, count(*) AS seeds
+    FROM (SELECT c_custkey FROM customer UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 10 < 3) GROUP BY ALL
+    UNION ALL SELECT NULL, 'crawl_id is missing', count(*) FROM customer WHERE c_custkey % 10 = 9"""
+)
+def repeated_seeds(spark, sf_dir):
+    """Seeds of customers, three tenths of them twice, and as many without an id as there are customers of a tenth."""
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("crawl_id"))
+    twice, none = customers.filter("crawl_id % 10 < 3"), customers.filter("crawl_id % 10 = 9").select(F.lit(None).cast("long").alias("crawl_id"))
+    address = F.concat(F.lit("https://site"), F.coalesce(F.col("crawl_id").cast("string"), F.lit("")), F.lit(".test/"))
+    seeds = customers.unionByName(twice).unionByName(none).withColumn("start_url", address)
+    good = read_crawls(seeds).select("crawl_id", F.lit("walked").alias("problem"))
+    both = seed_problems(seeds).select("crawl_id", "problem").unionByName(good)
+    return both.groupBy("crawl_id", "problem").agg(F.count("*").alias("seeds"))

@@ -342,3 +342,36 @@ def test_placed_edges_are_not_moved_again(spark, monkeypatch):
         edges.unpersist()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_template_walks_ask_for_twice_their_visits_at_most(spark, monkeypatch):
+    """Blocks of numbers double, so a limit of a million numbers costs nothing."""
+    monkeypatch.setattr(walks, "FIRST_BLOCK", 2)
+    site = {f"{BASE}/t/{k}": stock(1) for k in range(1, 12)}
+    asked = []
+    block = walks._block
+    monkeypatch.setattr(walks, "_block", lambda crawls, facts, low, size: asked.append((low, size)) or block(crawls, facts, low, size))
+    seed = {"mode": "template", "url_template": f"{BASE}/t/{{page}}", "start_url": f"{BASE}/t/1", "max_pages": 1_000_000}
+    visited = crawl(seeds(spark, **seed), table(spark, site))
+    assert urls(visited) == [f"/t/{k}" for k in range(1, 13)]
+    assert asked == [(1, 2), (3, 4), (7, 8)]
+
+
+def test_only_reachable_edges_are_composed(spark):
+    """Sites that no walk comes to do not count, ways from site to site do."""
+    other = [(f"https://o{k}.test/1", f"https://o{k}.test/2") for k in range(50)]
+    own = [(f"{BASE}/1", f"{BASE}/2"), (f"{BASE}/2", "https://far.test/1"), ("https://far.test/1", "https://farther.test/1"), ("https://farther.test/1", f"{BASE}/3")]
+    edges = spark.createDataFrame(other + own, "url string, far string")
+    assert sorted(map(tuple, walks.reachable(edges, seeds(spark, start_url=f"{BASE}/1")).collect())) == sorted(own)
+    assert walks.reachable(edges, seeds(spark, start_url=f"{BASE}/1"), rounds=1).count() == len(other) + len(own)
+
+
+def test_known_rows_in_most_crawls(spark, monkeypatch):
+    """A row that most crawls have is looked up by broadcast; counts stay the same."""
+    monkeypatch.setattr(joins, "SMALL_ROWS", 0)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    rows = [(k, "everywhere", "") for k in range(300) for _ in range(2)] + [(k, f"own {k}", "") for k in range(0, 300, 3)]
+    df = spark.createDataFrame(rows, "crawl_id long, a string, b string")
+    known = spark.createDataFrame([("everywhere", ""), ("everywhere", ""), ("own 6", "")], "a string, b string")
+    found = {r["crawl_id"]: r["duplicates"] for r in duplicate_counts(df, ["a", "b"], ["crawl_id"], known).collect()}
+    assert found == {k: 3 if k == 6 else 2 for k in range(300)}

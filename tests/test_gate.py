@@ -3,6 +3,7 @@ from urllib.robotparser import RobotFileParser
 
 from pyspark.sql import functions as F
 
+from cardmill.operators import robots
 from cardmill.operators.gate import classify, fetched_pages, resolve_attempts
 from cardmill.operators.robots import (
     USER_AGENT,
@@ -168,3 +169,27 @@ def test_pages_are_gated_alike_with_small_and_large_policies(spark, monkeypatch)
     want = {r.page_id for r in pages.filter(
         F.expr("split(url, '/')[3] <> cast(regexp_extract(url, 's([0-9]+)', 1) % 3 as int)")).collect()}
     assert small == large == want
+
+
+def test_long_lists_of_rules_are_met_by_prefix(spark, monkeypatch):
+    """The same verdicts as by looking through the rules, for short, long and repeated ones."""
+    chance = random.Random(3)
+    bodies, urls = [], []
+    for site in range(4):
+        paths = ["".join(chance.choices("ab/", k=chance.randrange(1, 6))) for _ in range(120)]
+        lines = [f"{chance.choice(['Allow', 'Disallow'])}: /{path}" for path in paths]
+        bodies.append((f"https://s{site}.test", 200 if site else 403, "User-agent: *\n" + "\n".join(lines[: 120 if site % 2 else 5])))
+        urls += [(f"https://s{site}.test/" + "".join(chance.choices("ab/", k=chance.randrange(8))),) for _ in range(200)]
+    urls += [(None,), ("https://elsewhere.test/a",), ("https://s1.test",), ("https://s1.test/",)]
+    policy = robots.robots_policy(spark.createDataFrame(bodies, "origin string, robots_status int, body string"))
+    table = spark.createDataFrame(urls, "url string")
+
+    def verdicts():
+        return sorted(((r["url"] or "", r["allowed"]) for r in robots.robots_filter(table, policy).collect()), key=str)
+
+    long = verdicts()
+    assert len(long) == len(urls) and len({allowed for _, allowed in long}) == 2
+    pages = table.filter("url is not null").selectExpr("url", "'x' as html").distinct()
+    kept = robots.allowed_pages(pages, policy).count()
+    monkeypatch.setattr(robots, "SCANNED", 10**6)
+    assert verdicts() == long and robots.allowed_pages(pages, policy).count() == kept
