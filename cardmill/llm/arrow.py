@@ -10,7 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a batch between Spark and Python, at most. Texts are fat rows, and a task holds some batches at a time.
+BATCH_ROWS = 1000
+ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for the operators; their session gets batches of ``BATCH_ROWS`` rows, unless it has smaller ones."""
+    if not 0 < int(spark.conf.get(ROWS_SETTING, "0")) <= BATCH_ROWS:
+        spark.conf.set(ROWS_SETTING, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

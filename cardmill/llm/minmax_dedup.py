@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import drop_keys, fits_broadcast, keep_keys
 from ..session import materialise
-from .arrow import lists, raw_texts, slices
+from .arrow import lists, raw_texts, text_slices
 from .components import connected_components
 from .shingles import mixed, shingle_hashes, shingle_sets
 
@@ -44,7 +44,8 @@ PAIRS_EACH = 8
 ROUNDS = 2
 #: Streams that the partners of one class are dealt out to.
 CHUNKS = 1024
-BATCH = 512
+#: Bytes of texts whose shingles are held at once.
+SLICE = 1 << 20
 
 _CHANCE = np.random.Generator(np.random.PCG64(7))
 _TURNS = _CHANCE.integers(0, 1 << 31, BANDS * ROWS // 2, np.uint32) << np.uint32(1) | np.uint32(1)
@@ -73,7 +74,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, BATCH):
+    for batch in text_slices(batches, 1, SLICE):
         hashes, offsets = shingle_hashes(raw_texts(batch.column(1)))
         sets = [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         sums = [[int(mixed(own, salt).sum(dtype=np.uint64).astype(np.int64)) for own in sets] for salt in (50, 51)]
@@ -118,7 +119,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[np.ndarray] = []
         partners_before = True
-        for batch in slices(batches, BATCH):
+        for batch in text_slices(batches, 3, SLICE):
             found = []
             sets = shingle_sets(raw_texts(batch.column(3)))
             hubs, ids, partners = (batch.column(k).to_pylist() for k in range(3))
@@ -141,7 +142,7 @@ def _rare_pairs(live: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     members = materialise(live.select("id", "component").distinct(), "open")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, BATCH):
+        for batch in text_slices(batches, 2, SLICE):
             sets = shingle_sets(raw_texts(batch.column(2)))
             sizes = np.array([len(own) for own in sets], np.int64)
             at = np.repeat(np.arange(len(sets)), sizes)

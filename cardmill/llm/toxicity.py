@@ -41,7 +41,9 @@ STEMS = (4, 5, 6)
 FEWEST, EVIDENCE, ODDS = 3, 24.0, 2.0
 #: Words on either side in which a second person counts as near.
 NEAR = 3
-KNOWN = 300_000
+KNOWN = 200_000
+#: Bytes of texts that are worked on at once.
+SLICE = 1 << 19
 #: Share of the uncalibrated probability in a score: it orders documents of equal calibrated score.
 TIE = 0.001
 VALUES = "__values"
@@ -143,7 +145,7 @@ class Marks(dict):
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A digest of the whole set of shingles: equal for copies, and for nothing else that will ever be met."""
-    for batch in text_slices(batches, 3):
+    for batch in text_slices(batches, 3, SLICE):
         sets = shingle_sets(raw_texts(batch.column(3)))
         digest = pa.array([hashlib.sha256(own.tobytes()).hexdigest() for own in sets], pa.string())
         yield pa.RecordBatch.from_arrays([*batch.columns, digest], ["marked", "toxic", "fold", "text", "sketch"])
@@ -158,7 +160,7 @@ def with_features(rows: DataFrame, lexicon: dict[str, float], text: str, keep: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, at = Marks(lexicon), names.index(text)
-        for batch in text_slices(batches, at):
+        for batch in text_slices(batches, at, SLICE):
             values = [marks.features(value) for value in texts(batch.column(at))]
             flat = pa.array([value for row in values for value in row], pa.float64())
             ends = pa.array(np.arange(len(values) + 1) * len(FEATURES), pa.int32())
@@ -176,7 +178,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = (Counter(), Counter())
-        for batch in text_slices(batches, 1):
+        for batch in text_slices(batches, 1, SLICE):
             for toxic, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 sides[toxic].update({entry for word in set(plain_words(text)) for entry in entries(word)})
         found = list(sides[0].keys() | sides[1].keys())
