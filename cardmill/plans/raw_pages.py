@@ -222,6 +222,22 @@ def stream_records(spark, sf_dir):
     return read_output(spark, f"{target}/csv", LINK_RULES.names)
 
 
+@query(
+    f"""SELECT DISTINCT text, link FROM ({LINKS})
+    EXCEPT SELECT text, link FROM ({LINKS}) WHERE page_id % 3 = 0"""
+)
+def stream_append(spark, sf_dir):
+    """The page file as a stream into a CSV folder that has a third of the pages' links already: what it adds."""
+    target, names = new_dir(spark, "stream-append"), LINK_RULES.names
+    old = records(parse_pages(raw_pages(spark, sf_dir).filter("page_id % 3 = 0"), LINK_RULES), LINK_RULES)
+    write_records(old, f"{target}/old", names)
+    known = read_output(spark, f"{target}/old", names)
+    pages = streams.page_stream(spark, sf_dir, "pages.parquet")
+    rows = streams.unwritten_records(streams.stream_records(pages, LINK_RULES), known, names)
+    streams.write_stream(rows, f"{target}/new", f"{target}/checkpoint").awaitTermination()
+    return read_output(spark, f"{target}/new", names).select("text", "link")
+
+
 @query(f"SELECT page_id, count(text) AS kept FROM pages LEFT JOIN ({LINKS}) USING (page_id) GROUP BY page_id")
 def stream_observer(spark, sf_dir):
     """Each batch's pages are handed over as they are processed."""
