@@ -22,7 +22,6 @@ a text meet the count table in a join, so the vocabulary may be of any size.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,8 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .arrow import flat_bytes, slices, text_slices
+from .arrow import flat_bytes, raw_texts, slices, text_slices
 from .chunks import ASCII_WHITE, Chunks, Growing
+from .lookup import Lookup
+from .shingles import word_hashes
 
 FOLDS = 10
 #: Frequent words clustered by themselves, and endings (bytes) of the others.
@@ -51,13 +52,15 @@ HEAD = 100_000
 ADDED = 0.1
 #: Weight of the class bigrams against the plain share of a word, and pseudo-counts of a transition.
 MIXED, TRANSITION = 0.95, 5.0
-KNOWN = 300_000
+#: Bytes of texts that are worked on at once.
+SLICE = 1 << 20
 #: Type of the end of a text, and of words with a rare ending.
 END, OTHER = 0, 1
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), signed=True)
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """Hashes of words of 64 bits, the same as texts are read by."""
+    return word_hashes(b"\n".join(words))[0].view(np.int64) if words else np.zeros(0, np.int64)
 
 
 class Words:
@@ -72,29 +75,64 @@ class Words:
     def get(self, word: bytes) -> int | None:
         own = self.head.get(word)
         if own is None and len(self.hashes):
-            mark = word_hash(word)
+            mark = hashes_of([word])[0]
             at = int(self.hashes.searchsorted(mark))
             if at < len(self.hashes) and self.hashes[at] == mark:
                 own = self.first + at
         return own
 
 
-class Types(dict):
-    """Type of each word (bytes), remembered for a while."""
+class Line:
+    """The words of some texts, one after the other: hashes, where each lies in ``data``, and the offsets of the texts."""
 
-    def __init__(self, words: dict[bytes, int] | Words, endings: dict[bytes, int]):
-        super().__init__()
-        self.words, self.endings = words, endings
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KNOWN:
-            self.clear()
-        own = self.words.get(word)
-        self[word] = own = self.endings.get(word[-ENDING:], OTHER) if own is None else own
-        return own
+    def __init__(self, texts: list[bytes]):
+        self.data = np.frombuffer(b"\n".join(texts), np.uint8)
+        hashes, self.starts = word_hashes(self.data.tobytes())
+        self.hashes = hashes.view(np.int64)
+        inside = ~ASCII_WHITE[self.data]
+        self.ends = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
+        self.offsets = np.concatenate([[0], np.searchsorted(self.starts, np.cumsum([len(text) + 1 for text in texts]))])
+
+    def endings(self, at: np.ndarray) -> np.ndarray:
+        """A number for the last bytes of some of the words, A-Z as a-z."""
+        starts, ends = self.starts[at], self.ends[at]
+        codes = np.minimum(ends - starts, ENDING) << (8 * ENDING)
+        for k in range(ENDING):
+            place = ends - 1 - k
+            byte = self.data[np.maximum(place, 0)].astype(np.int64)
+            byte += ((byte >= 65) & (byte <= 90)) * 32
+            codes += np.where(place >= starts, byte, 0) << (8 * k)
+        return codes
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def word(self, at: int) -> bytes:
+        return self.data[self.starts[at] : self.ends[at]].tobytes().lower()
+
+
+class Types:
+    """The type of every word of a line: its own, or that of its ending."""
+
+    def __init__(self, words: dict[bytes, int] | Words, endings: dict[bytes, int]):
+        head = words if isinstance(words, dict) else words.head
+        marks, kinds = hashes_of(list(head)), np.array(list(head.values()), np.int64)
+        if not isinstance(words, dict):
+            marks = np.concatenate([marks, words.hashes])
+            kinds = np.concatenate([kinds, words.first + np.arange(len(words.hashes))])
+        self.lookup, self.kinds = Lookup(marks), kinds
+        line = Line(list(endings))
+        codes, order = np.unique(line.endings(np.arange(len(endings))), return_index=True)
+        self.codes, self.ending_kinds = codes, np.array(list(endings.values()), np.int64)[order]
+
+    def of(self, line: Line) -> np.ndarray:
+        found = self.lookup.find(line.hashes)
+        kinds = self.kinds[found] if len(self.kinds) else np.zeros(len(found), np.int64)
+        other = np.flatnonzero(found < 0)
+        kinds[other] = OTHER
+        if len(other) and len(self.codes):
+            codes = line.endings(other)
+            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            same = self.codes[at] == codes
+            kinds[other[same]] = self.ending_kinds[at[same]]
+        return kinds
 
 
 @dataclass
@@ -148,11 +186,6 @@ class Numbered(Chunks):
         return self.encode_all(lower, edges)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z as a-z: just what bytes split and lower by."""
-    return text.lower().split()
-
-
 def held_out(doc_id) -> F.Column:
     text = F.coalesce(doc_id.cast("string"), F.lit(""))
     return F.pmod(F.crc32(text.cast("binary")), F.lit(FOLDS)) == 0
@@ -208,11 +241,11 @@ def _types(counts: DataFrame) -> tuple[dict[bytes, int], dict[bytes, int]]:
     return words, {bytes(row["ending"]): place + 2 + WORDS for place, row in enumerate(common)}
 
 
-def _line(column: pa.Array, table: Numbered) -> np.ndarray:
+def _line(column: pa.Array, types: Types) -> np.ndarray:
     """Types of all texts in a row, with an end before, between and after them."""
-    found, offsets = table.of(column)
-    line = np.full(len(found) + len(offsets), END)
-    line[np.arange(len(found)) + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) + 1] = found
+    own = Line(raw_texts(column))
+    line = np.full(len(own.hashes) + len(own.offsets), END)
+    line[np.arange(len(own.hashes)) + np.repeat(np.arange(len(own.offsets) - 1), np.diff(own.offsets)) + 1] = types.of(own)
     return line
 
 
@@ -223,7 +256,7 @@ def _often(counts: DataFrame, head: dict[bytes, int], endings: dict[bytes, int])
         for batch in batches:
             own = [word for word in batch.column(0).to_pylist() if word not in head]
             kinds = [endings.get(word[-ENDING:], OTHER) for word in own]
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(word_hash, own)), pa.int64()), pa.array(kinds, pa.int32())], ["hash", "type"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes_of(own)), pa.array(kinds, pa.int32())], ["hash", "type"])
 
     rows = counts.filter(F.col("n") >= OFTEN).select("word").mapInArrow(run, "hash long, type int").toArrow()
     hashes, first = np.unique(np.array(rows.column("hash"), np.int64), return_index=True)
@@ -239,7 +272,7 @@ def _neighbours(training: DataFrame, words: Words, endings: dict[bytes, int], cl
     table = size * size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, total = Numbered(Types(words, endings).of), np.zeros(table, np.int64)
+        types, total = Types(words, endings), np.zeros(table, np.int64)
         held: list[np.ndarray] = []
 
         def flushed() -> pa.RecordBatch:
@@ -247,7 +280,7 @@ def _neighbours(training: DataFrame, words: Words, endings: dict[bytes, int], cl
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys // width), pa.array(keys % width), pa.array(n)], ["type", "slot", "n"])
 
-        for batch in text_slices(batches, 0):
+        for batch in text_slices(batches, 0, SLICE):
             line = _line(batch.column(0), types)
             left, right = line[:-1], line[1:]
             before, after = classes[left].astype(np.int64), classes[right].astype(np.int64)
@@ -311,8 +344,8 @@ def _bigrams(training: DataFrame, words: dict[bytes, int], endings: dict[bytes,
     """Counts of all neighbouring types, the end standing before a text as well."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, total = Numbered(Types(words, endings).of), np.zeros(TYPES * TYPES, np.int64)
-        for batch in text_slices(batches, 0):
+        types, total = Types(words, endings), np.zeros(TYPES * TYPES, np.int64)
+        for batch in text_slices(batches, 0, SLICE):
             line = _line(batch.column(0), types)
             total += np.bincount(line[:-1] * TYPES + line[1:], minlength=TYPES * TYPES)
         at = np.flatnonzero(total)
@@ -399,7 +432,7 @@ def fit_classes(training: DataFrame, counts: DataFrame, texts: int) -> ClassMode
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types, total = Types(words, endings), np.zeros((2, CLASSES), np.int64)
         for batch in batches:
-            own = classes[types.of(batch.column(0).to_pylist())]
+            own = classes[types.of(Line(batch.column(0).to_pylist()))]
             total[0] += np.bincount(own, weights=np.array(batch.column(1)), minlength=CLASSES).astype(np.int64)
             total[1] += np.bincount(own, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total[0]), pa.array(total[1])], ["class", "n", "kinds"])
@@ -437,39 +470,30 @@ def score_texts(docs: DataFrame) -> DataFrame:
     counts = word_counts(training)
     model = fit_classes(training, counts, training.count())
     top = counts.orderBy(F.col("n").desc(), "word").limit(HEAD).toArrow()
-    head = dict(zip(top.column("word").to_pylist(), np.log10(np.array(top.column("n"), np.float64) + ADDED).tolist(), strict=True))
+    head_marks = hashes_of(top.column("word").to_pylist())
+    head_logs = np.log10(np.array(top.column("n"), np.float64) + ADDED)
     end = float(np.log10(model.ends + ADDED))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = Types(model.words, model.endings)
-        words: list[bytes] = []
-        classes, logs = Growing(np.int64), Growing(np.float64)
-
-        def forget() -> None:
-            words.clear()
-            classes.size = logs.size = 0
-
-        def number(new: list[bytes]) -> np.ndarray:
-            words.extend(new)
-            classes.extend(model.classes[types.of(new)])
-            logs.extend(np.array([head.get(word, np.nan) for word in new]))
-            return np.arange(len(words) - len(new), len(words))
-
-        table = Numbered(number, forget)
-        for batch in text_slices(batches, 2):
-            found, offsets = table.of(batch.column(2))
-            count = len(offsets) - 1
+        types, often_words = Types(model.words, model.endings), Lookup(head_marks)
+        for batch in text_slices(batches, 2, SLICE):
+            own = Line(raw_texts(batch.column(2)))
+            offsets, count = own.offsets, len(own.offsets) - 1
             document = np.repeat(np.arange(count), np.diff(offsets))
-            line = np.zeros(len(found) + len(offsets), np.int64)
-            line[np.arange(len(found)) + document + 1] = classes.data[found]
+            line = np.zeros(len(own.hashes) + len(offsets), np.int64)
+            line[np.arange(len(own.hashes)) + document + 1] = model.classes[types.of(own)]
             # A text has a step to each of its words and one to its end.
             steps = np.add.reduceat(model.step[line[:-1], line[1:]], offsets[:-1] + np.arange(count))
-            own = logs.data[found]
-            other = np.isnan(own)
-            sums = np.bincount(document[~other], weights=own[~other], minlength=count) + end
+            found = often_words.find(own.hashes)
+            other = found < 0
+            sums = np.bincount(document[~other], weights=head_logs[found[~other]], minlength=count) + end
             known = np.bincount(document[~other], minlength=count) + bool(model.ends)
-            rare, often = np.unique(document[other] << 32 | found[other].astype(np.int64), return_counts=True)
+            # Each other word once for each text, with its number there.
+            at = np.flatnonzero(other)
+            _, first, kind = np.unique(own.hashes[at], return_index=True, return_inverse=True)
+            rare, often = np.unique(document[at] << 32 | kind, return_counts=True)
             ends = pa.array(np.searchsorted(rare >> 32, np.arange(count + 1)), pa.int32())
+            words = [own.word(k) for k in at[first].tolist()]
             unknown = pa.array([words[k] for k in (rare & 0xFFFFFFFF).tolist()], pa.binary())
             columns = [
                 *batch.columns[:2], pa.array(np.diff(offsets) + 1), pa.array(known.astype(np.int64)), pa.array(steps), pa.array(sums),

@@ -71,7 +71,7 @@ def test_probabilities_add_up(spark, monkeypatch):
     types = brown_lm.Types(model.words, model.endings)
     n = {bytes(r["word"]): r["n"] for r in counts.collect()}
     for before in range(5):
-        total = sum(10 ** model.step[before, model.classes[types[w]]] * (c + 0.1) for w, c in n.items())
+        total = sum(10 ** model.step[before, model.classes[types.of(brown_lm.Line([w]))[0]]] * (c + 0.1) for w, c in n.items())
         total += 10 ** model.step[before, 0] * (model.ends + 0.1)
         total += sum(10 ** model.step[before, k] * 0.1 for k in range(1, 5))
         assert math.isclose(total, 1, rel_tol=1e-2)
@@ -112,9 +112,9 @@ def test_clustered_words_follow_the_vocabulary(spark, monkeypatch):
     model = fit_classes(training, counts, len(texts))
     often = {bytes(r["word"]) for r in counts.collect() if r["n"] >= 10}
     types = brown_lm.Types(model.words, model.endings)
-    assert len(often) == 80 and len(model.words) == len(often) and len({types[w] for w in often}) == len(often)
-    assert types[b"seldomsame"] < brown_lm.TYPES
-    found = [{int(model.classes[types[w.encode()]]) for w in own} for own in names]
+    assert len(often) == 80 and len(model.words) == len(often) and len(set(types.of(brown_lm.Line(sorted(often))).tolist())) == len(often)
+    assert types.of(brown_lm.Line([b"seldomsame"]))[0] < brown_lm.TYPES
+    found = [{int(model.classes[types.of(brown_lm.Line([w.encode()]))[0]]) for w in own} for own in names]
     assert not found[0] & found[1]
 
 
