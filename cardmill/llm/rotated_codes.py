@@ -5,18 +5,21 @@ its coordinates, packed into 64-bit words, with one correction scalar: the produ
 the turned vector with the direction of its own code. Against a query, turned alike
 and rounded at random to four-bit numbers, the product of code and query is a handful
 of bit counts; divided by the scalar it estimates the cosine without bias, with an error
-whose size is known. A task scans a block of codes for a block of queries, twice: first
-it passes on the best lower bounds, of which the k-th best over all blocks is a query's
-floor, then the vectors whose upper bound reaches that floor. These are reranked by
-exact cosines.
+whose size is known.
 
-Codes are an eighth of the vectors at the default length, so it is codes that meet
-every block of queries, while vectors move only to be reranked.
+Codes and vectors stay where they were written. Queries are cut into chunks of bounded
+bytes, and a chunk goes to every task of a scan. Lower bounds on one code in
+``FLOOR_SHARE`` give a query its floor first: the k-th best of any codes is one. Then all
+codes are scanned: a vector whose upper bound reaches the floor gets its exact cosine in
+place, and a task raises the floor by the k best that it has found. What is shuffled is at
+most k rows of a query and task, of vectors that reach the floor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,15 @@ BITS_EACH = 8
 #: Width of the error bounds in standard deviations.
 WIDTH = 3.0
 PLANES = 4
-QUERIES = 512
+#: Bytes of the queries that go to the tasks at once.
+QUERY_BYTES = 8 << 20
+#: Codes scanned side by side, and the bytes of their vectors, at most.
 BLOCK = 8192
+BLOCK_BYTES = 16 << 20
+#: One code in this many gives the first floors.
+FLOOR_SHARE = 16
+#: Bounds and exact cosines of one pair may differ by rounding.
+SLACK = 1e-9
 SEED = 3
 
 
@@ -52,30 +62,48 @@ def coded(rows: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(signs, axis=1, bitorder="little").view("<u8"), scalar
 
 
+@dataclass
+class Rounded:
+    """A turned unit query in four-bit numbers: bit planes, and how to read them."""
+
+    planes: np.ndarray
+    low: float
+    step: float
+    total: int
+
+
+def rounded(turned: np.ndarray, chance: np.random.Generator) -> Rounded:
+    """The query rounded at random to one of its neighbours, so that sums have no bias."""
+    levels = (1 << PLANES) - 1
+    low = turned.min()
+    step = max((turned.max() - low) / levels, 1e-300)
+    found = np.clip(np.floor((turned - low) / step + chance.random(len(turned))), 0, levels).astype(np.uint8)
+    planes = [np.packbits(found >> plane & 1, bitorder="little").view("<u8") for plane in range(PLANES)]
+    return Rounded(np.array(planes), float(low), float(step), int(found.sum()))
+
+
 class Scan:
     """Estimates of many codes for one query after the other."""
 
     def __init__(self, words: np.ndarray, scalars: np.ndarray):
-        self.words, self.scalars = words, scalars
-        self.bits = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
-        size = words.shape[1] * 64
+        # One row for each word of a code, so that bit counts run along the codes.
+        self.words, self.scalars = np.ascontiguousarray(words.T), scalars
+        self.size = words.shape[1] * 64
+        self.bits = np.bitwise_count(self.words).sum(axis=0, dtype=np.int64)
         # Spread of the part of a query that the code says nothing of.
-        self.error = np.sqrt(np.maximum(1 - scalars**2, 0) / scalars**2 / (size - 1))
-
-    def cosines(self, turned: np.ndarray, chance: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated cosines with the turned unit query, and the width of their bounds."""
-        size, levels = len(turned), (1 << PLANES) - 1
-        low = turned.min()
-        step = max((turned.max() - low) / levels, 1e-300)
-        rounded = np.clip(np.floor((turned - low) / step + chance.random(size)), 0, levels).astype(np.uint8)
-        product = np.zeros(len(self.words), np.int64)
+        self.error = WIDTH * np.sqrt(np.maximum(1 - scalars**2, 0) / scalars**2 / (self.size - 1))
+        self.grain = WIDTH / np.sqrt(self.size) / scalars
+        self.scale = 1 / np.sqrt(self.size) / scalars
+
+    def cosines(self, query: Rounded) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated cosines with the query, and the width of their bounds."""
+        product = np.zeros(self.words.shape[1], np.int64)
         for plane in range(PLANES):
-            mask = np.packbits(rounded >> plane & 1, bitorder="little").view("<u8")
-            product += np.bitwise_count(self.words & mask).sum(axis=1, dtype=np.int64) << plane
+            counts = np.bitwise_count(self.words & query.planes[plane][:, None]).sum(axis=0, dtype=np.uint32)
+            product += counts.astype(np.int64) << plane
         # Sum of +-1 times the rounded query, from the sums over set bits.
-        signed = 2 * (step * product + low * self.bits) - (step * int(rounded.sum()) + low * size)
-        estimate = signed / np.sqrt(size) / self.scalars
-        return estimate, WIDTH * (self.error + step / np.sqrt(4 * size) * 2 / self.scalars)
+        signed = 2 * (query.step * product + query.low * self.bits) - (query.step * query.total + query.low * self.size)
+        return signed * self.scale, self.error + query.step * self.grain
 
 
 def build_index(
@@ -120,6 +148,7 @@ def nearest(
     are no candidates. Fewer candidates give fewer rows, none gives none. A key that
     repeats is one row, the first of its vectors in order. Other columns are ignored.
     """
+    spark = vectors.sparkSession
     index = build_index(vectors, key, vector, seed, bits_each)
     index = index.withColumn("low", F.xxhash64("vector")).withColumn("high", F.xxhash64(F.lit(1), "vector"))
     index = materialise(index, "codes")
@@ -133,94 +162,161 @@ def nearest(
     asked = queries.select(queries[key].cast("long").alias("query_id"), queries[vector].alias("asked"))
     asked = asked.filter(usable(F.col("asked")) & F.col("query_id").isNotNull())
     asked = asked.groupBy("query_id").agg(F.min(F.transform("asked", lambda x: x.cast("double") + 0.0)).alias("asked"))
-    asked = materialise(asked, "queries")
-    bounds = _scanned(index, asked.withColumn("floor", F.lit(None).cast("double")), k, seed, bits_each)
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc()))
-    floors = bounds.select("query_id", F.col("bound").alias("floor"), best.alias("place")).filter(F.col("place") == k)
-    floors = materialise(floors.select("query_id", "floor"), "floors")
-    # Fewer than k candidates leave a query without a floor: all of them go on.
-    lowest = F.coalesce("floor", F.lit(float("-inf")))
-    asked = materialise(asked.join(floors, "query_id", "left").withColumn("floor", lowest), "floored")
-    left = materialise(_scanned(index, asked, k, seed, bits_each), "candidates")
-    left = left.select("query_id", "key").join(index.select("key", "vector"), "key").join(asked.drop("floor"), "query_id")
-    ranked = _scored(left)
+    chunks = _chunks(materialise(asked, "queries"), seed, bits_each)
+    # Codes of the first floors in files of their own, so that few tasks read them.
+    some = index.filter(F.pmod(F.xxhash64("key"), F.lit(FLOOR_SHARE)) == 0).select("key", "length", "words", "scalar")
+    some = materialise(some, "some-codes")
+    found = []
+    for chunk in chunks:
+        held = _held(chunk)
+        if not held:
+            continue
+        bounds = some.mapInArrow(_floors(held, k), "query_id long, bound double")
+        floors = materialise(bounds.groupBy("query_id").agg(F.max("bound").alias("floor")), "floors")
+        for floor in floors.toLocalIterator():
+            held[floor["query_id"]].floor = floor["floor"]
+        exact = index.select("key", "vector", "length", "words", "scalar")
+        found.append(materialise(exact.mapInArrow(_reranked(held, k), "query_id long, vec_id long, score double"), "found"))
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return ranked.withColumn("rank", order).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", order)
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+@dataclass
+class Asked:
+    """A query as the tasks get it: its rounded form, its vector, and the floor it has."""
 
+    rounded: Rounded
+    vector: np.ndarray
+    norm: float
+    floor: float = -np.inf
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _scaled(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose largest component is 1, and their norms, so that no component overflows or vanishes."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows, np.sqrt((rows * rows).sum(axis=1))
+
+
+def _chunks(asked: DataFrame, seed: int, bits_each: int) -> Iterator[DataFrame]:
+    """Rounded queries in tables whose vectors and bit planes take about ``QUERY_BYTES``."""
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in by_length(batch, "vector"):
-                one, two = matrix(part.column("asked")), matrix(part.column("vector"))
-                # Scaled first, so that very large or small components neither overflow nor vanish.
-                one, two = (rows / np.abs(rows).max(axis=1, keepdims=True) for rows in (one, two))
-                norms = np.sqrt((one * one).sum(axis=1)) * np.sqrt((two * two).sum(axis=1))
-                found = pa.array((one * two).sum(axis=1) / norms)
-                yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("key"), found], ["query_id", "vec_id", "score"])
+            for part in by_length(batch, "asked"):
+                rows = matrix(part.column("asked"))
+                size = rows.shape[1]
+                if size not in turns:
+                    turns[size] = rotation(size, seed, bits_each)
+                keys = part.column("query_id").to_pylist()
+                # The rounding is random, yet the same on every run.
+                made = [
+                    rounded(row, np.random.Generator(np.random.PCG64([seed, key % (1 << 63)])))
+                    for key, row in zip(keys, units(rows) @ turns[size], strict=True)
+                ]
+                columns = [
+                    part.column("query_id"), part.column("asked"),
+                    pa.array([query.planes.tobytes() for query in made], pa.binary()),
+                    pa.array([query.low for query in made]), pa.array([query.step for query in made]),
+                    pa.array([query.total for query in made], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "asked", "planes", "low", "step", "total"])
 
-    return pairs.select("query_id", "key", "vector", "asked").mapInArrow(score, "query_id long, vec_id long, score double")
+    kinds = "query_id long, asked array<double>, planes binary, low double, step double, total long"
+    turned = materialise(asked.mapInArrow(turn, kinds), "turned")
+    size = turned.agg(F.sum(F.size("asked") * 8 + F.octet_length("planes"))).first()[0] or 0
+    n = -(-size // QUERY_BYTES)
+    if n > 1:
+        # In the order of chunks, so that reading one skips the row groups of others.
+        turned = turned.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(n)))
+        turned = materialise(turned.repartitionByRange("chunk").sortWithinPartitions("chunk"), "chunks")
+    return (turned.filter(F.col("chunk") == i).drop("chunk") if n > 1 else turned for i in range(n))
 
 
-def _scanned(index: DataFrame, asked: DataFrame, k: int, seed: int, bits_each: int) -> DataFrame:
-    """``query_id, key, bound``, block by block.
+def _held(chunk: DataFrame) -> dict[int, Asked]:
+    """The queries of one chunk, whose bytes are bounded, on their way to the tasks."""
+    held = {}
+    for row in chunk.toLocalIterator():
+        scaled, norms = _scaled(np.array([row["asked"]]))
+        planes = np.frombuffer(bytes(row["planes"]), "<u8").reshape(PLANES, -1)
+        held[row["query_id"]] = Asked(Rounded(planes, row["low"], row["step"], row["total"]), scaled[0], norms[0])
+    return held
 
-    For a query without a floor its ``k`` best lower bounds in each block, else all whose
-    upper bound reaches the floor.
-    """
-    spark = index.sparkSession
-    counts = {row["length"]: row["n"] for row in index.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    sizes = {row["length"]: row["n"] for row in asked.groupBy(F.size("asked").alias("length")).agg(F.count("*").alias("n")).collect()}
-    blocks = [
-        (length, -(-counts[length] // BLOCK), -(-n // QUERIES)) for length, n in sizes.items() if length in counts
-    ]
-    plan = spark.createDataFrame(blocks, "length int, row_blocks long, query_blocks long")
-    if not blocks:
-        return spark.createDataFrame([], "query_id long, key long, bound double")
-    plan = F.broadcast(plan)
-    rows = index.select("key", "length", "words", "scalar").join(plan, "length")
-    rows = rows.select(
-        "length", F.pmod(F.xxhash64("key"), "row_blocks").alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)).alias("query_block"),
-        F.lit(False).alias("asks"), "key", "words", "scalar", F.lit(None).cast("array<double>").alias("asked"),
-        F.lit(None).cast("double").alias("floor"),
-    )
-    asks = asked.withColumn("length", F.size("asked")).join(plan, "length")
-    asks = asks.select(
-        "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("query_id"), "query_blocks").alias("query_block"),
-        F.lit(True).alias("asks"), F.col("query_id").alias("key"), F.lit(None).cast("binary").alias("words"),
-        F.lit(None).cast("double").alias("scalar"), "asked", "floor",
-    )
-
-    def scan(group: pa.Table) -> pa.Table:
-        names = ("query_id", "key", "bound")
-        empty = pa.table([pa.array([], kind) for kind in (pa.int64(), pa.int64(), pa.float64())], names=names)
-        asks = np.array(group.column("asks"))
-        if asks.all() or not asks.any():
-            return empty
-        held = group.filter(pa.array(~asks))
-        keys = np.array(held.column("key"))
-        words = np.frombuffer(b"".join(held.column("words").to_pylist()), "<u8").reshape(len(keys), -1)
-        codes = Scan(words, np.array(held.column("scalar")))
-        wanted = group.filter(pa.array(asks))
-        turned = units(matrix(wanted.column("asked").combine_chunks()))
-        turned = turned @ rotation(turned.shape[1], seed, bits_each)
-        found = []
-        floors = wanted.column("floor").to_pylist()
-        for query, row, floor in zip(wanted.column("key").to_pylist(), turned, floors, strict=True):
-            # The rounding is random, yet the same on every run.
-            estimate, width = codes.cosines(row, np.random.Generator(np.random.PCG64([seed, query % (1 << 63)])))
-            own = keys == query
-            if floor is None:
-                bound = np.where(own, -np.inf, estimate - width)
-                at = np.argpartition(bound, -k)[-k:] if len(bound) > k else np.arange(len(bound))
-                at = at[~own[at]]
-            else:
-                bound = estimate + width
-                at = np.flatnonzero((bound >= floor) & ~own)
-            found.append((np.full(len(at), query), keys[at], bound[at]))
-        return pa.table(dict(zip(names, map(np.concatenate, zip(*found, strict=True)), strict=True)))
-
-    both = rows.unionByName(asks).groupBy("length", "block", "query_block")
-    return both.applyInArrow(scan, "query_id long, key long, bound double")
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, Scan]]:
+    """Codes of one length, up to ``BLOCK`` or ``BLOCK_BYTES`` together: rows, keys and their scan."""
+
+    def cut(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, Scan]]:
+        rows = pa.Table.from_batches(held)
+        lengths = np.array(rows.column("length"))
+        for length in np.unique(lengths):
+            part = rows.filter(pa.array(lengths == length))
+            keys = np.array(part.column("key"))
+            words = np.frombuffer(b"".join(part.column("words").to_pylist()), "<u8").reshape(len(keys), -1)
+            yield part, keys, Scan(words, np.array(part.column("scalar")))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= BLOCK or sum(b.nbytes for b in held) >= BLOCK_BYTES:
+            yield from cut(held)
+            held = []
+    if held:
+        yield from cut(held)
+
+
+def _floors(held: dict[int, Asked], k: int) -> Callable:
+    """``query_id, bound``: the k-th best lower bound that a task's codes give a query."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {query_id: np.full(k, -np.inf) for query_id in held}
+        for part, keys, codes in _blocks(batches):
+            length = part.column("length")[0].as_py()
+            for query_id, query in held.items():
+                if len(query.vector) != length:
+                    continue
+                estimate, width = codes.cosines(query.rounded)
+                bound = np.concatenate([best[query_id], (estimate - width)[keys != query_id]])
+                best[query_id] = np.partition(bound, -k)[-k:]
+        bounds = [(query_id, found.min()) for query_id, found in best.items() if np.isfinite(found.min())]
+        ids, values = [pair[0] for pair in bounds], [pair[1] for pair in bounds]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.float64())], ["query_id", "bound"])
+
+    return scan
+
+
+def _reranked(held: dict[int, Asked], k: int) -> Callable:
+    """``query_id, vec_id, score``: a task's k nearest of a query, of those that reach its floor."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors = {query_id: query.floor for query_id, query in held.items()}
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for part, keys, codes in _blocks(batches):
+            length = part.column("length")[0].as_py()
+            vectors, norms = _scaled(matrix(part.column("vector").combine_chunks()))
+            for query_id, query in held.items():
+                if len(query.vector) != length:
+                    continue
+                estimate, width = codes.cosines(query.rounded)
+                at = np.flatnonzero((estimate + width >= floors[query_id] - SLACK) & (keys != query_id))
+                if not len(at):
+                    continue
+                scores = (query.vector * vectors[at]).sum(axis=1) / (query.norm * norms[at])
+                old_keys, old_scores = best.get(query_id, (keys[:0], scores[:0]))
+                near, scores = np.concatenate([old_keys, keys[at]]), np.concatenate([old_scores, scores])
+                first = np.lexsort((near, -scores))[:k]
+                best[query_id] = near[first], scores[first]
+                if len(first) == k:
+                    floors[query_id] = max(floors[query_id], scores[first[-1]])
+        ids = [np.full(len(near), query_id) for query_id, (near, _) in best.items()]
+        columns = [ids, [near for near, _ in best.values()], [scores for _, scores in best.values()]]
+        kinds = [pa.int64(), pa.int64(), pa.float64()]
+        arrays = [pa.array(np.concatenate(c) if c else [], kind) for c, kind in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, ["query_id", "vec_id", "score"])
+
+    return scan

@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 
-from cardmill.llm.rotated_codes import Scan, coded, nearest, rotation
-from cardmill.llm.tiled_cosine import near_vectors, units
+from cardmill.llm.rotated_codes import Scan, _chunks, _floors, _held, _reranked, build_index, coded, nearest, rotation, rounded
+from cardmill.llm.tiled_cosine import _near_tiles, _tiles, linked, near_vectors, principal_axes, units
+from cardmill.session import materialise
 
 from . import plain
 
@@ -61,6 +62,27 @@ def test_tiles_smaller_than_groups(spark, monkeypatch):
     assert check_links(spark, [(i, [1.0, 2.0, 3.0], 0) for i in range(50)]) == 1225
 
 
+def test_links_of_one_label_in_many_tiles_and_cells(spark, monkeypatch):
+    monkeypatch.setattr("cardmill.llm.tiled_cosine.TILE", 8)
+    monkeypatch.setattr("cardmill.llm.tiled_cosine.CELL_TILES", 5)
+    vectors = clusters(6, 30, 12, 3, 0.3) + clusters(7, 20, 10, 80, 0.15) + clusters(8, 1, 40, 2, 1.0) + clusters(9, 1, 9, 1, 1.0)
+    for threshold in (0.93, 0.5, 1.0):
+        assert check_links(spark, [(i, v, 7) for i, v in enumerate(vectors)], threshold) > 0
+
+
+def test_tiles_of_a_label_meet_near_ones_only(spark, monkeypatch):
+    """Ten times the groups in one label take about ten times the pairs of tiles."""
+    monkeypatch.setattr("cardmill.llm.tiled_cosine.TILE", 4)
+    pairs = []
+    for groups in (20, 200):
+        rows = [(i, v, 7) for i, v in enumerate(clusters(10, groups, 4, 3, 0.01))]
+        classes = frame(spark, rows).selectExpr("label", "vec_id as class", "1L as copies", "cast(embedding as array<double>) as vector")
+        tiles = materialise(_tiles(classes, principal_axes(classes), 0.05), "tiles")
+        pairs.append(_near_tiles(tiles, 0.999, 0.05).distinct().count())
+        assert pairs[-1] == _near_tiles(tiles, 0.999, 0.05).count()
+    assert pairs[1] < 40 * pairs[0]
+
+
 def test_links_of_odd_tables(spark):
     vector = [1.0, 2.0]
     rows = [(None, vector, 1), (5, vector, 1), (5, vector, 1), (9, vector, 1), (9, [9.0, -1.0], 1), (3, [9.0, -1.0], 1), (2, vector, None)]
@@ -84,7 +106,7 @@ def brute(rows, queries, k):
 @pytest.mark.parametrize("spread", [0.05, 3.0])
 def test_nearest(spark, spread, monkeypatch):
     monkeypatch.setattr("cardmill.llm.rotated_codes.BLOCK", 200)
-    monkeypatch.setattr("cardmill.llm.rotated_codes.QUERIES", 8)
+    monkeypatch.setattr("cardmill.llm.rotated_codes.QUERY_BYTES", 20_000)
     vectors = clusters(4, 60, 12, 24, spread) + clusters(5, 1, 3, 7, 1.0) + ODD
     vectors += [vectors[100]] * 40
     rows = [(i, v, 0) for i, v in enumerate(vectors)]
@@ -118,6 +140,28 @@ def test_bounds_hold():
     scan = Scan(*coded(rows, turn))
     outside = 0
     for query in units(queries):
-        estimate, width = scan.cosines(query @ turn, chance)
+        estimate, width = scan.cosines(rounded(query @ turn, chance))
         outside += (np.abs(estimate - units(rows) @ query) > width).sum()
     assert outside / (30 * 2000) < 0.005
+
+
+def test_products_stop_early_and_lose_nothing():
+    chance = np.random.default_rng(12)
+    rows = units(chance.standard_normal((300, 100)) * np.geomspace(1, 0.05, 100))
+    axes = np.linalg.eigh(rows.T @ rows)[1][:, ::-1]
+    for threshold in (0.2, 0.6, 0.93):
+        found = {(i, j) for i, others in linked(rows[:120], rows, axes, threshold) for j in others.tolist()}
+        assert found == set(zip(*map(np.ndarray.tolist, np.nonzero((rows[:120, None] * rows).sum(axis=2) >= threshold)), strict=True))
+
+
+def test_shuffled_rows_grow_with_queries_not_with_codes(spark):
+    """Four times the codes give a query no more rows to rank than its tasks' k nearest."""
+    vectors = clusters(11, 100, 8, 16, 0.3)
+    table = frame(spark, [(i, v, 0) for i, v in enumerate(vectors)])
+    held = _held(next(_chunks(table.filter("vec_id % 50 = 0").selectExpr("vec_id as query_id", "cast(embedding as array<double>) as asked"), 3, 8)))
+    index = build_index(table)
+    rows = index.select("key", "vector", "length", "words", "scalar")
+    assert rows.mapInArrow(_reranked(held, 5), "query_id long, vec_id long, score double").count() <= 16 * 5 * rows.rdd.getNumPartitions()
+    floors = rows.mapInArrow(_floors(held, 5), "query_id long, bound double").groupBy("query_id").max("bound").collect()
+    exact = brute([(i, v, 0) for i, v in enumerate(vectors)], list(held), 5)
+    assert len(floors) == 16 and all(bound <= -exact[query][-1][0] + 1e-6 for query, bound in floors)
