@@ -2,9 +2,10 @@
 
 All vectors with the same label (and length) are compared, exactly. Equal vectors are
 one class and compared once. Unit vectors are turned to their principal axes; tiles of
-neighbours along the first axis are cut out of one sort of all rows. Two tiles meet
-only if the boxes of their leading coordinates are close enough for the threshold, and
-within a pair of tiles products are summed over leading dimensions first: what is left
+neighbours in cells of the leading axes are cut out of one sort of all rows. Two tiles meet
+only if they share a cell that is as wide as a link is long, and if the boxes of their
+leading coordinates are close enough for the threshold. Within a pair of tiles products are
+summed over leading dimensions first, then over twice as many, and so on: what is left
 is bounded by the norms of the rest, and only products that can still reach the
 threshold go on. A pair of tiles gives a row per vector with its number of links and
 its smallest linked vector within the pair, so a dense group of a million links is a
@@ -13,6 +14,7 @@ few thousand rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,12 @@ from .components import connected_components
 THRESHOLD = 0.93
 #: Vectors of a tile: a pair of tiles is what one task holds at a time.
 TILE = 1024
-#: Leading dimensions of the first sum, and those of a tile's box.
+#: Leading dimensions of the first sum, those of a tile's box, and those cut into cells.
 LEADING = 16
 BOX = 6
+CELLS = 3
+#: Tiles of a cell that one task compares with the cell's others.
+CELL_TILES = 4096
 SLACK = 1e-9
 
 
@@ -85,8 +90,12 @@ def principal_axes(vectors: DataFrame, column: str = "vector") -> dict[int, np.n
     return axes
 
 
-def _tiles(classes: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
-    """Classes with a tile number and the leading coordinates, in one sort of all rows."""
+def _tiles(classes: DataFrame, axes: dict[int, np.ndarray], reach: float) -> DataFrame:
+    """Classes with a tile number and the leading coordinates, in one sort of all rows.
+
+    Rows are sorted by their cells, ``reach`` wide, before the first coordinate, so that a tile is
+    narrow along some axes and not only along the first, where a large label is narrow anyway.
+    """
     extra = "label, class, copies, vector"
     names = ["label", "class", "copies", "vector", "length", "lead"]
     kinds = {field.name: field.dataType.simpleString() for field in classes.schema}
@@ -103,7 +112,8 @@ def _tiles(classes: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([rows.shape[1]] * len(rows), pa.int32()), lists], names)
 
     turned = classes.select(*extra.split(", ")).mapInArrow(turn, f"{kept}, length int, lead array<double>")
-    order = ["label", "length", F.col("lead")[0], "class"]
+    cells = [F.floor(F.get("lead", F.lit(k)) / reach) for k in range(CELLS)]
+    order = ["label", "length", *cells, F.col("lead")[0], "class"]
     ranged = turned.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,43 +132,71 @@ def _tiles(classes: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
     return ranged.mapInArrow(cut, f"{kept}, length int, lead array<double>, tile long")
 
 
-def _near_tiles(tiles: DataFrame, threshold: float) -> DataFrame:
+def _near_tiles(tiles: DataFrame, threshold: float, reach: float) -> DataFrame:
     """Pairs ``one <= two`` of tiles of a label whose boxes are close enough.
 
-    Unit vectors with a cosine of t are ``sqrt(2 - 2 t)`` apart, and boxes of leading
-    coordinates are no further apart than the vectors in them.
+    Unit vectors with a cosine of t are ``sqrt(2 - 2 t)``, the ``reach``, apart, and boxes of
+    leading coordinates are no further apart than the vectors in them. Boxes widened by half the
+    reach meet if they are that close, so they share a cell; the first one that they share
+    reports them. A cell of many tiles is dealt out over several tasks.
     """
     lead = [F.get("lead", F.lit(k)) for k in range(BOX)]
     boxes = tiles.groupBy("label", "length", "tile").agg(
         *(F.min(x).alias(f"low{k}") for k, x in enumerate(lead)), *(F.max(x).alias(f"high{k}") for k, x in enumerate(lead))
     )
-    boxes = materialise(boxes, "boxes")
-    one, two = boxes.alias("one"), boxes.alias("two")
+    half = reach / 2
+    for k in range(CELLS):
+        # Vectors with fewer dimensions have one cell along the others.
+        boxes = boxes.withColumn(f"from{k}", F.coalesce(F.floor((F.col(f"low{k}") - half) / reach), F.lit(0)))
+        boxes = boxes.withColumn(f"to{k}", F.coalesce(F.floor((F.col(f"high{k}") + half) / reach), F.lit(0)))
+    for k in range(CELLS):
+        boxes = boxes.withColumn(f"cell{k}", F.explode(F.sequence(f"from{k}", f"to{k}")))
+    cell = ["label", "length", *(f"cell{k}" for k in range(CELLS))]
+    boxes = materialise(boxes.drop(*(f"to{k}" for k in range(CELLS))), "boxes")
+    shares = boxes.groupBy(*cell).agg(F.ceil(F.count("*") / CELL_TILES).alias("shares"))
+    boxes = materialise(boxes.join(shares, cell), "cells")
+    one = boxes.withColumn("share", F.pmod(F.xxhash64("tile"), "shares")).alias("one")
+    two = boxes.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).alias("two")
     zero = F.lit(0.0)
     gaps = [
         F.coalesce(F.greatest(F.col(f"one.low{k}") - F.col(f"two.high{k}"), F.col(f"two.low{k}") - F.col(f"one.high{k}"), zero), zero)
         for k in range(BOX)
     ]
     apart = sum((gap * gap for gap in gaps[1:]), gaps[0] * gaps[0])
-    same = (F.col("one.label") == F.col("two.label")) & (F.col("one.length") == F.col("two.length"))
-    near = one.join(two, same & (F.col("one.tile") <= F.col("two.tile")) & (apart <= 2 - 2 * threshold + SLACK))
-    return near.select(F.col("one.tile").alias("one"), F.col("two.tile").alias("two"))
+    meet = (F.col("one.tile") <= F.col("two.tile")) & (apart <= 2 - 2 * threshold + SLACK)
+    for name in [*cell, "share"]:
+        meet &= F.col(f"one.{name}") == F.col(f"two.{name}")
+    for k in range(CELLS):
+        meet &= F.col(f"one.cell{k}") == F.greatest(f"one.from{k}", f"two.from{k}")
+    return one.join(two, meet).select(F.col("one.tile").alias("one"), F.col("two.tile").alias("two"))
 
 
 def linked(left: np.ndarray, right: np.ndarray, axes: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of ``left`` the rows of ``right`` with a cosine of ``threshold`` at least.
 
-    The leading dimensions are multiplied tile by tile; only rows whose bound reaches
-    the threshold get their exact cosine, on the vectors as given.
+    The leading dimensions are multiplied tile by tile, further ones, up to twice as many
+    each time, only for the rows whose bound still reaches the threshold. What no bound rules out
+    gets its exact cosine, on the vectors as given.
     """
     a, b = units(left), units(right)
     turned_a, turned_b = a @ axes, b @ axes
-    rest_a = np.sqrt((turned_a[:, LEADING:] ** 2).sum(axis=1))
-    rest_b = np.sqrt((turned_b[:, LEADING:] ** 2).sum(axis=1))
-    bound = turned_a[:, :LEADING] @ turned_b[:, :LEADING].T
-    bound += rest_a[:, None] * rest_b[None, :]
-    for i in range(len(left)):
-        may = np.flatnonzero(bound[i] >= threshold - SLACK)
+    size = a.shape[1]
+    ends = [LEADING]
+    while 2 * ends[-1] < size:
+        ends.append(2 * ends[-1])
+    rests_a, rests_b = ([np.sqrt((rows[:, end:] ** 2).sum(axis=1)) for end in ends] for rows in (turned_a, turned_b))
+    product = turned_a[:, :LEADING] @ turned_b[:, :LEADING].T
+    alive = product + rests_a[0][:, None] * rests_b[0][None, :] >= threshold - SLACK
+    for i in np.flatnonzero(alive.any(axis=1)):
+        may = np.flatnonzero(alive[i])
+        sums = product[i, may]
+        for step in range(1, len(ends)):
+            span = slice(ends[step - 1], ends[step])
+            sums = sums + turned_b[may, span] @ turned_a[i, span]
+            keep = sums + rests_b[step][may] * rests_a[step][i] >= threshold - SLACK
+            may, sums = may[keep], sums[keep]
+            if not len(may):
+                break
         if len(may):
             yield i, may[(b[may] * a[i]).sum(axis=1) >= threshold]
 
@@ -190,10 +228,13 @@ def near_vectors(
     alike = ["label", "low", "high"]
     groups = rows.filter("vector is not null").groupBy(*alike)
     classes = groups.agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    classes = materialise(classes.withColumn("class", F.xxhash64("label", "low", "high")), "classes")
+    # Numbers of rows cannot meet as hashes may; they are fixed once the table is written.
+    classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     axes = principal_axes(classes)
-    tiles = materialise(_tiles(classes, axes), "tiles")
-    pairs = materialise(_near_tiles(tiles, threshold), "near-tiles")
+    # Opposite vectors are 2 apart; a reach near 0 would make more cells than tiles.
+    reach = max(math.sqrt(max(2 - 2 * threshold, 0.0)) + SLACK, 0.05)
+    tiles = materialise(_tiles(classes, axes, reach), "tiles")
+    pairs = materialise(_near_tiles(tiles, threshold, reach), "near-tiles")
     packed = tiles.select("tile", "class", "copies", "vector", "length")
     sides = pairs.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("tile"))
     met = sides.join(packed, "tile")
