@@ -11,13 +11,14 @@ start in their ending's class and move in rounds: a Spark table holds how often
 before and after each class, and tasks find the best class of a share of them, against
 class bigrams that are counted anew for each round.
 
-Counts are of all training tokens: words in a table as long as the vocabulary, bigrams
-of types in a table bounded by the square of ``TYPES``, which the driver clusters, and words
-by classes in a table that grows with the clustered words. Tasks know these by nine bytes
-each, a hash of 64 bits and the class. A
-score splits into a sum over classes, found where the text lies, and a sum over word
-counts. Counts of the ``HEAD`` most frequent words go to all tasks; the other words of
-a text meet the count table in a join, so the vocabulary may be of any size.
+Texts are read twice: words are counted, then each text is written down as the types of its
+words, four bytes each. All further passes go over these numbers. Counts are of all training
+tokens: words in a table as long as the vocabulary, bigrams of types in a table bounded by
+the square of ``TYPES``, which the driver clusters, and words by classes in a table that
+grows with the clustered words. Tasks know these by a hash of 64 bits, a type and a class. A
+score splits into a sum over classes and a sum over word counts. Counts of the ``HEAD`` most
+frequent words go to all tasks; the other words of a text meet the count table in a join, so
+the vocabulary may be of any size.
 """
 
 from __future__ import annotations
@@ -135,6 +136,15 @@ class Types:
         return kinds
 
 
+@dataclass
+class Vocabulary:
+    """The types, and the one that each clustered word would have by its ending."""
+
+    words: Words
+    endings: dict[bytes, int]
+    starts: np.ndarray
+
+
 @dataclass
 class ClassModel:
     """What scoring needs beside the counts of words."""
@@ -241,12 +251,37 @@ def _types(counts: DataFrame) -> tuple[dict[bytes, int], dict[bytes, int]]:
     return words, {bytes(row["ending"]): place + 2 + WORDS for place, row in enumerate(common)}
 
 
-def _line(column: pa.Array, types: Types) -> np.ndarray:
-    """Types of all texts in a row, with an end before, between and after them."""
-    own = Line(raw_texts(column))
-    line = np.full(len(own.hashes) + len(own.offsets), END)
-    line[np.arange(len(own.hashes)) + np.repeat(np.arange(len(own.offsets) - 1), np.diff(own.offsets)) + 1] = types.of(own)
-    return line
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    head, endings = _types(counts)
+    hashes, starts = _often(counts, head, endings)
+    return Vocabulary(Words(head, hashes, TYPES), endings, starts)
+
+
+def _packed(kinds: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Types of all texts, one after the other, as four bytes each in a value for each text."""
+    buffers = [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(kinds.astype("<i4"))]
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers)
+
+
+def _line(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Types of all packed texts in a row, with an end before, between and after them, and the texts' offsets."""
+    flat, edges = flat_bytes(column)
+    kinds, offsets = flat.view("<i4"), edges // 4
+    line = np.full(len(kinds) + len(offsets), END, np.int64)
+    line[np.arange(len(kinds)) + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) + 1] = kinds
+    return line, offsets
+
+
+def _lines(training: DataFrame, own: Vocabulary) -> DataFrame:
+    """``types binary`` of every text, written down."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = Types(own.words, own.endings)
+        for batch in text_slices(batches, 0, SLICE):
+            line = Line(raw_texts(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([_packed(types.of(line), line.offsets)], ["types"])
+
+    return materialise(training.select("text").mapInArrow(run, "types binary"), "lines")
 
 
 def _often(counts: DataFrame, head: dict[bytes, int], endings: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -263,16 +298,16 @@ def _often(counts: DataFrame, head: dict[bytes, int], endings: dict[bytes, int])
     return hashes, np.array(rows.column("type"), np.int64)[first]
 
 
-def _neighbours(training: DataFrame, words: Words, endings: dict[bytes, int], classes: np.ndarray, share: int | None) -> DataFrame:
+def _neighbours(lines: DataFrame, first: int, classes: np.ndarray, share: int | None) -> DataFrame:
     """``type, slot, n``: how often types of a share stand before and after each class, and themselves.
 
     Type -1 has the bigrams of classes, ``slot`` being both of them.
     """
-    first, size, width, rounds, limit = words.first, CLASSES, 2 * CLASSES + 1, ROUNDS, PAIRS
+    size, width, rounds, limit = CLASSES, 2 * CLASSES + 1, ROUNDS, PAIRS
     table = size * size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, total = Types(words, endings), np.zeros(table, np.int64)
+        total = np.zeros(table, np.int64)
         held: list[np.ndarray] = []
 
         def flushed() -> pa.RecordBatch:
@@ -281,7 +316,7 @@ def _neighbours(training: DataFrame, words: Words, endings: dict[bytes, int], cl
             return pa.RecordBatch.from_arrays([pa.array(keys // width), pa.array(keys % width), pa.array(n)], ["type", "slot", "n"])
 
         for batch in text_slices(batches, 0, SLICE):
-            line = _line(batch.column(0), types)
+            line, _ = _line(batch.column(0))
             left, right = line[:-1], line[1:]
             before, after = classes[left].astype(np.int64), classes[right].astype(np.int64)
             total += np.bincount(before * size + after, minlength=table)
@@ -299,7 +334,7 @@ def _neighbours(training: DataFrame, words: Words, endings: dict[bytes, int], cl
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1)), pa.array(at), pa.array(total[at])], ["type", "slot", "n"])
 
-    parts = training.select("text").mapInArrow(count, "type long, slot long, n long")
+    parts = lines.select("types").mapInArrow(count, "type long, slot long, n long")
     return parts.groupBy("type", "slot").agg(F.sum("n").alias("n"))
 
 
@@ -340,18 +375,19 @@ def exchange_round(sums: DataFrame, classes: np.ndarray) -> np.ndarray:
     return classes
 
 
-def _bigrams(training: DataFrame, words: dict[bytes, int], endings: dict[bytes, int]) -> np.ndarray:
-    """Counts of all neighbouring types, the end standing before a text as well."""
+def _bigrams(lines: DataFrame, starts: np.ndarray) -> np.ndarray:
+    """Counts of all neighbouring types, the end standing before a text as well, and clustered words by their endings."""
+    size, ending_of = TYPES, np.concatenate([np.arange(TYPES), starts])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, total = Types(words, endings), np.zeros(TYPES * TYPES, np.int64)
+        total = np.zeros(size * size, np.int64)
         for batch in text_slices(batches, 0, SLICE):
-            line = _line(batch.column(0), types)
-            total += np.bincount(line[:-1] * TYPES + line[1:], minlength=TYPES * TYPES)
+            line = ending_of[_line(batch.column(0))[0]]
+            total += np.bincount(line[:-1] * size + line[1:], minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
-    parts = training.select("text").mapInArrow(count, "pair long, n long")
+    parts = lines.select("types").mapInArrow(count, "pair long, n long")
     sums = parts.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.zeros(TYPES * TYPES)
     matrix[np.array(sums.column("pair"))] = np.array(sums.column("n"))
@@ -420,14 +456,18 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
 
 def fit_classes(training: DataFrame, counts: DataFrame, texts: int) -> ClassModel:
     """The model of ``training`` (``text``); ``counts`` are its words, ``texts`` its number of rows."""
-    head, endings = _types(counts)
-    classes = exchange(_bigrams(training, head, endings), CLASSES, PASSES)
-    hashes, starts = _often(counts, head, endings)
-    words = Words(head, hashes, TYPES)
-    classes = np.concatenate([classes, classes[starts]]).astype(np.min_scalar_type(CLASSES))
-    for share in range(ROUNDS if len(hashes) else 0):
-        classes = exchange_round(materialise(_neighbours(training, words, endings, classes, share), "neighbours"), classes)
-    table = _class_table(_neighbours(training, words, endings, classes, None))
+    own = vocabulary(counts)
+    return fit_lines(_lines(training, own), counts, own, texts)
+
+
+def fit_lines(lines: DataFrame, counts: DataFrame, own: Vocabulary, texts: int) -> ClassModel:
+    """The model of texts that are written as their types (``types``)."""
+    words, endings = own.words, own.endings
+    classes = exchange(_bigrams(lines, own.starts), CLASSES, PASSES)
+    classes = np.concatenate([classes, classes[own.starts]]).astype(np.min_scalar_type(CLASSES))
+    for share in range(ROUNDS if len(own.starts) else 0):
+        classes = exchange_round(materialise(_neighbours(lines, words.first, classes, share), "neighbours"), classes)
+    table = _class_table(_neighbours(lines, words.first, classes, None))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types, total = Types(words, endings), np.zeros((2, CLASSES), np.int64)
@@ -468,26 +508,21 @@ def score_texts(docs: DataFrame) -> DataFrame:
     own = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), held_out(docs["doc_id"]).alias("held_out"))
     training = own.filter(~F.col("held_out"))
     counts = word_counts(training)
-    model = fit_classes(training, counts, training.count())
+    vocab, ends = vocabulary(counts), training.count()
     top = counts.orderBy(F.col("n").desc(), "word").limit(HEAD).toArrow()
     head_marks = hashes_of(top.column("word").to_pylist())
     head_logs = np.log10(np.array(top.column("n"), np.float64) + ADDED)
-    end = float(np.log10(model.ends + ADDED))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, often_words = Types(model.words, model.endings), Lookup(head_marks)
+        types, often_words = Types(vocab.words, vocab.endings), Lookup(head_marks)
         for batch in text_slices(batches, 2, SLICE):
             own = Line(raw_texts(batch.column(2)))
             offsets, count = own.offsets, len(own.offsets) - 1
             document = np.repeat(np.arange(count), np.diff(offsets))
-            line = np.zeros(len(own.hashes) + len(offsets), np.int64)
-            line[np.arange(len(own.hashes)) + document + 1] = model.classes[types.of(own)]
-            # A text has a step to each of its words and one to its end.
-            steps = np.add.reduceat(model.step[line[:-1], line[1:]], offsets[:-1] + np.arange(count))
             found = often_words.find(own.hashes)
             other = found < 0
-            sums = np.bincount(document[~other], weights=head_logs[found[~other]], minlength=count) + end
-            known = np.bincount(document[~other], minlength=count) + bool(model.ends)
+            sums = np.bincount(document[~other], weights=head_logs[found[~other]], minlength=count).astype(np.float64)
+            known = np.bincount(document[~other], minlength=count)
             # Each other word once for each text, with its number there.
             at = np.flatnonzero(other)
             _, first, kind = np.unique(own.hashes[at], return_index=True, return_inverse=True)
@@ -496,15 +531,27 @@ def score_texts(docs: DataFrame) -> DataFrame:
             words = [own.word(k) for k in at[first].tolist()]
             unknown = pa.array([words[k] for k in (rare & 0xFFFFFFFF).tolist()], pa.binary())
             columns = [
-                *batch.columns[:2], pa.array(np.diff(offsets) + 1), pa.array(known.astype(np.int64)), pa.array(steps), pa.array(sums),
+                *batch.columns[:2], pa.array(np.diff(offsets) + 1), pa.array(known.astype(np.int64)), pa.array(sums), _packed(types.of(own), offsets),
                 pa.ListArray.from_arrays(ends, unknown), pa.ListArray.from_arrays(ends, pa.array(often, pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "steps", "sums", "rare", "often"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "sums", "types", "rare", "often"])
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, steps double, sums double, rare array<binary>, often array<int>"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, sums double, types binary, rare array<binary>, often array<int>"
     texts = own.select("doc_id", "held_out", "text").mapInArrow(read, schema)
     texts = materialise(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+    model = fit_lines(texts.filter(~F.col("held_out")).select("types"), counts, vocab, ends)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 0, SLICE):
+            line, offsets = _line(batch.column(0))
+            line = model.classes[line]
+            # A text has a step to each of its words and one to its end.
+            steps = np.add.reduceat(model.step[line[:-1], line[1:]], offsets[:-1] + np.arange(batch.num_rows))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(steps)], [*batch.schema.names[1:], "steps"])
+
+    walked = texts.select("types", "row", "doc_id", "held_out", "n_tokens", "known", "sums")
+    walked = walked.mapInArrow(walk, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, sums double, steps double")
     rare = texts.select("row", F.explode(F.arrays_zip("rare", "often")).alias("one"))
     rare = rare.select("row", F.col("one.rare").alias("word"), F.col("one.often").alias("often"))
     met = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -512,11 +559,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
         F.sum(F.col("often") * F.log10(F.col("n") + ADDED)).alias("rare_sums"),
         F.sum(F.when(F.col("n") > 0, F.col("often")).otherwise(0)).alias("rare_known"),
     )
-    joined = texts.drop("rare", "often").join(met, "row", "left")
-    words = F.col("sums") + F.coalesce("rare_sums", F.lit(0.0))
+    joined = walked.join(met, "row", "left")
+    words = F.col("sums") + F.coalesce("rare_sums", F.lit(0.0)) + float(np.log10(ends + ADDED))
     return joined.select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("known") + F.coalesce("rare_known", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (words - F.col("n_tokens") * float(np.log10(model.base_mass))).alias("base_score"),
         (words + F.col("steps")).alias("score"),
