@@ -232,7 +232,7 @@ def stream_append(spark, sf_dir):
     old = records(parse_pages(raw_pages(spark, sf_dir).filter("page_id % 3 = 0"), LINK_RULES), LINK_RULES)
     write_records(old, f"{target}/old", names)
     known = read_output(spark, f"{target}/old", names)
-    pages = streams.page_stream(spark, sf_dir, "pages.parquet")
+    pages = streams.table_stream(spark, f"{sf_dir}/pages.parquet")
     rows = streams.unwritten_records(streams.stream_records(pages, LINK_RULES), known, names)
     streams.write_stream(rows, f"{target}/new", f"{target}/checkpoint").awaitTermination()
     return read_output(spark, f"{target}/new", names).select("text", "link")

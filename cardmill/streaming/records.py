@@ -21,6 +21,13 @@ def page_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", files
     return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """A stored page table as a stream, be it one file or a folder of files."""
+    # Spark takes a path without a pattern for a folder; a pattern may stand for either.
+    reader = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def stream_records(pages: DataFrame, rules: PageRules, deduplicate: bool = True) -> DataFrame:
     """Clean records of a page stream.
 

@@ -1,8 +1,12 @@
+import pytest
 from pyspark.sql import functions as F
 
 from cardmill import FieldRule, PageRules
 from cardmill.operators.clean import clean_records, distinct_records
 from cardmill.operators.extract import parse_pages, records
+from cardmill.plans import raw_pages  # noqa: F401
+from cardmill.plans.registry import QUERIES
+from cardmill.session import new_dir
 from cardmill.sources.csv_output import read_output, write_records
 from cardmill.streaming import records as streams
 
@@ -82,3 +86,26 @@ def test_observer_sees_every_page(spark, tmp_path):
     streams.observe_pages(stream, RULES, on_pages, state).awaitTermination()
     assert sorted(row[1:] for row in seen) == [(i, 3, 2) for i in range(9)]
     assert len({row[0] for row in seen}) == 3
+
+
+def test_a_table_is_a_file_or_a_folder(spark, tmp_path):
+    folder, file = str(tmp_path / "pages.parquet"), str(tmp_path / "one" / "pages.parquet")
+    pages(spark, 0, 12).repartition(3).write.parquet(folder)
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "pages.parquet").write_bytes(next((tmp_path / "pages.parquet").glob("part-*")).read_bytes())
+    for path, count in ((folder, 12), (file, spark.read.parquet(file).count())):
+        seen = []
+        stream = streams.table_stream(spark, path)
+        streams.observe_pages(stream, RULES, lambda batch, number: seen.extend(r.page_id for r in batch.collect()), new_dir(spark, "state")).awaitTermination()
+        assert len(seen) == count > 0
+    state, out = new_dir(spark, "state"), new_dir(spark, "out")
+    streams.write_stream(streams.stream_records(streams.table_stream(spark, folder), RULES), out, state).awaitTermination()
+    assert read_output(spark, out, RULES.names).count() == 12 + 12
+
+
+@pytest.mark.parametrize("name", ["stream_append"])
+def test_queries_over_a_table_in_parts(spark, tmp_path, name):
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    table.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    want = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(map(tuple, want))
