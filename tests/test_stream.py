@@ -103,7 +103,7 @@ def test_a_table_is_a_file_or_a_folder(spark, tmp_path):
     assert read_output(spark, out, RULES.names).count() == 12 + 12
 
 
-@pytest.mark.parametrize("name", ["stream_append", "stream_observer"])
+@pytest.mark.parametrize("name", ["stream_append", "stream_observer", "stream_records"])
 def test_queries_over_a_table_in_parts(spark, tmp_path, name):
     table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     table.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
