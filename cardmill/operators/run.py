@@ -4,8 +4,8 @@ A run goes in rounds. Every crawl asks for its next page; if its last steps went
 page number to the next, it asks for the following numbers as well, twice as many in
 each round. Robots rules are asked before the store, answers are classified with the
 crawl's own settings, and what is left is parsed, all in one stage: the rule set is a
-column, so pages of any number of specs share a stage. Then each crawl follows its links
-through the pages of the round, up to the first one it has not asked for. Pages parsed
+column, so pages of any number of specs share a stage. Then each crawl goes through the
+pages of the round, as far as each leads to the next one (``blocks.follow``). Pages parsed
 are at most twice the pages visited, plus one for each crawl; rounds grow with the
 logarithm of a walk along page numbers, and by one for each other step.
 
@@ -26,11 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.urls import origin, page_url
+from ..functions.urls import origin
 from ..functions.values import TRANSFORM, WS
 from ..session import materialise, new_dir
 from ..sources.page_store import PageStore
-from . import extract, joins, markup, rules
+from . import extract, markup, rules
+from .blocks import AHEAD, asked_pages, follow
 from .crawl import MISSING
 from .extract import EMPTY, PLACE, PageReader
 from .gate import RETRY_STATUSES, content_type
@@ -43,10 +44,6 @@ from .rules import FieldRule, PageRules, PagerRules
 for module in (markup, rules, extract, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(module)
 
-#: Pages that a crawl asks for at once, at most.
-AHEAD = 32
-# Where an address has its page number.
-PAGE_NUMBER = r"(?i)\A([^#]*[?&](?:page|p|offset)=)([0-9]{1,15})(?![0-9])(.*)\z"
 #: Pages that are dealt out to all cores, as their scan may come in one split.
 FEW_PAGES = 10_000
 #: Rule sets that a task keeps compiled, and pages of an output batch.
@@ -214,6 +211,7 @@ def run_crawls(crawls: DataFrame, store: PageStore, robots: DataFrame | None = N
     state = crawls.filter("max_pages >= 1").select(
         "crawl_id", F.col("start_url").alias("url"), F.lit(0).cast("long").alias("n"), F.lit(min(2, ahead)).alias("guess")
     )
+    rounds = T.StructField("round", T.IntegerType())
     # One round at least, of no pages if there are no crawls, so that both tables exist.
     number, visits = 0, None
     while number == 0 or not state.isEmpty():
@@ -221,39 +219,19 @@ def run_crawls(crawls: DataFrame, store: PageStore, robots: DataFrame | None = N
         schema = block.schema
         block.write.parquet(f"{read_dir}/round={number}")
         block = spark.read.schema(schema).parquet(f"{read_dir}/round={number}")
-        steps = follow(state, block if visits is None else without_visited(block, visits), crawls, ahead)
-        step_schema = steps.schema
-        steps.write.parquet(f"{steps_dir}/round={number}")
-        steps = spark.read.schema(step_schema).parquet(f"{steps_dir}/round={number}")
-        state = steps.filter("not done").select("crawl_id", F.col("following").alias("url"), "n", "guess")
+        made, state = follow(state, block, visits, crawls, ahead)
+        made.write.parquet(f"{steps_dir}/round={number}")
+        visits = spark.read.schema(T.StructType([*made.schema.fields, rounds])).parquet(steps_dir).select("crawl_id", "n", "round", "url")
         number += 1
-        rounds = T.StructField("round", T.IntegerType())
-        made = spark.read.schema(T.StructType([*step_schema.fields, rounds])).parquet(steps_dir)
-        made = made.select("crawl_id", "round", "before", F.posexplode("path").alias("at", "url"))
-        visits = made.select("crawl_id", (F.col("before") + F.col("at") + 1).alias("n"), "round", "url")
     return Run(crawls, visits, spark.read.schema(T.StructType([*schema.fields, rounds])).parquet(read_dir))
 
 
 def _asked(state: DataFrame, crawls: DataFrame) -> DataFrame:
     """``asked_pages`` with the settings of their crawls."""
-    asked = asked_pages(state, crawls).drop("mode")
+    asked = asked_pages(state, crawls).drop("mode", "k")
     settings = ["retries", "content_types", "user_agent", "respect_robots", "rules", "mode", "names", "transforms", "required"]
-    return lookup(asked, crawls.select("crawl_id", *settings), "crawl_id", how="inner", rows=0)
-
-
-def asked_pages(state: DataFrame, crawls: DataFrame) -> DataFrame:
-    """``crawl_id, mode, url`` of every page that is asked for: the next one and those its number leads to."""
-    walks = crawls.select("crawl_id", "mode", "url_template", "start_page", "max_pages")
-    state = lookup(state, walks, "crawl_id", how="inner", rows=0)
-    ahead = F.least(F.col("guess").cast("long"), F.col("max_pages") - F.col("n"))
-    rows = state.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), ahead - 1)))
-    numbered = page_url(F.col("url_template"), F.col("start_page") + F.col("n") + F.col("k"))
-    # A wrong guess costs a page that is parsed for nothing, so short numbers do.
-    head, number, tail = (F.regexp_extract("url", PAGE_NUMBER, k) for k in (1, 2, 3))
-    bumped = F.concat(head, (number.try_cast("long") + F.col("k")).cast("string"), tail)
-    guess = F.when(F.col("mode") == "template", numbered).when(F.col("mode").isin("next", "links"), bumped)
-    url = F.when(F.col("k") == 0, F.col("url")).otherwise(guess)
-    return rows.select("crawl_id", "mode", url.alias("url")).filter("url is not null").distinct()
+    rows = state.agg(F.coalesce(F.sum("guess"), F.lit(0))).first()[0]
+    return lookup(asked, crawls.select("crawl_id", *settings), "crawl_id", how="inner", rows=rows)
 
 
 def _answers(asked: DataFrame, crawls: DataFrame, store: PageStore, sites: DataFrame | None) -> DataFrame:
@@ -333,70 +311,6 @@ def _facts(answers: DataFrame) -> DataFrame:
     )
 
 
-def without_visited(block: DataFrame, visits: DataFrame) -> DataFrame:
-    """Links of the round without those that their crawl has visited; the links move, the visits do not."""
-    links = block.select("crawl_id", "url", F.posexplode("links").alias("at", "link"))
-    keys = links.select("crawl_id", F.col("link").alias("url")).distinct()
-    been = visits.select("crawl_id", "url")
-    size = links.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("link")), F.lit(0))).first()
-    if size[0] <= joins.BROADCAST_ROWS and size[1] <= joins.BROADCAST_BYTES:
-        # No more come back than were sent: a crawl visits an URL once.
-        seen = F.broadcast(been.join(F.broadcast(keys), ["crawl_id", "url"], "left_semi"))
-    else:
-        seen = joins.keep_keys(been, materialise(keys, "links"), ["crawl_id", "url"])
-    fresh = links.join(seen.withColumnRenamed("url", "link"), ["crawl_id", "link"], "left_anti")
-    # A group is the links of one page.
-    listed = fresh.groupBy("crawl_id", "url").agg(F.array_sort(F.collect_list(F.struct("at", "link"))).alias("links"))
-    listed = listed.select("crawl_id", "url", F.transform("links", lambda row: row["link"]).alias("links"))
-    narrow = block.select("crawl_id", "url", "ok", "found", "kept")
-    joined = narrow.join(listed, ["crawl_id", "url"], "left")
-    return joined.select("crawl_id", "url", "ok", "found", "kept", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
-
-
-def follow(state: DataFrame, block: DataFrame, crawls: DataFrame, ahead: int) -> DataFrame:
-    """``crawl_id, path, before, n, following, done, guess``: each crawl's way through the pages of the round.
-
-    A group is what one crawl has asked for, ``ahead`` pages at most.
-    """
-    page = F.struct("url", "ok", (F.col("ok") & (F.col("found") > 0) & (F.col("kept") > 0)).alias("goes"), "links")
-    pages = block.groupBy("crawl_id").agg(F.collect_list(page).alias("pages"))
-    settings = crawls.select("crawl_id", "mode", "start_url", "url_template", "start_page", "max_pages", "stop_on_error")
-    joined = lookup(state.join(pages, "crawl_id", "left"), settings, "crawl_id", how="inner", rows=0)
-    joined = joined.withColumn("pages", F.coalesce("pages", F.array().cast(pages.schema["pages"].dataType)))
-
-    def step(walk: Column, _: Column) -> Column:
-        here = F.get(F.filter("pages", lambda p: p["url"] == walk["url"]), F.lit(0))
-        n = walk["n"] + 1
-        path = F.concat(walk["path"], F.array(walk["url"]))
-        ends = (
-            (n >= F.col("max_pages"))
-            | (~here["ok"] & (F.col("stop_on_error") | (F.col("mode") != "template")))
-            | (here["ok"] & ~here["goes"])
-        )
-        linked = F.get(F.filter(here["links"], lambda link: ~F.array_contains(path, link)), F.lit(0))
-        numbered = page_url(F.col("url_template"), F.col("start_page") + n)
-        # The start page met again ends the walk before it.
-        following = F.when(F.col("mode") == "template", F.when(numbered != F.col("start_url"), numbered)).otherwise(linked)
-        done = ends | following.isNull()
-        moved = F.struct(
-            F.when(done, walk["url"]).otherwise(following).alias("url"), n.alias("n"), path.alias("path"), done.alias("done")
-        )
-        return F.when(walk["done"] | here.isNull(), walk).otherwise(moved)
-
-    none = F.array().cast("array<string>")
-    start = F.struct(F.col("url").alias("url"), F.col("n").alias("n"), none.alias("path"), F.lit(False).alias("done"))
-    steps = F.sequence(F.lit(1), F.greatest(F.size("pages"), F.lit(1)))
-    walked = joined.withColumn("walk", F.aggregate(steps, start, step))
-    used = F.size("walk.path")
-    # As long as every page asked for is visited, twice as many are asked for.
-    guess = F.when((used > 0) & (used >= F.size("pages")), F.col("guess") * 2).otherwise(F.lit(1))
-    guess = F.least(guess, F.lit(ahead))
-    return walked.select(
-        "crawl_id", "walk.path", F.col("n").alias("before"), "walk.n", F.col("walk.url").alias("following"), "walk.done",
-        guess.cast("int").alias("guess"),
-    )
-
-
 def run_records(run: Run) -> DataFrame:
     """``crawl_id, n, url, card_no, record``: every kept card, its fields as a JSON object."""
     cards = run.visited().select("crawl_id", "n", "url", F.explode("kept_cards").alias("card"))

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.blocks import asked_pages, follow
 from ..operators.crawl import FACT_COLUMNS, site_facts, visited_pages, walk
 from ..operators.extract import page_facts, parse_pages
 from ..operators.joins import keep_keys
-from ..operators.run import AHEAD, asked_pages, follow, without_visited
 from ..operators.rules import PageRules, PagerRules
 from ..session import materialise
 
@@ -83,13 +83,12 @@ class CrawlStream:
             if block.isEmpty():
                 break
             been = visits if not taken else visits.unionByName(_union(taken))
-            steps = materialise(follow(waiting, without_visited(block, been), self.crawls, AHEAD), "steps")
-            made = steps.select("crawl_id", F.posexplode("path").alias("at", "url"), "before")
-            made = materialise(made.select("crawl_id", (F.col("before") + F.col("at") + 1).alias("n"), "url"), "made")
+            made, going = follow(waiting, block, been, self.crawls)
+            made = materialise(made, "made")
             if made.isEmpty():
                 break
             taken.append(made)
-            waiting = materialise(steps.filter("not done").select("crawl_id", F.col("following").alias("url"), "n", "guess"), "waiting")
+            waiting = materialise(going, "waiting")
         own = _union(taken) if taken else self.spark.createDataFrame([], self.steps)
         own.write.mode("overwrite").parquet(f"{self.folder}/visits/batch={batch}")
         waiting.write.mode("overwrite").parquet(f"{self.folder}/waiting/batch={batch}")

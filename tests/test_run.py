@@ -190,3 +190,15 @@ def test_seeds_with_repeated_or_missing_ids(spark):
     assert [r["crawl_id"] for r in read_crawls(seeds).collect()] == ["a"]
     problems = Counter((r["crawl_id"], r["problem"]) for r in seed_problems(seeds).collect())
     assert problems == {("b", "crawl_id is repeated"): 2, (None, "crawl_id is missing"): 2, ("c", "start_url is not an http(s) address"): 1}
+
+
+def test_rounds_grow_with_the_digits_of_a_walk(spark):
+    size = 150
+    pages = [(f"{SITE}/a?page={k}", html([("x", "1")], f"?page={k + 1}" if k < size else None, [f"?page={n}" for n in (1, k - 1, k, k + 1) if 0 < n <= size])) for k in range(1, size + 1)]
+    store = write_store(as_log(spark.createDataFrame(pages, "url string, html string")), new_dir(spark, "store"), shards=2)
+    seeds = spark.createDataFrame([(7, f"{SITE}/a?page=1", "links", size + 2, f"{SITE}/a?page={{page}}")], "crawl_id long, start_url string, mode string, max_pages long, url_template string")
+    run = run_crawls(fixed_runs(read_crawls(seeds), RULES, PAGER), store)
+    visits = sorted((r["n"], r["url"]) for r in run.visits.collect())
+    assert visits[:size] == [(k, f"{SITE}/a?page={k}") for k in range(1, size + 1)] and len(visits) == size
+    # 2, 4, 8, ... 128 pages.
+    assert run.read.select("round").distinct().count() == 7
