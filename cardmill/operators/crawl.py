@@ -6,7 +6,7 @@ side in the same jobs:
 * ``template`` and ``none`` have a closed form;
 * ``next`` follows one link per page, so paths of doubling length are composed:
   ``log2(max_pages)`` joins instead of ``max_pages``;
-* ``links`` depends on the path so far and advances level by level.
+* ``links`` depends on the path so far: it advances level by level, long walks in blocks of page numbers.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import origin, page_url
 from ..session import materialise, new_dir
 from . import joins
+from .blocks import asked_pages, follow
 from .extract import EMPTY, PLACE, origins
 from .joins import lookup
 from .robots import is_allowed, robots_filter
@@ -28,6 +29,8 @@ CHUNK = 1000
 #: Page numbers that a template walk tries first.
 FIRST_BLOCK = 16
 LEVELS_AT_ONCE = 8
+#: Levels that a walk of mode ``links`` takes with its path in the row.
+LEVELS = 64
 # Edges worth a task of their own, and what one task may hold.
 FEW_EDGES, MANY_EDGES = 10_000, 1_000_000
 CRAWL_COLUMNS = ("crawl_id", "mode", "max_pages", "stop_on_error")
@@ -169,27 +172,89 @@ def reachable(edges: DataFrame, crawls: DataFrame, rounds: int = 8) -> DataFrame
 
 
 def _links(crawls: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
-    spark = crawls.sparkSession
+    """Level by level with the path in the row at first; walks that go on take blocks of page numbers.
+
+    A walk that is not where its page numbers lead goes back to levels, and tries again after ``LEVELS`` of them.
+    """
     edges = place_by_url(facts.filter(_has_rows() & (F.size("pager_urls") > 0)).select("url", "pager_urls"))
-    folder = new_dir(spark, "links")
     state = _start(crawls).select(
         "crawl_id", "max_pages", "url", F.array("url").alias("seen"), F.lit(False).alias("done")
     )
+    settings = crawls.select(
+        "crawl_id", F.lit("links").alias("mode"), "start_url", F.lit(None).cast("string").alias("url_template"),
+        F.lit(1).cast("long").alias("start_page"), "max_pages", F.lit(True).alias("stop_on_error"),
+    )
+    parts, level = [], 0
+    while True:
+        ended, going = _levels(state, edges, min(depth, level + LEVELS) - level)
+        parts.append(ended)
+        level += LEVELS
+        if level >= depth or going.isEmpty():
+            break
+        # The last page of the path counts as the next one to visit.
+        path = going.select("crawl_id", F.posexplode("seen").alias("at", "url"), F.size("seen").alias("pages"))
+        path = path.filter("at < pages - 1").select("crawl_id", (F.col("at") + 1).cast("long").alias("n"), "url")
+        visits = [materialise(path, "path")]
+        walks = materialise(settings.join(going.select("crawl_id"), "crawl_id", "left_semi"), "walks")
+        ahead = going.select("crawl_id", "url", (F.size("seen") - 1).cast("long").alias("n"), F.lit(2).alias("guess"))
+        lost = []
+        while not ahead.isEmpty():
+            block = _block_of_links(asked_pages(ahead, walks), edges)
+            been = visits[0]
+            for more in visits[1:]:
+                been = been.unionByName(more)
+            made, after = follow(ahead, block, been, walks)
+            visits.append(materialise(made, "made"))
+            lost.append(after.filter("guess < 2"))
+            ahead = after.filter("guess >= 2")
+        been = visits[0]
+        for more in visits[1:]:
+            been = been.unionByName(more)
+        rest = lost[0]
+        for more in lost[1:]:
+            rest = rest.unionByName(more)
+        rest = materialise(rest.select("crawl_id", "url"), "lost")
+        parts.append(been.join(rest, "crawl_id", "left_anti"))
+        if rest.isEmpty():
+            break
+        step = F.struct("n", "url")
+        back = been.join(rest.select("crawl_id"), "crawl_id", "left_semi").groupBy("crawl_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+        back = back.join(rest, "crawl_id").join(crawls.select("crawl_id", "max_pages"), "crawl_id")
+        seen = F.concat(F.transform("steps", lambda v: v["url"]), F.array("url"))
+        state = back.select("crawl_id", "max_pages", "url", seen.alias("seen"), F.lit(False).alias("done"))
+    edges.unpersist()
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _block_of_links(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pages of a block as ``follow`` takes them; one without edges has no links, which ends the walk there."""
+    links = F.coalesce("pager_urls", F.array().cast("array<string>")).alias("links")
+    one = F.lit(1).cast("long")
+    joined = asked.join(edges, "url", "left")
+    block = joined.select("crawl_id", "url", F.lit(True).alias("ok"), one.alias("found"), one.alias("kept"), links)
+    return materialise(block, "block")
+
+
+def _levels(state: DataFrame, edges: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
+    """Visits of the walks that end within so many levels, and the state of those that go on."""
+    spark = state.sparkSession
+    folder = new_dir(spark, "links")
     state = materialise(state, "frontier")
     schema, level, batch = state.schema, 0, 0
-    while level < depth and (rows := state.count()) > 0:
+    while level < levels and (rows := state.count()) > 0:
         small = rows <= joins.SMALL_ROWS
-        for _ in range(LEVELS_AT_ONCE if small else 1):
+        for _ in range(min(LEVELS_AT_ONCE, levels - level) if small else 1):
             state = _advance(lookup(state, edges, "url", rows=rows))
             level += 1
         state.write.partitionBy("done").parquet(f"{folder}/batch={batch}")
         state = _states(spark, schema, f"{folder}/batch={batch}", "false")
         batch += 1
-    edges.unpersist()
     ended = _states(spark, schema, f"{folder}/batch=*", "true")
-    return ended.select("crawl_id", F.posexplode("seen").alias("n", "url")).withColumn(
-        "n", (F.col("n") + 1).cast("long")
-    )
+    ended = ended.select("crawl_id", F.posexplode("seen").alias("n", "url"))
+    return ended.withColumn("n", (F.col("n") + 1).cast("long")), state
 
 
 def place_by_url(edges: DataFrame) -> DataFrame:

@@ -375,3 +375,33 @@ def test_known_rows_in_most_crawls(spark, monkeypatch):
     known = spark.createDataFrame([("everywhere", ""), ("everywhere", ""), ("own 6", "")], "a string, b string")
     found = {r["crawl_id"]: r["duplicates"] for r in duplicate_counts(df, ["a", "b"], ["crawl_id"], known).collect()}
     assert found == {k: 3 if k == 6 else 2 for k in range(300)}
+
+
+def test_long_walks_along_links_take_blocks(spark, monkeypatch):
+    """Pagers of numbered pages; walk 2 leaves the numbers for a while, walk 3 stays off them."""
+    monkeypatch.setattr(walks, "LEVELS", 8)
+    monkeypatch.setattr(walks, "LEVELS_AT_ONCE", 8)
+    levels = []
+    advance = walks._advance
+    monkeypatch.setattr(walks, "_advance", lambda joined: levels.append(1) or advance(joined))
+
+    def number(site, k):
+        return f"https://{site}.test/?page={k}"
+
+    nodes = {number("a", k): [number("a", n) for n in (1, k - 2, k - 1, k, k + 1, k + 2) if 0 < n <= 60] for k in range(1, 61)}
+    nodes |= {number("b", k): [number("b", n) for n in (1, k - 1, k + 1) if 0 < n <= 24] for k in range(1, 25)}
+    nodes[number("b", 13)] = [number("b", 20)]
+    nodes |= {f"https://c.test/{k}": [f"https://c.test/{n}" for n in (k - 1, (k * 5) % 14, k + 1)] for k in range(14)}
+    rows = [(url, True, 1, 1, None, links) for url, links in nodes.items()]
+    facts = spark.createDataFrame(rows, "url string, ok boolean, found long, kept long, next_url string, pager_urls array<string>")
+    seeds = [(1, number("a", 1), 100), (2, number("b", 1), 100), (3, "https://c.test/0", 12), (4, number("a", 5), 30), (5, number("a", 3), 5)]
+    crawls = spark.createDataFrame([(k, url, "links", most, None, 1, True) for k, url, most in seeds], "crawl_id long, start_url string, mode string, max_pages long, url_template string, start_page long, stop_on_error boolean")
+    want = []
+    for k, url, most in seeds:
+        path = [url]
+        while len(path) < most and (link := next((n for n in nodes.get(path[-1], []) if n not in path), None)):
+            path.append(link)
+        want += [(k, n, url) for n, url in enumerate(path, 1)]
+    assert sorted(map(tuple, walks.walk(crawls, facts).collect())) == sorted(want)
+    # Level by level it were 60.
+    assert len(levels) <= 40
